@@ -22,8 +22,19 @@ STOP_WORDS = (
     "needn't shan shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't"
 ).split()
 
-# Unicode whitespace that Python's `\s` matches and Java's does not.
-UNICODE_SPACES = "\\u001c-\\u001f\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+# The characters Python's Unicode `\s` matches (code points).
+WHITESPACE_RANGES = [(0x09, 0x0D), (0x20, 0x20), (0x1C, 0x1F), (0x85, 0x85), (0xA0, 0xA0),
+                     (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F),
+                     (0x205F, 0x205F), (0x3000, 0x3000)]
+
+
+def _ws_class(fmt) -> str:
+    return "[" + "".join(fmt(a) if a == b else f"{fmt(a)}-{fmt(b)}" for a, b in WHITESPACE_RANGES) + "]"
+
+
+# the same class for Java regexes (Spark) and RE2 (DuckDB oracles)
+WS_JAVA = _ws_class(lambda c: f"\\u{c:04x}")
+WS_RE2 = _ws_class(lambda c: f"\\x{{{c:04x}}}")
 
 # The contraction splits of the Penn-Treebank word tokenizer
 # that survive the letters-only filter (word -> two tokens).
@@ -40,7 +51,7 @@ NO_STRIP_ENDINGS = ["ss", "us", "is"]
 def clean_text(c: Column) -> Column:
     """TXT-1..3: null -> '', lower-case, keep ASCII letters and whitespace."""
     x = F.lower(F.coalesce(c.cast("string"), F.lit("")))
-    x = F.regexp_replace(x, f"[\\s{UNICODE_SPACES}]", " ")
+    x = F.regexp_replace(x, WS_JAVA, " ")
     return F.regexp_replace(x, "[^a-z ]", "")
 
 
