@@ -143,14 +143,16 @@ def column_stats(df: DataFrame, cols: list[str] | None = None) -> dict[str, Colu
 
 
 def value_string(df: DataFrame, c: str) -> Column:
-    """Canonical string of a value: whole-number doubles go through bigint so
-    that 1 and 1.0 name the same level (pandas stringifies them alike)."""
+    """Canonical string of a value, as pandas ``astype(str)`` writes it:
+    integers plainly, whole-number floats as ``N.0`` (never ``1.0E7``),
+    other floats in their shortest form."""
     dt = df.schema[c].dataType
     x = F.col(q(c))
     if isinstance(dt, FLOATING):
         xd = x.cast("double")
         whole = (xd == F.floor(xd)) & (F.abs(xd) < 1e15)
-        return F.when(whole, F.floor(xd).cast("bigint").cast("string")).otherwise(xd.cast("string"))
+        return F.when(whole, F.concat(F.floor(xd).cast("bigint").cast("string"), F.lit(".0"))) \
+            .otherwise(xd.cast("string"))
     if isinstance(dt, T.BooleanType):
         return F.when(x, F.lit("True")).when(~x, F.lit("False"))
     return x.cast("string")

@@ -80,3 +80,4 @@ def union_sql(parts: list[str]) -> str:
 from . import queries_profile  # noqa: E402,F401  (registers the profiling queries)
 from . import queries_prep  # noqa: E402,F401
 from . import queries_text  # noqa: E402,F401
+from . import queries_charts  # noqa: E402,F401
