@@ -81,3 +81,4 @@ from . import queries_profile  # noqa: E402,F401  (registers the profiling queri
 from . import queries_prep  # noqa: E402,F401
 from . import queries_text  # noqa: E402,F401
 from . import queries_charts  # noqa: E402,F401
+from . import queries_models  # noqa: E402,F401
