@@ -82,3 +82,4 @@ from . import queries_prep  # noqa: E402,F401
 from . import queries_text  # noqa: E402,F401
 from . import queries_charts  # noqa: E402,F401
 from . import queries_models  # noqa: E402,F401
+from . import queries_workflow  # noqa: E402,F401
