@@ -81,8 +81,9 @@ def lemma(t: Column) -> Column:
 
 def normalized_tokens(c: Column, stop_words: list[str] | None = None, lemmatize: bool = True) -> Column:
     """TXT-1..6: tokens without stop words, lemmatised."""
-    stop = F.array(*[F.lit(w) for w in (STOP_WORDS if stop_words is None else stop_words)])
-    toks = F.filter(tokens(c), lambda t: ~F.array_contains(stop, t))
+    stop = list(STOP_WORDS if stop_words is None else stop_words)
+    # IN over literals becomes a hash-set lookup (InSet), not a linear scan
+    toks = F.filter(tokens(c), lambda t: ~t.isin(stop))
     return F.transform(toks, lemma) if lemmatize else toks
 
 

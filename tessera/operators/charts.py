@@ -147,7 +147,8 @@ def top_categories(df: DataFrame, cols: list[str], k: int = 10, freq: DataFrame
     per task, not its whole value set."""
     vc = (freq if freq is not None else value_counts(df, cols)).where(F.col("column").isin(cols))
     w = Window.partitionBy("column").orderBy(F.desc("cnt"), F.asc("value"))
-    return vc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (vc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("column", "value", "cnt", "rank"))
 
 
 def sample_order(key_cols: list[str], seed: int = 42) -> Column:

@@ -27,10 +27,7 @@ def mode_table(df: DataFrame, cols: list[str], freq: DataFrame | None = None) ->
     table with a top-1 window that Spark limits per map task before the
     exchange, so no column's whole value set meets in one task."""
     vc = (freq if freq is not None else value_counts(df, cols)).where(F.col("column").isin(cols))
-    numeric = [c for c in cols if is_numeric(df.schema[c].dataType)]
-    num_key = F.when(F.col("column").isin(numeric), F.expr("try_cast(value AS DOUBLE)")) if numeric \
-        else F.lit(None).cast("double")
-    w = Window.partitionBy("column").orderBy(F.desc("cnt"), num_key.asc_nulls_last(), F.col("value").asc())
+    w = Window.partitionBy("column").orderBy(F.desc("cnt"), F.col("num").asc_nulls_last(), F.col("value").asc())
     return vc.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("column", "value", "cnt")
 
 

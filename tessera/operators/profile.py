@@ -158,18 +158,41 @@ def value_string(df: DataFrame, c: str) -> Column:
     return x.cast("string")
 
 
+def format_double(d: Column) -> Column:
+    """``value_string`` of a double column."""
+    whole = (d == F.floor(d)) & (F.abs(d) < 1e15)
+    return F.when(whole, F.concat(F.floor(d).cast("bigint").cast("string"), F.lit(".0"))).otherwise(d.cast("string"))
+
+
 def value_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """``(column, value, cnt)`` over the non-null values of ``cols``.
+    """``(column, value, cnt, num)`` over the non-null values of ``cols``
+    (``num``: the numeric value, for numeric ordering).
 
     Expand (unpivot) -> partial HashAggregate -> one exchange -> final
     aggregate: a hot value costs one row per map task, not one per row.
+    Rows are grouped on typed slots (long / double / string) and only the
+    reduced table is rendered as strings.
     """
     cols = list(df.columns if cols is None else cols)
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), value_string(df, c).alias("value")) for c in cols
-    ])).alias("s")).select("s.column", "s.value")
-    return (stacked.where(F.col("value").isNotNull())
-            .groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt")))
+    items = []
+    for c in cols:
+        dt = df.schema[c].dataType
+        x = F.col(q(c))
+        nl, nd, ns = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
+        if is_integral(dt):
+            slots = (x.cast("long"), nd, ns)
+        elif isinstance(dt, FLOATING):
+            slots = (nl, x.cast("double"), ns)
+        else:
+            slots = (nl, nd, value_string(df, c))
+        items.append(F.struct(F.lit(c).alias("column"), slots[0].alias("l"), slots[1].alias("d"),
+                              slots[2].alias("s")))
+    stacked = df.select(F.explode(F.array(*items)).alias("v")).select("v.*")
+    g = (stacked.where(F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull())
+         .groupBy("column", "l", "d", "s").agg(F.count(F.lit(1)).alias("cnt")))
+    return g.select("column",
+                    F.coalesce(F.col("s"), F.col("l").cast("string"), format_double(F.col("d"))).alias("value"),
+                    "cnt", F.coalesce(F.col("l").cast("double"), F.col("d")).alias("num"))
 
 
 def distinct_counts(df: DataFrame, cols: list[str] | None = None,

@@ -239,4 +239,5 @@ def prune_columns_q(spark, sf):
     f"FROM orders WHERE {c} IS NOT NULL GROUP BY {c}"
     for c in ["o_orderstatus", "o_orderpriority", "o_custkey"]]))
 def value_frequencies(spark, sf):
-    return value_counts(T(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority", "o_custkey"])
+    return value_counts(T(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority", "o_custkey"]) \
+        .select("column", "value", "cnt")

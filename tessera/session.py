@@ -14,6 +14,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # fused profile aggregates carry a few hundred buffer fields; the default
+    # limit of 100 would silently drop them out of whole-stage codegen
+    "spark.sql.codegen.maxFields": "2000",
 }
 
 
