@@ -42,7 +42,7 @@ CONTRACTIONS = [("can", "not"), ("gim", "me"), ("gon", "na"), ("got", "ta"),
                 ("lem", "me"), ("wan", "na")]
 
 # Noun suffix detachment rules (plural suffix -> singular ending),
-# tried in this order; a rule applies only if the stem left is at least 3 letters.
+# tried in this order; a rule applies only if the word it leaves has at least 3 letters.
 NOUN_SUFFIXES = [("ies", "y"), ("ches", "ch"), ("shes", "sh"), ("xes", "x"),
                  ("zes", "z"), ("ses", "s"), ("men", "man"), ("s", "")]
 NO_STRIP_ENDINGS = ["ss", "us", "is"]
@@ -67,10 +67,10 @@ def tokens(c: Column) -> Column:
 
 
 def lemma(t: Column) -> Column:
-    """TXT-6 (re-aimed): first matching noun-suffix rule, stem >= 3 letters."""
+    """TXT-6 (re-aimed): first matching noun-suffix rule leaving >= 3 letters."""
     out = None
     for suf, rep in NOUN_SUFFIXES:
-        ok = t.endswith(suf) & (F.length(t) - len(suf) >= 3)
+        ok = t.endswith(suf) & (F.length(t) - len(suf) + len(rep) >= 3)
         if suf == "s":
             for e in NO_STRIP_ENDINGS:
                 ok = ok & ~t.endswith(e)

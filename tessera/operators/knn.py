@@ -32,9 +32,10 @@ def _features(df: DataFrame, cols) -> F.Column:
 
 
 def knn_candidates(test: DataFrame, train: DataFrame, k: int, features, id_col: str, label_col: str,
-                   p: int = 2, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                   p: int = 2, block_rows: int | None = None) -> DataFrame:
     """``(test_id, train_id, dist, label)``: the k nearest train rows of every
     test row (ties by train id)."""
+    block_rows = block_rows or BLOCK_ROWS
     n_test, n_train = test.count(), train.count()
     tb = max(1, math.ceil(n_test / block_rows))
     rb = max(1, math.ceil(n_train / block_rows))

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 import os
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
@@ -115,7 +115,7 @@ class FeaturePlan:
     def save(self, path: str) -> None:
         spark = SparkSession.getActiveSession()
         os.makedirs(path, exist_ok=True) if "://" not in path else None
-        meta = {k: v for k, v in asdict(self).items() if k != "tables"}
+        meta = {f.name: getattr(self, f.name) for f in fields(self) if f.name != "tables"}
         enc = {}
         for c, p in self.encoders.items():
             enc[c] = {k: v for k, v in p.items() if k != "table"}

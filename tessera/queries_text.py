@@ -23,7 +23,7 @@ def _clean_sql(x: str) -> str:
 def _lemma_sql(t: str) -> str:
     arms = []
     for suf, rep in NOUN_SUFFIXES:
-        cond = f"suffix({t}, '{suf}') AND length({t}) - {len(suf)} >= 3"
+        cond = f"suffix({t}, '{suf}') AND length({t}) - {len(suf)} + {len(rep)} >= 3"
         if suf == "s":
             cond += "".join(f" AND NOT suffix({t}, '{e}')" for e in NO_STRIP_ENDINGS)
         arms.append(f"WHEN {cond} THEN left({t}, length({t}) - {len(suf)}) || '{rep}'")
