@@ -8,28 +8,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The timestamp formats tried, in order, when a string column is
-# tested for dates (Java DateTimeFormatter patterns; month-first like pandas).
-DATE_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "MM/dd/yyyy HH:mm",
-    "dd-MM-yyyy",
-    "dd.MM.yyyy",
-    "MMM d, yyyy",
-    "d MMM yyyy",
-    "MMMM d, yyyy",
+# tested for dates (Java DateTimeFormatter patterns; month-first like pandas),
+# each with a shape regex that every string the format can parse matches.
+DATE_FORMAT_SHAPES = [
+    ("yyyy-MM-dd HH:mm:ss[.SSSSSS]", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}(\.\d{1,9})?$"),
+    ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}(\.\d{1,9})?$"),
+    ("yyyy-MM-dd HH:mm", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}$"),
+    ("yyyy-MM-dd", r"^\d{4}-\d{1,2}-\d{1,2}$"),
+    ("yyyy/MM/dd", r"^\d{4}/\d{1,2}/\d{1,2}$"),
+    ("MM/dd/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("MM/dd/yyyy HH:mm", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$"),
+    ("dd-MM-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
+    ("dd.MM.yyyy", r"^\d{1,2}\.\d{1,2}\.\d{4}$"),
+    ("MMM d, yyyy", r"^[A-Za-z]{3} \d{1,2}, \d{4}$"),
+    ("d MMM yyyy", r"^\d{1,2} [A-Za-z]{3} \d{4}$"),
+    ("MMMM d, yyyy", r"^[A-Za-z]+ \d{1,2}, \d{4}$"),
 ]
+DATE_FORMATS = [f for f, _ in DATE_FORMAT_SHAPES]
+_SHAPES = dict(DATE_FORMAT_SHAPES)
 
 
 def parse_with(c: Column, fmt: str) -> Column:
     """NULL unless the whole string is a timestamp in ``fmt`` (never raises).
-    A digit is required, so words never parse."""
+    A cheap shape regex runs first: a failed parse is far costlier than a
+    regex miss, and most strings are not dates."""
     s = F.trim(c.cast("string"))
-    return F.when(s.rlike("[0-9]"), F.try_to_timestamp(s, F.lit(fmt)))
+    guard = s.rlike(_SHAPES[fmt]) if fmt in _SHAPES else s.rlike("[0-9]")
+    return F.when(guard, F.try_to_timestamp(s, F.lit(fmt)))
 
 
 def as_utc_timestamp(c: Column) -> Column:

@@ -106,27 +106,33 @@ def adjusted_skew_col(c: Column) -> Column:
             .otherwise(g1 * F.sqrt(n * (n - 1)) / (n - 2)))
 
 
-def _stat_aggs(df: DataFrame, cols: list[str]) -> list[Column]:
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    for c in cols:
+def _stat_plan(df: DataFrame, cols: list[str]) -> tuple[list[Column], list[Column]]:
+    """(projection, aggregates): numeric columns are cast once in the
+    projection so the moment aggregates read plain columns."""
+    proj, aggs = [], [F.count(F.lit(1)).alias("__n")]
+    for i, c in enumerate(cols):
         dt = df.schema[c].dataType
-        x = F.col(q(c))
-        aggs.append(F.count(x).alias(f"nn|{c}"))
         if is_numeric(dt):
-            xd = x.cast("double")
-            aggs += [F.min(xd).alias(f"min|{c}"), F.max(xd).alias(f"max|{c}"),
-                     F.avg(xd).alias(f"mean|{c}"), F.stddev_samp(xd).alias(f"std|{c}"),
-                     F.stddev_pop(xd).alias(f"stdp|{c}"), F.skewness(xd).alias(f"g1|{c}"),
-                     F.count_if(~xd.isin(0.0, 1.0)).alias(f"n01|{c}")]
+            proj.append(F.col(q(c)).cast("double").alias(f"v{i}"))
+            v = F.col(f"v{i}")
+            aggs += [F.count(v).alias(f"nn|{c}"), F.min(v).alias(f"min|{c}"), F.max(v).alias(f"max|{c}"),
+                     F.avg(v).alias(f"mean|{c}"), F.stddev_samp(v).alias(f"std|{c}"),
+                     F.stddev_pop(v).alias(f"stdp|{c}"), F.skewness(v).alias(f"g1|{c}"),
+                     F.count_if(~v.isin(0.0, 1.0)).alias(f"n01|{c}")]
         elif is_string(dt):
-            aggs.append(F.avg(F.length(x)).alias(f"len|{c}"))
-    return aggs
+            proj.append(F.length(F.col(q(c))).alias(f"v{i}"))
+            aggs += [F.count(f"v{i}").alias(f"nn|{c}"), F.avg(f"v{i}").alias(f"len|{c}")]
+        else:
+            proj.append(F.col(q(c)).isNotNull().alias(f"v{i}"))
+            aggs.append(F.count_if(f"v{i}").alias(f"nn|{c}"))
+    return proj, aggs
 
 
 def column_stats(df: DataFrame, cols: list[str] | None = None) -> dict[str, ColumnProfile]:
     """One aggregate pass over ``df``; returns a small dict of scalars."""
     cols = list(df.columns if cols is None else cols)
-    r = df.agg(*_stat_aggs(df, cols)).first().asDict()
+    proj, aggs = _stat_plan(df, cols)
+    r = (df.select(*proj) if proj else df).agg(*aggs).first().asDict()
     n = r["__n"]
     out = {}
     for c in cols:

@@ -18,12 +18,16 @@ def yj_loglik_grid(df: DataFrame, grids: dict[str, list[float]]) -> dict[str, li
     """For every column and candidate lambda, the Yeo-Johnson log-likelihood
     ``-n/2 ln var_pop(yj(x)) + (l-1) sum(sign(x) ln(1+|x|))`` - all pairs in
     one aggregate pass."""
-    aggs = []
-    for c, lams in grids.items():
+    # project every transformed value once, then aggregate plain columns (an
+    # expression inside a moment aggregate is re-evaluated per buffer update)
+    proj, aggs = [], []
+    for j, (c, lams) in enumerate(grids.items()):
         x = F.col(q(c)).cast("double")
-        aggs += [F.count(x).alias(f"n|{c}"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"s|{c}")]
-        aggs += [F.var_pop(yeo_johnson_shifted(x, lam)).alias(f"v{i}|{c}") for i, lam in enumerate(lams)]
-    r = df.agg(*aggs).first()
+        proj += [x.alias(f"x{j}"), (F.signum(x) * F.log1p(F.abs(x))).alias(f"s{j}")]
+        proj += [yeo_johnson_shifted(x, lam).alias(f"y{j}_{i}") for i, lam in enumerate(lams)]
+        aggs += [F.count(f"x{j}").alias(f"n|{c}"), F.sum(f"s{j}").alias(f"s|{c}")]
+        aggs += [F.var_pop(f"y{j}_{i}").alias(f"v{i}|{c}") for i in range(len(lams))]
+    r = df.select(*proj).agg(*aggs).first()
     out = {}
     for c, lams in grids.items():
         n, s = r[f"n|{c}"], r[f"s|{c}"] or 0.0
@@ -56,9 +60,9 @@ def fit_yeo_johnson(df: DataFrame, cols: list[str], rounds: int = 5, points: int
             best = {c: max(v, key=lambda t: (t[1], -abs(t[0])))[0]
                     for c, v in yj_loglik_grid(data, grids).items()}
             step = new_step
-        r = data.agg(*[e for c in cols for e in (
-            F.avg(yeo_johnson(F.col(q(c)), best[c])).alias(f"m|{c}"),
-            F.stddev_pop(yeo_johnson(F.col(q(c)), best[c])).alias(f"s|{c}"))]).first()
+        ys = data.select(*[yeo_johnson(F.col(q(c)), best[c]).alias(c) for c in cols])
+        r = ys.agg(*[e for c in cols for e in (F.avg(F.col(q(c))).alias(f"m|{c}"),
+                                               F.stddev_pop(F.col(q(c))).alias(f"s|{c}"))]).first()
     finally:
         data.unpersist()
     return {c: {"lambda": best[c], "mean": r[f"m|{c}"], "std": r[f"s|{c}"] or 1.0} for c in cols}
