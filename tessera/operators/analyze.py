@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from .profile import (ColumnProfile, column_stats, distinct_counts, pandas_dtype, q,
                       quantiles, value_counts)
-from .types import date_parse_rates, feature_types, group_types, problem_type
+from ..functions.dates import DATE_FORMATS
+from .types import feature_types, group_types, problem_type, rates_from_profile
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -30,18 +31,22 @@ class TableFacts:
 
 
 def facts(df: DataFrame, freq: DataFrame | None = None, **type_kw) -> TableFacts:
-    prof = column_stats(df)
+    """Moments and date parse counts in one pass, distinct counts in one
+    shuffle, then the typing decisions on the driver."""
+    prof = column_stats(df, date_formats=DATE_FORMATS)
     for c, d in distinct_counts(df, list(prof), freq).items():
         prof[c].distinct = d
-    types = feature_types(df, prof, rates=date_parse_rates(df), **type_kw)
+    types = feature_types(df, prof, rates=rates_from_profile(prof), **type_kw)
     return TableFacts(df, prof, types, group_types(types))
 
 
 def overview(df: DataFrame) -> DataFrame:
-    """ANA-1 / DUP-1: rows, columns, duplicate rows (all but the first)."""
+    """ANA-1 / DUP-1: rows, columns, duplicate rows (all but the first), in
+    one job: group identical rows (map-side combined), then sum the groups."""
     spark = df.sparkSession
-    n = df.count()
-    d = df.distinct().count()
+    g = df.groupBy(*[F.col(q(c)) for c in df.columns]).agg(F.count(F.lit(1)).alias("__c"))
+    r = g.agg(F.sum("__c").alias("n"), F.count(F.lit(1)).alias("d")).first()
+    n, d = r["n"] or 0, r["d"] or 0
     return spark.createDataFrame([(n, len(df.columns), n - d)],
                                  "rows bigint, columns bigint, duplicate_rows bigint")
 
@@ -135,15 +140,17 @@ def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
     One aggregate holds d(d+1)/2 pair moments; the constant-column case is
     NULL (``try_divide``) instead of the ANSI divide-by-zero error."""
     spark = df.sparkSession
-    aggs = []
+    proj, aggs = [], []
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     for k, (a, b) in enumerate(pairs):
         x, y = F.col(q(a)).cast("double"), F.col(q(b)).cast("double")
         both = x.isNotNull() & y.isNotNull()
-        xa, yb = F.when(both, x), F.when(both, y)
+        # pairwise-complete inputs are projected once, then read by three aggregates
+        proj += [F.when(both, x).alias(f"x{k}"), F.when(both, y).alias(f"y{k}")]
+        xa, yb = F.col(f"x{k}"), F.col(f"y{k}")
         aggs.append(F.try_divide(F.covar_samp(xa, yb),
                                  F.stddev_samp(xa) * F.stddev_samp(yb)).alias(f"p{k}"))
-    r = df.agg(*aggs).first() if aggs else None
+    r = df.select(*proj).agg(*aggs).first() if aggs else None
     rows = []
     for k, (a, b) in enumerate(pairs):
         v = r[f"p{k}"]

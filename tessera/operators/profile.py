@@ -128,10 +128,20 @@ def _stat_plan(df: DataFrame, cols: list[str]) -> tuple[list[Column], list[Colum
     return proj, aggs
 
 
-def column_stats(df: DataFrame, cols: list[str] | None = None) -> dict[str, ColumnProfile]:
-    """One aggregate pass over ``df``; returns a small dict of scalars."""
+def column_stats(df: DataFrame, cols: list[str] | None = None, date_formats: list[str] | None = None
+                 ) -> dict[str, ColumnProfile]:
+    """One aggregate pass over ``df``; returns a small dict of scalars.
+    With ``date_formats`` the same pass also counts, per string column and
+    format, the values that parse (``extra['parsed']``)."""
     cols = list(df.columns if cols is None else cols)
     proj, aggs = _stat_plan(df, cols)
+    if date_formats:
+        from ..functions.dates import parse_with
+        for i, c in enumerate(cols):
+            if is_string(df.schema[c].dataType):
+                for k, f in enumerate(date_formats):
+                    proj.append(parse_with(F.col(q(c)), f).isNotNull().alias(f"d{i}_{k}"))
+                    aggs.append(F.count_if(f"d{i}_{k}").alias(f"p{k}|{c}"))
     r = (df.select(*proj) if proj else df).agg(*aggs).first().asDict()
     n = r["__n"]
     out = {}
@@ -144,6 +154,8 @@ def column_stats(df: DataFrame, cols: list[str] | None = None) -> dict[str, Colu
             p.not01 = r[f"n01|{c}"]
         elif is_string(dt):
             p.avg_len = r[f"len|{c}"]
+            if date_formats:
+                p.extra["parsed"] = [r[f"p{k}|{c}"] for k in range(len(date_formats))]
         out[c] = p
     return out
 

@@ -44,6 +44,22 @@ def date_parse_rates(df: DataFrame, cols: list[str] | None = None,
     return out
 
 
+def rates_from_profile(prof: dict[str, ColumnProfile], formats: list[str] | None = None) -> dict[str, dict]:
+    """``date_parse_rates`` from a profile computed with ``date_formats``."""
+    fmts = formats or DATE_FORMATS
+    out = {}
+    for c, p in prof.items():
+        counts = p.extra.get("parsed")
+        if counts is None:
+            continue
+        best = max(range(len(fmts)), key=lambda i: (counts[i], -i))
+        n, nn = p.n_rows, p.non_null
+        out[c] = {"format": fmts[best], "parsed": counts[best], "rows": n, "non_null": nn,
+                  "rate_all": counts[best] / n if n else 0.0,
+                  "rate_non_null": counts[best] / nn if nn else 0.0}
+    return out
+
+
 def coerce_dates(df: DataFrame, threshold: float = 0.6, cols: list[str] | None = None,
                  exclude: list[str] | None = None, formats: list[str] | None = None):
     """TYP-1 (0.6), TYP-2 (0.5), TYP-3 (0.8): convert a string column whose

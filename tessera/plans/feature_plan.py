@@ -20,13 +20,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dates import parse_with
+from ..functions.dates import DATE_FORMATS, parse_with
 from ..operators import clean, datefeat, encode, shape
 from ..operators import split as S
 from ..operators.profile import column_stats, distinct_counts, q, value_counts
 from ..operators.prune import prune_columns
 from ..operators.tfidf import fit_tfidf, tfidf_columns
-from ..operators.types import coerce_dates, date_parse_rates, feature_types, group_types, problem_type
+from ..operators.types import coerce_dates, feature_types, group_types, problem_type, rates_from_profile
 from ..operators.validate import validate
 from ..sources.tables import normalize_nan
 
@@ -139,7 +139,7 @@ class FeaturePlan:
 # ---------------------------------------------------------------------- fit
 
 def fit_plan(df: DataFrame, target: str, seed: int = 42, test_size: float = 0.2, scale: bool = True,
-             distinct_cap: int | None = 5000, fit_on: str = "all"):
+             distinct_cap: int | None = 5000):
     """Fit every preprocessing step. Returns ``(plan, train, test)`` where
     train/test carry ``row_id``, ``features`` and ``label`` and are
     checkpointed (lineage cut in the shared checkpoint folder)."""
@@ -154,10 +154,10 @@ def fit_plan(df: DataFrame, target: str, seed: int = 42, test_size: float = 0.2,
     df, plan.coerced = coerce_dates(df, 0.6, exclude=[target])
     freq = value_counts(df).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        prof = column_stats(df)
+        prof = column_stats(df, date_formats=DATE_FORMATS)
         for c, d in distinct_counts(df, list(prof), freq).items():
             prof[c].distinct = d
-        rates = date_parse_rates(df)
+        rates = rates_from_profile(prof)
         plan.types = feature_types(df, prof, distinct_cap=distinct_cap, rates=rates)
         # TYP-2: late coercion (> 0.5) of string columns not yet typed datetime
         late = {c: r["format"] for c, r in rates.items()

@@ -152,8 +152,8 @@ def _type_case(table: str, c: str, t: str) -> str:
 def feature_types_q(spark, sf):
     out = None
     for t in TYPED_TABLES:
-        df = T(spark, sf, t)
-        ft = types_frame(spark, feature_types(df)).select(F.lit(t).alias("table"), "column", "feature_type")
+        f = A.facts(T(spark, sf, t))
+        ft = types_frame(spark, f.types).select(F.lit(t).alias("table"), "column", "feature_type")
         out = ft if out is None else out.unionByName(ft)
     return out
 
