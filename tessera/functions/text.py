@@ -90,3 +90,15 @@ def normalized_tokens(c: Column, stop_words: list[str] | None = None, lemmatize:
 def normalize_text(c: Column, stop_words: list[str] | None = None, lemmatize: bool = True) -> Column:
     """TXT-7: the normalised text, tokens joined by one blank."""
     return F.array_join(normalized_tokens(c, stop_words, lemmatize), " ")
+
+
+def user_text_udf(fn):
+    """UDF-1: run a user's own ``str -> str`` text function as an
+    Arrow-batched pandas UDF (the built-in path stays pure expressions)."""
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def apply(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: fn(v) if v is not None else "")
+
+    return apply

@@ -40,3 +40,10 @@ def test_tfidf_matches_formula(spark):
         for w, x in zip(top, v):
             if x:
                 assert got[(i, w)] == pytest.approx(x)
+
+
+def test_user_text_udf(spark):
+    from tessera.functions.text import user_text_udf
+    df = spark.createDataFrame([("Hello World",), (None,)], "t string")
+    out = [r[0] for r in df.select(user_text_udf(str.upper)(F.col("t"))).collect()]
+    assert out == ["HELLO WORLD", ""]
