@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,8 +96,6 @@ def normalize_text(c: Column, stop_words: list[str] | None = None, lemmatize: bo
 def user_text_udf(fn):
     """UDF-1: run a user's own ``str -> str`` text function as an
     Arrow-batched pandas UDF (the built-in path stays pure expressions)."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def apply(s: pd.Series) -> pd.Series:
         return s.map(lambda v: fn(v) if v is not None else "")
