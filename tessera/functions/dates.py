@@ -25,6 +25,7 @@ DATE_FORMAT_SHAPES = [
     ("MMMM d, yyyy", r"^[A-Za-z]+ \d{1,2}, \d{4}$"),
 ]
 DATE_FORMATS = [f for f, _ in DATE_FORMAT_SHAPES]
+MAX_DATE_LEN = 64          # longest string (with padding) any format above can match
 _SHAPES = dict(DATE_FORMAT_SHAPES)
 
 
@@ -32,9 +33,11 @@ def parse_with(c: Column, fmt: str) -> Column:
     """NULL unless the whole string is a timestamp in ``fmt`` (never raises).
     A cheap shape regex runs first: a failed parse is far costlier than a
     regex miss, and most strings are not dates."""
-    s = F.trim(c.cast("string"))
+    raw = c.cast("string")
+    s = F.trim(raw)
     guard = s.rlike(_SHAPES[fmt]) if fmt in _SHAPES else s.rlike("[0-9]")
-    return F.when(guard, F.try_to_timestamp(s, F.lit(fmt)))
+    # no supported format is longer than MAX_DATE_LEN: long texts skip the regex
+    return F.when((F.length(raw) <= MAX_DATE_LEN) & guard, F.try_to_timestamp(s, F.lit(fmt)))
 
 
 def as_utc_timestamp(c: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .clean import drop_duplicates
-from .profile import column_stats, q, quantiles, value_counts
+from .profile import approx_distincts, column_stats, q, quantiles, value_counts
 from .types import coerce_dates
 
 KDE_POINTS = 200
@@ -68,8 +68,8 @@ def histogram(df: DataFrame, cols: list[str], bins: int | None = None) -> DataFr
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], "column string, bin int, lo double, hi double, cnt bigint")
-    prof = column_stats(df, cols)
-    qs = quantiles(df, cols, [0.25, 0.75]) if bins is None else {}
+    prof = column_stats(df, cols, approx_distinct=True)
+    qs = quantiles(df, cols, [0.25, 0.75], approx_distincts(prof)) if bins is None else {}
     plan = {}
     for c in cols:
         p = prof[c]

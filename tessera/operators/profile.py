@@ -128,13 +128,20 @@ def _stat_plan(df: DataFrame, cols: list[str]) -> tuple[list[Column], list[Colum
     return proj, aggs
 
 
-def column_stats(df: DataFrame, cols: list[str] | None = None, date_formats: list[str] | None = None
-                 ) -> dict[str, ColumnProfile]:
+def column_stats(df: DataFrame, cols: list[str] | None = None, date_formats: list[str] | None = None,
+                 approx_distinct: bool = False) -> dict[str, ColumnProfile]:
     """One aggregate pass over ``df``; returns a small dict of scalars.
     With ``date_formats`` the same pass also counts, per string column and
-    format, the values that parse (``extra['parsed']``)."""
+    format, the values that parse (``extra['parsed']``); with
+    ``approx_distinct`` it adds an HLL estimate (``extra['approx_distinct']``)
+    that size checks (e.g. the exact-quantile strategy) can use."""
     cols = list(df.columns if cols is None else cols)
     proj, aggs = _stat_plan(df, cols)
+    if approx_distinct:
+        aggs += [F.approx_count_distinct(F.col(f"v{i}") if is_numeric(df.schema[c].dataType) else F.col(q(c)),
+                                         0.02).alias(f"ad|{c}") for i, c in enumerate(cols)]
+        if not all(is_numeric(df.schema[c].dataType) for c in cols):
+            proj += [F.col(q(c)) for c in cols if not is_numeric(df.schema[c].dataType)]
     if date_formats:
         from ..functions.dates import parse_with
         for i, c in enumerate(cols):
@@ -156,6 +163,8 @@ def column_stats(df: DataFrame, cols: list[str] | None = None, date_formats: lis
             p.avg_len = r[f"len|{c}"]
             if date_formats:
                 p.extra["parsed"] = [r[f"p{k}|{c}"] for k in range(len(date_formats))]
+        if approx_distinct:
+            p.extra["approx_distinct"] = r[f"ad|{c}"]
         out[c] = p
     return out
 
@@ -248,6 +257,11 @@ def profile_frame(spark, prof: dict[str, ColumnProfile]) -> DataFrame:
 # --------------------------------------------------------------------------
 # exact quantiles
 
+def approx_distincts(prof: dict[str, ColumnProfile]) -> dict[str, int] | None:
+    got = {c: p.distinct if p.distinct is not None else p.extra.get("approx_distinct") for c, p in prof.items()}
+    return got if all(v is not None for v in got.values()) else None
+
+
 def quantiles(df: DataFrame, cols: list[str], probs: list[float],
               distinct: dict[str, int] | None = None,
               exact_map_limit: int = EXACT_MAP_LIMIT) -> dict[str, list[float | None]]:

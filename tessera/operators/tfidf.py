@@ -31,10 +31,24 @@ def vector_tokens(c):
     return F.filter(normalized_tokens(c), lambda t: F.length(t) >= MIN_TOKEN_LEN)
 
 
+def tok_col(col: str) -> str:
+    return f"__tok_{col}"
+
+
+def tokenize(df: DataFrame, col: str) -> DataFrame:
+    """Add the vectoriser's tokens of ``col`` as ``__tok_<col>`` so that fit
+    and transform (or a persisted frame) tokenize each text once."""
+    return df.withColumn(tok_col(col), vector_tokens(F.col(q(col))))
+
+
+def _tokens(df: DataFrame, col: str):
+    return F.col(tok_col(col)) if tok_col(col) in df.columns else vector_tokens(F.col(q(col)))
+
+
 def term_stats(df: DataFrame, col: str, doc_key: str | None = None) -> DataFrame:
     """``(term, cnt, df)``: corpus count and document frequency of every term."""
     key = F.col(q(doc_key)) if doc_key else F.monotonically_increasing_id()
-    per_doc = (df.select(key.alias("__doc"), F.explode(vector_tokens(F.col(q(col)))).alias("term"))
+    per_doc = (df.select(key.alias("__doc"), F.explode(_tokens(df, col)).alias("term"))
                .groupBy("__doc", "term").agg(F.count(F.lit(1)).alias("tf")))
     return per_doc.groupBy("term").agg(F.sum("tf").alias("cnt"), F.count(F.lit(1)).alias("df"))
 
@@ -62,8 +76,8 @@ def tfidf_vectors(df: DataFrame, params: dict, out: str | None = None, keep: lis
     """Append the L2-normalised TF-IDF sparse vector of ``params['column']``."""
     col = params["column"]
     out = out or f"{col}_tfidf"
-    toks = f"__tok_{col}"
-    base = df.withColumn(toks, vector_tokens(F.col(q(col))))
+    toks = tok_col(col)
+    base = df if toks in df.columns else tokenize(df, col)
     if not params["vocab"]:
         return base.drop(toks).withColumn(out, F.lit(None))
     cv = CountVectorizerModel.from_vocabulary(params["vocab"], inputCol=toks, outputCol="__tf")
@@ -78,14 +92,16 @@ def tfidf_columns(df: DataFrame, params: dict) -> DataFrame:
     col = params["column"]
     v = tfidf_vectors(df, params, out="__vec")
     arr = vector_to_array(F.col("__vec"))
-    others = [F.col(q(c)) for c in df.columns if c != col]
+    others = [F.col(q(c)) for c in df.columns if c not in (col, tok_col(col))]
     return v.select(*others, *[arr[i].alias(f"{col}_tfidf_{i}") for i in range(len(params["vocab"]))])
 
 
 def tfidf_long(df: DataFrame, params: dict, doc_key: str) -> DataFrame:
     """``(doc_key, term, weight)`` for the non-zero weights (sparse long form)."""
     spark = df.sparkSession
-    v = tfidf_vectors(df.select(doc_key, params["column"]), params, out="__vec")
+    c = params["column"]
+    keep = [doc_key, c] + ([tok_col(c)] if tok_col(c) in df.columns else [])
+    v = tfidf_vectors(df.select(*keep), params, out="__vec")
     exploded = v.select(doc_key, F.posexplode(vector_to_array(F.col("__vec"))).alias("idx", "weight")) \
         .where(F.col("weight") != 0)
     vocab = F.broadcast(vocab_frame(spark, params).select("idx", "term"))   # max_features rows

@@ -25,7 +25,7 @@ from ..operators import clean, datefeat, encode, shape
 from ..operators import split as S
 from ..operators.profile import column_stats, distinct_counts, q, value_counts
 from ..operators.prune import prune_columns
-from ..operators.tfidf import fit_tfidf, tfidf_columns
+from ..operators.tfidf import fit_tfidf, tfidf_columns, tokenize
 from ..operators.types import coerce_dates, feature_types, group_types, problem_type, rates_from_profile
 from ..operators.validate import validate
 from ..sources.tables import normalize_nan
@@ -202,7 +202,13 @@ def fit_plan(df: DataFrame, target: str, seed: int = 42, test_size: float = 0.2,
     df = clean.drop_duplicates(df).persist(StorageLevel.MEMORY_AND_DISK)
     plan.duplicates_dropped = before - df.count()
 
-    # TXT
+    # TXT: tokenize once into the persisted frame, fit, then vectorise
+    cached = [df]
+    if text_cols:
+        for c in text_cols:
+            df = tokenize(df, c)
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        cached.append(df)
     for c in text_cols:
         plan.text[c] = fit_tfidf(df, c, 100)
         df = tfidf_columns(df, plan.text[c])
@@ -239,6 +245,8 @@ def fit_plan(df: DataFrame, target: str, seed: int = 42, test_size: float = 0.2,
     # SPL: deterministic hash split on the row content; materialise once
     df = S.split(df, plan.features + ["label"], test_size, seed)
     df = df.withColumn("row_id", F.monotonically_increasing_id()).checkpoint()
+    for c in cached:          # the checkpoint now holds everything later steps read
+        c.unpersist()
     train_raw, test_raw = df.where(~F.col("is_test")), df.where(F.col("is_test"))
 
     # SCL on the training part (population std)
