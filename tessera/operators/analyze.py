@@ -13,8 +13,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .profile import (ColumnProfile, column_stats, distinct_counts, pandas_dtype, q,
-                      quantiles, value_counts)
+from .profile import (EXACT_MAP_LIMIT, ColumnProfile, column_stats, distinct_and_parsed, freq_quantiles,
+                      pandas_dtype, q, quantiles, value_counts)
 from ..functions.dates import DATE_FORMATS
 from .types import feature_types, group_types, problem_type, rates_from_profile
 
@@ -28,16 +28,25 @@ class TableFacts:
     prof: dict[str, ColumnProfile]
     types: dict[str, str]
     groups: dict[str, list[str]] = field(default_factory=dict)
+    freq: DataFrame | None = None
+    owns_freq: bool = False
+
+    def release(self) -> None:
+        if self.owns_freq and self.freq is not None:
+            self.freq.unpersist()
 
 
 def facts(df: DataFrame, freq: DataFrame | None = None, **type_kw) -> TableFacts:
-    """Moments and date parse counts in one pass, distinct counts in one
-    shuffle, then the typing decisions on the driver."""
-    prof = column_stats(df, date_formats=DATE_FORMATS)
-    for c, d in distinct_counts(df, list(prof), freq).items():
-        prof[c].distinct = d
+    """Moments in one pass; the value-frequency table (persisted, one
+    shuffle) then gives distinct counts and date parse counts in one small
+    aggregation, and later exact quantiles without another scan."""
+    owns = freq is None
+    if owns:
+        freq = value_counts(df).persist(StorageLevel.MEMORY_AND_DISK)
+    prof = column_stats(df)
+    distinct_and_parsed(df, prof, freq, DATE_FORMATS)
     types = feature_types(df, prof, rates=rates_from_profile(prof), **type_kw)
-    return TableFacts(df, prof, types, group_types(types))
+    return TableFacts(df, prof, types, group_types(types), freq, owns)
 
 
 def overview(df: DataFrame) -> DataFrame:
@@ -71,7 +80,14 @@ def target_section(f: TableFacts, target: str) -> DataFrame:
 
 
 def numeric_quantiles(f: TableFacts, cols: list[str]) -> dict[str, list]:
-    return quantiles(f.df, cols, QUARTILES, {c: f.prof[c].distinct for c in cols})
+    """Exact quartiles: from the frequency table for columns within the
+    single-task bound, by the range-partitioned rank method above it."""
+    small = [c for c in cols if f.freq is not None and (f.prof[c].distinct or 0) <= EXACT_MAP_LIMIT]
+    out = freq_quantiles(f.freq, small, QUARTILES, {c: f.prof[c].non_null for c in small}) if small else {}
+    rest = [c for c in cols if c not in out]
+    if rest:
+        out.update(quantiles(f.df, rest, QUARTILES, {c: f.prof[c].distinct for c in rest}))
+    return out
 
 
 def describe_section(f: TableFacts, cols: list[str] | None = None,

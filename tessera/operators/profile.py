@@ -233,6 +233,65 @@ def distinct_counts(df: DataFrame, cols: list[str] | None = None,
     return {c: int(got.get(c, 0)) for c in cols}
 
 
+def distinct_and_parsed(df: DataFrame, prof: dict[str, ColumnProfile], freq: DataFrame,
+                        date_formats: list[str] | None = None) -> None:
+    """Fill ``distinct`` of every profiled column and, for string columns, the
+    per-format parse counts - one aggregation over the frequency table, so
+    each distinct string is parsed once and weighted by its count."""
+    from ..functions.dates import parse_with
+    cols = list(prof)
+    strings = [c for c in cols if is_string(df.schema[c].dataType)]
+    aggs = [F.count(F.lit(1)).alias("d")]
+    fmts = date_formats or []
+    if strings and fmts:
+        is_str = F.col("column").isin(strings)
+        aggs += [F.sum(F.when(is_str & parse_with(F.col("value"), f).isNotNull(), F.col("cnt"))).alias(f"p{k}")
+                 for k, f in enumerate(fmts)]
+    got = {r["column"]: r for r in freq.where(F.col("column").isin(cols)).groupBy("column").agg(*aggs).collect()}
+    for c in cols:
+        r = got.get(c)
+        prof[c].distinct = int(r["d"]) if r else 0
+        if c in strings and fmts:
+            prof[c].extra["parsed"] = [int((r[f"p{k}"] or 0) if r else 0) for k in range(len(fmts))]
+
+
+def freq_quantiles(freq: DataFrame, cols: list[str], probs: list[float], non_null: dict[str, int]) -> dict:
+    """Exact linear-interpolated quantiles from the ``(column, num, cnt)`` rows
+    of a frequency table: running counts per column (a window over the
+    column's distinct values; callers keep this to columns within
+    EXACT_MAP_LIMIT distinct values), then one broadcast range join picks the
+    values at the needed ranks."""
+    spark = freq.sparkSession
+    need = []
+    for c in cols:
+        n = non_null[c]
+        for p in probs:
+            h = p * (n - 1)
+            need += [(c, int(math.floor(h))), (c, int(math.ceil(h)))]
+    if not need:
+        return {c: [None] * len(probs) for c in cols}
+    ranks = F.broadcast(spark.createDataFrame(sorted(set(need)), "rc string, r bigint"))   # 2 x probs x cols rows
+    w = Window.partitionBy("column").orderBy("num").rowsBetween(Window.unboundedPreceding, 0)
+    t = (freq.where(F.col("column").isin(cols) & F.col("num").isNotNull())
+         .withColumn("hi", F.sum("cnt").over(w)).withColumn("lo", F.col("hi") - F.col("cnt")))
+    hits = t.join(ranks, (t["column"] == ranks["rc"]) & (F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi"))) \
+        .select("column", "r", "num").collect()
+    at = {(r["column"], r["r"]): r["num"] for r in hits}
+    out = {}
+    for c in cols:
+        n = non_null[c]
+        vals = []
+        for p in probs:
+            if n == 0:
+                vals.append(None)
+                continue
+            h = p * (n - 1)
+            lo, hi = int(math.floor(h)), int(math.ceil(h))
+            vals.append(at[(c, lo)] + (h - lo) * (at[(c, hi)] - at[(c, lo)]))
+        out[c] = vals
+    return out
+
+
 def profile(df: DataFrame, cols: list[str] | None = None, distinct: bool = True,
             freq: DataFrame | None = None) -> dict[str, ColumnProfile]:
     """Fused profile: moments in one pass, exact distinct counts from the

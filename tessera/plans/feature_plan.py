@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import DATE_FORMATS, parse_with
 from ..operators import clean, datefeat, encode, shape
 from ..operators import split as S
-from ..operators.profile import column_stats, distinct_counts, q, value_counts
+from ..operators.profile import column_stats, distinct_and_parsed, q, value_counts
 from ..operators.prune import prune_columns
 from ..operators.tfidf import fit_tfidf, tfidf_columns, tokenize
 from ..operators.types import coerce_dates, feature_types, group_types, problem_type, rates_from_profile
@@ -154,9 +154,8 @@ def fit_plan(df: DataFrame, target: str, seed: int = 42, test_size: float = 0.2,
     df, plan.coerced = coerce_dates(df, 0.6, exclude=[target])
     freq = value_counts(df).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        prof = column_stats(df, date_formats=DATE_FORMATS)
-        for c, d in distinct_counts(df, list(prof), freq).items():
-            prof[c].distinct = d
+        prof = column_stats(df)
+        distinct_and_parsed(df, prof, freq, DATE_FORMATS)
         rates = rates_from_profile(prof)
         plan.types = feature_types(df, prof, distinct_cap=distinct_cap, rates=rates)
         # TYP-2: late coercion (> 0.5) of string columns not yet typed datetime

@@ -17,4 +17,5 @@ def numeric_profile(spark: SparkSession, sf_dir: str, table: str = "lineitem") -
     qs = A.numeric_quantiles(f, num)
     desc = A.describe_section(f, num, qs)
     out = A.outliers_section(f, num, qs).select("column", "outlier_count")
+    f.release()
     return desc.join(out, "column", "left").orderBy("column")

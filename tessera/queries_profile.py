@@ -36,7 +36,9 @@ def _columns_sql(table: str) -> str:
 @register("profile_columns", sql=_columns_sql("orders"))
 def profile_columns(spark, sf):
     f = A.facts(T(spark, sf, "orders"))
-    return rounded(A.columns_section(f), {"missing_percent": 6})
+    out = A.columns_section(f)
+    f.release()
+    return rounded(out, {"missing_percent": 6})
 
 
 # ---------------------------------------------------------------- ANA-4/5, SKW-1
@@ -59,7 +61,9 @@ DESCRIBE_DIGITS = {"mean": 4, "std": 4, "min": 4, "q25": 4, "q50": 4, "q75": 4,
 @register("describe_numeric", sql=_describe_sql("lineitem", LINEITEM_NUMERICAL))
 def describe_numeric(spark, sf):
     f = A.facts(T(spark, sf, "lineitem"))
-    return rounded(A.describe_section(f), DESCRIBE_DIGITS)
+    out = A.describe_section(f)
+    f.release()
+    return rounded(out, DESCRIBE_DIGITS)
 
 
 @register("skewness_adj", sql=union_sql([
@@ -94,7 +98,9 @@ GROUP BY q1, q3""")
 @register("iqr_outliers", sql=_iqr_sql("lineitem", LINEITEM_NUMERICAL))
 def iqr_outliers(spark, sf):
     f = A.facts(T(spark, sf, "lineitem"))
-    return rounded(A.outliers_section(f), {"lower_bound": 4, "upper_bound": 4})
+    out = A.outliers_section(f)
+    f.release()
+    return rounded(out, {"lower_bound": 4, "upper_bound": 4})
 
 
 # ---------------------------------------------------------------- ANA-7
@@ -106,7 +112,10 @@ LINEITEM_CATEGORICAL = ["l_linenumber", "l_discount", "l_tax", "l_returnflag", "
     f"SELECT '{c}' AS \"column\", CAST(count(DISTINCT {c}) AS BIGINT) AS categories_count FROM lineitem"
     for c in LINEITEM_CATEGORICAL]))
 def category_counts(spark, sf):
-    return A.categories_section(A.facts(T(spark, sf, "lineitem")))
+    f = A.facts(T(spark, sf, "lineitem"))
+    out = A.categories_section(f)
+    f.release()
+    return out
 
 
 # ---------------------------------------------------------------- ANA-8
@@ -118,7 +127,9 @@ def category_counts(spark, sf):
     for a in LINEITEM_NUMERICAL for b in LINEITEM_NUMERICAL]))
 def correlation_pairs(spark, sf):
     f = A.facts(T(spark, sf, "lineitem"))
-    return rounded(A.correlation_pairs(f.df, f.groups["numerical"]), {"corr": 6})
+    out = A.correlation_pairs(f.df, f.groups["numerical"])
+    f.release()
+    return rounded(out, {"corr": 6})
 
 
 # ---------------------------------------------------------------- TYP-4
@@ -153,6 +164,7 @@ def feature_types_q(spark, sf):
     out = None
     for t in TYPED_TABLES:
         f = A.facts(T(spark, sf, t))
+        f.release()
         ft = types_frame(spark, f.types).select(F.lit(t).alias("table"), "column", "feature_type")
         out = ft if out is None else out.unionByName(ft)
     return out

@@ -71,3 +71,14 @@ def test_partition_invariance(spark, sf):
             assert a[c].skew == pytest.approx(b[c].skew, rel=1e-9, abs=1e-12)
     assert math.isclose(quantiles(li.coalesce(1), ["l_extendedprice"], [0.5])["l_extendedprice"][0],
                         quantiles(li.repartition(16), ["l_extendedprice"], [0.5])["l_extendedprice"][0])
+
+
+def test_freq_quantiles_match_numpy(spark):
+    from tessera.operators.profile import freq_quantiles
+    rng = np.random.default_rng(9)
+    a = rng.integers(0, 40, 777).astype(float)
+    b = np.round(rng.normal(0, 1, 777), 3)
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
+    got = freq_quantiles(value_counts(df), ["a", "b"], [0.25, 0.5, 0.75, 0.9], {"a": 777, "b": 777})
+    assert got["a"] == pytest.approx(list(np.percentile(a, [25, 50, 75, 90])))
+    assert got["b"] == pytest.approx(list(np.percentile(b, [25, 50, 75, 90])))
