@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .clean import drop_duplicates
-from .profile import approx_distincts, column_stats, q, quantiles, value_counts
+from .profile import column_stats, distinct_bounds, q, quantiles, value_counts
 from .types import coerce_dates
 
 KDE_POINTS = 200
@@ -68,8 +68,8 @@ def histogram(df: DataFrame, cols: list[str], bins: int | None = None) -> DataFr
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], "column string, bin int, lo double, hi double, cnt bigint")
-    prof = column_stats(df, cols, approx_distinct=True)
-    qs = quantiles(df, cols, [0.25, 0.75], approx_distincts(prof)) if bins is None else {}
+    prof = column_stats(df, cols)
+    qs = quantiles(df, cols, [0.25, 0.75], distinct_bounds(prof)) if bins is None else {}
     plan = {}
     for c in cols:
         p = prof[c]
@@ -77,9 +77,30 @@ def histogram(df: DataFrame, cols: list[str], bins: int | None = None) -> DataFr
             continue
         nb = bins or auto_bins(p.non_null, p.min, p.max, qs[c][0], qs[c][1])
         plan[c] = (p.min, p.max, nb)
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), bin_index(F.col(q(c)).cast("double"), lo, hi, nb).alias("bin"))
-        for c, (lo, hi, nb) in plan.items()])).alias("s")).select("s.column", "s.bin")
+    # bin index in three chained projections: each step is computed once per
+    # row instead of being re-expanded inside the next one
+    plan_items = list(plan.items())
+    xs = df.select(*[F.col(q(c)).cast("double").alias(f"x{j}") for j, (c, _) in enumerate(plan_items)])
+    step0, step1, step2 = [], [], []
+    for j, (c, (lo, hi, nb)) in enumerate(plan_items):
+        x = F.col(f"x{j}")
+        if hi == lo:
+            step0.append(F.when(x.isNotNull(), F.lit(0)).alias(f"i{j}"))
+            step1.append(F.col(f"i{j}"))
+            step2.append(F.col(f"i{j}"))
+            continue
+        step0.append(F.least(F.floor((x - F.lit(lo)) * F.lit(nb / (hi - lo))).cast("int"),
+                             F.lit(nb - 1)).alias(f"i{j}"))
+        i0 = F.col(f"i{j}")
+        step1.append(F.when(x < bin_edge(i0, lo, hi, nb), i0 - 1).otherwise(i0).alias(f"i{j}"))
+        i1 = F.col(f"i{j}")
+        step2.append(F.when((x >= bin_edge(i1 + 1, lo, hi, nb)) & (i1 != nb - 1), i1 + 1).otherwise(i1)
+                     .alias(f"i{j}"))
+    xcols = [F.col(f"x{j}") for j in range(len(plan_items))]
+    b = xs.select(*xcols, *step0).select(*xcols, *step1).select(*step2)
+    stacked = b.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"i{j}").alias("bin")) for j, (c, _) in enumerate(plan_items)
+    ])).alias("s")).select("s.column", "s.bin")
     counts = stacked.where(F.col("bin").isNotNull()).groupBy("column", "bin").agg(F.count(F.lit(1)).alias("cnt"))
     edges = None
     for c, (lo, hi, nb) in plan.items():

@@ -316,9 +316,19 @@ def profile_frame(spark, prof: dict[str, ColumnProfile]) -> DataFrame:
 # --------------------------------------------------------------------------
 # exact quantiles
 
-def approx_distincts(prof: dict[str, ColumnProfile]) -> dict[str, int] | None:
-    got = {c: p.distinct if p.distinct is not None else p.extra.get("approx_distinct") for c, p in prof.items()}
-    return got if all(v is not None for v in got.values()) else None
+def distinct_bounds(prof: dict[str, ColumnProfile], limit: int = EXACT_MAP_LIMIT) -> dict[str, int | None]:
+    """A proven upper bound on each column's distinct count: the exact count
+    when known, else the non-null count when that is within ``limit``;
+    None (unknown) otherwise."""
+    out = {}
+    for c, p in prof.items():
+        if p.distinct is not None:
+            out[c] = p.distinct
+        elif p.non_null is not None and p.non_null <= limit:
+            out[c] = p.non_null
+        else:
+            out[c] = p.extra.get("approx_distinct")
+    return out
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float],
@@ -332,9 +342,11 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
     """
     if not cols:
         return {}
-    if distinct is None:
-        approx = df.agg(*[F.approx_count_distinct(F.col(q(c)), 0.02).alias(c) for c in cols]).first()
-        distinct = {c: approx[c] for c in cols}
+    distinct = dict(distinct or {})
+    unknown = [c for c in cols if distinct.get(c) is None]
+    if unknown:       # only when no bound is known: one HLL pass decides the strategy
+        approx = df.agg(*[F.approx_count_distinct(F.col(q(c)), 0.02).alias(c) for c in unknown]).first()
+        distinct.update({c: approx[c] for c in unknown})
     small = [c for c in cols if (distinct.get(c) or 0) <= exact_map_limit]
     big = [c for c in cols if c not in small]
     out: dict[str, list[float | None]] = {}

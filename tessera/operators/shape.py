@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.power import clip, yeo_johnson, yeo_johnson_shifted
-from .profile import ColumnProfile, approx_distincts, column_stats, q, quantiles
+from .profile import ColumnProfile, column_stats, distinct_bounds, q, quantiles
 
 COARSE_GRID = [i / 2 for i in range(-10, 11)]      # -5.0 .. 5.0, step 0.5
 
@@ -92,7 +92,7 @@ def fit_outliers(df: DataFrame, cols: list[str], method: str = "auto", iqr_multi
     from one aggregate."""
     if not cols:
         return {}
-    prof = prof or column_stats(df, cols, approx_distinct=True)
+    prof = prof or column_stats(df, cols)
     chosen = {}
     for c in cols:
         p = prof[c]
@@ -103,7 +103,7 @@ def fit_outliers(df: DataFrame, cols: list[str], method: str = "auto", iqr_multi
             m = "iqr" if p.non_null < 500 or abs(p.skew or 0.0) > 1 else "zscore"
         chosen[c] = m
     iqr_cols = [c for c, m in chosen.items() if m == "iqr"]
-    known = approx_distincts({c: prof[c] for c in iqr_cols})
+    known = distinct_bounds({c: prof[c] for c in iqr_cols})
     qs = quantiles(df, iqr_cols, [0.25, 0.75], known) if iqr_cols else {}
     params = {}
     for c, m in chosen.items():
