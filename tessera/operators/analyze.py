@@ -36,13 +36,17 @@ class TableFacts:
             self.freq.unpersist()
 
 
-def facts(df: DataFrame, freq: DataFrame | None = None, **type_kw) -> TableFacts:
-    """Moments in one pass; the value-frequency table (persisted, one
-    shuffle) then gives distinct counts and date parse counts in one small
-    aggregation, and later exact quantiles without another scan."""
+def facts(df: DataFrame, freq: DataFrame | None = None, cache_freq: bool = True, **type_kw) -> TableFacts:
+    """Moments in one pass; the value-frequency table (one shuffle) then
+    gives distinct counts and date parse counts in one small aggregation,
+    and - when cached - exact quantiles later without another scan."""
     owns = freq is None
     if owns:
-        freq = value_counts(df).persist(StorageLevel.MEMORY_AND_DISK)
+        freq = value_counts(df)
+        if cache_freq:
+            freq = freq.persist(StorageLevel.MEMORY_AND_DISK)
+        else:
+            owns = False
     prof = column_stats(df)
     distinct_and_parsed(df, prof, freq, DATE_FORMATS)
     types = feature_types(df, prof, rates=rates_from_profile(prof), **type_kw)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .profile import ColumnProfile, is_integral, profile, q
+from .profile import ColumnProfile, is_integral, q
 
 # Name fragments that mark a column as a person's name or an id.
 NAME_WORDS = ["name", "first", "last", "full"]
@@ -27,8 +28,13 @@ def name_rule(col: str) -> str | None:
 def prune_rules(df: DataFrame, target: str | None = None,
                 prof: dict[str, ColumnProfile] | None = None) -> dict[str, str]:
     """``{column: rule}`` for every dropped column. Name rules are decided
-    before any scan, so only surviving columns are profiled. The target is
-    always kept (recorded deviation)."""
+    before any scan, so only surviving columns are read. The target is
+    always kept (recorded deviation).
+
+    Data rules need no frequency table: a column has at most one distinct
+    non-null value iff ``min = max`` (or it is all null); only integer
+    columns that already satisfy ``min = 0, max = n-1, no nulls`` get an
+    exact distinct count (one aggregate over those candidates)."""
     dropped = {}
     rest = []
     for c in df.columns:
@@ -40,14 +46,35 @@ def prune_rules(df: DataFrame, target: str | None = None,
         else:
             rest.append(c)
     if rest:
-        prof = prof or profile(df, rest)
-        for c in rest:
-            p = prof[c]
-            if (p.distinct or 0) <= 1:
-                dropped[c] = "constant"
-            elif (is_integral(df.schema[c].dataType) and p.min == 0 and p.max == p.n_rows - 1
-                  and p.non_null == p.n_rows and p.distinct == p.n_rows):
-                dropped[c] = "row_number"
+        if prof is not None and all(prof[c].distinct is not None for c in rest):
+            for c in rest:
+                p = prof[c]
+                if (p.distinct or 0) <= 1:
+                    dropped[c] = "constant"
+                elif (is_integral(df.schema[c].dataType) and p.min == 0 and p.max == p.n_rows - 1
+                      and p.non_null == p.n_rows and p.distinct == p.n_rows):
+                    dropped[c] = "row_number"
+        else:
+            orderable = [c for c in rest if not isinstance(df.schema[c].dataType, (T.MapType, T.ArrayType,
+                                                                                     T.StructType))]
+            aggs = [F.count(F.lit(1)).alias("__n")]
+            for i, c in enumerate(orderable):
+                x = F.col(q(c))
+                aggs += [F.count(x).alias(f"nn{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}")]
+            r = df.agg(*aggs).first()
+            n = r["__n"]
+            cands = []
+            for i, c in enumerate(orderable):
+                nn, mn, mx = r[f"nn{i}"], r[f"mn{i}"], r[f"mx{i}"]
+                if nn == 0 or mn == mx:
+                    dropped[c] = "constant"
+                elif is_integral(df.schema[c].dataType) and mn == 0 and mx == n - 1 and nn == n:
+                    cands.append(c)
+            if cands:
+                d = df.agg(*[F.count_distinct(F.col(q(c))).alias(c) for c in cands]).first()
+                for c in cands:
+                    if d[c] == n:
+                        dropped[c] = "row_number"
     return {c: dropped[c] for c in df.columns if c in dropped}
 
 

@@ -35,7 +35,7 @@ def _columns_sql(table: str) -> str:
 
 @register("profile_columns", sql=_columns_sql("orders"))
 def profile_columns(spark, sf):
-    f = A.facts(T(spark, sf, "orders"))
+    f = A.facts(T(spark, sf, "orders"), cache_freq=False)
     out = A.columns_section(f)
     f.release()
     return rounded(out, {"missing_percent": 6})
@@ -112,7 +112,7 @@ LINEITEM_CATEGORICAL = ["l_linenumber", "l_discount", "l_tax", "l_returnflag", "
     f"SELECT '{c}' AS \"column\", CAST(count(DISTINCT {c}) AS BIGINT) AS categories_count FROM lineitem"
     for c in LINEITEM_CATEGORICAL]))
 def category_counts(spark, sf):
-    f = A.facts(T(spark, sf, "lineitem"))
+    f = A.facts(T(spark, sf, "lineitem"), cache_freq=False)
     out = A.categories_section(f)
     f.release()
     return out
@@ -126,7 +126,7 @@ def category_counts(spark, sf):
     + " AS corr FROM lineitem"
     for a in LINEITEM_NUMERICAL for b in LINEITEM_NUMERICAL]))
 def correlation_pairs(spark, sf):
-    f = A.facts(T(spark, sf, "lineitem"))
+    f = A.facts(T(spark, sf, "lineitem"), cache_freq=False)
     out = A.correlation_pairs(f.df, f.groups["numerical"])
     f.release()
     return rounded(out, {"corr": 6})
@@ -163,8 +163,7 @@ def _type_case(table: str, c: str, t: str) -> str:
 def feature_types_q(spark, sf):
     out = None
     for t in TYPED_TABLES:
-        f = A.facts(T(spark, sf, t))
-        f.release()
+        f = A.facts(T(spark, sf, t), cache_freq=False)
         ft = types_frame(spark, f.types).select(F.lit(t).alias("table"), "column", "feature_type")
         out = ft if out is None else out.unionByName(ft)
     return out
