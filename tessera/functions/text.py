@@ -50,21 +50,24 @@ NO_STRIP_ENDINGS = ["ss", "us", "is"]
 
 
 def clean_text(c: Column) -> Column:
-    """TXT-1..3: null -> '', lower-case, keep ASCII letters and whitespace."""
+    """TXT-1..3: null -> '', lower-case, keep ASCII letters and whitespace
+    (one regex pass; whitespace of any kind stays a separator)."""
     x = F.lower(F.coalesce(c.cast("string"), F.lit("")))
-    x = F.regexp_replace(x, WS_JAVA, " ")
-    return F.regexp_replace(x, "[^a-z ]", "")
+    return F.regexp_replace(x, "[^a-z" + WS_JAVA[1:-1] + "]", "")
+
+
+# all contraction splits in one pass: the first word, when followed by its
+# second word, gets a blank appended
+_SPLIT_RE = "\\b(" + "|".join(f"{a}(?={b}\\b)" for a, b in CONTRACTIONS) + ")"
 
 
 def split_contractions(c: Column) -> Column:
-    for a, b in CONTRACTIONS:
-        c = F.regexp_replace(c, f"\\b({a})({b})\\b", "$1 $2")
-    return c
+    return F.regexp_replace(c, _SPLIT_RE, "$1 ")
 
 
 def tokens(c: Column) -> Column:
     """TXT-4: whitespace tokens of the cleaned text, empty strings removed."""
-    return F.filter(F.split(split_contractions(clean_text(c)), " +"), lambda t: t != F.lit(""))
+    return F.filter(F.split(split_contractions(clean_text(c)), WS_JAVA + "+"), lambda t: t != F.lit(""))
 
 
 def lemma(t: Column) -> Column:
