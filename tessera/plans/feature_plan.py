@@ -28,6 +28,7 @@ from ..operators.prune import prune_columns
 from ..operators.tfidf import fit_tfidf, tfidf_columns, tokenize
 from ..operators.types import coerce_dates, feature_types, group_types, problem_type, rates_from_profile
 from ..operators.validate import validate
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import normalize_nan
 
 PCA_WHEN_OVER = 50
@@ -144,6 +145,7 @@ def fit_plan(df: DataFrame, target: str, seed: int = 42, test_size: float = 0.2,
     train/test carry ``row_id``, ``features`` and ``label`` and are
     checkpointed (lineage cut in the shared checkpoint folder)."""
     validate(df, target)
+    ensure_checkpoint_dir(df.sparkSession)     # the cluster's shared folder; a local one only if unset
     df = normalize_nan(df)
     plan = FeaturePlan(target=target, input_schema=df.schema.json())
 
