@@ -49,11 +49,17 @@ NOUN_SUFFIXES = [("ies", "y"), ("ches", "ch"), ("shes", "sh"), ("xes", "x"),
 NO_STRIP_ENDINGS = ["ss", "us", "is"]
 
 
+# every whitespace code point, for a regex-free one-to-one translation to a blank
+WS_CHARS = "".join(chr(cp) for a, b in WHITESPACE_RANGES for cp in range(a, b + 1))
+
+
 def clean_text(c: Column) -> Column:
-    """TXT-1..3: null -> '', lower-case, keep ASCII letters and whitespace
-    (one regex pass; whitespace of any kind stays a separator)."""
+    """TXT-1..3: null -> '', lower-case, whitespace of any kind -> one blank
+    each (``translate``: a code-point map, no regex), then delete everything
+    outside ``[a-z ]`` with one simple character-class pass."""
     x = F.lower(F.coalesce(c.cast("string"), F.lit("")))
-    return F.regexp_replace(x, "[^a-z" + WS_JAVA[1:-1] + "]", "")
+    x = F.translate(x, WS_CHARS, " " * len(WS_CHARS))
+    return F.regexp_replace(x, "[^a-z ]+", "")
 
 
 # all contraction splits in one pass: the first word, when followed by its
@@ -67,7 +73,7 @@ def split_contractions(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """TXT-4: whitespace tokens of the cleaned text, empty strings removed."""
-    return F.filter(F.split(split_contractions(clean_text(c)), WS_JAVA + "+"), lambda t: t != F.lit(""))
+    return F.filter(F.split(split_contractions(clean_text(c)), " "), lambda t: t != F.lit(""))
 
 
 def lemma(t: Column) -> Column:
@@ -104,3 +110,20 @@ def user_text_udf(fn):
         return s.map(lambda v: fn(v) if v is not None else "")
 
     return apply
+
+
+def token_rows(df, col: str, keep: list[str] | tuple = (), lemmatize: bool = True, min_len: int = 0,
+               stop_words: list[str] | None = None, alias: str = "term"):
+    """The normalised tokens of ``col`` as rows ``(keep..., term)``.
+
+    Same tokens as ``normalized_tokens`` (+ a minimum length), but the split
+    is exploded first so the stop-word test (a hash-set ``IN``), the suffix
+    rules and the length filter run as ordinary codegen'd column
+    expressions rather than per-element lambdas."""
+    stop = list(STOP_WORDS if stop_words is None else stop_words)
+    raw = F.split(split_contractions(clean_text(F.col(col))), " ")
+    t = df.select(*[F.col(k) for k in keep], F.explode(raw).alias("__t"))
+    t = t.where((F.col("__t") != "") & ~F.col("__t").isin(stop))
+    term = lemma(F.col("__t")) if lemmatize else F.col("__t")
+    t = t.select(*[F.col(k) for k in keep], term.alias(alias))
+    return t.where(F.length(alias) >= min_len) if min_len else t

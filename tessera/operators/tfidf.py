@@ -20,7 +20,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalized_tokens
+from ..functions.text import normalized_tokens, token_rows
 from .profile import q
 
 MIN_TOKEN_LEN = 2   # the vectoriser's default pattern keeps words of >= 2 characters
@@ -48,8 +48,12 @@ def _tokens(df: DataFrame, col: str):
 def term_stats(df: DataFrame, col: str, doc_key: str | None = None) -> DataFrame:
     """``(term, cnt, df)``: corpus count and document frequency of every term."""
     key = F.col(q(doc_key)) if doc_key else F.monotonically_increasing_id()
-    per_doc = (df.select(key.alias("__doc"), F.explode(_tokens(df, col)).alias("term"))
-               .groupBy("__doc", "term").agg(F.count(F.lit(1)).alias("tf")))
+    if tok_col(col) in df.columns:
+        rows = df.select(key.alias("__doc"), F.explode(F.col(tok_col(col))).alias("term"))
+    else:
+        rows = token_rows(df.select(key.alias("__doc"), F.col(q(col)).alias("__text")), "__text", ["__doc"],
+                          min_len=MIN_TOKEN_LEN)
+    per_doc = rows.groupBy("__doc", "term").agg(F.count(F.lit(1)).alias("tf"))
     return per_doc.groupBy("term").agg(F.sum("tf").alias("cnt"), F.count(F.lit(1)).alias("df"))
 
 
@@ -110,6 +114,6 @@ def tfidf_long(df: DataFrame, params: dict, doc_key: str) -> DataFrame:
 
 def word_frequencies(df: DataFrame, col: str, top: int = 200) -> DataFrame:
     """VIZ-8 (re-aimed): top ``top`` normalised words by count, ties by word."""
-    words = df.select(F.explode(normalized_tokens(F.col(q(col)), lemmatize=False)).alias("word"))
+    words = token_rows(df.select(F.col(q(col)).alias("__text")), "__text", lemmatize=False, alias="word")
     return (words.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
             .orderBy(F.desc("cnt"), F.asc("word")).limit(top))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .functions.text import CONTRACTIONS, NO_STRIP_ENDINGS, NOUN_SUFFIXES, STOP_WORDS, WS_RE2, normalized_tokens
+from .functions.text import (CONTRACTIONS, NO_STRIP_ENDINGS, NOUN_SUFFIXES, STOP_WORDS, WS_RE2,
+                             normalized_tokens, token_rows)
 from .operators import tfidf as TF
 from .queries import T, register, rounded, sround
 
@@ -107,5 +108,5 @@ SELECT role, CAST(count(*) AS BIGINT) AS tokens, CAST(count(DISTINCT w) AS BIGIN
 FROM (SELECT role, unnest({tokens_sql('text', True, 2)}) AS w FROM conversations) GROUP BY role""")
 def conversation_terms(spark, sf):
     c = T(spark, sf, "conversations")
-    ex = c.select("role", F.explode(TF.vector_tokens(F.col("text"))).alias("w"))
+    ex = token_rows(c, "text", ["role"], min_len=TF.MIN_TOKEN_LEN, alias="w")
     return ex.groupBy("role").agg(F.count(F.lit(1)).alias("tokens"), F.count_distinct("w").alias("vocabulary"))
