@@ -77,3 +77,21 @@ def test_leaderboard_rule(spark, sf):
     assert sum(r["best"] for r in b) == 1
     best = [r for r in b if r["best"]][0]
     assert best["score"] == max(r["score"] for r in b if r["score"] is not None)
+
+
+def test_score_stream_foreach_batch(spark, sf):
+    from tessera.operators.models import build
+    from tessera.operators.tune import fit_context
+    from tessera.plans.workflow import FittedWorkflow
+    from tessera.streaming.scoring import score_stream
+    o = read_table(spark, sf, "orders")
+    plan, train, _ = fit_plan(o, "o_orderpriority")
+    wf = FittedWorkflow(plan, build(plan.task, "DT", {}, fit_context(train, plan.task)).fit(train), "DT", {}, None)
+    base = tempfile.mkdtemp(prefix="stream-", dir="/tmp")
+    src = spark.readStream.schema(o.schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
+    q = score_stream(wf, src, base + "/out", base + "/ckpt", keep=["o_orderkey"])
+    q.awaitTermination()
+    got = spark.read.parquet(base + "/out")
+    assert got.count() == o.count()
+    assert got.select("o_orderkey", "prediction").exceptAll(wf.predict(o, keep=["o_orderkey"]).select(
+        "o_orderkey", "prediction")).count() == 0
