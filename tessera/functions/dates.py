@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The timestamp formats tried, in order, when a string column is
 # tested for dates (Java DateTimeFormatter patterns; month-first like pandas),
@@ -41,8 +42,22 @@ def parse_with(c: Column, fmt: str) -> Column:
 
 
 def as_utc_timestamp(c: Column) -> Column:
-    """TimestampNTZ / date -> session-zone timestamp (the session runs in UTC)."""
-    return c.cast("timestamp")
+    """Calendar parts are read from the value itself: TIMESTAMP_NTZ and
+    TIMESTAMP both answer year/month/hour directly, and casting a wall-clock
+    value into a session zone with daylight saving would move nonexistent
+    local times (02:30 on a spring-forward day becomes 03:30)."""
+    return c
+
+
+NTZ_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def epoch_micros(c: Column, dtype: T.DataType) -> Column:
+    """Microseconds since 1970-01-01 00:00: of the instant for TIMESTAMP, of
+    the wall clock (zone-free ``timestampdiff``) for TIMESTAMP_NTZ / DATE."""
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c)
+    return F.timestamp_diff("MICROSECOND", F.expr(NTZ_EPOCH), c.cast("timestamp_ntz"))
 
 
 def dayofweek_monday0(ts: Column) -> Column:
@@ -66,10 +81,10 @@ def time_parts(c: Column, name: str) -> list[Column]:
             F.minute(c).cast("double").alias(f"{name}_minute")]
 
 
-def days_since(c: Column, min_micros: int, name: str) -> Column:
+def days_since(c: Column, min_micros: int, name: str, dtype: T.DataType | None = None) -> Column:
     """DT-3: whole elapsed 24 h days since the fitted minimum (floor)."""
-    return F.floor((F.unix_micros(as_utc_timestamp(c)) - F.lit(min_micros)) / F.lit(86_400_000_000)) \
-        .cast("double").alias(f"{name}_days_since")
+    micros = epoch_micros(c, dtype or T.TimestampType())
+    return F.floor((micros - F.lit(min_micros)) / F.lit(86_400_000_000)).cast("double").alias(f"{name}_days_since")
 
 
 def cyclical(c: Column, name: str) -> list[Column]:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import as_utc_timestamp, cyclical, date_parts, days_since, time_parts
+from ..functions.dates import as_utc_timestamp, cyclical, date_parts, days_since, epoch_micros, time_parts
 from .profile import q
 
 
@@ -18,10 +18,11 @@ def fit_dates(df: DataFrame, cols: list[str]) -> dict[str, dict]:
     aggs = []
     for c in cols:
         ts = as_utc_timestamp(F.col(q(c)))
-        aggs += [F.count(ts).alias(f"n|{c}"), F.min(F.unix_micros(ts)).alias(f"min|{c}"),
+        aggs += [F.count(ts).alias(f"n|{c}"), F.min(epoch_micros(ts, df.schema[c].dataType)).alias(f"min|{c}"),
                  F.bool_or((F.hour(ts) != 0) | ts.isNull()).alias(f"h|{c}")]
     r = df.agg(*aggs).first()
-    return {c: {"min_micros": r[f"min|{c}"], "with_time": bool(r[f"h|{c}"])}
+    return {c: {"min_micros": r[f"min|{c}"], "with_time": bool(r[f"h|{c}"]),
+                "dtype": df.schema[c].dataType.simpleString()}
             for c in cols if r[f"n|{c}"]}
 
 
@@ -37,7 +38,8 @@ def date_features(df: DataFrame, params: dict[str, dict], cyclic: bool = True,
         if p["with_time"]:
             new += time_parts(ts, c)
         if duration:
-            new.append(days_since(ts, p["min_micros"], c))
+            dt = df.schema[c].dataType if c in df.columns else None
+            new.append(days_since(ts, p["min_micros"], c, dt))
         if cyclic:
             new += cyclical(ts, c)
     return df.select(*keep, *new)

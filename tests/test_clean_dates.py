@@ -53,3 +53,17 @@ def test_days_since_floor_and_parts(spark):
     # scoring rows before the fitted minimum go negative (floor)
     early = spark.createDataFrame([(ts(2023, 12, 31, 23, 30),)], "t timestamp")
     assert datefeat.date_features(early, p).first()["t_days_since"] == -1.0
+
+
+def test_wall_clock_parts_ignore_session_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.sql("SELECT timestamp_ntz'2024-03-10 02:30:00' AS t UNION ALL "
+                       "SELECT timestamp_ntz'2024-03-09 02:30:00'")
+        p = datefeat.fit_dates(df, ["t"])
+        out = datefeat.date_features(df, p).orderBy("t_days_since").collect()
+        assert [r["t_hour"] for r in out] == [2.0, 2.0]      # 02:30 does not exist in New York that day
+        assert [r["t_days_since"] for r in out] == [0.0, 1.0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
