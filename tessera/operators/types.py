@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import DATE_FORMATS, parse_with
-from .profile import (ColumnProfile, is_integral, is_numeric, is_string, is_timestamp,
+from .profile import (ColumnProfile, is_numeric, is_string, is_timestamp,
                       profile, q)
 
 FEATURE_TYPES = ["numerical", "categorical", "boolean", "datetime", "text", "id",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .operators import analyze as A
 from .operators.profile import value_counts
 from .operators.prune import NAME_WORDS, ID_WORDS, prune_rules
-from .operators.types import feature_types, problem_type, types_frame
+from .operators.types import problem_type, types_frame
 from .operators.validate import validate_checks
 from .queries import (LINEITEM_NUMERICAL, NUMERIC_TYPES, PANDAS, SCHEMAS, T, register, rounded,
                       sround, union_sql)
