@@ -11,3 +11,13 @@ def test_entry_runs(spark):
 def test_every_oracle_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
     assert len(E.queries()) >= 50
+
+
+def test_oracle_sql_plans_in_duckdb(sf):
+    import duckdb
+    from tessera.sources.tables import TABLES
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    for name, sql in E.oracle_sql().items():
+        con.execute("EXPLAIN " + sql)          # raises on a malformed oracle
