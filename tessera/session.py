@@ -43,12 +43,22 @@ def get_spark(master: str | None = None, app: str = "tessera",
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``; only when it is unset (tests, laptops) set one."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None)
+    """Return the checkpoint folder of the running context.
+
+    A folder already set (``spark.checkpoint.dir`` or ``setCheckpointDir``) is
+    left alone. Only a single-machine session (``local``/``local[n]``) gets a
+    temporary folder of its own; on a cluster a missing folder is an error,
+    because executors cannot share a driver-local path.
+    """
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    d = spark.conf.get("spark.checkpoint.dir", None) or fallback
     if not d:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
-        d = fallback or tempfile.mkdtemp(prefix="tessera-ckpt-")
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+        d = tempfile.mkdtemp(prefix="tessera-ckpt-")
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir()
