@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, line_dedup, mixing, quality_rules, sentencepiece_bpe
+from . import exact_dedup, language_id, line_dedup, mixing, quality_rules, sentencepiece_bpe, substring_dedup, suffix_dedup
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op3_substring_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_digest(documents(spark, sf_dir))
+
+
 @register("op4_sentencepiece")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.roundtrip_digest(documents(spark, sf_dir))
@@ -37,6 +42,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_digest(documents(spark, sf_dir))
 
 
+@register("op7_suffix_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_digest(documents(spark, sf_dir))
+
+
 @register("op8_mixing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(documents(spark, sf_dir))
