@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_rules, sentencepiece_bpe, substring_dedup, suffix_dedup
+from . import exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_rules, sentencepiece_bpe, substring_dedup, suffix_dedup, token_output
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicate_digest(documents(spark, sf_dir))
 
 
+@register("op2_token_output")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.training_shards(documents(spark, sf_dir))
+
+
 @register("op3_substring_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_digest(documents(spark, sf_dir))
