@@ -36,7 +36,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def ascii_lower(c: Column) -> Column:
-    return F.translate(c, ASCII_UPPER, ASCII_UPPER.lower())
+    """A-Z to a-z and nothing else; a text of ASCII alone takes the fast path."""
+    return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, ASCII_UPPER, ASCII_UPPER.lower()))
 
 
 def sha256_hex(c: Column) -> Column:

@@ -21,14 +21,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, sha256_hex
+from .common import ascii_lower, checkpointed, sha256_hex
 
+SPACES = " \t\n\x0b\x0c\r"  # code points 0x20 and 0x09 to 0x0D
 BITS = 32768  # lines that one bitmap row covers (fixed by Spark's bitmap functions)
 
 
 def line_key(line: Column) -> Column:
     """Stripped at both ends, A-Z lower-cased."""
-    return ascii_lower(F.regexp_replace(line, rf"\A{SPACE}+|{SPACE}+\z", ""))
+    return ascii_lower(F.btrim(line, F.lit(SPACES)))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -51,12 +52,13 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     bitmap of its dropped lines, trailing zero bytes cut off; documents that
     lose nothing have no row."""
     ident = ["h1", "h2", "doc_id", "version"]
-    rows = line_rows(docs, min_chars, id_col, text_col)
-    rows = rows.repartitionByRange(*ident).sortWithinPartitions(*ident, "pos")
+    # kept in the shared folder: the range bounds, the count and the join read it without the text
+    lines = checkpointed(line_rows(docs, min_chars, id_col, text_col))
+    rows = lines.repartitionByRange(*ident).sortWithinPartitions(*ident, "pos")
     first = F.row_number().over(Window.partitionBy(*ident).orderBy("pos")) == 1
     common = rows.withColumn("first", first).groupBy("h1", "h2").agg(
         F.sum(F.col("first").cast("long")).alias("n_docs")).where(F.col("n_docs") >= min_docs).select("h1", "h2")
-    dropped = line_rows(docs, min_chars, id_col, text_col).join(common, ["h1", "h2"])
+    dropped = lines.join(common, ["h1", "h2"])
     at = F.col("pos").cast("long")
     blocks = (dropped.repartition("doc_id", "version")
               .groupBy("doc_id", "version", F.floor(at / BITS).alias("block"))
