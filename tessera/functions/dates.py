@@ -24,9 +24,19 @@ DATE_FORMAT_SHAPES = [
     ("MMM d, yyyy", r"^[A-Za-z]{3} \d{1,2}, \d{4}$"),
     ("d MMM yyyy", r"^\d{1,2} [A-Za-z]{3} \d{4}$"),
     ("MMMM d, yyyy", r"^[A-Za-z]+ \d{1,2}, \d{4}$"),
+    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("M/d/yyyy H:mm", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$"),
+    ("d/M/yyyy H:mm", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$"),
+    ("M/d/yyyy H:mm:ss", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$"),
+    ("d/M/yyyy H:mm:ss", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$"),
+    ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
+    ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX", r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})$"),
+    ("yyyy-MM-dd HH:mm:ss[.SSSSSS]XXX", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})$"),
+    ("yyyyMMdd", r"^\d{8}$"),
 ]
 DATE_FORMATS = [f for f, _ in DATE_FORMAT_SHAPES]
-MAX_DATE_LEN = 64          # longest string (with padding) any format above can match
+MAX_DATE_LEN = 64          # longest trimmed string any format above can match
 _SHAPES = dict(DATE_FORMAT_SHAPES)
 
 
@@ -34,11 +44,10 @@ def parse_with(c: Column, fmt: str) -> Column:
     """NULL unless the whole string is a timestamp in ``fmt`` (never raises).
     A cheap shape regex runs first: a failed parse is far costlier than a
     regex miss, and most strings are not dates."""
-    raw = c.cast("string")
-    s = F.trim(raw)
+    s = F.trim(c.cast("string"))
     guard = s.rlike(_SHAPES[fmt]) if fmt in _SHAPES else s.rlike("[0-9]")
     # no supported format is longer than MAX_DATE_LEN: long texts skip the regex
-    return F.when((F.length(raw) <= MAX_DATE_LEN) & guard, F.try_to_timestamp(s, F.lit(fmt)))
+    return F.when((F.length(s) <= MAX_DATE_LEN) & guard, F.try_to_timestamp(s, F.lit(fmt)))
 
 
 def as_utc_timestamp(c: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .clean import drop_duplicates
-from .profile import column_stats, distinct_bounds, q, quantiles, value_counts
+from .profile import column_stats, distinct_bounds, is_numeric, q, quantiles, value_counts
 from .types import coerce_dates
 
 KDE_POINTS = 200
@@ -198,11 +198,13 @@ def pair_sample(df: DataFrame, cols: list[str], key_cols: list[str], n: int = 30
 
 
 def target_distribution(df: DataFrame, target: str) -> dict[str, DataFrame]:
-    """VIZ-7: counts when the target has < 20 distinct values, otherwise a
-    histogram and a density curve."""
+    """VIZ-7: counts when the target has < 20 distinct values or isn't numeric,
+    otherwise a histogram and a density curve."""
     vc = value_counts(df, [target])
     if vc.count() < 20:
         return {"counts": vc.select(F.col("value").alias(target), "cnt")}
+    if not is_numeric(df.schema[target].dataType):   # many classes of text: their counts
+        return {"counts": vc.select(F.col("value").alias(target), "cnt")}
     return {"histogram": histogram(df, [target]), "density": density(df, target)}
 
 

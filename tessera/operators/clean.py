@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .profile import is_numeric, q, value_counts
+from .profile import q, value_counts
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -32,17 +32,12 @@ def mode_table(df: DataFrame, cols: list[str], freq: DataFrame | None = None) ->
 
 
 def modes(df: DataFrame, cols: list[str], freq: DataFrame | None = None) -> dict[str, object]:
-    """MIS-3/4: fitted mode per column, cast back to the column's type."""
+    """MIS-3/4: fitted mode per column as its exact string; ``impute`` casts it
+    to the column's type."""
     if not cols:
         return {}
     got = {r["column"]: r["value"] for r in mode_table(df, cols, freq).collect()}
-    out = {}
-    for c in cols:
-        v = got.get(c)
-        if v is not None and is_numeric(df.schema[c].dataType):
-            v = float(v)
-        out[c] = v
-    return out
+    return {c: got.get(c) for c in cols}
 
 
 def fit_imputer(df: DataFrame, mean_cols: list[str] = (), mode_cols: list[str] = (),
@@ -51,13 +46,15 @@ def fit_imputer(df: DataFrame, mean_cols: list[str] = (), mode_cols: list[str] =
 
 
 def impute(df: DataFrame, params: dict[str, dict]) -> DataFrame:
-    """MIS-2..5: ``coalesce(c, fitted)`` for every fitted column, one select."""
-    fill = {**params.get("mean", {}), **params.get("mode", {})}
+    """MIS-2..5: ``coalesce(c, fitted)`` for every fitted column, one select. A
+    column filled with a mean becomes double (the mean of integers is not one)."""
+    mean, mode = params.get("mean", {}), params.get("mode", {})
     out = []
     for c in df.columns:
-        if c in fill and fill[c] is not None:
-            dt = df.schema[c].dataType
-            out.append(F.coalesce(F.col(q(c)), F.lit(fill[c]).cast(dt)).alias(c))
+        if mode.get(c) is not None:
+            out.append(F.coalesce(F.col(q(c)), F.lit(mode[c]).cast(df.schema[c].dataType)).alias(c))
+        elif mean.get(c) is not None:
+            out.append(F.coalesce(F.col(q(c)).cast("double"), F.lit(float(mean[c]))).alias(c))
         else:
             out.append(F.col(q(c)))
     return df.select(*out)

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from .profile import q, value_counts, value_string
 
 # dictionaries up to this many entries become literal map expressions; larger
-# ones are joined (broadcast while under BROADCAST_ROWS, shuffled beyond)
+# ones are joined (Spark broadcasts one only if its measured size allows it)
 MAP_LITERAL_LIMIT = 1_000
-BROADCAST_ROWS = 2_000_000
 
 
 def route(distinct: int) -> str:
@@ -58,15 +57,13 @@ def encode(df: DataFrame, params: dict[str, dict], unknown_share: float = 0.0) -
     """ENC-4..7 apply. One-hot columns replace the original at the end (as
     pandas concat does); unknown levels: ordinal -1, one-hot all zeros,
     frequency ``unknown_share``."""
-    big = {c: p for c, p in params.items() if p["kind"] == "frequency" and "table" in p}
-    for c, p in big.items():
-        t = p["table"].select(F.col("value").alias(f"__k_{c}"), F.col("share").alias(f"__f_{c}"))
-        if p["entries"] <= BROADCAST_ROWS:
-            t = F.broadcast(t)
-        df = df.withColumn(f"__k_{c}", value_string(df, c)).join(t, f"__k_{c}", "left")
+    big = {c: p for c, p in params.items() if p["kind"] == "frequency" and "table" in p and c in df.columns}
+    for c, p in big.items():      # a column that the rows lack is left out (PRJ-7 fills it)
+        t = p["table"].select(F.col("value").alias("__k_value"), F.col("share").alias(f"__f_{c}"))
+        df = df.join(t, value_string(df, c) == F.col("__k_value"), "left").drop("__k_value")
     keep, tail = [], []
     for c in df.columns:
-        if c.startswith("__k_") or c.startswith("__f_"):
+        if c.startswith("__f_"):
             continue
         if c not in params:
             keep.append(F.col(q(c)))
@@ -87,7 +84,7 @@ def encode(df: DataFrame, params: dict[str, dict], unknown_share: float = 0.0) -
             else:
                 keep.append(F.lit(unknown_share).alias(c))
         else:
-            keep.append(F.coalesce(F.col(f"__f_{c}"), F.lit(unknown_share)).alias(c))
+            keep.append(F.coalesce(F.col(q(f"__f_{c}")), F.lit(unknown_share)).alias(c))
     return df.select(*keep, *tail)
 
 

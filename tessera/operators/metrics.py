@@ -7,9 +7,10 @@ classification metrics go through the (label, prediction) confusion table
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .profile import q
 
 EPS = 2.220446049250313e-16     # float64 machine epsilon (MAPE denominator floor)
@@ -33,13 +34,15 @@ def confusion(df: DataFrame, label: str = "label", pred: str = "prediction") ->
 
 
 def per_class(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
-    """``(cls, tp, support, predicted)`` for every class seen in either column."""
+    """``(cls, tp, support, predicted)`` for every class seen in either column;
+    the source is read once."""
     cm = confusion(df, label, pred)
-    tp = cm.where(F.col("y") == F.col("p")).groupBy(F.col("y").alias("cls")).agg(F.sum("cnt").alias("tp"))
-    sup = cm.groupBy(F.col("y").alias("cls")).agg(F.sum("cnt").alias("support"))
-    prd = cm.groupBy(F.col("p").alias("cls")).agg(F.sum("cnt").alias("predicted"))
-    return (sup.join(prd, "cls", "full").join(tp, "cls", "left")
-            .select("cls", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("tp", "support", "predicted")]))
+    zero = F.lit(0).cast("bigint")
+    hit = F.when(F.col("y") == F.col("p"), F.col("cnt")).otherwise(zero)
+    sides = F.array(F.struct(F.col("y").alias("cls"), hit.alias("tp"), F.col("cnt").alias("support"), zero.alias("predicted")),
+                    F.struct(F.col("p").alias("cls"), zero.alias("tp"), zero.alias("support"), F.col("cnt").alias("predicted")))
+    return (cm.select(F.explode(sides).alias("s")).where("s.cls IS NOT NULL").groupBy(F.col("s.cls").alias("cls"))
+            .agg(*[F.sum(f"s.{c}").alias(c) for c in ("tp", "support", "predicted")]))
 
 
 def classification_metrics(df: DataFrame, label: str = "label", pred: str = "prediction",
@@ -59,41 +62,43 @@ def classification_metrics(df: DataFrame, label: str = "label", pred: str = "pre
     return m.withColumn("ROC-AUC", F.lit(auc).cast("double"))
 
 
-def prefix_counts(freq: DataFrame, order_col: str, value_cols: list[str], partitions: int | None = None) -> DataFrame:
-    """Running sums of ``value_cols`` over ``order_col`` without a global
-    single-partition window: range-partition, total each partition (P small
-    rows to the driver), then a window within each partition plus the
-    partition's offset. Adds ``<c>_before`` (strictly smaller keys)."""
+def prefix_counts(freq: DataFrame, order_col: str, value_cols: list[str], partitions: int | None = None,
+                  by: str | None = None) -> DataFrame:
+    """Running sums of ``value_cols`` over ``order_col`` (per ``by``) without a
+    global single-partition window. The table is range-partitioned and kept in
+    the checkpoint folder, because range bounds come from a sample and must not
+    differ between the two reads; each partition is totalled, the totals (one
+    row per partition and ``by``) become offsets, and a window runs inside each
+    partition. Adds ``<c>_before`` (strictly smaller keys)."""
     spark = freq.sparkSession
     P = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = freq.repartitionByRange(P, order_col).withColumn("__pid", F.spark_partition_id())
-    tots = {r["__pid"]: r for r in ranged.groupBy("__pid").agg(
-        *[F.sum(c).alias(c) for c in value_cols]).collect()}
-    rows, acc = [], {c: 0 for c in value_cols}
-    for pid in sorted(tots):
-        rows.append((pid, *[acc[c] for c in value_cols]))
-        for c in value_cols:
-            acc[c] += tots[pid][c] or 0
-    off = spark.createDataFrame(rows, "__pid int, " + ", ".join(f"__off_{c} bigint" for c in value_cols))
-    w = Window.partitionBy("__pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    out = ranged.join(F.broadcast(off), "__pid")       # P rows
+    keys = [by] if by else []
+    ensure_checkpoint_dir(spark)
+    ranged = freq.repartitionByRange(P, *keys, order_col).withColumn("__pid", F.spark_partition_id()).checkpoint()
+    before = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy(*keys, "__pid").agg(*[F.sum(c).alias(c) for c in value_cols]).select(
+        *keys, "__pid", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__off_{c}") for c in value_cols])
+    inside = Window.partitionBy(*keys, "__pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(offsets, [*keys, "__pid"])
     for c in value_cols:
-        out = out.withColumn(f"{c}_before", F.col(f"__off_{c}") + F.coalesce(F.sum(c).over(w), F.lit(0)))
+        out = out.withColumn(f"{c}_before", F.col(f"__off_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)))
     return out.drop("__pid", *[f"__off_{c}" for c in value_cols])
 
 
-def binary_auc(df: DataFrame, positive: Column, score: Column) -> float | None:
-    """Mann-Whitney AUC with tie-averaged ranks:
-    sum over score levels of pos * (neg_below + neg_at / 2) / (P * N)."""
-    lv = (df.select(positive.cast("boolean").alias("pos"), score.cast("double").alias("s"))
-          .where(F.col("s").isNotNull() & F.col("pos").isNotNull())
-          .groupBy("s").agg(F.count_if("pos").alias("npos"), F.count_if(~F.col("pos")).alias("nneg")))
-    pre = prefix_counts(lv, "s", ["nneg"])
-    r = pre.agg(F.sum(F.col("npos") * (F.col("nneg_before") + F.col("nneg") / 2.0)).alias("u"),
-                F.sum("npos").alias("P"), F.sum("nneg").alias("N")).first()
-    if not r["P"] or not r["N"]:
-        return None
-    return r["u"] / (r["P"] * r["N"])
+def class_aucs(df: DataFrame, label: str, scores: dict) -> DataFrame:
+    """``(cls, auc)`` one-vs-rest for every scored class with both sides present,
+    in one pass: Mann-Whitney AUC with tie-averaged ranks, sum over score levels
+    of pos * (neg_below + neg_at / 2) / (P * N)."""
+    names = list(scores)
+    sides = F.array(*[F.struct(F.lit(i).alias("i"), (F.col(q(label)) == F.lit(c)).alias("pos"),
+                               F.col(q(scores[c])).cast("double").alias("s")) for i, c in enumerate(names)])
+    levels = (df.select(F.explode(sides).alias("x")).where("x.s IS NOT NULL AND x.pos IS NOT NULL")
+              .groupBy(F.col("x.i").alias("i"), F.col("x.s").alias("s"))
+              .agg(F.count_if("x.pos").alias("npos"), F.count_if(~F.col("x.pos")).alias("nneg")))
+    pre = prefix_counts(levels, "s", ["nneg"], by="i")
+    sums = pre.groupBy("i").agg(F.sum(F.col("npos") * (F.col("nneg_before") + F.col("nneg") / 2.0)).alias("u"),
+                                F.sum("npos").alias("P"), F.sum("nneg").alias("N"))
+    return sums.where("P > 0 AND N > 0").select("i", (F.col("u") / F.col("P") / F.col("N")).alias("auc"))
 
 
 def roc_auc(df: DataFrame, label: str, scores: dict | str) -> float | None:
@@ -102,11 +107,9 @@ def roc_auc(df: DataFrame, label: str, scores: dict | str) -> float | None:
     ``scores`` is one column name (binary, positive class = 1) or
     ``{class_value: score_column}``."""
     if isinstance(scores, str):
-        return binary_auc(df, F.col(q(label)) == F.lit(1), F.col(q(scores)))
-    present = [r[0] for r in df.select(F.col(q(label))).distinct().collect()]   # k rows
-    if len(present) <= 2 and len(scores) <= 2:
-        pos = sorted(scores)[-1]
-        return binary_auc(df, F.col(q(label)) == F.lit(pos), F.col(q(scores[pos])))
-    vals = [binary_auc(df, F.col(q(label)) == F.lit(c), F.col(q(scores[c]))) for c in sorted(present) if c in scores]
-    vals = [v for v in vals if v is not None]
-    return sum(vals) / len(vals) if vals else None
+        scores = {1: scores}
+    elif len(scores) <= 2:
+        last = sorted(scores)[-1]
+        scores = {last: scores[last]}
+    got = class_aucs(df, label, scores).agg(F.avg("auc").alias("auc")).first()
+    return got["auc"]

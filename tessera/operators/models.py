@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from typing import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        OneVsRest, RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .knn import knn_classify, knn_regress
 
-MAX_DEPTH = 30          # MLlib's limit for tree depth
-UNLIMITED_DEPTH = 12    # engine default where the reference grows trees without a depth limit
+MAX_DEPTH = 30          # MLlib's limit for tree depth; also used where the reference sets no limit
+RFF_COMPONENTS = 100    # default number of random Fourier features (parameter ``components``)
 
 
 @dataclass
@@ -54,7 +55,13 @@ def loguniform(r: random.Random, lo: float, hi: float) -> float:
 
 
 def depth(v) -> int:
-    return UNLIMITED_DEPTH if v is None else min(int(v), MAX_DEPTH)
+    return MAX_DEPTH if v is None else min(int(v), MAX_DEPTH)
+
+
+def leaf_rows(p: dict) -> int:
+    """min_samples_leaf, and min_samples_split as the leaf size that a split of
+    so few rows would need (MLlib has no rule of its own for splits)."""
+    return max(int(p.get("min_samples_leaf", 1)), int(p.get("min_samples_split", 2)) // 2, 1)
 
 
 def subset(v) -> str:
@@ -95,27 +102,29 @@ class RandomFourier:
     with ``exp(-gamma ||x-y||^2)``; W, b drawn from a seeded generator
     (d x D numbers on the driver)."""
 
-    def __init__(self, n_features: int, gamma: float, components: int = 100, seed: int = 42):
+    def __init__(self, n_features: int, gamma: float, components: int = RFF_COMPONENTS, seed: int = 42):
         rng = np.random.default_rng(seed)
         self.W = rng.normal(0.0, math.sqrt(2 * gamma), size=(components, n_features))
         self.b = rng.uniform(0, 2 * math.pi, size=components)
         self.scale = math.sqrt(2.0 / components)
 
     def apply(self, df: DataFrame) -> DataFrame:
-        x = vector_to_array("features")
-        comps = []
-        for w, b in zip(self.W, self.b):
-            wl = F.array(*[F.lit(float(v)) for v in w])
-            dot = F.aggregate(F.zip_with(x, wl, lambda a, c: a * c), F.lit(0.0), lambda acc, v: acc + v)
-            comps.append(F.lit(self.scale) * F.cos(dot + F.lit(float(b))))
-        return df.withColumn("features", array_to_vector(F.array(*comps)))
+        W, b, scale = self.W, self.b, self.scale
+
+        @F.pandas_udf("array<double>")
+        def project(x: pd.Series) -> pd.Series:   # one matrix product per Arrow batch
+            if not len(x):
+                return pd.Series([], dtype=object)
+            return pd.Series(list(scale * np.cos(np.stack(x.to_numpy()) @ W.T + b)))
+
+        return df.withColumn("features", array_to_vector(project(vector_to_array("features"))))
 
 
 class RffEstimator:
     """MR-9 / MC-6 re-aim: a linear model on random Fourier features."""
 
-    def __init__(self, inner, n_features: int, gamma: float, seed: int = 42):
-        self.inner, self.rff = inner, RandomFourier(n_features, gamma, seed=seed)
+    def __init__(self, inner, n_features: int, gamma: float, seed: int = 42, components: int = RFF_COMPONENTS):
+        self.inner, self.rff = inner, RandomFourier(n_features, gamma, components, seed)
 
     def fit(self, df: DataFrame):
         return RffModel(self.rff, self.inner.fit(self.rff.apply(df)))
@@ -149,7 +158,7 @@ def _lr(p, ctx):
 
 def _lasso(p, ctx):
     return LinearRegression(elasticNetParam=1.0, regParam=p.get("alpha", 1.0), standardization=False,
-                            maxIter=min(int(p.get("max_iter", 1000)), 1000), tol=1e-6)
+                            maxIter=int(p.get("max_iter", 1000)), tol=1e-6)
 
 
 def _ridge(p, ctx):
@@ -163,12 +172,12 @@ def _enet(p, ctx):
     l1, l2 = a * r, a * (1 - r) * ctx.y_std_samp
     return LinearRegression(regParam=l1 + l2, elasticNetParam=(l1 / (l1 + l2)) if l1 + l2 else 0.0,
                             standardization=False, solver="l-bfgs",
-                            maxIter=min(int(p.get("max_iter", 1000)), 1000))
+                            maxIter=int(p.get("max_iter", 1000)))
 
 
 def _rf_reg(p, ctx):
     return RandomForestRegressor(numTrees=int(p.get("n_estimators", 100)), maxDepth=depth(p.get("max_depth")),
-                                 minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
+                                 minInstancesPerNode=leaf_rows(p),
                                  featureSubsetStrategy=subset(p.get("max_features")),
                                  bootstrap=bool(p.get("bootstrap", True)), seed=ctx.seed)
 
@@ -182,7 +191,7 @@ def _bag_reg(p, ctx):
 
 def _gb_reg(p, ctx):
     return GBTRegressor(maxIter=int(p.get("n_estimators", 100)), stepSize=float(p.get("learning_rate", 0.1)),
-                        maxDepth=depth(p.get("max_depth", 3)), minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
+                        maxDepth=depth(p.get("max_depth", 3)), minInstancesPerNode=leaf_rows(p),
                         subsamplingRate=float(p.get("subsample", 1.0)), seed=ctx.seed)
 
 
@@ -191,14 +200,18 @@ def _knr(p, ctx):
 
 
 def _svr(p, ctx):
-    inner = LinearRegression(loss="huber", epsilon=max(1.35, 1.0 + float(p.get("epsilon", 0.1))),
-                             regParam=1.0 / (float(p.get("C", 1.0)) * ctx.n), standardization=False)
-    return RffEstimator(inner, ctx.n_features, gamma_of(p, ctx), ctx.seed)
+    # MLlib has no epsilon-insensitive loss; the robust Huber loss at its own default stands in (re-aim)
+    inner = LinearRegression(loss="huber", regParam=1.0 / (float(p.get("C", 1.0)) * ctx.n), standardization=False)
+    if p.get("kernel", "rbf") == "linear":
+        return inner
+    return RffEstimator(inner, ctx.n_features, gamma_of(p, ctx), ctx.seed, int(p.get("components", RFF_COMPONENTS)))
 
 
 def _dt_reg(p, ctx):
-    return DecisionTreeRegressor(maxDepth=depth(p.get("max_depth")),
-                                 minInstancesPerNode=int(p.get("min_samples_leaf", 1)), seed=ctx.seed)
+    return RandomForestRegressor(numTrees=1, bootstrap=False, maxDepth=depth(p.get("max_depth")),
+                                 minInstancesPerNode=leaf_rows(p), featureSubsetStrategy=subset(p.get("max_features")),
+                                 seed=ctx.seed) if p.get("max_features") else \
+        DecisionTreeRegressor(maxDepth=depth(p.get("max_depth")), minInstancesPerNode=leaf_rows(p), seed=ctx.seed)
 
 
 # ---------------------------------------------------------------- classification builders
@@ -210,7 +223,7 @@ def _logit(p, ctx):
 
 def _rf_cls(p, ctx):
     return RandomForestClassifier(numTrees=int(p.get("n_estimators", 100)), maxDepth=depth(p.get("max_depth")),
-                                  minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
+                                  minInstancesPerNode=leaf_rows(p),
                                   featureSubsetStrategy=subset(p.get("max_features", "sqrt")),
                                   bootstrap=bool(p.get("bootstrap", True)), seed=ctx.seed)
 
@@ -224,7 +237,7 @@ def _bag_cls(p, ctx):
 
 def _gb_cls(p, ctx):
     gbt = GBTClassifier(maxIter=int(p.get("n_estimators", 100)), stepSize=float(p.get("learning_rate", 0.1)),
-                        maxDepth=depth(p.get("max_depth", 3)), minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
+                        maxDepth=depth(p.get("max_depth", 3)), minInstancesPerNode=leaf_rows(p),
                         subsamplingRate=float(p.get("subsample", 1.0)), seed=ctx.seed)
     return gbt if ctx.n_classes <= 2 else OneVsRest(classifier=gbt)
 
@@ -239,13 +252,17 @@ def _svc(p, ctx):
     inner = svm if ctx.n_classes <= 2 else OneVsRest(classifier=svm)
     if p.get("kernel", "rbf") == "linear":
         return inner
-    return RffEstimator(inner, ctx.n_features, gamma_of(p, ctx), ctx.seed)
+    return RffEstimator(inner, ctx.n_features, gamma_of(p, ctx), ctx.seed, int(p.get("components", RFF_COMPONENTS)))
 
 
 def _dt_cls(p, ctx):
-    return DecisionTreeClassifier(maxDepth=depth(p.get("max_depth")), impurity=p.get("criterion", "gini")
-                                  if p.get("criterion", "gini") in ("gini", "entropy") else "gini",
-                                  minInstancesPerNode=int(p.get("min_samples_leaf", 1)), seed=ctx.seed)
+    impurity = "gini" if p.get("criterion", "gini") == "gini" else "entropy"   # log_loss is entropy
+    if p.get("max_features"):
+        return RandomForestClassifier(numTrees=1, bootstrap=False, maxDepth=depth(p.get("max_depth")), impurity=impurity,
+                                      minInstancesPerNode=leaf_rows(p), featureSubsetStrategy=subset(p.get("max_features")),
+                                      seed=ctx.seed)
+    return DecisionTreeClassifier(maxDepth=depth(p.get("max_depth")), impurity=impurity, minInstancesPerNode=leaf_rows(p),
+                                  seed=ctx.seed)
 
 
 # ---------------------------------------------------------------- HPO-3 search spaces
@@ -254,6 +271,7 @@ def _choice(r, xs):
     return xs[r.randrange(len(xs))]
 
 
+# Model short names, parameter names and search ranges of the reference.
 SPACES = {
     ("Regression", "LR"): lambda r: {"fit_intercept": _choice(r, [True, False])},
     ("Regression", "L1"): lambda r: {"alpha": loguniform(r, 1e-6, 10), "max_iter": r.randint(1000, 10000)},
@@ -261,34 +279,37 @@ SPACES = {
     ("Regression", "EN"): lambda r: {"alpha": loguniform(r, 1e-6, 10), "l1_ratio": r.uniform(0, 1),
                                      "max_iter": r.randint(1000, 10000)},
     ("Regression", "RF"): lambda r: {"n_estimators": r.randint(50, 1000), "max_depth": r.randint(3, 50),
-                                     "min_samples_leaf": r.randint(1, 20),
+                                     "min_samples_split": r.randint(2, 20), "min_samples_leaf": r.randint(1, 20),
                                      "max_features": _choice(r, ["sqrt", "log2", None]),
                                      "bootstrap": _choice(r, [True, False])},
     ("Regression", "BR"): lambda r: {"n_estimators": r.randint(10, 300), "max_samples": r.uniform(0.5, 1.0),
                                      "max_features": r.uniform(0.5, 1.0), "bootstrap": _choice(r, [True, False])},
     ("Regression", "GB"): lambda r: {"n_estimators": r.randint(100, 1000), "learning_rate": loguniform(r, 1e-3, 0.3),
-                                     "max_depth": r.randint(3, 10), "min_samples_leaf": r.randint(1, 20),
+                                     "max_depth": r.randint(3, 10), "min_samples_split": r.randint(2, 20), "min_samples_leaf": r.randint(1, 20),
                                      "subsample": r.uniform(0.5, 1.0)},
     ("Regression", "KNR"): lambda r: {"n_neighbors": r.randint(2, 50), "weights": _choice(r, ["uniform", "distance"]),
                                       "p": r.randint(1, 2)},
     ("Regression", "SVR"): lambda r: {"C": loguniform(r, 1e-3, 100), "epsilon": loguniform(r, 1e-4, 1),
-                                      "gamma": _choice(r, ["scale", "auto"])},
-    ("Regression", "DT"): lambda r: {"max_depth": r.randint(2, 50), "min_samples_leaf": r.randint(1, 20)},
+                                      "kernel": _choice(r, ["rbf", "linear"]), "gamma": _choice(r, ["scale", "auto"])},
+    ("Regression", "DT"): lambda r: {"max_depth": r.randint(2, 50), "min_samples_split": r.randint(2, 20),
+                                     "min_samples_leaf": r.randint(1, 20),
+                                     "max_features": _choice(r, ["sqrt", "log2", None])},
     ("Classification", "LR"): lambda r: {"C": loguniform(r, 1e-4, 100), "max_iter": r.randint(100, 2000)},
     ("Classification", "RF"): lambda r: {"n_estimators": r.randint(100, 1000), "max_depth": r.randint(3, 50),
-                                         "min_samples_leaf": r.randint(1, 20),
+                                         "min_samples_split": r.randint(2, 20), "min_samples_leaf": r.randint(1, 20),
                                          "max_features": _choice(r, ["sqrt", "log2", None]),
                                          "bootstrap": _choice(r, [True, False])},
     ("Classification", "BC"): lambda r: {"n_estimators": r.randint(10, 300), "max_samples": r.uniform(0.5, 1.0),
                                          "max_features": r.uniform(0.5, 1.0), "bootstrap": _choice(r, [True, False])},
     ("Classification", "GB"): lambda r: {"n_estimators": r.randint(100, 1000),
                                          "learning_rate": loguniform(r, 1e-3, 0.3), "max_depth": r.randint(3, 10),
-                                         "min_samples_leaf": r.randint(1, 20), "subsample": r.uniform(0.5, 1.0)},
+                                         "min_samples_split": r.randint(2, 20), "min_samples_leaf": r.randint(1, 20), "subsample": r.uniform(0.5, 1.0)},
     ("Classification", "KNC"): lambda r: {"n_neighbors": r.randint(2, 50),
                                           "weights": _choice(r, ["uniform", "distance"]), "p": r.randint(1, 2)},
     ("Classification", "SVC"): lambda r: {"C": loguniform(r, 1e-4, 100), "kernel": _choice(r, ["rbf", "linear"]),
                                           "gamma": _choice(r, ["scale", "auto"])},
-    ("Classification", "DT"): lambda r: {"max_depth": r.randint(2, 50), "min_samples_leaf": r.randint(1, 20),
+    ("Classification", "DT"): lambda r: {"max_depth": r.randint(2, 50), "min_samples_split": r.randint(2, 20), "min_samples_leaf": r.randint(1, 20),
+                                         "max_features": _choice(r, ["sqrt", "log2", None]),
                                          "criterion": _choice(r, ["gini", "entropy"])},
 }
 

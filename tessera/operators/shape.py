@@ -8,64 +8,93 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.power import clip, yeo_johnson, yeo_johnson_shifted
+from ..functions.power import clip, log_scale, yeo_johnson, yeo_johnson_scaled
 from .profile import ColumnProfile, column_stats, distinct_bounds, q, quantiles
 
 COARSE_GRID = [i / 2 for i in range(-10, 11)]      # -5.0 .. 5.0, step 0.5
 
 
-def yj_loglik_grid(df: DataFrame, grids: dict[str, list[float]]) -> dict[str, list[tuple[float, float]]]:
+def column_range(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
+    r = df.agg(*[e for j, c in enumerate(cols) for e in (F.min(F.col(q(c)).cast("double")).alias(f"a{j}"),
+                                                         F.max(F.col(q(c)).cast("double")).alias(f"b{j}"))]).first()
+    return {c: (r[f"a{j}"], r[f"b{j}"]) for j, c in enumerate(cols) if r[f"a{j}"] is not None}
+
+
+def yj_loglik_grid(df: DataFrame, grids: dict[str, list[float]],
+                   ranges: dict[str, tuple[float, float]] | None = None) -> dict[str, list[tuple[float, float]]]:
     """For every column and candidate lambda, the Yeo-Johnson log-likelihood
     ``-n/2 ln var_pop(yj(x)) + (l-1) sum(sign(x) ln(1+|x|))`` - all pairs in
-    one aggregate pass."""
+    one aggregate pass. With ``ranges`` (least and largest value per column) the
+    powers are scaled down inside, so that no lambda overflows."""
     # project every transformed value once, then aggregate plain columns (an
     # expression inside a moment aggregate is re-evaluated per buffer update)
-    proj, aggs = [], []
+    proj, aggs, scales = [], [], {}
     for j, (c, lams) in enumerate(grids.items()):
         x = F.col(q(c)).cast("double")
+        scales[c] = [log_scale(lam, *ranges[c]) if ranges and c in ranges else 0.0 for lam in lams]
         proj += [x.alias(f"x{j}"), (F.signum(x) * F.log1p(F.abs(x))).alias(f"s{j}")]
-        proj += [yeo_johnson_shifted(x, lam).alias(f"y{j}_{i}") for i, lam in enumerate(lams)]
-        aggs += [F.count(f"x{j}").alias(f"n|{c}"), F.sum(f"s{j}").alias(f"s|{c}")]
-        aggs += [F.var_pop(f"y{j}_{i}").alias(f"v{i}|{c}") for i in range(len(lams))]
+        proj += [yeo_johnson_scaled(x, lam, k).alias(f"y{j}_{i}") for i, (lam, k) in enumerate(zip(lams, scales[c]))]
+        aggs += [F.count(f"x{j}").alias(f"n{j}"), F.sum(f"s{j}").alias(f"s{j}")]
+        aggs += [F.var_pop(f"y{j}_{i}").alias(f"v{j}_{i}") for i in range(len(lams))]
     r = df.select(*proj).agg(*aggs).first()
     out = {}
-    for c, lams in grids.items():
-        n, s = r[f"n|{c}"], r[f"s|{c}"] or 0.0
+    for j, (c, lams) in enumerate(grids.items()):
+        n, s = r[f"n{j}"], r[f"s{j}"] or 0.0
         res = []
         for i, lam in enumerate(lams):
-            v = r[f"v{i}|{c}"]
-            llf = -n / 2 * math.log(v) + (lam - 1) * s if v and v > 0 and math.isfinite(v) else -math.inf
-            res.append((lam, llf))
+            v = r[f"v{j}_{i}"]
+            ok = v is not None and v > 0 and math.isfinite(v)
+            res.append((lam, -n / 2 * (math.log(v) + 2 * scales[c][i]) + (lam - 1) * s if ok else -math.inf))
         out[c] = res
     return out
 
 
 def fit_yeo_johnson(df: DataFrame, cols: list[str], rounds: int = 5, points: int = 17,
                     grid: list[float] | None = None) -> dict[str, dict]:
-    """SKW-2: lambda by grid search then ``rounds`` refinements around the best
-    point (each a single pass over the persisted columns); then the mean and
-    population std of the transformed column for standardisation."""
+    """SKW-2: lambda by grid search; while the best point of a column lies on the
+    edge of its grid, the grid moves on and widens, so lambda has no bound; then
+    ``rounds`` refinements around the best point (each a single pass over the
+    persisted columns); then the mean and population std of the transformed
+    column for standardisation."""
     if not cols:
         return {}
     data = df.select(*[F.col(q(c)).cast("double").alias(c) for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         grid = grid or COARSE_GRID
-        step = grid[1] - grid[0]
-        best = {c: max(v, key=lambda t: (t[1], -abs(t[0])))[0]
-                for c, v in yj_loglik_grid(data, {c: grid for c in cols}).items()}
+        ranges = column_range(data, cols)
+        steps = {c: grid[1] - grid[0] for c in cols}
+
+        def search(grids):
+            found = yj_loglik_grid(data, grids, ranges)
+            return {c: max(v, key=lambda t: (t[1], -abs(t[0])))[0] for c, v in found.items()}
+
+        best = search({c: grid for c in cols})
+        grids = {c: list(grid) for c in cols}
+        half = len(grid) // 2
+        for _ in range(64):
+            edge = [c for c in cols if best[c] in (grids[c][0], grids[c][-1]) and c in ranges and ranges[c][0] < ranges[c][1]]
+            if not edge:
+                break
+            for c in edge:
+                steps[c] *= 2
+                grids[c] = [best[c] + (i - half) * steps[c] for i in range(len(grid))]
+            best.update(search({c: grids[c] for c in edge}))
         half = (points - 1) // 2
         for _ in range(rounds):
-            new_step = step * 2 / (points - 1)
-            grids = {c: [best[c] + (i - half) * new_step for i in range(points)] for c in cols}
-            best = {c: max(v, key=lambda t: (t[1], -abs(t[0])))[0]
-                    for c, v in yj_loglik_grid(data, grids).items()}
-            step = new_step
-        ys = data.select(*[yeo_johnson(F.col(q(c)), best[c]).alias(c) for c in cols])
-        r = ys.agg(*[e for c in cols for e in (F.avg(F.col(q(c))).alias(f"m|{c}"),
-                                               F.stddev_pop(F.col(q(c))).alias(f"s|{c}"))]).first()
+            steps = {c: steps[c] * 2 / (points - 1) for c in cols}
+            best = search({c: [best[c] + (i - half) * steps[c] for i in range(points)] for c in cols})
+        scale = {c: log_scale(best[c], *ranges[c]) if c in ranges else 0.0 for c in cols}
+        ys = data.select(*[power_column(F.col(q(c)), best[c], scale[c]).alias(f"y{j}") for j, c in enumerate(cols)])
+        r = ys.agg(*[e for j in range(len(cols)) for e in (F.avg(f"y{j}").alias(f"m{j}"), F.stddev_pop(f"y{j}").alias(f"s{j}"))]).first()
     finally:
         data.unpersist()
-    return {c: {"lambda": best[c], "mean": r[f"m|{c}"], "std": r[f"s|{c}"] or 1.0} for c in cols}
+    return {c: {"lambda": best[c], "mean": r[f"m{j}"], "std": r[f"s{j}"] or 1.0, "log_scale": scale[c]} for j, c in enumerate(cols)}
+
+
+def power_column(x, lam: float, scale: float):
+    """The transformed column; beyond harmless powers its scaled form, which
+    standardisation makes equal."""
+    return yeo_johnson(x, lam) if scale == 0 else yeo_johnson_scaled(x, lam, scale)
 
 
 def yeo_johnson_transform(df: DataFrame, params: dict[str, dict]) -> DataFrame:
@@ -75,7 +104,7 @@ def yeo_johnson_transform(df: DataFrame, params: dict[str, dict]) -> DataFrame:
         if c in params:
             p = params[c]
             std = p["std"] if p["std"] else 1.0
-            out.append(((yeo_johnson(F.col(q(c)).cast("double"), p["lambda"]) - p["mean"]) / std).alias(c))
+            out.append(((power_column(F.col(q(c)).cast("double"), p["lambda"], p.get("log_scale", 0.0)) - p["mean"]) / std).alias(c))
         else:
             out.append(F.col(q(c)))
     return df.select(*out)

@@ -42,8 +42,9 @@ def fit_pca(df: DataFrame, cols: list[str], k: int = 10) -> dict:
     """PCA-1: components of the centred features (MLlib does not centre),
     sign fixed so that the largest |loading| of each component is positive."""
     means = {c: m for c, (m, _) in fit_scaler(df, cols).items()}
-    centred = df.select(*[(F.col(q(c)).cast("double") - means[c]).alias(c) for c in cols])
-    vec = VectorAssembler(inputCols=cols, outputCol="__v", handleInvalid="keep").transform(centred)
+    plain = [f"__x{i}" for i in range(len(cols))]
+    centred = df.select(*[(F.col(q(c)).cast("double") - means[c]).alias(x) for c, x in zip(cols, plain)])
+    vec = VectorAssembler(inputCols=plain, outputCol="__v", handleInvalid="keep").transform(centred)
     model = PCA(k=min(k, len(cols)), inputCol="__v", outputCol="__p").fit(vec)
     pc = model.pc.toArray()          # d x k, small
     comps = []

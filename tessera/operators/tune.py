@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import classification_metrics, regression_metrics
+from .metrics import classification_metrics, prefix_counts, regression_metrics
 from .models import FitContext, build, registry, sample_params
 
 log = logging.getLogger(__name__)
@@ -24,7 +24,11 @@ def fit_context(train: DataFrame, task: str, seed: int = 42) -> FitContext:
     r = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("sp"),
                   F.stddev_samp("label").alias("ss"), F.count_distinct("label").alias("k"),
                   F.max(F.size(x)).alias("d")).first()
-    xv = train.select(F.explode(x).alias("v")).agg(F.var_pop("v").alias("v")).first()["v"]
+    # variance of all feature values, summed per row
+    w = train.select(F.aggregate(x, F.lit(0.0), lambda a, v: a + v).alias("s"),
+                     F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v).alias("s2"), F.size(x).alias("d"))
+    m = w.agg(F.sum("s").alias("s"), F.sum("s2").alias("s2"), F.sum("d").alias("d")).first()
+    xv = m["s2"] / m["d"] - (m["s"] / m["d"]) ** 2 if m["d"] else None
     return FitContext(n=r["n"], n_features=r["d"] or 1, y_std_pop=r["sp"] or 1.0, y_std_samp=r["ss"] or 1.0,
                       x_var=xv or 1.0, n_classes=r["k"] or 2, seed=seed)
 
@@ -47,11 +51,14 @@ def leaderboard(train: DataFrame, test: DataFrame, task: str, models: list[str]
     ctx = fit_context(train, task, seed)
     names = models or list(registry(task))
 
+    errors: dict[str, str] = {}
+
     def run(name):
         try:
             return name, score(build(task, name, {}, ctx).fit(train), test, task)
-        except Exception as e:  # noqa: BLE001  (a model that cannot fit scores nothing)
+        except Exception as e:  # noqa: BLE001  (shown in the leaderboard's error column)
             log.warning("model %s failed: %s", name, str(e)[:200])
+            errors[name] = str(e)[:500]
             return name, None
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
@@ -63,14 +70,22 @@ def leaderboard(train: DataFrame, test: DataFrame, task: str, models: list[str]
             best, best_score = n, s
     order = sorted(names, key=lambda n: (-(results[n]) if results[n] is not None and not math.isnan(results[n])
                                          else math.inf, names.index(n)))
-    rows = [(n, results[n], i + 1, n == best) for i, n in enumerate(order)]
-    return spark.createDataFrame(rows, "model string, score double, rank int, best boolean")
+    if best is None:
+        raise RuntimeError(f"no model could be fitted: {errors}")
+    rows = [(n, results[n], i + 1, n == best, errors.get(n)) for i, n in enumerate(order)]
+    return spark.createDataFrame(rows, "model string, score double, rank int, best boolean, error string")
 
 
-def with_folds(df: DataFrame, folds: int = 5, seed: int = 42) -> DataFrame:
-    """Fold id from a seeded hash of the row id: no window, no single task;
-    within every class the folds are filled uniformly."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.col("row_id"), F.lit(seed)), F.lit(folds)).cast("int"))
+def with_folds(df: DataFrame, folds: int = 5, seed: int = 42, task: str = "Regression") -> DataFrame:
+    """Fold id from a seeded hash of the row id (which is a hash of the raw
+    row). For classification the folds are stratified: the rows of a class are
+    ranked in hash order, by distributed prefix sums, and dealt in turn, so that
+    the folds of a class differ by one row at most."""
+    spread = F.xxhash64(F.col("row_id"), F.lit(seed))
+    if task != "Classification":
+        return df.withColumn("fold", F.pmod(spread, F.lit(folds)).cast("int"))
+    ranked = prefix_counts(df.select("row_id", "label", spread.alias("spread"), F.lit(1).alias("one")), "spread", ["one"], by="label")
+    return df.join(ranked.select("row_id", (F.col("one_before") % folds).cast("int").alias("fold")), "row_id")
 
 
 def cross_val(train: DataFrame, task: str, name: str, params: dict, folds: int = 5, seed: int = 42,
@@ -92,15 +107,19 @@ def tune(train: DataFrame, task: str, name: str, n_trials: int = 10, folds: int
     parameters are refitted on the whole training part.
     Returns ``(best_score, best_params, model, trials_df)``."""
     spark = train.sparkSession
-    data = with_folds(train, folds, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    data = with_folds(train, folds, seed, task).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         ctx = fit_context(data, task, seed)
         trials = sample_params(task, name, n_trials, seed)
 
+        errors: dict[int, str] = {}
+
         def run(i):
             try:
                 return i, cross_val(data, task, name, trials[i], folds, seed, ctx)
-            except Exception:  # noqa: BLE001
+            except Exception as e:  # noqa: BLE001  (shown in the trial table)
+                log.warning("trial %s of %s failed: %s", i, name, str(e)[:200])
+                errors[i] = str(e)[:500]
                 return i, float("nan")
 
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
@@ -110,10 +129,12 @@ def tune(train: DataFrame, task: str, name: str, n_trials: int = 10, folds: int
             s = scores[i]
             if not math.isnan(s) and (best_i is None or s > scores[best_i]):
                 best_i = i
-        best_params = trials[best_i] if best_i is not None else {}
+        if best_i is None:
+            raise RuntimeError(f"every trial of {name} failed: {errors}")
+        best_params = trials[best_i]
         model = build(task, name, best_params, fit_context(train, task, seed)).fit(train)
     finally:
         data.unpersist()
-    rows = [(i, str(trials[i]), scores[i]) for i in range(len(trials))]
-    tdf = spark.createDataFrame(rows, "trial int, params string, cv_score double")
-    return (scores[best_i] if best_i is not None else None), best_params, model, tdf
+    rows = [(i, str(trials[i]), scores[i], errors.get(i)) for i in range(len(trials))]
+    tdf = spark.createDataFrame(rows, "trial int, params string, cv_score double, error string")
+    return scores[best_i], best_params, model, tdf

@@ -33,6 +33,19 @@ from ..sources.tables import normalize_nan
 
 PCA_WHEN_OVER = 50
 PCA_COMPONENTS = 10
+KEY = "__row_key"
+
+
+def row_key(cols: list[str], seed: int):
+    """md5 of the raw row (every input column as text): what splits, folds and
+    row ids hang on, so that they don't depend on fitted numbers or partitions."""
+    parts = [F.coalesce(F.col(q(c)).cast("string"), F.lit("\\N")) for c in cols]
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
+
+
+def hex_number(key, start: int, digits: int):
+    """The hexadecimal digits of ``key`` from ``start`` (1-based) as a bigint."""
+    return F.conv(F.substring(key, start, digits), 16, 10).cast("bigint")
 
 
 @dataclass
@@ -104,8 +117,11 @@ class FeaturePlan:
         if self.pca:
             df = S.pca_transform(df, self.pca, keep=extra, prefix="pc")
             cols = [f"pc{i}" for i in range(len(self.pca["components"]))]
-        asm = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
-        return asm.transform(df).select(*extra, "features")
+        # the assembler resolves names as expressions, so columns such as ``tax_0.0`` get plain ones
+        plain = [f"__x{i}" for i in range(len(cols))]
+        df = df.select(*[F.col(q(c)) for c in extra], *[F.col(q(c)).alias(x) for c, x in zip(cols, plain)])
+        asm = VectorAssembler(inputCols=plain, outputCol="features", handleInvalid="keep")
+        return asm.transform(df).select(*[F.col(q(c)) for c in extra], "features")
 
     def transform(self, df: DataFrame, keep: list[str] | tuple = ()) -> DataFrame:
         """SCO-1: raw rows -> ``features`` (+ ``label`` if present)."""
@@ -122,8 +138,8 @@ class FeaturePlan:
             enc[c] = {k: v for k, v in p.items() if k != "table"}
         meta["encoders"] = enc
         meta["table_columns"] = list(self.tables)
-        for c, t in self.tables.items():
-            t.write.mode("overwrite").parquet(f"{path}/tables/{c}")
+        for i, t in enumerate(self.tables.values()):
+            t.write.mode("overwrite").parquet(f"{path}/tables/{i}")
         spark.createDataFrame([(json.dumps(meta),)], "plan string").coalesce(1) \
             .write.mode("overwrite").text(f"{path}/plan")
 
@@ -133,24 +149,24 @@ class FeaturePlan:
         cols = meta.pop("table_columns", [])
         plan = FeaturePlan(**meta)
         plan.scaler = {c: tuple(v) for c, v in plan.scaler.items()}
-        plan.tables = {c: spark.read.parquet(f"{path}/tables/{c}") for c in cols}
+        plan.tables = {c: spark.read.parquet(f"{path}/tables/{i}") for i, c in enumerate(cols)}
         return plan
 
 
 # ---------------------------------------------------------------------- fit
 
 def fit_plan(df: DataFrame, target: str, seed: int = 42, test_size: float = 0.2, scale: bool = True,
-             distinct_cap: int | None = 5000):
+             distinct_cap: int | None = None):
     """Fit every preprocessing step. Returns ``(plan, train, test)`` where
     train/test carry ``row_id``, ``features`` and ``label`` and are
     checkpointed (lineage cut in the shared checkpoint folder)."""
     validate(df, target)
     ensure_checkpoint_dir(df.sparkSession)     # the cluster's shared folder; a local one only if unset
-    df = normalize_nan(df)
-    plan = FeaturePlan(target=target, input_schema=df.schema.json())
+    raw = normalize_nan(df)
+    plan = FeaturePlan(target=target, input_schema=raw.schema.json())
 
     # PRJ: name rules before any scan, then data rules from one profile
-    df, plan.dropped = prune_columns(df, target)
+    df, plan.dropped = prune_columns(raw, target)
 
     # TYP-1: early date coercion (> 0.6 of all rows), then typing on one cached frequency table
     df, plan.coerced = coerce_dates(df, 0.6, exclude=[target])
@@ -160,15 +176,15 @@ def fit_plan(df: DataFrame, target: str, seed: int = 42, test_size: float = 0.2,
         distinct_and_parsed(df, prof, freq, DATE_FORMATS)
         rates = rates_from_profile(prof)
         plan.types = feature_types(df, prof, distinct_cap=distinct_cap, rates=rates)
-        # TYP-2: late coercion (> 0.5) of string columns not yet typed datetime
-        late = {c: r["format"] for c, r in rates.items()
-                if c != target and c not in plan.coerced and plan.types[c] != "datetime" and r["rate_all"] > 0.5}
-        if late:
-            df = df.select(*[parse_with(F.col(q(c)), late[c]).alias(c) if c in late else F.col(q(c))
-                             for c in df.columns])
-            plan.coerced.update(late)
-            for c in late:
-                plan.types[c] = "datetime"
+        # TYP-2: late coercion of string columns typed datetime (by their non-null rate) or over 0.5 of all rows
+        late = {c: r["format"] for c, r in rates.items() if c != target and c not in plan.coerced
+                and (plan.types[c] == "datetime" or r["rate_all"] > 0.5)}
+        plan.coerced.update(late)
+        plan.types.update(dict.fromkeys(late, "datetime"))
+        # from here on every row carries the key of its raw columns
+        df = raw.select(row_key(raw.columns, seed).alias(KEY),
+                        *[parse_with(F.col(q(c)), plan.coerced[c]).alias(c) if c in plan.coerced else F.col(q(c))
+                          for c in df.columns])
         groups = group_types(plan.types)
         plan.task = problem_type(df, target, prof[target])
 
@@ -187,10 +203,10 @@ def fit_plan(df: DataFrame, target: str, seed: int = 42, test_size: float = 0.2,
         plan.imputer = clean.fit_imputer(df, num, modes, freq if freq_ok else None)
     finally:
         freq.unpersist()
-    plan.inputs = [c for c in df.columns if c != target]
+    plan.inputs = [c for c in df.columns if c not in (target, KEY)]
 
     df = datefeat.date_features(df, plan.dates)
-    derived = [c for c in df.columns if c not in plan.types and c != target]
+    derived = [c for c in df.columns if c not in plan.types and c not in (target, KEY)]
     if derived:
         plan.imputer["mean"].update(clean.means(df, derived))
     text_cols = [c for c in groups["text"] if c != target]
@@ -199,8 +215,9 @@ def fit_plan(df: DataFrame, target: str, seed: int = 42, test_size: float = 0.2,
     df = clean.impute(df, plan.imputer)
 
     # DUP-2 (after imputation); materialise: every later fit reads it
-    before = df.count()
-    df = clean.drop_duplicates(df).persist(StorageLevel.MEMORY_AND_DISK)
+    before = prof[target].n_rows - plan.null_target_rows
+    df = df.groupBy(*[F.col(q(c)) for c in df.columns if c != KEY]).agg(F.min(KEY).alias(KEY))
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     plan.duplicates_dropped = before - df.count()
 
     # TXT: tokenize once into the persisted frame, fit, then vectorise
@@ -239,13 +256,13 @@ def fit_plan(df: DataFrame, target: str, seed: int = 42, test_size: float = 0.2,
     df = encode.encode(df, fitted)
     if plan.classes is not None:
         df = encode.encode_label(df, target, plan.classes)
-    plan.features = [c for c in df.columns if c != target]
-    df = df.select(*[F.col(q(c)).cast("double").alias(c) for c in plan.features],
-                   F.col(q(target)).cast("double").alias("label"))
+    plan.features = [c for c in df.columns if c not in (target, KEY)]
 
-    # SPL: deterministic hash split on the row content; materialise once
-    df = S.split(df, plan.features + ["label"], test_size, seed)
-    df = df.withColumn("row_id", F.monotonically_increasing_id()).checkpoint()
+    # SPL: split and row id from the key of the raw row; materialise once
+    df = df.select(*[F.col(q(c)).cast("double").alias(c) for c in plan.features],
+                   F.col(q(target)).cast("double").alias("label"),
+                   (hex_number(F.col(KEY), 1, 8) / F.lit(4294967296.0) < F.lit(test_size)).alias("is_test"),
+                   hex_number(F.col(KEY), 9, 15).alias("row_id")).checkpoint()
     for c in cached:          # the checkpoint now holds everything later steps read
         c.unpersist()
     train_raw, test_raw = df.where(~F.col("is_test")), df.where(F.col("is_test"))

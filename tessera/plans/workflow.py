@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from ..operators import analyze
 from ..operators.encode import decode_label
 from ..operators.metrics import classification_metrics, regression_metrics
+from ..operators.models import KnnModel
 from ..operators.tune import leaderboard, tune
+from ..session import ensure_checkpoint_dir
 from .feature_plan import FeaturePlan, fit_plan, plan_summary
 
 log = logging.getLogger(__name__)
@@ -37,6 +39,9 @@ class FittedWorkflow:
         feats = self.plan.transform(df, keep=keep)
         if "row_id" not in feats.columns:
             feats = feats.withColumn("row_id", F.monotonically_increasing_id())
+            if isinstance(self.model, KnnModel):   # joins on the id: it must not be computed twice
+                ensure_checkpoint_dir(df.sparkSession)
+                feats = feats.checkpoint()
         out = self.model.transform(feats)
         cols = [c for c in keep if c in out.columns] + (["label"] if "label" in out.columns else [])
         pred = out.select(*cols, F.col("prediction").cast("double").alias("prediction"))
@@ -69,7 +74,7 @@ class FittedWorkflow:
 def save_model(model, path: str) -> None:
     """IO-11: MLlib models through their writers; KNN keeps its training
     table as parquet; random-Fourier models keep W, b next to the linear model."""
-    from ..operators.models import KnnModel, RffModel
+    from ..operators.models import RffModel
     spark = SparkSession.getActiveSession()
     if isinstance(model, KnnModel):
         model.train.write.mode("overwrite").parquet(f"{path}/train")
@@ -98,7 +103,7 @@ def _load_mllib(spark, path):
 def load_model(spark: SparkSession, path: str, task: str, name: str):
     import numpy as np
 
-    from ..operators.models import KnnEstimator, KnnModel, RandomFourier, RffModel
+    from ..operators.models import KnnEstimator, RandomFourier, RffModel
     fs = spark._jvm.org.apache.hadoop.fs.Path(path)
     hfs = fs.getFileSystem(spark._jsc.hadoopConfiguration())
     if hfs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/knn")):

@@ -119,6 +119,17 @@ def roc_auc_levels(spark, sf):
     return pre.select(F.col("s").alias("score"), "npos", "nneg", F.col("nneg_before").cast("bigint"))
 
 
+@register("auc_continuous", sql=f"""
+WITH r AS (SELECT o_orderpriority = '1-URGENT' AS pos, rank() OVER (ORDER BY o_totalprice)
+                  + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0 AS r FROM orders)
+SELECT {sround("(sum(CASE WHEN pos THEN r END) - count_if(pos) * (count_if(pos) + 1) / 2.0) / (count_if(pos) * count_if(NOT pos))")} AS auc
+FROM r""")
+def auc_continuous(spark, sf):
+    """EV-11 with about as many score levels as rows."""
+    o = T(spark, sf, "orders").select((F.col("o_orderpriority") == "1-URGENT").cast("int").alias("label"), "o_totalprice")
+    return rounded(spark.createDataFrame([(M.roc_auc(o, "label", "o_totalprice"),)], "auc double"), {"auc": 6})
+
+
 # ---------------------------------------------------------------- MR-8, MC-5 on embeddings
 
 EMB_SPLIT_SQL = "((('0x' || substr(md5('42|' || CAST(vec_id AS VARCHAR)), 1, 8))::UBIGINT) / 4294967296.0 < 0.2)"

@@ -40,8 +40,25 @@ def impute_mean(spark, sf):
     return rounded(clean.impute(o, p).select("o_orderkey", "o_totalprice"), {"o_totalprice": 4})
 
 
+@register("impute_mean_integer", sql=f"""
+SELECT o_orderkey, {sround('coalesce(o_custkey, (SELECT avg(o_custkey) FROM ' + ORDERS_NULLS_SQL + '))', 4)}
+  AS o_custkey FROM {ORDERS_NULLS_SQL}""")
+def impute_mean_integer(spark, sf):
+    o = orders_with_nulls(spark, sf)
+    return rounded(clean.impute(o, clean.fit_imputer(o, mean_cols=["o_custkey"])).select("o_orderkey", "o_custkey"), {"o_custkey": 4})
+
+
 # ---------------------------------------------------------------- MIS-3/4
 
+@register("impute_mode_exact", sql=f"""
+WITH o AS (SELECT o_orderkey, o_custkey + 9007199254740993 AS big FROM {ORDERS_NULLS_SQL})
+SELECT o_orderkey, coalesce(big, (SELECT big FROM o WHERE big IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS big
+FROM o""")
+def impute_mode_exact(spark, sf):
+    o = orders_with_nulls(spark, sf).select("o_orderkey", (F.col("o_custkey") + F.lit(9007199254740993)).alias("big"))
+    return clean.impute(o, clean.fit_imputer(o, mode_cols=["big"]))
+
+
 @register("impute_mode", sql=f"""
 WITH o AS {ORDERS_NULLS_SQL},
 mp AS (SELECT o_orderpriority AS v FROM o WHERE o_orderpriority IS NOT NULL GROUP BY 1
@@ -276,15 +293,32 @@ def yeo_johnson_grid(spark, sf):
     return rounded(spark.createDataFrame(rows, "column string, lambda double, llf double"), {"llf": 3})
 
 
+YJ_ROUNDS = 3      # refinements of the checked fit: lambda to 0.001, where both engines' sums agree on the best
+
+
+def _yj_fit_sql(c: str) -> str:
+    """CTEs b0..bR: the best lambda of the coarse grid, then of each refinement."""
+    def yj(lam):
+        return (f"CASE WHEN {c} >= 0 THEN CASE WHEN {lam} = 0 THEN ln({c} + 1) ELSE pow({c} + 1, {lam}) / {lam} END "
+                f"ELSE CASE WHEN {lam} = 2 THEN -ln(1 - {c}) ELSE -(pow(1 - {c}, 2 - {lam}) - 1) / (2 - {lam}) END "
+                f"+ CASE WHEN {lam} = 0 THEN 0 ELSE 1.0 / {lam} END END")
+    llf = f"-count({c}) / 2.0 * ln(var_pop({yj('g.lam')})) + (g.lam - 1) * sum(sign({c}) * ln(1 + abs({c})))"
+    step, out = 0.5, []
+    grid = "SELECT CAST(i AS DOUBLE) / 2 AS lam FROM range(-10, 11) t(i)"
+    for r in range(YJ_ROUNDS + 1):
+        out.append(f"b{r} AS (SELECT lam FROM (SELECT g.lam, {llf} AS llf FROM lineitem, ({grid}) g GROUP BY g.lam) "
+                   "ORDER BY llf DESC, abs(lam) LIMIT 1)")
+        step /= 8
+        grid = f"SELECT lam + (i - 8) * {step!r} AS lam FROM b{r}, range(0, 17) t(i)"
+    return ",\n".join(out)
+
+
 def _yj_apply_sql():
     c = "l_extendedprice"
-    grid = union_sql([f"SELECT {float(lam)} AS lam, -count({c}) / 2.0 * ln(var_pop({_yj_var_sql_expr(c, lam)})) + "
-                      f"({lam} - 1) * sum(sign({c}) * ln(1 + abs({c}))) AS llf FROM lineitem"
-                      for lam in shape.COARSE_GRID])
-    cases = " ".join(f"WHEN lam = {float(lam)} THEN {_yj_sql_expr(c, lam)}" for lam in shape.COARSE_GRID)
     return f"""
-WITH best AS (SELECT lam FROM ({grid}) ORDER BY llf DESC, abs(lam) ASC LIMIT 1),
-t AS (SELECT l_orderkey, l_linenumber, CASE {cases} END AS y FROM lineitem, best)
+WITH {_yj_fit_sql(c)},
+t AS (SELECT l_orderkey, l_linenumber, CASE WHEN lam = 0 THEN ln({c} + 1) ELSE (pow({c} + 1, lam) - 1) / lam END AS y
+      FROM lineitem, b{YJ_ROUNDS})
 SELECT l_orderkey, l_linenumber, {sround('(y - (SELECT avg(y) FROM t)) / (SELECT stddev_pop(y) FROM t)', 6)}
   AS l_extendedprice FROM t"""
 
@@ -292,7 +326,7 @@ SELECT l_orderkey, l_linenumber, {sround('(y - (SELECT avg(y) FROM t)) / (SELECT
 @register("yeo_johnson_apply", sql=_yj_apply_sql())
 def yeo_johnson_apply(spark, sf):
     li = T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    p = shape.fit_yeo_johnson(li, ["l_extendedprice"], rounds=0)
+    p = shape.fit_yeo_johnson(li, ["l_extendedprice"], rounds=YJ_ROUNDS)
     return rounded(shape.yeo_johnson_transform(li, p), {"l_extendedprice": 6})
 
 

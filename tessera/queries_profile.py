@@ -137,11 +137,12 @@ def correlation_pairs(spark, sf):
 TYPED_TABLES = ["customer", "orders", "lineitem", "part", "supplier", "events", "documents", "labels"]
 SQL_DATE_FORMATS = "['%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M:%S.%f', '%Y-%m-%dT%H:%M:%S', " \
                    "'%Y-%m-%d %H:%M', '%Y-%m-%d', '%Y/%m/%d', '%m/%d/%Y', '%m/%d/%Y %H:%M', " \
-                   "'%d-%m-%Y', '%d.%m.%Y', '%b %d, %Y', '%d %b %Y', '%B %d, %Y']"
+                   "'%d-%m-%Y', '%d.%m.%Y', '%b %d, %Y', '%d %b %Y', '%B %d, %Y', '%d/%m/%Y', " \
+                   "'%m/%d/%Y %H:%M:%S', '%d/%m/%Y %H:%M:%S', '%Y%m%d']"
 
 
 def _type_case(table: str, c: str, t: str) -> str:
-    u = f"least(count(DISTINCT {c}), 5000)"
+    u = f"count(DISTINCT {c})"
     arms = [f"WHEN count({c}) = 0 THEN 'all_null'", f"WHEN count(DISTINCT {c}) <= 1 THEN 'constant'"]
     if t in NUMERIC_TYPES:
         arms.append(f"WHEN count_if({c} NOT IN (0, 1)) = 0 THEN 'boolean'")

@@ -28,15 +28,28 @@ def labelled_documents(spark, sf):
     return T(spark, sf, "labels").join(T(spark, sf, "documents"), "doc_id")
 
 
-# ---------------------------------------------------------------- IO-1..5 (CSV written by Spark from orders)
+# ---------------------------------------------------------------- IO-1..5 (CSV written by Spark)
+
+def csv_copy(spark, sf, table, multi_line=True):
+    path = shared_dir(spark, f"{table}-csv")
+    (T(spark, sf, table).write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", '""')
+     .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
+    return read_csv(spark, path + "/", multi_line=multi_line)
+
 
 @register("csv_roundtrip", sql="""
-SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders""")
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate,
+       o_orderpriority FROM orders""")
 def csv_roundtrip(spark, sf):
-    path = shared_dir(spark, "orders-csv")
-    T(spark, sf, "orders").write.option("header", True).csv(path)
-    df = read_csv(spark, path + "/")
-    return df.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    return csv_copy(spark, sf, "orders")
+
+
+@register("csv_documents", sql="""
+SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents""")
+def csv_documents(spark, sf):
+    """Texts with quotes, commas and line breaks through a CSV file and back."""
+    d = csv_copy(spark, sf, "documents")
+    return d.select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
 
 
 # ---------------------------------------------------------------- SEL-1/2
@@ -79,6 +92,75 @@ def score_batch(spark, sf):
     return wf.predict(T(spark, sf, "orders"), keep=["o_orderkey"])
 
 
+# ---------------------------------------------------------------- regression and SQL-checked plans
+
+@register("fit_regression")
+def fit_regression(spark, sf):
+    """The whole workflow on a regression target: leaderboard of the closed-form
+    and tree models, tuning of the best, evaluation."""
+    from .plans.workflow import fit
+    wf = fit(T(spark, sf, "lineitem"), "l_extendedprice", n_trials=3, folds=3, models=["LR", "L2", "DT"], with_report=False)
+    return wf.metrics.select(F.lit(wf.model_name).alias("model"), "MAE", "RMSE", "R2", "MAPE", "EVS")
+
+
+@register("fit_orders")
+def fit_orders(spark, sf):
+    """The whole workflow on a classification target."""
+    from .plans.workflow import fit
+    wf = fit(T(spark, sf, "orders"), "o_orderstatus", n_trials=3, folds=3, models=["LR", "DT"], with_report=False)
+    return wf.board.select("model", "rank", "best", F.round("score", 6).alias("score"))
+
+
+PREPARED = ["o_orderdate_year", "o_orderdate_month", "o_orderdate_day", "o_orderdate_dayofweek", "o_orderdate_quarter",
+            "o_orderdate_weekofyear", "o_orderdate_days_since", "o_orderstatus_F", "o_orderstatus_O", "o_orderstatus_P"]
+_DAY = "CAST(floor((epoch_us(o_orderdate) - (SELECT min(epoch_us(o_orderdate)) FROM orders)) / 86400000000) AS DOUBLE)"
+_PREPARED_SQL = dict(zip(PREPARED, ["year(o_orderdate)", "month(o_orderdate)", "day(o_orderdate)", "isodow(o_orderdate) - 1",
+                                    "quarter(o_orderdate)", "weekofyear(o_orderdate)", _DAY, "CAST(o_orderstatus = 'F' AS INT)",
+                                    "CAST(o_orderstatus = 'O' AS INT)", "CAST(o_orderstatus = 'P' AS INT)"]))
+
+
+@register("prepared_orders", sql="SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS DOUBLE) AS label, "
+          + ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in _PREPARED_SQL.items()) + " FROM orders")
+def prepared_orders(spark, sf):
+    """Date, one-hot and label columns of a fitted plan, row by row."""
+    o = T(spark, sf, "orders")
+    plan, _, _ = fit_plan(o, "o_orderpriority")
+    return plan.prepare(o, keep=["o_orderkey"]).select("o_orderkey", "label", *PREPARED)
+
+
+@register("plan_split", sql="""
+WITH k AS (SELECT md5(concat_ws('|', '42', coalesce(CAST(l.doc_id AS VARCHAR), '\\N'), coalesce(CAST(quality AS VARCHAR), '\\N'),
+                      coalesce(CAST(toxic AS VARCHAR), '\\N'), coalesce(lang, '\\N'), coalesce(source, '\\N'),
+                      coalesce(CAST(n_chars AS VARCHAR), '\\N'))) AS k, quality
+           FROM labels l JOIN documents d ON l.doc_id = d.doc_id)
+SELECT CAST(quality AS DOUBLE) AS label, ('0x' || substr(k, 1, 8))::UBIGINT / 4294967296.0 < 0.2 AS is_test,
+       CAST(('0x' || substr(k, 9, 15))::UBIGINT AS BIGINT) AS row_id FROM k""")
+def plan_split(spark, sf):
+    """The plan's own split and row ids, from the raw row."""
+    d = labelled_documents(spark, sf).select("doc_id", "quality", "toxic", "lang", "source", "n_chars")
+    _, train, test = fit_plan(d, "quality")
+    return train.select("label", F.lit(False).alias("is_test"), "row_id").unionByName(
+        test.select("label", F.lit(True).alias("is_test"), "row_id"))
+
+
+@register("linear_fit", sql="""
+SELECT round(regr_slope(l_extendedprice, l_quantity), 4) + 0.0 AS slope,
+       round(regr_intercept(l_extendedprice, l_quantity), 3) + 0.0 AS intercept,
+       round(regr_r2(l_extendedprice, l_quantity), 6) + 0.0 AS r2 FROM lineitem""")
+def linear_fit(spark, sf):
+    """MR-1 in closed form."""
+    from pyspark.ml.feature import VectorAssembler
+
+    from .operators.metrics import regression_metrics
+    from .operators.models import FitContext, build
+    li = T(spark, sf, "lineitem").select("l_quantity", F.col("l_extendedprice").alias("label"))
+    data = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(li)
+    model = build("Regression", "LR", {}, FitContext(1, 1)).fit(data)
+    r2 = regression_metrics(model.transform(data)).select(F.round("R2", 6).alias("r2"))
+    return r2.select(F.round(F.lit(float(model.coefficients[0])), 4).alias("slope"),
+                     F.round(F.lit(float(model.intercept)), 3).alias("intercept"), "r2")
+
+
 # ---------------------------------------------------------------- SCO-2
 
 @register("score_stream")

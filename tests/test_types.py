@@ -18,12 +18,11 @@ def test_decision_list(spark):
                  "dstr": "datetime", "flag": "boolean"}
 
 
-def test_distinct_cap_keeps_sample_quirk(spark):
-    # 6000 distinct of 6000 rows: the reference's 5000-row sample makes it categorical,
-    # not id (5000/6000 < 0.95); without the cap it is an id
+def test_unique_columns_of_any_length_are_ids(spark):
+    # 6000 distinct of 6000 rows: an id; a cap of 5000 values makes it numerical (5000/6000 < 0.95)
     df = spark.range(6000).selectExpr("cast(id * 3 as bigint) as k", "cast(id % 7 as int) as y")
-    assert feature_types(df)["k"] == "numerical"
-    assert feature_types(df, distinct_cap=None)["k"] == "id"
+    assert feature_types(df)["k"] == "id"
+    assert feature_types(df, distinct_cap=5000)["k"] == "numerical"
 
 
 def test_problem_type(spark):
