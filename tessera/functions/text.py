@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .names import q
+
 # The English stop-word list of the public NLTK corpus (the
 # 179-word edition; apostrophe forms can never match a normalised token but
 # are kept so that the list reads as published).
@@ -121,9 +123,9 @@ def token_rows(df, col: str, keep: list[str] | tuple = (), lemmatize: bool = Tru
     rules and the length filter run as ordinary codegen'd column
     expressions rather than per-element lambdas."""
     stop = list(STOP_WORDS if stop_words is None else stop_words)
-    raw = F.split(split_contractions(clean_text(F.col(col))), " ")
-    t = df.select(*[F.col(k) for k in keep], F.explode(raw).alias("__t"))
+    raw = F.split(split_contractions(clean_text(F.col(q(col)))), " ")
+    t = df.select(*[F.col(q(k)) for k in keep], F.explode(raw).alias("__t"))
     t = t.where((F.col("__t") != "") & ~F.col("__t").isin(stop))
     term = lemma(F.col("__t")) if lemmatize else F.col("__t")
-    t = t.select(*[F.col(k) for k in keep], term.alias(alias))
+    t = t.select(*[F.col(q(k)) for k in keep], term.alias(alias))
     return t.where(F.length(alias) >= min_len) if min_len else t

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import q
+
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FLOATING = (T.FloatType, T.DoubleType, T.DecimalType)
 TIMESTAMP = (T.TimestampType, T.TimestampNTZType, T.DateType)
@@ -55,11 +57,6 @@ def pandas_dtype(dt: T.DataType) -> str:
     return PANDAS_DTYPE.get(s, "object")
 
 
-def q(c: str) -> str:
-    """Back-quote a column name for SQL expressions."""
-    return "`" + c.replace("`", "``") + "`"
-
-
 @dataclass
 class ColumnProfile:
     name: str

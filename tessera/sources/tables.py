@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import q
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -17,7 +19,7 @@ def normalize_nan(df: DataFrame) -> DataFrame:
     if not fl:
         return df
     return df.select(*[
-        F.when(F.isnan(F.col(c)), F.lit(None)).otherwise(F.col(c)).alias(c) if c in fl else F.col(c)
+        F.when(F.isnan(F.col(q(c))), F.lit(None)).otherwise(F.col(q(c))).alias(c) if c in fl else F.col(q(c))
         for c in df.columns])
 
 
