@@ -122,8 +122,7 @@ def scott_bandwidth(n: int, std: float) -> float:
 def density(df: DataFrame, col: str, points: int = KDE_POINTS, cut: float = KDE_CUT) -> DataFrame:
     """VIZ-3: Gaussian KDE on ``points`` grid points spanning
     [min - cut*h, max + cut*h]. Evaluated over the ``(value, count)``
-    frequency table in one aggregate (``points`` sums), so repeated values
-    cost once and no row is paired with the grid."""
+    frequency table, so repeated values cost once."""
     spark = df.sparkSession
     p = column_stats(df, [col])[col]
     if not p.non_null or not p.std:
@@ -134,10 +133,11 @@ def density(df: DataFrame, col: str, points: int = KDE_POINTS, cut: float = KDE_
     freq = (df.select(F.col(q(col)).cast("double").alias("v")).where(F.col("v").isNotNull())
             .groupBy("v").agg(F.count(F.lit(1)).alias("cnt")))
     norm = 1.0 / (p.non_null * h * math.sqrt(2 * math.pi))
-    r = freq.agg(*[F.sum(F.col("cnt") * F.exp(-F.pow((F.lit(g) - F.col("v")) / h, 2) / 2)).alias(f"d{i}")
-                   for i, g in enumerate(grid)]).first()
-    rows = [(col, i, g, r[f"d{i}"] * norm) for i, g in enumerate(grid)]
-    return spark.createDataFrame(rows, "column string, point int, x double, density double")
+    # every distinct value meets the grid's literal points; one sum per point, combined before the shuffle
+    at = freq.select("v", "cnt", F.posexplode(F.array(*[F.lit(g) for g in grid])).alias("point", "x"))
+    term = F.col("cnt") * F.exp(-F.pow((F.col("x") - F.col("v")) / h, 2) / 2)
+    sums = at.groupBy("point", "x").agg((F.sum(term) * norm).alias("density"))
+    return sums.select(F.lit(col).alias("column"), "point", "x", "density")
 
 
 def box_summary(df: DataFrame, cols: list[str], whis: float = 1.5) -> DataFrame:

@@ -1,9 +1,9 @@
 """TXT-8..10: TF-IDF with the reference's conventions, and word frequencies
 (VIZ-8).
 
-Fit: ``explode`` the normalised tokens -> per-(doc, term) counts -> per-term
-corpus count and document frequency (two partial-aggregated shuffles) ->
-top ``max_features`` by (count desc, term) -> alphabetical index,
+Fit: ``explode`` the normalised and the distinct tokens of a document ->
+per-term corpus count and document frequency (one partial-aggregated shuffle of
+terms) -> top ``max_features`` by (count desc, term) -> alphabetical index,
 ``idf = ln((1+n)/(1+df)) + 1``.
 Apply: MLlib ``CountVectorizerModel.from_vocabulary`` (raw term counts,
 JVM hash map per row) -> ``ElementwiseProduct(idf)`` -> ``Normalizer(2)``;
@@ -47,14 +47,13 @@ def _tokens(df: DataFrame, col: str):
 
 def term_stats(df: DataFrame, col: str, doc_key: str | None = None) -> DataFrame:
     """``(term, cnt, df)``: corpus count and document frequency of every term."""
-    key = F.col(q(doc_key)) if doc_key else F.monotonically_increasing_id()
-    if tok_col(col) in df.columns:
-        rows = df.select(key.alias("__doc"), F.explode(F.col(tok_col(col))).alias("term"))
-    else:
-        rows = token_rows(df.select(key.alias("__doc"), F.col(q(col)).alias("__text")), "__text", ["__doc"],
-                          min_len=MIN_TOKEN_LEN)
-    per_doc = rows.groupBy("__doc", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return per_doc.groupBy("term").agg(F.sum("tf").alias("cnt"), F.count(F.lit(1)).alias("df"))
+    # a document adds its tokens (counted) and its distinct tokens (for df); terms
+    # alone are shuffled, combined in the scan tasks, never (document, term) pairs
+    toks = df.select(_tokens(df, col).alias("t")).select("t", F.array_distinct("t").alias("u"))
+    n = F.size("t")
+    rows = toks.select(n.alias("n"), F.posexplode(F.concat("t", "u")).alias("i", "term"))
+    return rows.groupBy("term").agg(F.count_if(F.col("i") < F.col("n")).alias("cnt"),
+                                    F.count_if(F.col("i") >= F.col("n")).alias("df"))
 
 
 def fit_tfidf(df: DataFrame, col: str, max_features: int = 100, doc_key: str | None = None) -> dict:
