@@ -197,6 +197,7 @@ def report(df: DataFrame, target: str, **type_kw) -> dict[str, DataFrame]:
             out["outlier_analysis"] = outliers_section(f, num, qs)
         out["categorical_analysis"] = categories_section(f)
         out["correlations"] = correlation_pairs(df, num)
-        return {k: v.cache() for k, v in out.items()}
+        # one row per column (or pair of columns): made here, while the frequency table is kept
+        return {k: df.sparkSession.createDataFrame(v.collect(), v.schema) for k, v in out.items()}
     finally:
         freq.unpersist()

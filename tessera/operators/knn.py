@@ -76,6 +76,16 @@ def knn_candidates(test: DataFrame, train: DataFrame, k: int, features, id_col:
                     F.col("y").alias("label"), "rank"))
 
 
+def knn_class_shares(test: DataFrame, train: DataFrame, n_classes: int, k: int = 5, features="features", id_col: str = "id",
+                     label_col: str = "label", p: int = 2, weights: str = "uniform") -> DataFrame:
+    """MC-5 with scores: ``(test_id, prediction, shares)``, the share of the
+    votes of each class 0..n_classes-1; the first largest share wins."""
+    votes = knn_votes(test, train, k, features, id_col, label_col, p, weights)
+    own = [F.sum(F.when(F.col("label") == i, F.col("votes")).otherwise(0.0)) / F.sum("votes") for i in range(n_classes)]
+    shares = votes.groupBy("test_id").agg(F.array(*own).alias("shares"))
+    return shares.select("test_id", (F.array_position("shares", F.array_max("shares")) - 1).cast("double").alias("prediction"), "shares")
+
+
 def knn_regress(test: DataFrame, train: DataFrame, k: int = 5, features="features", id_col: str = "id",
                 label_col: str = "label", p: int = 2, weights: str = "uniform") -> DataFrame:
     """MR-8: ``(test_id, prediction)``: mean (or 1/distance-weighted mean) of
@@ -89,17 +99,23 @@ def knn_regress(test: DataFrame, train: DataFrame, k: int = 5, features="feature
     return c.groupBy("test_id").agg((F.sum(w * F.col("label")) / F.sum(w)).alias("prediction"))
 
 
-def knn_classify(test: DataFrame, train: DataFrame, k: int = 5, features="features", id_col: str = "id",
-                 label_col: str = "label", p: int = 2, weights: str = "uniform") -> DataFrame:
-    """MC-5: ``(test_id, prediction)``: (weighted) majority vote, ties -> the
-    smallest label."""
+def knn_votes(test: DataFrame, train: DataFrame, k: int = 5, features="features", id_col: str = "id",
+              label_col: str = "label", p: int = 2, weights: str = "uniform") -> DataFrame:
+    """``(test_id, label, votes)`` of the k nearest rows."""
     c = knn_candidates(test, train, k, features, id_col, label_col, p)
     if weights == "distance":
         c = c.withColumn("zero", F.max((F.col("dist") == 0).cast("int")).over(Window.partitionBy("test_id")))
         w = F.when(F.col("zero") == 1, (F.col("dist") == 0).cast("double")).otherwise(1.0 / F.col("dist"))
     else:
         w = F.lit(1.0)
-    votes = c.groupBy("test_id", "label").agg(F.sum(w).alias("votes"))
+    return c.groupBy("test_id", "label").agg(F.sum(w).alias("votes"))
+
+
+def knn_classify(test: DataFrame, train: DataFrame, k: int = 5, features="features", id_col: str = "id",
+                 label_col: str = "label", p: int = 2, weights: str = "uniform") -> DataFrame:
+    """MC-5: ``(test_id, prediction)``: (weighted) majority vote, ties -> the
+    smallest label."""
+    votes = knn_votes(test, train, k, features, id_col, label_col, p, weights)
     win = Window.partitionBy("test_id").orderBy(F.desc("votes"), F.asc("label"))
     return (votes.withColumn("r", F.row_number().over(win)).where("r = 1")
             .select("test_id", F.col("label").alias("prediction")))

@@ -24,7 +24,7 @@ from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .knn import knn_classify, knn_regress
+from .knn import knn_class_shares, knn_regress
 
 MAX_DEPTH = 30          # MLlib's limit for tree depth; also used where the reference sets no limit
 RFF_COMPONENTS = 100    # default number of random Fourier features (parameter ``components``)
@@ -78,8 +78,8 @@ def subset(v) -> str:
 class KnnEstimator:
     """MR-8 / MC-5 as an estimator over the exact KNN join."""
 
-    def __init__(self, task: str, k: int = 5, weights: str = "uniform", p: int = 2):
-        self.task, self.k, self.weights, self.p = task, k, weights, p
+    def __init__(self, task: str, k: int = 5, weights: str = "uniform", p: int = 2, n_classes: int = 2):
+        self.task, self.k, self.weights, self.p, self.n_classes = task, k, weights, p, n_classes
 
     def fit(self, df: DataFrame):
         return KnnModel(self, df)
@@ -92,8 +92,12 @@ class KnnModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         test = df.select("row_id", vector_to_array("features").alias("x"))
-        fn = knn_regress if self.est.task == "Regression" else knn_classify
-        pred = fn(test, self.train, self.est.k, "x", "row_id", "label", self.est.p, self.est.weights)
+        e = self.est
+        if e.task == "Regression":
+            pred = knn_regress(test, self.train, e.k, "x", "row_id", "label", e.p, e.weights)
+        else:
+            pred = knn_class_shares(test, self.train, e.n_classes, e.k, "x", "row_id", "label", e.p, e.weights)
+            pred = pred.select("test_id", "prediction", array_to_vector("shares").alias("probability"))
         return df.join(pred.withColumnRenamed("test_id", "row_id"), "row_id", "left")
 
 
@@ -244,7 +248,7 @@ def _gb_cls(p, ctx):
 
 def _knc(p, ctx):
     return KnnEstimator("Classification", int(p.get("n_neighbors", 5)), p.get("weights", "uniform"),
-                        int(p.get("p", 2)))
+                        int(p.get("p", 2)), ctx.n_classes)
 
 
 def _svc(p, ctx):

@@ -20,6 +20,7 @@ from ..operators.metrics import classification_metrics, regression_metrics
 from ..operators.models import KnnModel
 from ..operators.tune import leaderboard, tune
 from ..session import ensure_checkpoint_dir
+from ..sources.reports import write_evaluation, write_inputs, write_report
 from .feature_plan import FeaturePlan, fit_plan, plan_summary
 
 log = logging.getLogger(__name__)
@@ -79,7 +80,7 @@ def save_model(model, path: str) -> None:
     if isinstance(model, KnnModel):
         model.train.write.mode("overwrite").parquet(f"{path}/train")
         spark.createDataFrame([(json.dumps({"k": model.est.k, "weights": model.est.weights, "p": model.est.p,
-                                            "task": model.est.task}),)], "m string") \
+                                            "task": model.est.task, "n_classes": model.est.n_classes}),)], "m string") \
             .coalesce(1).write.mode("overwrite").text(f"{path}/knn")
     elif isinstance(model, RffModel):
         r = model.rff
@@ -109,7 +110,7 @@ def load_model(spark: SparkSession, path: str, task: str, name: str):
     if hfs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/knn")):
         m = json.loads(spark.read.text(f"{path}/knn").first()[0])
         km = KnnModel.__new__(KnnModel)
-        km.est = KnnEstimator(m["task"], m["k"], m["weights"], m["p"])
+        km.est = KnnEstimator(m["task"], m["k"], m["weights"], m["p"], m["n_classes"])
         km.train = spark.read.parquet(f"{path}/train")
         return km
     if hfs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/rff")):
@@ -142,8 +143,10 @@ def evaluate(wf_model, test: DataFrame, task: str) -> DataFrame:
 
 
 def fit(df: DataFrame, target: str, n_trials: int = 10, folds: int = 5, seed: int = 42,
-        models: list[str] | None = None, with_report: bool = True, parallelism: int = 4) -> FittedWorkflow:
-    """PIP-1: the whole workflow as Spark jobs."""
+        models: list[str] | None = None, with_report: bool = True, parallelism: int = 4,
+        sink: str | None = None) -> FittedWorkflow:
+    """PIP-1: the whole workflow as Spark jobs. With ``sink`` the report, the
+    evaluation and the scoring input contract are written below that path (IO-6..8)."""
     report = analyze.report(df, target) if with_report else None
     plan, train, test = fit_plan(df, target, seed=seed)
     board = leaderboard(train, test, plan.task, models, parallelism, seed)
@@ -152,6 +155,11 @@ def fit(df: DataFrame, target: str, n_trials: int = 10, folds: int = 5, seed: in
         raise RuntimeError("no model could be fitted")
     cv, params, model, trials = tune(train, plan.task, best["model"], n_trials, folds, seed, parallelism)
     metrics = evaluate(model, test, plan.task)
+    if sink:
+        if report:
+            write_report(report, f"{sink}/report")
+        write_evaluation(metrics, sink)
+        write_inputs(df.sparkSession, plan.inputs, sink)
     return FittedWorkflow(plan, model, best["model"], params, cv, report, board, metrics, trials)
 
 

@@ -68,8 +68,8 @@ NUMERIC_TYPES = {"bigint", "int", "double"}
 PANDAS = {"bigint": "int64", "int": "int32", "double": "float64", "string": "object",
           "timestamp": "datetime64[ns]"}
 
-# the numerical columns of lineitem under the typing rules (checked on its own
-# by the feature_types query)
+# measures of lineitem that the numeric sections are checked on (typing is checked
+# on its own by the feature_types query)
 LINEITEM_NUMERICAL = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
 

@@ -105,3 +105,18 @@ FROM (SELECT DISTINCT * FROM documents)""")
 def chart_clean(spark, sf):
     d = C.clean_for_charts(T(spark, sf, "documents"))
     return d.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("docs"))
+
+
+@register("chart_data", sql="""
+SELECT * FROM (VALUES ('num_dist'), ('box'), ('cat'), ('target'), ('num_vs_num')) t(chart)""")
+def chart_data(spark, sf):
+    """VIZ-10: which charts the whole of ``orders`` gives, all computed."""
+    types = {"numerical": ["o_totalprice", "o_custkey"], "categorical": ["o_orderstatus", "o_orderpriority"], "text": []}
+    charts = C.chart_data(T(spark, sf, "orders"), types, "o_orderpriority", ["o_orderkey"])
+    out = None
+    for name, df in charts.items():
+        frames = df.values() if isinstance(df, dict) else [df]
+        for f in frames:
+            one = f.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit(name).alias("chart"))
+            out = one if out is None else out.unionByName(one)
+    return out

@@ -60,8 +60,8 @@ DESCRIBE_DIGITS = {"mean": 4, "std": 4, "min": 4, "q25": 4, "q50": 4, "q75": 4,
 
 @register("describe_numeric", sql=_describe_sql("lineitem", LINEITEM_NUMERICAL))
 def describe_numeric(spark, sf):
-    f = A.facts(T(spark, sf, "lineitem"))
-    out = A.describe_section(f)
+    f = A.facts(T(spark, sf, "lineitem").select(*LINEITEM_NUMERICAL))
+    out = A.describe_section(f, LINEITEM_NUMERICAL)
     f.release()
     return rounded(out, DESCRIBE_DIGITS)
 
@@ -97,8 +97,8 @@ GROUP BY q1, q3""")
 
 @register("iqr_outliers", sql=_iqr_sql("lineitem", LINEITEM_NUMERICAL))
 def iqr_outliers(spark, sf):
-    f = A.facts(T(spark, sf, "lineitem"))
-    out = A.outliers_section(f)
+    f = A.facts(T(spark, sf, "lineitem").select(*LINEITEM_NUMERICAL))
+    out = A.outliers_section(f, LINEITEM_NUMERICAL)
     f.release()
     return rounded(out, {"lower_bound": 4, "upper_bound": 4})
 
@@ -126,10 +126,7 @@ def category_counts(spark, sf):
     + " AS corr FROM lineitem"
     for a in LINEITEM_NUMERICAL for b in LINEITEM_NUMERICAL]))
 def correlation_pairs(spark, sf):
-    f = A.facts(T(spark, sf, "lineitem"), cache_freq=False)
-    out = A.correlation_pairs(f.df, f.groups["numerical"])
-    f.release()
-    return rounded(out, {"corr": 6})
+    return rounded(A.correlation_pairs(T(spark, sf, "lineitem"), LINEITEM_NUMERICAL), {"corr": 6})
 
 
 # ---------------------------------------------------------------- TYP-4
@@ -212,6 +209,18 @@ def validate_checks_q(spark, sf):
     return spark.createDataFrame(rows, "check_name string, passed boolean, detail string")
 
 
+@register("validate_failing", sql="""
+SELECT 'empty' AS target, 'target_not_all_null' AS check_name, 'failed' AS kind, count(*) AS rows FROM orders
+UNION ALL SELECT 'absent', 'target_exists', 'failed', count(*) FROM orders
+UNION ALL SELECT 'absent', 'target_not_all_null', 'failed', count(*) FROM orders""")
+def validate_failing(spark, sf):
+    """The checks that fail for a target without values and for an absent one."""
+    o = T(spark, sf, "orders").select("o_orderkey", F.lit(None).cast("string").alias("empty"))
+    n = o.count()
+    rows = [(t, c, "failed", n) for t in ("empty", "absent") for c, ok, _ in validate_checks(o, t) if not ok]
+    return spark.createDataFrame(rows, "target string, check_name string, kind string, rows bigint")
+
+
 # ---------------------------------------------------------------- PRJ-1..5
 
 PRUNED_TABLES = ["customer", "orders", "lineitem", "part", "supplier", "events"]

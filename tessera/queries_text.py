@@ -84,9 +84,10 @@ tf AS (SELECT t.doc_id, t.term, count(*) * any_value(v.idf) AS w
        FROM {TERMS_SQL} t JOIN v ON t.term = v.term GROUP BY t.doc_id, t.term)
 SELECT doc_id, term, {sround('w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))', 6)} AS weight FROM tf""")
 def tfidf_weights(spark, sf):
-    from pyspark import StorageLevel
+    from .session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
     # tokenize once: the fit (term statistics) and the vectoriser read the same tokens
-    d = TF.tokenize(T(spark, sf, "documents").select("doc_id", "text"), "text").persist(StorageLevel.MEMORY_AND_DISK)
+    d = TF.tokenize(T(spark, sf, "documents").select("doc_id", "text"), "text").checkpoint()
     p = TF.fit_tfidf(d, "text", 100, "doc_id")
     return rounded(TF.tfidf_long(d, p, "doc_id"), {"weight": 6})
 
