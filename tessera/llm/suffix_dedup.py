@@ -72,10 +72,9 @@ class _Part:
         value *= powers(_BASE, n)
         self.total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(value, out=self.total[1:])
-        size = np.diff(edge)
-        self.end = np.repeat(edge[1:], size)
-        self.begin = np.repeat(edge[:-1], size)
         self.at, self.hash = self._anchors()
+        text = np.searchsorted(edge, self.at, side="right") - 1
+        self.at_begin, self.at_end = edge[text], edge[text + 1]   # of the text around each anchor
 
     def hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of each byte string begin..end."""
@@ -92,14 +91,16 @@ class _Part:
         span *= powers(_INVERSE, n)[: len(span)]
         h = np.full(n, LAST, dtype=np.uint64)
         h[: len(span)] = mix64(span + np.uint64(self.gram)) | np.uint64(1)
-        place = np.arange(n)
-        h[place + self.gram > self.end] = LAST
+        texts = list(zip(self.edge[:-1].tolist(), self.edge[1:].tolist()))
+        for a, b in texts:    # grams and windows that would cross into the next text
+            h[max(a, b - self.gram + 1):b] = LAST
         least = sliding_min(h, w)
-        low = np.zeros(n, dtype=np.uint64)
-        low[: len(least)] = least
-        low[place + self.length > self.end] = 0
         # the largest window minimum over the windows that hold the gram: a minimum of the complement
-        high = ~sliding_min(np.append(np.full(w - 1, LAST, dtype=np.uint64), ~low), w)
+        low = np.full(n + w - 1, LAST, dtype=np.uint64)
+        np.invert(least, out=low[w - 1:w - 1 + len(least)])
+        for a, b in texts:
+            low[w - 1 + max(a, b - self.length + 1):w - 1 + b] = LAST
+        high = ~sliding_min(low, w)
         at = np.flatnonzero((high == h) & (h != LAST))
         return at, h[at]
 
@@ -118,9 +119,10 @@ class _Bytes:
         part, at, begin, end, body, done = [], [], [], [], [], 0
         reach = self.length - self.gram
         for i, (_, p) in enumerate(self.parts):
-            own = p.at[wanted[done:done + len(p.at)]]
+            use = wanted[done:done + len(p.at)]
             done += len(p.at)
-            a, z = np.maximum(own - reach, p.begin[own]), np.minimum(own + self.length, p.end[own])
+            own = p.at[use]
+            a, z = np.maximum(own - reach, p.at_begin[use]), np.minimum(own + self.length, p.at_end[use])
             part.append(np.full(len(own), i))
             at.append(own)
             begin.append(a)
@@ -156,10 +158,11 @@ class _Bytes:
         """(hashes, places per part) of the windows that hold a hot anchor."""
         hashes, starts, done = [], [], 0
         for _, p in self.parts:
-            own = p.at[hot[done:done + len(p.at)]]
+            use = hot[done:done + len(p.at)]
             done += len(p.at)
-            low = np.maximum(own + self.gram - self.length, p.begin[own])
-            high = np.minimum(own, p.end[own] - self.length)
+            own = p.at[use]
+            low = np.maximum(own + self.gram - self.length, p.at_begin[use])
+            high = np.minimum(own, p.at_end[use] - self.length)
             start = np.unique(ragged(low, np.maximum(high - low + 1, 0)))
             starts.append(start)
             hashes.append(p.hashes(start, start + self.length))
@@ -260,8 +263,8 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
                   text_col: str = "text") -> DataFrame:
     """RESULT rows, one per distinct text; spans are (begin, end) byte places of
     the removed runs, one after the other."""
-    texts = R.distinct_texts(docs, F.col(f"`{text_col}`"))
-    log2 = R.fan_out(docs, 8 << 20)
+    texts = R.distinct_texts(docs, F.col(f"`{text_col}`"), 2 << 20)
+    log2 = R.fan_out(docs, 4 << 20)
 
     def ask_anchors(table: pa.Table) -> pa.Table:
         own = _Bytes(table, length, gram)
