@@ -30,6 +30,7 @@ byte; only the windows of step 3 go by a 64-bit hash.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -199,57 +200,120 @@ def interval_tree(prefix: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
+class _Sorted:
+    """Distinct (left context reversed, suffix) pairs at one anchor as a suffix
+    array: order, common prefixes of neighbours, left contexts in array order."""
+
+    def __init__(self, lefts: list[bytes], rights: list[bytes]):
+        n = len(rights)
+        self.order = sorted(range(n), key=rights.__getitem__)
+        suffix = _matrix([rights[i] for i in self.order], max(map(len, rights)) or 1)
+        size = np.array([len(rights[i]) for i in self.order])
+        self.prefix = _common(suffix[1:], suffix[:-1], size[1:], size[:-1])
+        self.before = _matrix([lefts[i] for i in self.order], max(map(len, lefts)) or 1)
+        self.room = np.array([len(lefts[i]) for i in self.order])
+        self.by_left = np.zeros(n, dtype=np.int64)
+        self.by_left[np.array(sorted(range(n), key=lambda k: lefts[self.order[k]]))] = np.arange(n)
+
+    def intervals(self):
+        """(common prefix, places, common left extension of neighbours) of every
+        interval; places are all its occurrences in the order of their left contexts."""
+        for shared, a, b in interval_tree(self.prefix.tolist()):
+            own = np.arange(a, b + 1)
+            own = own[np.argsort(self.by_left[own])]
+            yield shared, own, _common(self.before[own[1:]], self.before[own[:-1]], self.room[own[1:]], self.room[own[:-1]])
+
+
 def extents(lefts: list[bytes], rights: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """For distinct (left context reversed, suffix) pairs at one anchor: how far
     to the left and right the repeats of ``length`` bytes or more reach."""
-    n = len(rights)
-    order = sorted(range(n), key=rights.__getitem__)
-    suffix = _matrix([rights[i] for i in order], max(map(len, rights)) or 1)
-    size = np.array([len(rights[i]) for i in order])
-    before = _matrix([lefts[i] for i in order], max(map(len, lefts)) or 1)
-    room = np.array([len(lefts[i]) for i in order])
-    by_left = np.zeros(n, dtype=np.int64)
-    by_left[np.array(sorted(range(n), key=lambda k: lefts[order[k]]))] = np.arange(n)
-    left, right = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-    for shared, a, b in interval_tree(_common(suffix[1:], suffix[:-1], size[1:], size[:-1]).tolist()):
-        # all occurrences of this right extension, in the order of their left extensions
-        own = np.arange(a, b + 1)
-        own = own[np.argsort(by_left[own])]
-        near = _common(before[own[1:]], before[own[:-1]], room[own[1:]], room[own[:-1]])
+    array = _Sorted(lefts, rights)
+    left, right = np.zeros(len(rights), dtype=np.int64), np.zeros(len(rights), dtype=np.int64)
+    for shared, own, near in array.intervals():
         most = np.maximum(np.append(near, 0), np.insert(near, 0, 0))
         group = most + shared >= length
         left[own[group]] = np.maximum(left[own[group]], most[group])
         right[own[group]] = np.maximum(right[own[group]], shared)
-    back = np.empty(n, dtype=np.int64)
-    back[order] = np.arange(n)
+    back = np.empty(len(rights), dtype=np.int64)
+    back[array.order] = np.arange(len(rights))
     return left[back], right[back]
 
 
+def groups_at(lefts: list[bytes], rights: list[bytes], length: int) -> list[tuple[int, int, list[int]]]:
+    """Maximal repeat groups at one anchor: (bytes to the left, bytes to the
+    right, all occurrences). Occurrences of an interval that share a left
+    extension form a group if neither side can be extended for all of them."""
+    array, out = _Sorted(lefts, rights), []
+    for shared, own, near in array.intervals():
+        for lcs, a, b in interval_tree(near.tolist()):
+            at = own[a:b + 1]
+            if lcs + shared >= length and array.prefix[at.min():at.max()].min() == shared:
+                out.append((lcs, shared, [array.order[i] for i in at.tolist()]))
+    return out
+
+
+class _Range:
+    """The contexts of one hash range, anchor by anchor."""
+
+    def __init__(self, metas: list[bytes], datas: list[bytes]):
+        meta = [np.frombuffer(m, META) for m in metas]
+        self.row = np.repeat(np.arange(len(meta)), [len(m) for m in meta])   # input row of each context
+        self.number = np.concatenate([np.arange(len(m)) for m in meta])      # and its number there
+        self.every = np.concatenate(meta)
+        self.data = b"".join(datas)
+        self.rows = len(meta)
+
+    def anchors(self) -> Iterator[dict[tuple[int, bytes], list[int]]]:
+        """For each anchor its distinct (left length, context) and who has them."""
+        every, data = self.every, self.data
+        stop = np.concatenate([[0], np.cumsum(every["left"].astype(np.int64) + every["right"])])
+        order = np.argsort(every["hash"], kind="stable")
+        h = every["hash"][order]
+        cut = np.append(np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])), len(h))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            same: dict[tuple[int, bytes], list[int]] = {}
+            for i in order[a:b].tolist():
+                same.setdefault((int(every["left"][i]), data[stop[i]:stop[i + 1]]), []).append(i)
+            yield same
+
+
 def _range_extents(metas: list[bytes], datas: list[bytes], length: int) -> list[bytes]:
     """(left, right) extents of the contexts of one hash range, per input row."""
-    meta = [np.frombuffer(m, META) for m in metas]
-    rows = np.repeat(np.arange(len(meta)), [len(m) for m in meta])
-    every = np.concatenate(meta)
-    size = every["left"].astype(np.int64) + every["right"]
-    data = b"".join(datas)
-    stop = np.concatenate([[0], np.cumsum(size)])
-    out = np.zeros((len(every), 2), dtype=np.uint16)
-    order = np.argsort(every["hash"], kind="stable")
-    h = every["hash"][order]
-    cut = np.append(np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])), len(h))
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        same: dict[tuple[int, bytes], list[int]] = {}
-        for i in order[a:b].tolist():
-            same.setdefault((int(every["left"][i]), data[stop[i]:stop[i + 1]]), []).append(i)
+    found = _Range(metas, datas)
+    out = np.zeros((len(found.every), 2), dtype=np.uint16)
+    for same in found.anchors():
         if len(same) > 1:
             parts = list(same)
             left, right = extents([d[:k][::-1] for k, d in parts], [d[k:] for k, d in parts], length)
             for own, lo, hi in zip(same.values(), left.tolist(), right.tolist()):
                 out[own] = (lo, hi)
         for (k, d), own in same.items():  # a whole context found twice
-            if len(own) > 1 or every["times"][own[0]] > 1:
+            if len(own) > 1 or found.every["times"][own[0]] > 1:
                 out[own] = (k, len(d) - k)
-    return [out[rows == r].tobytes() for r in range(len(meta))]
+    return [out[found.row == r].tobytes() for r in range(found.rows)]
+
+
+def _range_groups(metas: list[bytes], datas: list[bytes], length: int, gram: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(group, bytes to the left, length, input row, context number) of every
+    occurrence of every maximal repeat group of one hash range."""
+    found = _Range(metas, datas)
+    for same in found.anchors():
+        parts, owners = list(same), list(same.values())
+        # a context found more than once is two leaves, so that it can form groups with itself
+        leaf = [i for i, own in enumerate(owners) for _ in range(1 + (len(own) > 1 or found.every["times"][own[0]] > 1))]
+        if len(leaf) < 2:
+            continue
+        texts = [(d[:k][::-1], d[k:]) for k, d in parts]
+        for lo, hi, members in groups_at([texts[i][0] for i in leaf], [texts[i][1] for i in leaf], length):
+            members = sorted({leaf[m] for m in members})
+            k, d = parts[members[0]]
+            string = np.frombuffer(d[k - lo:k + hi], dtype=np.uint8)
+            if lo not in _Part(string, np.array([0, len(string)]), length, gram).at:
+                continue   # an anchor by bytes outside the string: not all its occurrences meet here
+            name = int.from_bytes(hashlib.blake2b(d[k - lo:k + hi], digest_size=8).digest(), "big", signed=True)
+            for m in members:
+                for i in owners[m]:
+                    yield name, lo, lo + hi, int(found.row[i]), int(found.number[i])
 
 
 def _reply(table: pa.Table, kind: int, column: str) -> tuple[list[int], list[bytes]]:
@@ -259,32 +323,60 @@ def _reply(table: pa.Table, kind: int, column: str) -> tuple[list[int], list[byt
     return own.column("p").to_pylist(), own.column(column).to_pylist()
 
 
+class _Job:
+    """The passes that both results share, for one table and its parameters."""
+
+    def __init__(self, docs: DataFrame, length: int, gram: int, hot: int, text_col: str):
+        self.length, self.gram, self.hot = length, gram, hot
+        self.texts = R.distinct_texts(docs, F.col(f"`{text_col}`"), 2 << 20)
+        self.log2 = R.fan_out(docs, 4 << 20)
+
+    def first(self) -> DataFrame:
+        """Replies of kind 1: which anchors occur again, and which are hot."""
+        length, gram, hot, log2 = self.length, self.gram, self.hot, self.log2
+
+        def ask_anchors(table: pa.Table) -> pa.Table:
+            own = _Bytes(table, length, gram)
+            return R.table_of(R.QUESTION, R.questions(own.chunk.chunk, own.hash, None, log2, cap=CAP))
+
+        asked = self.texts.groupBy("chunk").applyInArrow(ask_anchors, R.QUESTION)
+        return asked.groupBy("p").applyInArrow(lambda t: R.answer(t, False, (2, hot)), R.ANSWER).select(
+            "chunk", "p", "bits", F.lit(None).cast("binary").alias("extents"), F.lit(1).alias("kind"))
+
+    def flagged(self):
+        length, gram, log2 = self.length, self.gram, self.log2
+
+        def flag(table: pa.Table, replies: pa.Table) -> tuple[_Bytes, np.ndarray, np.ndarray]:
+            own = _Bytes(table, length, gram)
+            again, many = R.read_answers(*_reply(replies, 1, "bits"), own.hash, log2, levels=2)
+            return own, again & ~many, many
+
+        return flag
+
+    def contexts(self, first: DataFrame) -> DataFrame:
+        """CONTEXTS rows: packed contexts, and the windows of hot anchors."""
+        flag, log2 = self.flagged(), self.log2
+
+        def send(table: pa.Table, replies: pa.Table) -> pa.Table:
+            if not table.num_rows:
+                return R.table_of(CONTEXTS, [[]] * 6)
+            own, again, many = flag(table, replies)
+            packed = own.context_rows(own.contexts(again), log2)
+            ask = R.questions(own.chunk.chunk, own.windows(many)[0], None, log2, exact=True)
+            counted = dict(zip(ask[0], ask[2]))
+            ranges = sorted(packed.keys() | counted.keys())
+            return R.table_of(CONTEXTS, [ranges, [own.chunk.chunk] * len(ranges), [counted.get(p) for p in ranges],
+                                         [None] * len(ranges), *([packed.get(p, (None, None))[k] for p in ranges] for k in (0, 1))])
+
+        return self.texts.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(send, CONTEXTS)
+
+
 def removed_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT,
                   text_col: str = "text") -> DataFrame:
     """RESULT rows, one per distinct text; spans are (begin, end) byte places of
     the removed runs, one after the other."""
-    texts = R.distinct_texts(docs, F.col(f"`{text_col}`"), 2 << 20)
-    log2 = R.fan_out(docs, 4 << 20)
-
-    def ask_anchors(table: pa.Table) -> pa.Table:
-        own = _Bytes(table, length, gram)
-        return R.table_of(R.QUESTION, R.questions(own.chunk.chunk, own.hash, None, log2, cap=CAP))
-
-    def flagged(table: pa.Table, replies: pa.Table) -> tuple[_Bytes, np.ndarray, np.ndarray]:
-        own = _Bytes(table, length, gram)
-        again, many = R.read_answers(*_reply(replies, 1, "bits"), own.hash, log2, levels=2)
-        return own, again & ~many, many
-
-    def send(table: pa.Table, replies: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return R.table_of(CONTEXTS, [[]] * 6)
-        own, again, many = flagged(table, replies)
-        packed = own.context_rows(own.contexts(again), log2)
-        ask = R.questions(own.chunk.chunk, own.windows(many)[0], None, log2, exact=True)
-        counted = dict(zip(ask[0], ask[2]))
-        ranges = sorted(packed.keys() | counted.keys())
-        return R.table_of(CONTEXTS, [ranges, [own.chunk.chunk] * len(ranges), [counted.get(p) for p in ranges],
-                                     [None] * len(ranges), *([packed.get(p, (None, None))[k] for p in ranges] for k in (0, 1))])
+    job = _Job(docs, length, gram, hot, text_col)
+    flag, log2 = job.flagged(), job.log2
 
     def match(table: pa.Table) -> pa.Table:
         p = int(table.column("p")[0].as_py())
@@ -306,7 +398,7 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         rows: list[list] = [[] for _ in range(7)]
         if not table.num_rows:
             return R.table_of(RESULT, rows)
-        own, again, many = flagged(table, replies)
+        own, again, many = flag(table, replies)
         c = own.contexts(again)
         said = dict(zip(*_reply(replies, 2, "extents")))
         reach = np.frombuffer(b"".join(said[p] for p in sorted(said)), dtype=np.uint16).reshape(-1, 2).astype(np.int64)[c["entry"]]
@@ -333,12 +425,78 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
                     col.append(value)
         return R.table_of(RESULT, rows)
 
-    first = texts.groupBy("chunk").applyInArrow(ask_anchors, R.QUESTION)
-    first = first.groupBy("p").applyInArrow(lambda t: R.answer(t, False, (2, hot)), R.ANSWER).select(
-        "chunk", "p", "bits", F.lit(None).cast("binary").alias("extents"), F.lit(1).alias("kind"))
-    second = texts.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(send, CONTEXTS)
-    second = second.groupBy("p").applyInArrow(match, REPLY)
-    return texts.groupBy("chunk").cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(remove, RESULT)
+    first = job.first()
+    second = job.contexts(first).groupBy("p").applyInArrow(match, REPLY)
+    return job.texts.groupBy("chunk").cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(remove, RESULT)
+
+
+def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, text_col: str = "text") -> DataFrame:
+    """The maximal repeat groups with all their occurrences: group (a hash of the
+    repeated string), length, d1 and d2 (digests of the text), place (of its first
+    byte). A repeat that reaches beyond the context of an anchor comes as one
+    group per anchor; around hot anchors every repeated window is a group. Equal
+    texts are one occurrence. A run of one period has as many maximal repeats as
+    places, so this listing, unlike the removal, grows with the square of such runs."""
+    job = _Job(docs, length, gram, hot, text_col)
+    flag, log2 = job.flagged(), job.log2
+    found_schema, out_schema = "chunk int, p int, bits binary, extents binary, kind int", "group long, length int, d1 long, d2 long, place int"
+    item = np.dtype([("group", "<i8"), ("left", "<i4"), ("length", "<i4"), ("number", "<i4")])
+
+    def match(table: pa.Table) -> pa.Table:
+        p = int(table.column("p")[0].as_py())
+        cols: list[list] = [[], [], [], [], []]
+        asks = table.filter(pc.is_valid(table.column("counted")))
+        if asks.num_rows:
+            said = R.answer(asks, True)
+            for c, bits in zip(said.column("chunk").to_pylist(), said.column("bits").to_pylist()):
+                for col, v in zip(cols, (c, p, bits, None, 2)):
+                    col.append(v)
+        found = table.filter(pc.is_valid(table.column("meta")))
+        if found.num_rows:
+            rows = list(_range_groups(found.column("meta").to_pylist(), found.column("data").to_pylist(), length, gram))
+            chunk = found.column("chunk").to_pylist()
+            by_row: dict[int, list] = {}
+            for name, left, size, row, number in rows:
+                by_row.setdefault(row, []).append((name, left, size, number))
+            for row, items in by_row.items():
+                for col, v in zip(cols, (chunk[row], p, None, np.array(items, dtype=item).tobytes(), 2)):
+                    col.append(v)
+        return R.table_of(found_schema, cols)
+
+    def locate(table: pa.Table, replies: pa.Table) -> pa.Table:
+        cols: list[list] = [[], [], [], [], []]
+        if not table.num_rows:
+            return R.table_of(out_schema, cols)
+        own, again, many = flag(table, replies)
+        c = own.contexts(again)
+
+        def add(group: int, size: int, part: int, place: int) -> None:
+            first_doc, p = own.parts[part]
+            d = int(np.searchsorted(p.edge, place, side="right")) - 1
+            for col, v in zip(cols, (group, size, int(own.chunk.d1[first_doc + d]), int(own.chunk.d2[first_doc + d]), place - int(p.edge[d]))):
+                col.append(v)
+
+        holders: dict[int, list[int]] = {}
+        for i, e in enumerate(c["entry"].tolist()):
+            holders.setdefault(e, []).append(i)
+        # contexts are numbered within a hash range; the ranges follow each other in hash order
+        cut = R._parts(np.sort(c["hash"][c["head"]]), log2, True)
+        for p, blob in zip(*_reply(replies, 2, "extents")):
+            for name, left, size, number in np.frombuffer(blob, item).tolist():
+                for i in holders[int(cut[p]) + number]:
+                    add(name, size, int(c["part"][i]), int(c["at"][i]) - left)
+        hashes, starts = own.windows(many)
+        window = R.read_answers(*_reply(replies, 2, "bits"), hashes, log2, exact=True)[0]
+        place = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        part = np.repeat(np.arange(len(starts)), [len(x) for x in starts])
+        for i in np.flatnonzero(window).tolist():
+            add(int(hashes[i].astype(np.int64)), length, int(part[i]), int(place[i]))
+        return R.table_of(out_schema, cols)
+
+    first = job.first()
+    second = job.contexts(first).groupBy("p").applyInArrow(match, found_schema)
+    located = job.texts.groupBy("chunk").cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(locate, out_schema)
+    return located.distinct()
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id",

@@ -84,3 +84,31 @@ def test_interval_tree():
             if len(ws) > 1 and (n == longest or len({w[n] for w in ws}) > 1 or any(len(w) == n for w in ws)):
                 want.add((n, tuple(ws)))
     assert got == want
+
+
+def test_repeat_groups_hold_all_occurrences(spark):
+    rows = [r for r in planted(9) if r[0] not in (1001, 1002)]   # a periodic run has quadratically many repeats
+    texts = {t.encode() for _, t, *_ in rows}
+    df = frame(spark, rows)
+    d1, d2 = S.R.digests(df.text)
+    name = {(r.a, r.b): r.text.encode() for r in df.select(d1.alias("a"), d2.alias("b"), "text").collect()}
+    for hot in (S.HOT, 4):
+        groups = {}
+        for r in S.repeat_groups(df, hot=hot).collect():
+            groups.setdefault((r.group, r.length), set()).add((name[r.d1, r.d2], r.place))
+        assert groups
+        covered = {t: np.zeros(len(t), dtype=bool) for t in texts}
+        for (_, n), places in groups.items():
+            strings = {t[a:a + n] for t, a in places}
+            assert n >= 400 and len(strings) == 1 and len(places) > 1
+            string = strings.pop()
+            assert places == {(t, i) for t in texts for i in range(len(t) - n + 1) if t.startswith(string, i)}
+            for t, a in places:
+                covered[t][a:a + n] = True
+        seen = Counter(t[i:i + 400] for t in texts for i in range(len(t) - 399))
+        for t in texts:
+            want = np.zeros(len(t), dtype=bool)
+            for i in range(len(t) - 399):
+                if seen[t[i:i + 400]] > 1:
+                    want[i:i + 400] = True
+            assert (covered[t] == want).all()
