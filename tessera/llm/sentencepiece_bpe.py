@@ -33,7 +33,7 @@ from .common import ragged, sha256_hex
 
 MARK = "▁"            # stands for a space
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
-CACHE_SEGMENTS = 200_000   # segments that a worker keeps, and about as many characters a call handles
+CACHE_SEGMENTS = 300_000   # segments that a worker keeps
 NONE = np.int32(1 << 30)
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # piece types of the public model format
 
@@ -68,15 +68,48 @@ class Pieces:
                     pairs[a << 32 | b] = (rank[i], i)
                     for x in (a, b):
                         best_use[x] = min(best_use.get(x, rank[i]), rank[i])
-        self.pair_key = np.array(sorted(pairs), dtype=np.int64)
-        self.pair_rank = np.array([pairs[k][0] for k in self.pair_key.tolist()], dtype=np.int32)
-        self.pair_id = np.array([pairs[k][1] for k in self.pair_key.tolist()], dtype=np.int64)
+        keys = np.array(sorted(pairs), dtype=np.int64)
+        self.pair_rank = np.array([pairs[k][0] for k in keys.tolist()], dtype=np.int32)
+        self.pair_id = np.array([pairs[k][1] for k in keys.tolist()], dtype=np.int64)
+        self._hash_pairs(keys)
         # merging to a symbol is safe to do everywhere at once if no use of it ranks as high
         self.pair_safe = np.array([best_use.get(i, NONE) > r for r, i in zip(self.pair_rank.tolist(), self.pair_id.tolist())],
                                   dtype=bool)
         points = np.array(sorted((ord(c), i) for c, i in symbols.items() if len(c) == 1), dtype=np.int64).reshape(-1, 2)
         self.char_point, self.char_symbol = points[:, 0], points[:, 1]
 
+    def _hash_pairs(self, keys: np.ndarray) -> None:
+        """Open addressing over a table of at least four places a pair; a place
+        holds a key and its row, an empty one -1."""
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.slot_key = np.full((1 << bits) + 64, -1, dtype=np.int64)
+        self.slot_row = np.zeros((1 << bits) + 64, dtype=np.int32)
+        row, at = np.arange(len(keys)), self._slot(keys)
+        while len(row):   # in each round, one pair takes a free place, the others move on
+            free = np.flatnonzero(self.slot_key[at] < 0)
+            taken, first = np.unique(at[free], return_index=True)
+            self.slot_key[taken], self.slot_row[taken] = keys[row[free[first]]], row[free[first]]
+            left = np.ones(len(row), dtype=bool)
+            left[free[first]] = False
+            row, at = row[left], at[left] + 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def _rows(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each pair in the table, -1 if it doesn't merge."""
+        at = self._slot(keys)
+        out = np.full(len(keys), -1, dtype=np.int64)
+        open_ = np.arange(len(keys))
+        while len(open_):
+            found = self.slot_key[at]
+            hit = found == keys[open_]
+            out[open_[hit]] = self.slot_row[at[hit]]
+            more = ~hit & (found >= 0)
+            open_, at = open_[more], at[more] + 1
+        return out
+
     @classmethod
     def load(cls, path: str) -> Pieces:
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -93,17 +126,17 @@ class Pieces:
 
     # ---------------------------------------------------------------- encoding
 
-    def _pairs(self, sym: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each place: rank of the pair (place, next), and its row in the table."""
-        rank = np.full(len(sym), NONE, dtype=np.int32)
-        row = np.zeros(len(sym), dtype=np.int64)
-        if len(sym) > 1 and len(self.pair_key):
-            key = sym[:-1] << 32 | sym[1:]
-            at = np.searchsorted(self.pair_key, key)
-            at[at == len(self.pair_key)] = 0
-            ok = (self.pair_key[at] == key) & (seg[:-1] == seg[1:]) & (sym[:-1] >= 0) & (sym[1:] >= 0)
-            rank[:-1][ok] = self.pair_rank[at[ok]]
-            row[:-1] = at
+    def _pairs(self, sym: np.ndarray, seg: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each of the places ``at``: rank of the pair (place, next), and its
+        row in the table."""
+        rank, row = np.full(len(at), NONE, dtype=np.int32), np.zeros(len(at), dtype=np.int64)
+        ok = np.flatnonzero(at < len(sym) - 1)
+        a = at[ok]
+        ok = ok[(seg[a] == seg[a + 1]) & (sym[a] >= 0) & (sym[a + 1] >= 0)]
+        a = at[ok]
+        found = self._rows(sym[a] << 32 | sym[a + 1])
+        ok, found = ok[found >= 0], found[found >= 0]
+        rank[ok], row[ok] = self.pair_rank[found], found
         return rank, row
 
     def encode_segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -116,8 +149,8 @@ class Pieces:
         seg = np.repeat(np.arange(len(segments)), length)
         place = np.arange(len(point))
         done_sym, done_seg, done_place = [], [], []
+        rank, row = self._pairs(sym, seg, place)
         while len(sym):
-            rank, row = self._pairs(sym, seg)
             begin = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
             best = np.minimum.reduceat(rank, begin)
             size = np.diff(np.append(begin, len(sym)))
@@ -139,7 +172,11 @@ class Pieces:
             sym[hit] = self.pair_id[row[hit]]
             keep = ~over
             keep[hit + 1] = False
-            sym, seg, place = sym[keep], seg[keep], place[keep]
+            new = np.cumsum(keep)[hit] - 1
+            sym, seg, place, rank, row = sym[keep], seg[keep], place[keep], rank[keep], row[keep]
+            # only the pairs on both sides of a merged symbol are new
+            new = np.unique(np.concatenate([new, new[new > 0] - 1]))
+            rank[new], row[new] = self._pairs(sym, seg, new)
         if not done_sym:
             return np.zeros(0, np.int64), np.zeros(len(segments) + 1, np.int64)
         sym, seg, place = np.concatenate(done_sym), np.concatenate(done_seg), np.concatenate(done_place)
@@ -161,6 +198,19 @@ class Pieces:
         return ids, np.cumsum(offsets)
 
 
+class _Numbers(dict):
+    """Numbers of the segments met so far; new ones are numbered and listed."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, segment: str) -> int:
+        self[segment] = number = len(self)
+        self.new.append(segment)
+        return number
+
+
 class Encoder:
     """Encodes batches of texts; keeps the segments it has met."""
 
@@ -169,7 +219,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.ids: np.ndarray = np.zeros(0, dtype=np.int32)
         self.begin: np.ndarray = np.zeros(0, dtype=np.int64)
         self.length: np.ndarray = np.zeros(0, dtype=np.int64)
@@ -185,20 +235,16 @@ class Encoder:
         """(ids, offsets) over the texts, each with the closing ids."""
         if len(self.number) > CACHE_SEGMENTS:
             self._clear()
-        number, new, flat, per_text = self.number, [], [], []
+        number, numbers = self.number.__getitem__, []
         for text in texts:
             parts = SEGMENT.findall(MARK + text.replace(" ", MARK)) if text else []
-            for p in parts:
-                if p not in number:
-                    number[p] = len(number)
-                    new.append(p)
-            flat.extend([number[p] for p in parts])
-            per_text.append(len(parts))
-        if new:
-            self._learn(new)
-        at = np.array(flat, dtype=np.int64)
+            numbers.append(np.fromiter(map(number, parts), dtype=np.int64, count=len(parts)))
+        if self.number.new:
+            self._learn(self.number.new)
+            self.number.new = []
+        at = np.concatenate(numbers) if numbers else np.zeros(0, dtype=np.int64)
         size = self.length[at]
-        per = np.array(per_text, dtype=np.int64)
+        per = np.array([len(x) for x in numbers], dtype=np.int64)
         edge = np.concatenate([[0], np.cumsum(per)])
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[ragged(self.begin[at], size)]

@@ -10,8 +10,8 @@ shard ``s // shard_size`` at byte ``(s % shard_size) * stride``: training reads
 sequentially and can resume at any slot.
 
 Shards are rows of a Parquet table (data binary), because a cluster's store is
-reached through Spark's writers. Neither slots nor sequences pass the driver;
-bucket offsets are windows of at most 1024 buckets and of their totals.
+reached through Spark's writers. Neither slots nor sequences pass the driver; one
+task adds up one number per bucket.
 
 Defined cases: a null text counts as empty (its end id only); rows that repeat
 doc_id and text are each written; an empty table gives no shard; padding is the
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +35,6 @@ from .common import mix64
 SEQ_LEN = 2048
 SHARD_SIZE = 4096     # sequences of a shard
 ROUNDS = 6
-GROUP = 1024          # buckets whose offsets one window row range holds
 SHARD = "shard long, first_slot long, n_sequences int, stride int, width int, n_tokens long, lengths binary, data binary"
 
 
@@ -98,19 +98,19 @@ def token_rows(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
             .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "version"), F.lit(buckets)).cast("int")).repartition("bucket"))
 
 
-def bucket_offsets(rows: DataFrame, seq_bytes: int) -> DataFrame:
-    """bucket, first (number of its first sequence), total (of all buckets)."""
-    size = rows.groupBy("bucket").agg(F.sum(F.octet_length("ids").cast("long")).alias("bytes")).select(
-        "bucket", F.floor(F.col("bucket") / GROUP).alias("block"), F.ceil(F.col("bytes") / seq_bytes).alias("n"))
-    before = Window.partitionBy("block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    inner = size.withColumn("inner", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    blocks = size.groupBy("block").agg(F.sum("n").alias("block_n"))
-    ahead = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    blocks = blocks.select(F.col("block").alias("o_block"), F.coalesce(F.sum("block_n").over(ahead), F.lit(0)).alias("outer"),
-                           F.sum("block_n").over(every).alias("total"))
-    return inner.join(blocks, F.col("block") == F.col("o_block")).select(
-        F.col("bucket").alias("bucket"), (F.col("inner") + F.col("outer")).alias("first"), "total")
+def bucket_offsets(rows: DataFrame, stride: int) -> DataFrame:
+    """bucket, first (number of its first sequence), total (of all buckets). One
+    row per bucket of several MB of tokens meets in the window."""
+    def count(table: pa.Table) -> pa.Table:
+        # takes whole rows, so that Spark reuses the exchange of the tokens
+        size = int(pc.sum(pc.binary_length(table.column("ids"))).as_py() or 0)
+        return R.table_of("bucket int, n long", [[table.column("bucket")[0].as_py()], [-(-size // stride)]])
+
+    size = rows.groupBy("bucket").applyInArrow(count, "bucket int, n long")
+    order = Window.orderBy("bucket")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return size.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.sum("n").over(every).alias("total"))
 
 
 def training_shards(docs: DataFrame, model_path: str | None = None, key: int = 2, seq_len: int = SEQ_LEN,
