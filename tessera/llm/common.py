@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Java form of the word pattern and of the white space around words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,6 +35,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Documents are some KB a row: 10,000 of them, Arrow's default, are tens of
+    MB on both sides of the pipe. A value that the user has set is left alone."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
+
+
+def small_slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in parts, so that few texts become Python strings at once."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else; a text of ASCII alone takes the fast path."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, ASCII_UPPER, ASCII_UPPER.lower()))

@@ -29,10 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches, small_slices
+
 BINS_LOG2 = 16
 ORDERS = (1, 2, 3)
 MAX_TRAIN = 20_000
-PIECE_CHARS = 1 << 19   # characters handled at once
+PIECE_CHARS = 1 << 18   # characters handled at once
 LETTER = re.compile(r"[^\W\d_]")
 #: Odd multipliers, one per n-gram order and place (fixed values).
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xB5297A4D], dtype=np.uint32)
@@ -109,7 +111,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(language, bin, count) of one task; bin -1 counts documents."""
     table: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
-    for b in batches:
+    for b in small_slices(batches):
         langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
         for lang in sorted(set(langs)):
             own = [t for x, t in zip(langs, texts) if x == lang]
@@ -182,11 +184,12 @@ def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.nd
 def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred",
             score_col: str = "score") -> DataFrame:
     """``docs`` with the two columns added (their names must be free)."""
+    small_batches(docs.sparkSession)
     handle = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_slices(batches):
             langs, scores = score_texts(handle.value, b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                                              names=[*b.schema.names, pred_col, score_col])

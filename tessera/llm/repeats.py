@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 QUESTION = "p int, chunk int, counted binary, asked binary"
 ANSWER = "chunk int, p int, bits binary"
 TEXT = "d1 long, d2 long, text string, n long"
@@ -77,9 +79,10 @@ def _first_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rest[i:i + 10_000]), types)], names=names)
 
 
-def distinct_texts(docs: DataFrame, text: Column, chunk_bytes: int = 4 << 20) -> DataFrame:
+def distinct_texts(docs: DataFrame, text: Column, chunk_bytes: int = 2 << 20) -> DataFrame:
     """(d1, d2, text, n, chunk): the texts of ``docs``; n adds up to the number
     of rows that have the text, which is in one row of each scan task at least."""
+    small_batches(docs.sparkSession)
     log2 = fan_out(docs, chunk_bytes)
     text = F.coalesce(text, F.lit(""))
     d1, d2 = digests(text)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ragged, sha256_hex
+from .common import ragged, sha256_hex, small_batches, small_slices
 
 MARK = "▁"            # stands for a space
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
@@ -175,7 +175,7 @@ class Pieces:
             new = np.cumsum(keep)[hit] - 1
             sym, seg, place, rank, row = sym[keep], seg[keep], place[keep], rank[keep], row[keep]
             # only the pairs on both sides of a merged symbol are new
-            new = np.unique(np.concatenate([new, new[new > 0] - 1]))
+            new = np.concatenate([new, new[new > 0] - 1])
             rank[new], row[new] = self._pairs(sym, seg, new)
         if not done_sym:
             return np.zeros(0, np.int64), np.zeros(len(segments) + 1, np.int64)
@@ -360,12 +360,13 @@ def _share(spark: SparkSession, model_path: str):
 
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with the ids (end id included) of every whole text added."""
+    small_batches(docs.sparkSession)
     handle = _share(docs.sparkSession, model_path)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _worker(handle)[0]
-        for b in batches:
+        for b in small_slices(batches):
             row = 0
             for part in _bounded(b.column(at).to_pylist()):
                 ids, offsets = encoder.encode(part)
@@ -384,11 +385,11 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _worker(handle)[1]
-        for b in batches:
+        for b in small_slices(batches):
             lists = b.column(at)
             lists = lists.fill_null([]) if lists.null_count else lists
             offsets = lists.offsets.to_numpy().astype(np.int64)
-            flat = lists.values.to_numpy(zero_copy_only=False)
+            flat = lists.values.to_numpy(zero_copy_only=False)   # offsets are places in it, for a slice too
             texts: list[str] = []
             a = 0
             while a < len(lists):  # a bounded number of ids at once

@@ -328,7 +328,7 @@ class _Job:
 
     def __init__(self, docs: DataFrame, length: int, gram: int, hot: int, text_col: str):
         self.length, self.gram, self.hot = length, gram, hot
-        self.texts = R.distinct_texts(docs, F.col(f"`{text_col}`"), 2 << 20)
+        self.texts = R.distinct_texts(docs, F.col(f"`{text_col}`"))
         self.log2 = R.fan_out(docs, 4 << 20)
 
     def first(self) -> DataFrame:

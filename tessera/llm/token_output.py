@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import repeats as R
 from . import sentencepiece_bpe as S
-from .common import mix64
+from .common import mix64, small_batches, small_slices
 
 SEQ_LEN = 2048
 SHARD_SIZE = 4096     # sequences of a shard
@@ -76,6 +76,7 @@ class Feistel:
 def token_rows(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, version, bucket, ids): ids packed as 16 or 32-bit integers, dealt
     to buckets of a few MB."""
+    small_batches(docs.sparkSession)
     handle = S._share(docs.sparkSession, model_path)
     kind = np.uint16 if len(handle.value["pieces"]) <= 1 << 16 else np.uint32
     buckets = 1 << R.fan_out(docs, 4 << 20)
@@ -84,7 +85,7 @@ def token_rows(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = S._worker(handle)[0]
-        for b in batches:
+        for b in small_slices(batches):
             row = 0
             for part in S._bounded(b.column(2).to_pylist()):
                 ids, offsets = encoder.encode(part)
