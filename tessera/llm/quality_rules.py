@@ -123,3 +123,34 @@ def quality_rules(docs: DataFrame, min_texts: int = 10, max_share: float = 0.2,
 
 def quality_digest(docs: DataFrame) -> DataFrame:
     return quality_rules(docs)
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
+grams AS (SELECT doc_id, i, word || chr(1) || lead(word) OVER o || chr(1) || lead(word, 2) OVER o AS gram
+          FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM grams WHERE gram IS NOT NULL)
+          WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM again, (VALUES (0), (1), (2)) v(o) GROUP BY doc_id),
+lines AS (SELECT doc_id, host, text, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+                 translate(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' '),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+          FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d)
+          WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY doc_id),
+hosts AS (SELECT host, count(DISTINCT text) AS host_texts FROM lines GROUP BY host),
+common AS (SELECT l.host, key FROM lines l JOIN hosts h ON l.host IS NOT DISTINCT FROM h.host
+           GROUP BY l.host, key, host_texts HAVING count(DISTINCT text) >= 10 AND count(DISTINCT text) >= 0.2 * host_texts),
+lost AS (SELECT doc_id, sum(n) AS lost FROM lines l JOIN common c ON l.key = c.key AND l.host IS NOT DISTINCT FROM c.host
+         GROUP BY doc_id),
+base AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+                CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+                CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+                CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+                CAST(coalesce(lost, 0) AS BIGINT) AS boilerplate_words
+         FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+SELECT *, NOT base_failed AND boilerplate_words <= 0.5 * n_words AS kept FROM f
+"""

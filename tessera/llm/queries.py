@@ -32,7 +32,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.training_shards(documents(spark, sf_dir))
 
 
-@register("op3_substring_dedup")
+@register("op3_substring_dedup", substring_dedup.ORACLE)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_digest(documents(spark, sf_dir))
 
@@ -47,7 +47,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(documents(spark, sf_dir))
 
 
-@register("op6_quality_rules")
+@register("op6_quality_rules", quality_rules.ORACLE)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_digest(documents(spark, sf_dir))
 

@@ -170,3 +170,19 @@ def kept_words(text: str | None, spans: list[int]) -> str:
 
 def substring_digest(docs: DataFrame) -> DataFrame:
     return substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
+win AS (SELECT doc_id, i, string_agg(word, ' ') OVER o AS s, count(*) OVER o AS n
+        FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS c FROM win WHERE n = 35) WHERE c > 1),
+gone AS (SELECT DISTINCT doc_id, i + o AS i FROM again, range(0, 35) t(o)),
+kept AS (SELECT words.doc_id, count(gone.i) AS n_removed,
+                sha256(coalesce(string_agg(word, ' ' ORDER BY words.i) FILTER (WHERE gone.i IS NULL), '')) AS kept_sha256
+         FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.i = gone.i GROUP BY words.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
