@@ -13,7 +13,7 @@
    source. This planning works on one small integer per (source, shard).
 4. The permuted draws of a source are cut into consecutive runs, one per shard
    by its quota — disjoint by construction — and a shard is shuffled locally
-   by sorting on a hash.
+   by sorting on a hash (in runs of a bounded size).
 
 Only DataFrame functions touch documents and blocks. The driver sees one row
 per source (the size of the mixture's own weight list), never documents.
@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, checkpointed, free_name
+from .repeats import fan_out
 
 MAX_BLOCKS = 1 << 16   # blocks of a source: bounds every window below, not the documents
 ALL_BLOCKS = 1 << 28   # blocks of all sources together
@@ -157,8 +158,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     keyed = docs.withColumn(draw, F.xxhash64(F.col(f"`{id_col}`"), text)).join(taken, draw)
     copies = keyed.select(*cols, draw, F.posexplode(shard).alias(order, shard))
-    return (copies.repartition(shards, F.col(shard))
-            .sortWithinPartitions(shard, F.xxhash64(F.lit(seed + 3), F.col(draw), F.col(order))).select(*cols))
+    # a shard is shuffled by sorting on a hash; large shards are cut into runs of that order, one task each
+    spread = F.xxhash64(F.lit(seed + 3), F.col(draw), F.col(order))
+    runs = -(-max(shards, 1 << fan_out(docs, 64 << 20)) // shards)
+    cell = F.col(shard) * runs + F.floor((F.shiftrightunsigned(spread, 32) * runs) / (1 << 32)).cast("int")
+    return copies.repartition(shards * runs, cell).sortWithinPartitions(cell, spread).select(*cols)
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
