@@ -103,7 +103,8 @@ class _Part:
             low[w - 1 + max(a, b - self.length + 1):w - 1 + b] = LAST
         high = ~sliding_min(low, w)
         at = np.flatnonzero((high == h) & (h != LAST))
-        return at, h[at]
+        # minima crowd at the low end of the hash range; mixed again they fill all ranges evenly
+        return at, mix64(h[at])
 
 
 class _Bytes:
