@@ -8,6 +8,7 @@ independent of the Arrow batch size.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
+_C = ctypes.CDLL(None)
 CHUNK_BYTES = 1 << 20
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Java form of the word pattern and of the white space around words.
@@ -48,6 +50,33 @@ def small_slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator
     for b in batches:
         for a in range(0, b.num_rows, rows):
             yield b.slice(a, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on through many
+    stages, and what its allocators keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):   # glibc
+        _C.malloc_trim(0)
+
+
+def tidy(fn):
+    """A function of one or two tables that gives its memory back at the end."""
+    if fn.__code__.co_argcount == 1:
+        def one(table):
+            try:
+                return fn(table)
+            finally:
+                give_back()
+        return one
+
+    def two(table, other):
+        try:
+            return fn(table, other)
+        finally:
+            give_back()
+    return two
 
 
 def ascii_lower(c: Column) -> Column:

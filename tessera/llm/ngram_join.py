@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .common import Words, ascii_lower, checkpointed, doc_chunks, free_name, mix64, ragged, text_buffers
+from .common import Words, ascii_lower, checkpointed, doc_chunks, free_name, mix64, ragged, text_buffers, tidy
 from .components import connected_components
 
 SHINGLE = 5
@@ -229,9 +229,9 @@ def link_sets(texts: DataFrame, log2: int) -> DataFrame:
                 c.append(v)
         return R.table_of(SETS, cols)
 
-    asked = texts.groupBy("chunk").applyInArrow(ask, R.QUESTION)
-    said = asked.groupBy("p").applyInArrow(lambda t: R.answer(t, False, LEVELS), R.ANSWER)
-    return texts.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(choose, SETS)
+    asked = texts.groupBy("chunk").applyInArrow(tidy(ask), R.QUESTION)
+    said = asked.groupBy("p").applyInArrow(tidy(lambda t: R.answer(t, False, LEVELS)), R.ANSWER)
+    return texts.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(tidy(choose), SETS)
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ from .common import ragged, sha256_hex, small_batches, small_slices
 
 MARK = "▁"            # stands for a space
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
-CACHE_SEGMENTS = 300_000   # segments that a worker keeps
+CACHE_SEGMENTS = 150_000   # segments that a worker keeps
 NONE = np.int32(1 << 30)
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # piece types of the public model format
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .common import Words, doc_chunks, ragged, text_buffers, window_hash
+from .common import Words, doc_chunks, ragged, text_buffers, tidy, window_hash
 
 WINDOW = 35
 RESULT = "d1 long, d2 long, n_words long, n_removed long, spans array<int>, kept_sha256 string"
@@ -146,11 +146,11 @@ def removed_words(docs: DataFrame, window: int = WINDOW, text_col: str = "text")
                     col.append(value)
         return R.table_of(RESULT, rows)
 
-    one = texts.groupBy("chunk").applyInArrow(ask_blocks, R.QUESTION)
-    one = one.groupBy("p").applyInArrow(lambda t: R.answer(t, False), R.ANSWER).withColumn("kind", F.lit(1))
-    two = texts.groupBy("chunk").cogroup(one.groupBy("chunk")).applyInArrow(ask_windows, R.QUESTION)
-    two = two.groupBy("p").applyInArrow(lambda t: R.answer(t, True), R.ANSWER).withColumn("kind", F.lit(2))
-    return texts.groupBy("chunk").cogroup(one.unionByName(two).groupBy("chunk")).applyInArrow(remove, RESULT)
+    one = texts.groupBy("chunk").applyInArrow(tidy(ask_blocks), R.QUESTION)
+    one = one.groupBy("p").applyInArrow(tidy(lambda t: R.answer(t, False)), R.ANSWER).withColumn("kind", F.lit(1))
+    two = texts.groupBy("chunk").cogroup(one.groupBy("chunk")).applyInArrow(tidy(ask_windows), R.QUESTION)
+    two = two.groupBy("p").applyInArrow(tidy(lambda t: R.answer(t, True)), R.ANSWER).withColumn("kind", F.lit(2))
+    return texts.groupBy("chunk").cogroup(one.unionByName(two).groupBy("chunk")).applyInArrow(tidy(remove), RESULT)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .common import _BASE, _BYTE_VALUE, _INVERSE, doc_chunks, mix64, powers, ragged, text_buffers
+from .common import _BASE, _BYTE_VALUE, _INVERSE, doc_chunks, mix64, powers, ragged, text_buffers, tidy
 
 LENGTH = 400
 GRAM = 100
@@ -340,8 +340,8 @@ class _Job:
             own = _Bytes(table, length, gram)
             return R.table_of(R.QUESTION, R.questions(own.chunk.chunk, own.hash, None, log2, cap=CAP))
 
-        asked = self.texts.groupBy("chunk").applyInArrow(ask_anchors, R.QUESTION)
-        return asked.groupBy("p").applyInArrow(lambda t: R.answer(t, False, (2, hot)), R.ANSWER).select(
+        asked = self.texts.groupBy("chunk").applyInArrow(tidy(ask_anchors), R.QUESTION)
+        return asked.groupBy("p").applyInArrow(tidy(lambda t: R.answer(t, False, (2, hot))), R.ANSWER).select(
             "chunk", "p", "bits", F.lit(None).cast("binary").alias("extents"), F.lit(1).alias("kind"))
 
     def flagged(self):
@@ -369,7 +369,7 @@ class _Job:
             return R.table_of(CONTEXTS, [ranges, [own.chunk.chunk] * len(ranges), [counted.get(p) for p in ranges],
                                          [None] * len(ranges), *([packed.get(p, (None, None))[k] for p in ranges] for k in (0, 1))])
 
-        return self.texts.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(send, CONTEXTS)
+        return self.texts.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(tidy(send), CONTEXTS)
 
 
 def removed_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT,
@@ -427,8 +427,8 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         return R.table_of(RESULT, rows)
 
     first = job.first()
-    second = job.contexts(first).groupBy("p").applyInArrow(match, REPLY)
-    return job.texts.groupBy("chunk").cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(remove, RESULT)
+    second = job.contexts(first).groupBy("p").applyInArrow(tidy(match), REPLY)
+    return job.texts.groupBy("chunk").cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(tidy(remove), RESULT)
 
 
 def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, text_col: str = "text") -> DataFrame:
@@ -495,8 +495,8 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         return R.table_of(out_schema, cols)
 
     first = job.first()
-    second = job.contexts(first).groupBy("p").applyInArrow(match, found_schema)
-    located = job.texts.groupBy("chunk").cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(locate, out_schema)
+    second = job.contexts(first).groupBy("p").applyInArrow(tidy(match), found_schema)
+    located = job.texts.groupBy("chunk").cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(tidy(locate), out_schema)
     return located.distinct()
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import repeats as R
 from . import sentencepiece_bpe as S
-from .common import mix64, small_batches, small_slices
+from .common import mix64, small_batches, small_slices, tidy
 
 SEQ_LEN = 2048
 SHARD_SIZE = 4096     # sequences of a shard
@@ -107,7 +107,7 @@ def bucket_offsets(rows: DataFrame, stride: int) -> DataFrame:
         size = int(pc.sum(pc.binary_length(table.column("ids"))).as_py() or 0)
         return R.table_of("bucket int, n long", [[table.column("bucket")[0].as_py()], [-(-size // stride)]])
 
-    size = rows.groupBy("bucket").applyInArrow(count, "bucket int, n long")
+    size = rows.groupBy("bucket").applyInArrow(tidy(count), "bucket int, n long")
     order = Window.orderBy("bucket")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -140,9 +140,8 @@ def training_shards(docs: DataFrame, model_path: str | None = None, key: int = 2
         return R.table_of(SHARD, [[shard], [shard * shard_size], [len(order)], [stride], [width], [int(used.sum())], [used.tobytes()],
                                   [b"".join(data[i] for i in order.tolist())]])
 
-    sequences = rows.groupBy("bucket").cogroup(bucket_offsets(rows, stride).groupBy("bucket")).applyInArrow(
-        cut, "shard long, slot long, n int, data binary")
-    return sequences.groupBy("shard").applyInArrow(gather, SHARD)
+    sequences = rows.groupBy("bucket").cogroup(bucket_offsets(rows, stride).groupBy("bucket")).applyInArrow(tidy(cut), "shard long, slot long, n int, data binary")
+    return sequences.groupBy("shard").applyInArrow(tidy(gather), SHARD)
 
 
 def write_shards(shards: DataFrame, path: str) -> None:
