@@ -2,7 +2,7 @@
 
 The driver reads the model file (a path parameter) and broadcasts its pieces.
 A text is cut into segments that no piece crosses: a run of word marks and what
-follows it. Each segment that a worker hasn't met lately is encoded once, all
+follows it. Each segment that a task hasn't met lately is encoded once, all
 new segments of a batch together: symbols lie in one flat numpy array; a round
 finds the best pair rank per segment, merges its leftmost occurrence (all
 non-overlapping ones where no merge can make a better pair) in all segments at
@@ -33,7 +33,7 @@ from .common import ragged, sha256_hex, small_batches, small_slices
 
 MARK = "▁"            # stands for a space
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
-CACHE_SEGMENTS = 150_000   # segments that a worker keeps
+CACHE_SEGMENTS = 300_000   # segments that a task keeps
 NONE = np.int32(1 << 30)
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # piece types of the public model format
 
@@ -216,9 +216,9 @@ class Encoder:
 
     def __init__(self, model: Pieces, tail: list[int]):
         self.model, self.tail = model, np.array(tail, dtype=np.int64)
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.number = _Numbers()
         self.ids: np.ndarray = np.zeros(0, dtype=np.int32)
         self.begin: np.ndarray = np.zeros(0, dtype=np.int64)
@@ -234,7 +234,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) over the texts, each with the closing ids."""
         if len(self.number) > CACHE_SEGMENTS:
-            self._clear()
+            self.clear()
         number, numbers = self.number.__getitem__, []
         for text in texts:
             parts = SEGMENT.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -374,6 +374,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*own.columns, lists], names=[*b.schema.names, ids_col])
                 row += len(part)
+        encoder.clear()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 

@@ -94,6 +94,7 @@ def token_rows(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
                 own = b.slice(row, len(part))
                 row += len(part)
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), data], names=["doc_id", "version", "ids"])
+        encoder.clear()
 
     return (rows.mapInArrow(run, "doc_id long, version long, ids binary")
             .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "version"), F.lit(buckets)).cast("int")).repartition("bucket"))
