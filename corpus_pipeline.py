@@ -22,8 +22,9 @@ MIN_LANGUAGE_SCORE = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; those without a letter and
-    those of no clear language go."""
+    """Documents in one of the learned languages; those without a letter, those
+    under the likelihood floor of their best language and those of no clear
+    language go."""
     lang, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
     model = language_id.fit(language_id.train_rows(docs))
     rows = language_id.predict(docs, model, pred_col=lang, score_col=score)

@@ -8,12 +8,19 @@ sparse product per batch: the bins of a document are its column indices, the
 document offsets its row pointers, and the gathered log-probabilities are summed
 per row.
 
+The posterior only compares the learned languages, so it says nothing about a
+text in none of them. That is told by the mean log-likelihood in the best language
+of the n-grams of letters and spaces (numbers and keys are in no language), plus
+an allowance for short texts: it must reach a floor learned from the training rows
+of the language, each scored by counts without its own. The floor lies three
+quarters of the standard deviation of a single n-gram below their 1 % quantile.
+
 Learning is from at most about ``max_train`` labelled rows, chosen by a hash of
 the row (documented bound of the sample); prediction covers every row and the
 whole text.
 
-Defined cases: a null text, or one without a letter, is ``und`` with score 0; if
-no row can be learned from, every row is ``und``; equal scores go to the first
+Defined cases: a null text, one without a letter, or one below the floor of its
+best language is ``und`` with score 0; if no row can be learned from, every row is ``und``; equal scores go to the first
 language in code point order; a null doc_id isn't held out; an empty table gives
 an empty result.
 """
@@ -22,6 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +44,9 @@ ORDERS = (1, 2, 3)
 MAX_TRAIN = 20_000
 PIECE_CHARS = 1 << 18   # characters handled at once
 LETTER = re.compile(r"[^\W\d_]")
+ALLOWANCE = 2.0         # standard errors by which a mean over few n-grams may be lower
+LOW = 0.01              # quantile of the training rows from which a floor is learned
+MARGIN = 0.75           # standard deviations of an n-gram by which it lies below
 #: Odd multipliers, one per n-gram order and place (fixed values).
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xB5297A4D], dtype=np.uint32)
 
@@ -133,10 +144,98 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 class Model:
     """Languages and their log-probabilities per bin, relative to the mean over
-    the languages (which no comparison needs)."""
+    the languages (which no comparison needs). ``mean``, ``floor``, ``spread`` and
+    ``unseen`` tell texts of no learned language; without them none is told."""
 
-    def __init__(self, langs: list[str], prior: np.ndarray, matrix: np.ndarray):
+    def __init__(self, langs: list[str], prior: np.ndarray, matrix: np.ndarray, mean: np.ndarray | None = None,
+                 floor: np.ndarray | None = None, spread: np.ndarray | None = None, unseen: np.ndarray | None = None):
         self.langs, self.prior, self.matrix = langs, prior, matrix
+        self.mean, self.floor, self.spread, self.unseen = mean, floor, spread, unseen
+
+    def fits(self, best: np.ndarray, likelihood: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """Whether texts of these summed log-likelihoods can be of their best
+        language: not below its floor, and not as good as unseen n-grams only."""
+        each = likelihood / np.maximum(grams, 1)
+        room = allowance(self.spread[best], grams)
+        least = np.maximum(self.floor[best], self.unseen[best] + np.log(2))
+        return (grams == 0) | (each + room >= least)
+
+
+def allowance(spread: np.ndarray | float, grams: np.ndarray | int) -> np.ndarray:
+    """What a mean over few n-grams may lack; those that begin at one place count once."""
+    return ALLOWANCE * spread / np.sqrt(np.maximum(grams / len(ORDERS), 1))
+
+
+@cache
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Which code points are letters, and which are letters or spaces."""
+    every = [chr(i) for i in range(0x110000)]
+    letter = np.fromiter(map(str.isalpha, every), bool)
+    return letter, letter | np.fromiter(map(str.isspace, every), bool)
+
+
+def _worded(points: np.ndarray) -> list[np.ndarray]:
+    """Whether the n-gram that begins at each place has letters and spaces only,
+    and a letter, for every order."""
+    letter, word = (kind[points] for kind in _kinds())
+    out = []
+    for order in ORDERS:
+        n = max(0, len(points) - order + 1)
+        out.append(np.logical_and.reduce([word[j:j + n] for j in range(order)])
+                   & np.logical_or.reduce([letter[j:j + n] for j in range(order)]))
+    return out
+
+
+def _worded_bins(text: str) -> np.ndarray:
+    """The bins of all n-grams of letters and spaces of a text."""
+    return np.concatenate([np.zeros(0, np.int32), *(
+        bins[a:z][use[a:z]] for _, points, edge in _pieces([text])
+        for order, bins, use in zip(ORDERS, _bins(points), _worded(points))
+        for a, z in zip(*_spans(edge, order, len(bins))))])
+
+
+def _likelihoods(model: Model, texts: list[str | None], best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Summed log-likelihood in the language ``best`` of the n-grams of letters
+    and spaces of each text, and their number."""
+    total, grams = np.zeros(len(texts)), np.zeros(len(texts))
+    for docs, points, edge in _pieces(texts):
+        lang = np.repeat(best[docs], np.diff(edge))
+        for order, bins, use in zip(ORDERS, _bins(points), _worded(points)):
+            if len(bins):
+                begin, end = _spans(edge, order, len(bins))
+                logs = np.where(use, model.matrix[lang[:len(bins)], bins] + model.mean[bins], 0)
+                np.add.at(total, docs, _gather(logs, begin, end))
+                np.add.at(grams, docs, _gather(use, begin, end))
+    return total, grams
+
+
+def _floors(rows: DataFrame, langs: list[str], counts: np.ndarray, spread: np.ndarray, alpha: float) -> np.ndarray:
+    """Per language the least mean log-likelihood, allowance included."""
+    handle = rows.sparkSession.sparkContext.broadcast((counts, counts.sum(axis=1)))
+    index = {lang: i for i, lang in enumerate(langs)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, totals = handle.value
+        for b in small_slices(batches):
+            out: list[tuple[str, float]] = []
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                i, bins = index[lang], _worded_bins(text)
+                if not len(bins):
+                    continue
+                seen, own = np.unique(bins, return_counts=True)
+                logs = np.log(every[i][seen] - own + alpha) - np.log(totals[i] - len(bins) + alpha * every.shape[1])
+                out.append((lang, float(own @ logs) / len(bins) + float(allowance(spread[i], len(bins)))))
+            yield pa.record_batch([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())],
+                                  ["lang", "fit"])
+
+    found = (rows.select("lang", "text").mapInArrow(run, "lang string, fit double").groupBy("lang")
+             .agg(F.percentile("fit", F.lit(LOW)).alias("low")).collect())
+    handle.unpersist()
+    floor = np.full(len(langs), -np.inf)
+    for r in found:
+        i = index[r["lang"]]
+        floor[i] = r["low"] - MARGIN * spread[i]
+    return floor
 
 
 def fit(labelled: DataFrame, max_train: int = MAX_TRAIN, alpha: float = 0.5) -> Model:
@@ -157,9 +256,15 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN, alpha: float = 0.5) ->
         matrix[i, own["bin"].to_numpy()] = own["n"].to_numpy()
     if not langs:
         return Model([], docs, matrix.astype(np.float32))
-    logs = np.log(matrix + alpha) - np.log((matrix + alpha).sum(axis=1, keepdims=True))
-    logs -= logs.mean(axis=0, keepdims=True)
-    return Model(langs, np.log(docs / docs.sum()), logs.astype(np.float32))
+    sizes = (matrix + alpha).sum(axis=1, keepdims=True)
+    logs = np.log(matrix + alpha) - np.log(sizes)
+    p = (matrix + alpha) / sizes
+    spread = np.sqrt(np.maximum((p * logs**2).sum(axis=1) - (p * logs).sum(axis=1) ** 2, 0.0))
+    floor = _floors(rows, langs, matrix, spread, alpha)
+    mean = logs.mean(axis=0, keepdims=True)
+    logs -= mean
+    return Model(langs, np.log(docs / docs.sum()), logs.astype(np.float32), mean[0].astype(np.float32), floor, spread,
+                 np.log(alpha / sizes[:, 0]))
 
 
 def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -173,10 +278,12 @@ def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.nd
                     continue
                 for i in range(len(model.langs)):
                     np.add.at(total[:, i], docs, _gather(model.matrix[i][bins], begin, end))
-    known = [bool(t and model.langs and LETTER.search(t)) for t in texts]
+    known = np.array([bool(t and model.langs and LETTER.search(t)) for t in texts], dtype=bool)
     if not model.langs:
         return ["und"] * len(texts), np.zeros(len(texts))
     best = total.argmax(axis=1)
+    if model.floor is not None:
+        known &= model.fits(best, *_likelihoods(model, texts, best))
     posterior = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
     return ([model.langs[k] if ok else "und" for k, ok in zip(best, known)], np.where(known, posterior, 0.0))
 

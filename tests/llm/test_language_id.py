@@ -46,3 +46,34 @@ def test_messy_and_empty(messy, empty):
     assert I.identify(empty).count() == 0
     unlabelled = messy.withColumn("lang", messy.lang.substr(1, 0)).where("doc_id is null").selectExpr("doc_id", "text", "cast(null as string) lang")
     assert {r.lang_pred for r in I.identify(unlabelled).collect()} == {"und"}
+
+
+UNLEARNED = ["数据库系统是一种管理数据的软件，它可以帮助用户存储和查询信息。" * 3, "Система управления базами данных помогает хранить и искать информацию. " * 3]
+
+
+def letters(n):
+    import random
+    rng = random.Random(5)
+    return ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)),
+            " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(n // 7))]
+
+
+def test_texts_in_no_learned_language_are_und(spark, sf):
+    docs = documents(spark, sf)
+    model = I.fit(I.train_rows(docs))
+    langs, scores = I.score_texts(model, UNLEARNED + letters(400) + letters(4000))
+    assert set(langs) == {"und"} and not scores.any()
+    clean = [t for (t,) in docs.select("text").collect() if t and any(c.isalpha() for c in t)]
+    assert "und" not in I.score_texts(model, clean)[0]
+    key = 'token = "40d78a45c418324758e099eb7cb89bc0f5fa9f62" 4734663219866878 126.57.31.34 '
+    assert "und" not in I.score_texts(model, [key + clean[0][:60], clean[0][:12]])[0]
+
+
+def test_pipeline_stage_drops_texts_in_no_learned_language(spark, sf):
+    import corpus_pipeline as P
+    docs = documents(spark, sf)
+    clean = {r.doc_id for r in P.language_stage(spark, docs, sf).select("doc_id").collect()}
+    assert clean == {r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
+    alien = [(-1 - i, t, None, docs.first().source, len(t)) for i, t in enumerate(UNLEARNED + letters(400))]
+    both = docs.unionByName(spark.createDataFrame(alien, docs.select("doc_id", "text", "lang", "source", "n_chars").schema), allowMissingColumns=True)
+    assert {r.doc_id for r in P.language_stage(spark, both, sf).select("doc_id").collect()} == clean
