@@ -15,9 +15,10 @@ an allowance for short texts: it must reach a floor learned from the training ro
 of the language, each scored by counts without its own. The floor lies three
 quarters of the standard deviation of a single n-gram below their 1 % quantile.
 
-Learning is from at most about ``max_train`` labelled rows, chosen by a hash of
-the row (documented bound of the sample); prediction covers every row and the
-whole text.
+Learning is from at most about ``max_train`` labelled rows of each language, chosen
+by a hash of the row (documented bound of the sample), so that every label is
+learned at any size; the priors are of all labelled rows. Prediction covers every
+row and the whole text.
 
 Defined cases: a null text, one without a letter, or one below the floor of its
 best language is ``und`` with score 0; if no row can be learned from, every row is ``und``; equal scores go to the first
@@ -119,14 +120,12 @@ def _gather(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarra
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(language, bin, count) of one task; bin -1 counts documents."""
+    """(language, bin, count) of one task."""
     table: dict[str, np.ndarray] = {}
-    docs: dict[str, int] = {}
     for b in small_slices(batches):
         langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
         for lang in sorted(set(langs)):
             own = [t for x, t in zip(langs, texts) if x == lang]
-            docs[lang] = docs.get(lang, 0) + len(own)
             sums = table.setdefault(lang, np.zeros(1 << BINS_LOG2, dtype=np.int64))
             for _, points, edge in _pieces(own):
                 for order, bins in zip(ORDERS, _bins(points)):
@@ -137,9 +136,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     sums += np.bincount(bins[np.cumsum(inside[:-1]) > 0], minlength=1 << BINS_LOG2)
     for lang, sums in table.items():
         at = np.flatnonzero(sums)
-        yield pa.record_batch([pa.array([lang] * (len(at) + 1), pa.string()),
-                               pa.array(np.concatenate([[-1], at]), pa.int32()),
-                               pa.array(np.concatenate([[docs[lang]], sums[at]]), pa.int64())], ["lang", "bin", "n"])
+        yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(sums[at], pa.int64())],
+                              ["lang", "bin", "n"])
 
 
 class Model:
@@ -241,18 +239,20 @@ def _floors(rows: DataFrame, langs: list[str], counts: np.ndarray, spread: np.nd
 def fit(labelled: DataFrame, max_train: int = MAX_TRAIN, alpha: float = 0.5) -> Model:
     """Model of a (lang, text, key) table of labelled rows."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = rows.select("lang").count()
-    if total > max_train:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit(9), F.col("key")), F.lit(1 << 30)) < int(max_train / total * (1 << 30)))
+    rank = F.pmod(F.xxhash64(F.lit(9), F.col("key"), F.col("text")), F.lit(1 << 30))
+    labels = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(rank).alias("least")).collect()}
+    if any(r["n"] > max_train for r in labels.values()):
+        # the row of the least rank is always in, whatever the ranks of equal rows
+        limits = [(lang, max(int(min(1.0, max_train / r["n"]) * (1 << 30)), r["least"] + 1)) for lang, r in labels.items()]
+        table = rows.sparkSession.createDataFrame(limits, "lang string, below long")
+        rows = rows.join(F.broadcast(table), "lang").where(rank < F.col("below"))
     sums = (rows.select("lang", "text").mapInArrow(_counts, "lang string, bin int, n long")
             .groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas())
-    langs = sorted(sums["lang"].unique())
+    langs = sorted(labels)
     matrix = np.zeros((len(langs), 1 << BINS_LOG2))
-    docs = np.ones(len(langs))
+    docs = np.array([labels[lang]["n"] for lang in langs], dtype=np.float64)
     for i, lang in enumerate(langs):
         own = sums[sums["lang"] == lang]
-        docs[i] = own["n"][own["bin"] < 0].iloc[0]
-        own = own[own["bin"] >= 0]
         matrix[i, own["bin"].to_numpy()] = own["n"].to_numpy()
     if not langs:
         return Model([], docs, matrix.astype(np.float32))

@@ -77,3 +77,12 @@ def test_pipeline_stage_drops_texts_in_no_learned_language(spark, sf):
     alien = [(-1 - i, t, None, docs.first().source, len(t)) for i, t in enumerate(UNLEARNED + letters(400))]
     both = docs.unionByName(spark.createDataFrame(alien, docs.select("doc_id", "text", "lang", "source", "n_chars").schema), allowMissingColumns=True)
     assert {r.doc_id for r in P.language_stage(spark, both, sf).select("doc_id").collect()} == clean
+
+
+def test_every_label_is_learned_whatever_its_share(spark):
+    rows = [("aa", f"anna alala nana{i} lana", i) for i in range(3000)] + [("zz", f"zizzu zuzz{i} zuzi", 5000 + i) for i in range(3)]
+    rows += [("bb", "bobo ubo bubo", None)] * 300   # equal rows without a key
+    model = I.fit(spark.createDataFrame(rows, "lang string, text string, key long"), max_train=50)
+    assert model.langs == ["aa", "bb", "zz"]
+    assert np.allclose(np.exp(model.prior), np.array([3000, 300, 3]) / 3303)
+    assert I.score_texts(model, ["zizzu zuzz zuzi", "bobo ubo bubo", "anna nana alala"])[0] == ["zz", "bb", "aa"]
