@@ -131,8 +131,8 @@ def plan_draws(sizes: DataFrame, targets: DataFrame, shards: int = 16, seed: int
 
 def mix_decisions(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS, shards: int = 16,
                   seed: int = 8, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of ``docs``: doc_id, draw (its hash), size, source_size,
-    target, taken, copies, shards (of each copy)."""
+    """One row per row of ``docs``: doc_id, source, draw (its hash), size,
+    source_size, target, taken, copies, shards (of each copy)."""
     sizes = checkpointed(sized(docs, id_col, text_col, source_col))
     targets = checkpointed(source_targets(sizes, weights, max_epochs))
     plan = plan_draws(sizes, targets, shards, seed).groupBy("source", "block").agg(
@@ -142,8 +142,8 @@ def mix_decisions(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epo
         "block", F.pmod(F.xxhash64(F.lit(seed), F.col("draw")), F.col("blocks")))
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("block") == F.col("p_block")), "left")
     copies = F.when(F.col("size") > 0, F.greatest(F.size("shards"), F.lit(0))).otherwise(F.lit(0))
-    return rows.select("doc_id", "draw", "size", "source_size", "target", copies.alias("copies"), "shards").select(
-        "doc_id", "draw", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "shards")
+    return rows.select("doc_id", "source", "draw", "size", "source_size", "target", copies.alias("copies"), "shards").select(
+        "doc_id", "source", "draw", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "shards")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS, shards: int = 16, seed: int = 8,
@@ -151,12 +151,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     """The drawn rows of ``docs`` with all their columns, one row per copy,
     brought together by shard and shuffled inside it by a hash order."""
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    draw, shard, order = (free_name(docs, x) for x in ("draw", "shard", "order"))
+    draw, drawn, origin, shard, order = (free_name(docs, x) for x in ("draw", "drawn", "origin", "shard", "order"))
     taken = mix_decisions(docs, weights, max_epochs, shards, seed, id_col, text_col, source_col)
-    # rows that repeat doc_id and text have equal decisions: one row of them joins to each
-    taken = taken.where("copies > 0").select(F.col("draw").alias(draw), F.col("shards").alias(shard)).dropDuplicates([draw])
+    # rows of a source that repeat doc_id and text have equal decisions: one row of them joins to each
+    taken = taken.where("copies > 0").select(F.col("draw").alias(drawn), F.col("source").alias(origin),
+                                             F.col("shards").alias(shard)).dropDuplicates([drawn, origin])
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    keyed = docs.withColumn(draw, F.xxhash64(F.col(f"`{id_col}`"), text)).join(taken, draw)
+    keyed = docs.withColumn(draw, F.xxhash64(F.col(f"`{id_col}`"), text)).join(
+        taken, (F.col(draw) == F.col(drawn)) & F.col(f"`{source_col}`").eqNullSafe(F.col(origin)))
     copies = keyed.select(*cols, draw, F.posexplode(shard).alias(order, shard))
     # a shard is shuffled by sorting on a hash; large shards are cut into runs of that order, one task each
     spread = F.xxhash64(F.lit(seed + 3), F.col(draw), F.col(order))

@@ -83,3 +83,14 @@ def test_runs_of_a_source_are_disjoint(messy):
     assert len(plan) == len({(r.source, r.block, r.copy) for r in plan}) and {r.shard for r in plan} <= set(range(4))
     per = Counter(r.shard for r in plan)
     assert max(per.values()) - min(per.values()) <= 2
+
+
+def test_rows_repeated_in_two_sources_follow_their_own_plan(spark):
+    from llm_cases import frame
+    rows = [(i, f"w{i} " * (3 + i % 5), None, s, 0) for i in range(60) for s in ("a", "b", None)]
+    df = frame(spark, rows)
+    want = Counter()
+    for r in M.mix_decisions(df).collect():
+        want[r.doc_id, r.source] += r.copies
+    assert len({tuple(want[i, s] for i in range(60)) for s in ("a", "b", None)}) > 1
+    assert Counter((r.doc_id, r.source) for r in M.mix(df).collect()) == +want
