@@ -13,7 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .profile import (EXACT_MAP_LIMIT, ColumnProfile, column_stats, distinct_and_parsed, freq_quantiles,
+from .profile import (EXACT_MAP_LIMIT, FLOATING, ColumnProfile, column_stats, distinct_and_parsed, freq_quantiles,
                       pandas_dtype, q, quantiles, value_counts)
 from ..functions.dates import DATE_FORMATS
 from .types import feature_types, group_types, problem_type, rates_from_profile
@@ -94,10 +94,17 @@ def numeric_quantiles(f: TableFacts, cols: list[str]) -> dict[str, list]:
     return out
 
 
+def measures(f: TableFacts) -> list[str]:
+    """Columns of the numeric sections, in table order: the numerical ones, and
+    floating ones that are typed id because nearly every value is distinct."""
+    return [c for c, t in f.types.items()
+            if t == "numerical" or (t == "id" and isinstance(f.df.schema[c].dataType, FLOATING))]
+
+
 def describe_section(f: TableFacts, cols: list[str] | None = None,
                      qs: dict[str, list] | None = None) -> DataFrame:
     """ANA-4/5: describe() of the numerical columns plus bias-corrected skewness."""
-    cols = f.groups["numerical"] if cols is None else cols
+    cols = measures(f) if cols is None else cols
     qs = qs if qs is not None else numeric_quantiles(f, cols)
     rows = []
     for c in cols:
@@ -127,7 +134,7 @@ def outliers_section(f: TableFacts, cols: list[str] | None = None,
                      qs: dict[str, list] | None = None, truncate: bool = True) -> DataFrame:
     """ANA-6: IQR report; Q1, Q3, IQR and percent truncated toward zero like
     ``int()``; bounds from the untruncated quartiles; percent over all rows."""
-    cols = f.groups["numerical"] if cols is None else cols
+    cols = measures(f) if cols is None else cols
     qs = qs if qs is not None else numeric_quantiles(f, cols)
     bounds = {c: iqr_bounds(qs[c][0], qs[c][2]) for c in cols if qs[c][0] is not None}
     counts = outlier_counts(f.df, bounds)
@@ -190,7 +197,7 @@ def report(df: DataFrame, target: str, **type_kw) -> dict[str, DataFrame]:
         f = facts(df, freq, **type_kw)
         out = {"dataset_overview": overview(df), "column_analysis": columns_section(f),
                "target_analysis": target_section(f, target)}
-        num = f.groups["numerical"]
+        num = measures(f)
         if num:
             qs = numeric_quantiles(f, num)
             out["numeric_analysis"] = describe_section(f, num, qs)

@@ -12,7 +12,7 @@ def numeric_profile(spark: SparkSession, sf_dir: str, table: str = "lineitem") -
     """Long form ``column, count, mean, std, min, q25, q50, q75, max,
     skewness, outlier_count`` for the numerical columns of ``table``."""
     f = A.facts(read_table(spark, sf_dir, table))
-    num = f.groups["numerical"]
+    num = A.measures(f)
     qs = A.numeric_quantiles(f, num)
     desc = A.describe_section(f, num, qs)
     out = A.outliers_section(f, num, qs).select("column", "outlier_count")

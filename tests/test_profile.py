@@ -82,3 +82,18 @@ def test_freq_quantiles_match_numpy(spark):
     got = freq_quantiles(value_counts(df), ["a", "b"], [0.25, 0.5, 0.75, 0.9], {"a": 777, "b": 777})
     assert got["a"] == pytest.approx(list(np.percentile(a, [25, 50, 75, 90])))
     assert got["b"] == pytest.approx(list(np.percentile(b, [25, 50, 75, 90])))
+
+
+def test_report_keeps_measures_with_distinct_values(spark):
+    from tessera.operators.analyze import report
+    df = spark.createDataFrame([(i, i % 30, i * 1.5 + 0.25, "ab"[i % 2]) for i in range(200)],
+                               "key long, size long, price double, target string")
+    sections = report(df, "target")
+    for name in ("numeric_analysis", "outlier_analysis"):
+        assert [r["column"] for r in sections[name].collect()] == ["size", "price"]
+    assert {r.column_a for r in sections["correlations"].collect()} == {"size", "price"}
+
+
+def test_numeric_sections_of_lineitem_hold_the_price(spark, sf):
+    from tessera.plans.flagship import numeric_profile
+    assert "l_extendedprice" in {r["column"] for r in numeric_profile(spark, sf).collect()}
