@@ -7,7 +7,8 @@ The operators that look for repeated content share these steps:
   rows hold reaches its chunk once per scan task. All later passes of an operator
   read this one exchange (Spark reuses it).
 * ``questions``: a chunk sorts its hashes, keeps at most ``cap`` copies of each,
-  and sends one packed row to every hash range.
+  and sends one packed row to every hash range; ``beyond`` packs the numbers of
+  further copies, where the true count matters.
 * ``answers``: a hash range counts its hashes over all chunks and returns one bit
   per asked hash and level, again packed by chunk.
 * ``read_answers``: the chunk, which computes its hashes again, lines the bits up
@@ -32,6 +33,7 @@ from .common import small_batches
 
 QUESTION = "p int, chunk int, counted binary, asked binary"
 ANSWER = "chunk int, p int, bits binary"
+BEYOND = np.dtype([("hash", "<u8"), ("more", "<i8")])
 TEXT = "d1 long, d2 long, text string, n long"
 
 
@@ -151,14 +153,29 @@ def questions(chunk: int, counted: np.ndarray, asked: np.ndarray | None, log2: i
             [None if asked is None else a[cut_a[p]:cut_a[p + 1]].tobytes() for p in full]]
 
 
+def beyond(counted: np.ndarray, log2: int, cap: int, exact: bool = False) -> dict[int, bytes]:
+    """By hash range, packed: each hash of more than ``cap`` copies, with the
+    number of those that ``questions`` leaves out."""
+    value, count = np.unique(_key(counted, log2, exact), return_counts=True)
+    value, count = value[count > cap], count[count > cap]
+    cut = _parts(value, log2, exact)
+    packed = np.zeros(len(value), dtype=BEYOND)
+    packed["hash"], packed["more"] = value.astype(np.uint64 if exact else np.uint32), count - cap
+    return {p: packed[cut[p]:cut[p + 1]].tobytes() for p in np.flatnonzero(np.diff(cut)).tolist()}
+
+
 def answer(table: pa.Table, exact: bool, levels: tuple[int, ...] = (2,)) -> pa.Table:
     """ANSWER rows of one hash range: per asked hash, whether it was counted at
-    least as often as each level."""
+    least as often as each level. A column ``beyond`` adds to the counts."""
     kind = np.uint64 if exact else np.uint32
     counted = [np.frombuffer(x, kind) for x in table.column("counted").to_pylist()]
     asked = [None if x is None else np.frombuffer(x, kind) for x in table.column("asked").to_pylist()]
     every = np.sort(np.concatenate(counted)) if counted else np.zeros(0, kind)
     value, count = np.unique(every, return_counts=True)
+    for x in table.column("beyond").to_pylist() if "beyond" in table.column_names else []:
+        if x is not None:
+            further = np.frombuffer(x, BEYOND)
+            count[np.searchsorted(value, further["hash"].astype(kind))] += further["more"]
     chunks, bits = [], []
     for chunk, c, a in zip(table.column("chunk").to_pylist(), counted, asked):
         a = keep_first(c, 1) if a is None else a

@@ -44,7 +44,8 @@ from .common import _BASE, _BYTE_VALUE, _INVERSE, doc_chunks, mix64, powers, rag
 LENGTH = 400
 GRAM = 100
 HOT = 8192   # counted occurrences from which an anchor is asked by whole windows
-CAP = 64     # occurrences counted per chunk
+CAP = 64     # occurrences sent one by one per chunk; further ones go as a number
+ANCHORS = R.QUESTION + ", beyond binary"
 CONTEXTS = "p int, chunk int, counted binary, asked binary, meta binary, data binary"
 REPLY = "chunk int, p int, bits binary, extents binary, kind int"
 RESULT = "d1 long, d2 long, n_bytes long, n_removed long, n_spans long, spans array<int>, kept_sha256 string"
@@ -338,9 +339,10 @@ class _Job:
 
         def ask_anchors(table: pa.Table) -> pa.Table:
             own = _Bytes(table, length, gram)
-            return R.table_of(R.QUESTION, R.questions(own.chunk.chunk, own.hash, None, log2, cap=CAP))
+            ask, more = R.questions(own.chunk.chunk, own.hash, None, log2, cap=CAP), R.beyond(own.hash, log2, CAP)
+            return R.table_of(ANCHORS, [*ask, [more.get(p) for p in ask[0]]])
 
-        asked = self.texts.groupBy("chunk").applyInArrow(tidy(ask_anchors), R.QUESTION)
+        asked = self.texts.groupBy("chunk").applyInArrow(tidy(ask_anchors), ANCHORS)
         return asked.groupBy("p").applyInArrow(tidy(lambda t: R.answer(t, False, (2, hot))), R.ANSWER).select(
             "chunk", "p", "bits", F.lit(None).cast("binary").alias("extents"), F.lit(1).alias("kind"))
 

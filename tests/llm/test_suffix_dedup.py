@@ -112,3 +112,33 @@ def test_repeat_groups_hold_all_occurrences(spark):
                 if seen[t[i:i + 400]] > 1:
                     want[i:i + 400] = True
             assert (covered[t] == want).all()
+
+
+def test_an_anchor_is_hot_by_its_true_count(spark):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    passage = text(399)
+    rows = [(0, "".join(text(50) + passage for _ in range(300)), None, None, 0), (1, text(900), None, None, 0)]
+    df = frame(spark, rows)
+    job = S._Job(df, 400, 100, 200, "text")   # one chunk holds all 300 occurrences
+    assert any(r.counted for r in job.contexts(job.first()).collect())
+    job = S._Job(df, 400, 100, 301, "text")
+    assert not any(r.counted for r in job.contexts(job.first()).collect())
+    got = S.suffix_dedup(df, hot=200).drop("spans").collect()
+    assert Counter(tuple(r) for r in got) == brute([(r[0], r[1]) for r in rows])
+
+
+def test_counts_beyond_the_cap_add_up():
+    hot, log2 = np.uint64(0x9E3779B97F4A7C15), 3
+    rows = [[], [], [], [], []]
+    for chunk, n in ((0, 150), (1, 3), (2, 70)):
+        hashes = np.append(np.full(n, hot), np.uint64(chunk))
+        ask, more = S.R.questions(chunk, hashes, None, log2, cap=S.CAP), S.R.beyond(hashes, log2, S.CAP)
+        for col, values in zip(rows, [*ask, [more.get(p) for p in ask[0]]]):
+            col.extend(values)
+    table = S.R.table_of(S.ANCHORS, rows)
+    p = int(hot >> np.uint64(61))
+    own = table.filter(S.pc.equal(table.column("p"), p))
+    for level, want in ((223, True), (224, False)):
+        bits = S.R.answer(own, False, (2, level)).column("bits").to_pylist()
+        assert len(bits) == 3 and all(bool(b[1] & 0x80) == want for b in bits)
