@@ -56,6 +56,7 @@ def small_slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator
 def give_back() -> None:
     """Return freed memory to the system: a Python worker lives on through many
     stages, and what its allocators keep counts against the executor."""
+    _powers.clear()
     pa.default_memory_pool().release_unused()
     if hasattr(_C, "malloc_trim"):   # glibc
         _C.malloc_trim(0)
@@ -123,7 +124,8 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; grown by doubling and kept."""
+    """base**0 .. base**(n-1) modulo 2**64; grown by doubling and kept to the end
+    of the task or group."""
     got = _powers.get(base)
     if got is None or len(got) < n:
         got = np.ones(1, dtype=np.uint64)

@@ -9,7 +9,7 @@ document offsets its row pointers, and the gathered log-probabilities are summed
 per row.
 
 The posterior only compares the learned languages, so it says nothing about a
-text in none of them. That is told by the mean log-likelihood in the best language
+text in none of them. That is told by a further column, from the mean log-likelihood in the best language
 of the n-grams of letters and spaces (numbers and keys are in no language), plus
 an allowance for short texts: it must reach a floor learned from the training rows
 of the language, each scored by counts without its own. The floor lies three
@@ -20,9 +20,9 @@ by a hash of the row (documented bound of the sample), so that every label is
 learned at any size; the priors are of all labelled rows. Prediction covers every
 row and the whole text.
 
-Defined cases: a null text, one without a letter, or one below the floor of its
-best language is ``und`` with score 0; if no row can be learned from, every row is ``und``; equal scores go to the first
-language in code point order; a null doc_id isn't held out; an empty table gives
+Defined cases: a null text and one without a letter are ``und`` with score 0 and in
+no language, and no other text is; if no row can be learned from, every row is
+``und``; equal scores go to the first language in code point order; a null doc_id isn't held out; an empty table gives
 an empty result.
 """
 
@@ -267,41 +267,41 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN, alpha: float = 0.5) ->
                  np.log(alpha / sizes[:, 0]))
 
 
-def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    """Predicted language and its posterior probability per text."""
-    total = np.tile(model.prior, (len(texts), 1)) if model.langs else np.zeros((len(texts), 0))
-    if model.langs:
-        for docs, points, edge in _pieces(texts):
-            for order, bins in zip(ORDERS, _bins(points)):
-                begin, end = _spans(edge, order, len(bins))
-                if not len(bins):
-                    continue
-                for i in range(len(model.langs)):
-                    np.add.at(total[:, i], docs, _gather(model.matrix[i][bins], begin, end))
+def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Predicted language, its posterior probability, and whether the text
+    reaches the floor of that language, per text."""
     known = np.array([bool(t and model.langs and LETTER.search(t)) for t in texts], dtype=bool)
-    if not model.langs:
-        return ["und"] * len(texts), np.zeros(len(texts))
+    if not model.langs or not texts:
+        return ["und"] * len(texts), np.zeros(len(texts)), known
+    total = np.tile(model.prior, (len(texts), 1))
+    for docs, points, edge in _pieces(texts):
+        for order, bins in zip(ORDERS, _bins(points)):
+            begin, end = _spans(edge, order, len(bins))
+            if not len(bins):
+                continue
+            for i in range(len(model.langs)):
+                np.add.at(total[:, i], docs, _gather(model.matrix[i][bins], begin, end))
     best = total.argmax(axis=1)
-    if model.floor is not None:
-        known &= model.fits(best, *_likelihoods(model, texts, best))
+    inside = known & model.fits(best, *_likelihoods(model, texts, best)) if model.floor is not None else known
     posterior = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-    return ([model.langs[k] if ok else "und" for k, ok in zip(best, known)], np.where(known, posterior, 0.0))
+    return ([model.langs[k] if ok else "und" for k, ok in zip(best, known)], np.where(known, posterior, 0.0), inside)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred",
-            score_col: str = "score") -> DataFrame:
-    """``docs`` with the two columns added (their names must be free)."""
+            score_col: str = "score", inside_col: str = "in_language") -> DataFrame:
+    """``docs`` with the three columns added (their names must be free)."""
     small_batches(docs.sparkSession)
     handle = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_slices(batches):
-            langs, scores = score_texts(handle.value, b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                                             names=[*b.schema.names, pred_col, score_col])
+            langs, scores, inside = score_texts(handle.value, b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(inside)],
+                                             names=[*b.schema.names, pred_col, score_col, inside_col])
 
-    out = T.StructType([*docs.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
+    out = T.StructType([*docs.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType()),
+                        T.StructField(inside_col, T.BooleanType())])
     return docs.mapInArrow(run, out)
 
 
@@ -311,7 +311,7 @@ def train_rows(docs: DataFrame) -> DataFrame:
 
 
 def identify(docs: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """doc_id, held_out, lang_pred, score per row of ``docs``."""
+    """doc_id, held_out, lang_pred, score, in_language per row of ``docs``."""
     model = fit(train_rows(docs), max_train)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+    return predict(rows, model).select("doc_id", "held_out", "lang_pred", "score", "in_language")

@@ -8,7 +8,7 @@ finds the best pair rank per segment, merges its leftmost occurrence (all
 non-overlapping ones where no merge can make a better pair) in all segments at
 once, compacts the arrays, and lets finished segments go, until no pair remains.
 Document ids are gathered from the segments' ids, and decoding gathers piece
-bytes in the same ragged way.
+bytes in the same ragged way. The segments that a task keeps are bounded by bytes.
 
 Supported models: BPE with dummy prefix, escaped white space, the identity
 normaliser and no user-defined pieces (others raise); characters without a piece
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ragged, sha256_hex, small_batches, small_slices
+from .common import give_back, ragged, small_batches, small_slices
 
 MARK = "▁"            # stands for a space
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
-CACHE_SEGMENTS = 300_000   # segments that a task keeps
+CACHE_BYTES = 16 << 20     # what the segments that a task keeps may take, estimated
 NONE = np.int32(1 << 30)
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # piece types of the public model format
 
@@ -204,12 +205,19 @@ class _Numbers(dict):
     def __init__(self):
         super().__init__()
         self.new: list[str] = []
+        self.chars = 0
 
     def __missing__(self, segment: str) -> int:
         self[segment] = number = len(self)
         self.new.append(segment)
+        self.chars += len(segment)
         return number
 
+    def size(self) -> int:
+        """Estimated bytes: the entry and the head of its string, up to two bytes
+        a character and up to four for its ids."""
+        return 240 * len(self) + 6 * self.chars
+
 
 class Encoder:
     """Encodes batches of texts; keeps the segments it has met."""
@@ -233,8 +241,6 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) over the texts, each with the closing ids."""
-        if len(self.number) > CACHE_SEGMENTS:
-            self.clear()
         number, numbers = self.number.__getitem__, []
         for text in texts:
             parts = SEGMENT.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -255,6 +261,8 @@ class Encoder:
         out[ragged(offsets[:-1], text_size)] = ids
         for k in range(tail):
             out[offsets[1:] - tail + k] = self.tail[k]
+        if self.number.size() > CACHE_BYTES:
+            self.clear()
         return out, offsets
 
 
@@ -323,6 +331,19 @@ def _lossy(run: bytes) -> str:
     return "".join(out)
 
 
+def _parts(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """(rows, their texts) of about a million characters at most, one row at least."""
+    for b in small_slices(batches, 200):
+        row = 0
+        for part in _bounded(b.column(at).to_pylist()):
+            yield b.slice(row, len(part)), part
+            row += len(part)
+
+
+def _lists(ids: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+
+
 def _bounded(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[str | None]]:
     held, part = 0, []
     for t in texts:
@@ -335,6 +356,15 @@ def _bounded(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[str
         yield part
 
 
+def _id_runs(offsets: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Row ranges of a bounded number of ids, one row at least."""
+    a = 0
+    while a < len(offsets) - 1:
+        z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, side="right")) - 1)
+        yield a, z
+        a = z
+
+
 _state: dict[int, tuple] = {}
 
 
@@ -366,15 +396,11 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _worker(handle)[0]
-        for b in small_slices(batches):
-            row = 0
-            for part in _bounded(b.column(at).to_pylist()):
-                ids, offsets = encoder.encode(part)
-                own = b.slice(row, len(part))
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*own.columns, lists], names=[*b.schema.names, ids_col])
-                row += len(part)
+        for own, part in _parts(batches, at):
+            ids, offsets = encoder.encode(part)
+            yield pa.RecordBatch.from_arrays([*own.columns, _lists(ids, offsets)], names=[*own.schema.names, ids_col])
         encoder.clear()
+        give_back()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
@@ -392,12 +418,9 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", text_col: str
             offsets = lists.offsets.to_numpy().astype(np.int64)
             flat = lists.values.to_numpy(zero_copy_only=False)   # offsets are places in it, for a slice too
             texts: list[str] = []
-            a = 0
-            while a < len(lists):  # a bounded number of ids at once
-                z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + (1 << 19), side="right")) - 1)
+            for a, z in _id_runs(offsets):
                 part = offsets[a:z + 1]
                 texts += decoder.decode(flat[part[0]:part[-1]].astype(np.int64), part - part[0])
-                a = z
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, text_col])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(text_col, T.StringType())]))
@@ -409,9 +432,38 @@ def public_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def encode_digest(docs: DataFrame, model_path: str, text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """``docs`` without its text, with n_tokens, the ids (if wanted), and the
+    SHA-256 of the decimal ids and of the text that they decode to.
+
+    Encoding, decoding and both digests are one pass of a single Python worker a
+    core; no decoded text leaves it."""
+    small_batches(docs.sparkSession)
+    handle = _share(docs.sparkSession, model_path)
+    at = docs.columns.index(text_col)
+    keep = [i for i in range(len(docs.columns)) if i != at]
+    added = [("n_tokens", T.LongType()), *([("ids", T.ArrayType(T.IntegerType()))] if with_ids else []),
+             ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _worker(handle)
+        for own, part in _parts(batches, at):
+            ids, offsets = encoder.encode(part)
+            rows = list(zip(offsets[:-1].tolist(), offsets[1:].tolist()))
+            id_digest = [sha256(" ".join(map(str, ids[a:z].tolist())).encode()).hexdigest() for a, z in rows]
+            decoded: list[str] = []
+            for a, z in _id_runs(offsets):
+                span = offsets[a:z + 1]
+                decoded += [sha256(t.encode()).hexdigest() for t in decoder.decode(ids[span[0]:span[-1]].astype(np.int64), span - span[0])]
+            new = [pa.array(np.diff(offsets), pa.int64()), *([_lists(ids, offsets)] if with_ids else []),
+                   pa.array(id_digest, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays([*(own.column(i) for i in keep), *new],
+                                             names=[*(own.schema.names[i] for i in keep), *(n for n, _ in added)])
+        encoder.clear()
+        give_back()
+
+    return docs.mapInArrow(run, T.StructType([*(docs.schema.fields[i] for i in keep), *(T.StructField(n, t) for n, t in added)]))
+
+
 def roundtrip_digest(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    path = model_path or public_model()
-    rows = decode(encode(docs.select("doc_id", "text"), path).select("doc_id", "ids"), path)
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                       sha256_hex(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
-                       sha256_hex(F.col("decoded")).alias("decoded_sha256"))
+    return encode_digest(docs.select("doc_id", "text"), model_path or public_model())

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import repeats as R
 from . import sentencepiece_bpe as S
-from .common import mix64, small_batches, small_slices, tidy
+from .common import give_back, mix64, small_batches, small_slices, tidy
 
 SEQ_LEN = 2048
 SHARD_SIZE = 4096     # sequences of a shard
@@ -95,6 +95,7 @@ def token_rows(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
                 row += len(part)
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), data], names=["doc_id", "version", "ids"])
         encoder.clear()
+        give_back()
 
     return (rows.mapInArrow(run, "doc_id long, version long, ids binary")
             .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "version"), F.lit(buckets)).cast("int")).repartition("bucket"))
@@ -142,7 +143,8 @@ def training_shards(docs: DataFrame, model_path: str | None = None, key: int = 2
                                   [b"".join(data[i] for i in order.tolist())]])
 
     sequences = rows.groupBy("bucket").cogroup(bucket_offsets(rows, stride).groupBy("bucket")).applyInArrow(tidy(cut), "shard long, slot long, n int, data binary")
-    return sequences.groupBy("shard").applyInArrow(tidy(gather), SHARD)
+    # ranges of slots, so that the files of a write follow the training order
+    return sequences.repartitionByRange("shard").groupBy("shard").applyInArrow(tidy(gather), SHARD)
 
 
 def write_shards(shards: DataFrame, path: str) -> None:

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 from llm_cases import clashing, messy_rows
@@ -18,7 +19,8 @@ def test_scores_equal_brute_force():
     rng = np.random.default_rng(1)
     model = I.Model(["a", "b"], np.log([0.3, 0.7]), rng.normal(size=(2, 1 << I.BINS_LOG2)).astype(np.float32) / 100)
     texts = ["Hello wörld", "", None, "x", "12 !", "long " * 70_000 + "ÄÖ", "ab"]
-    langs, scores = I.score_texts(model, texts)
+    langs, scores, inside = I.score_texts(model, texts)
+    assert inside.tolist() == [lang != "und" for lang in langs]
     for t, lang, score in zip(texts, langs, scores):
         if not t or not any(c.isalpha() for c in t):
             assert (lang, score) == ("und", 0.0)
@@ -42,7 +44,10 @@ def test_labels_and_sources_do_not_matter(messy):
 
 def test_messy_and_empty(messy, empty):
     rows = I.identify(clashing(messy)).collect()
-    assert len(rows) == len(messy_rows()) and {r.lang_pred for r in rows} <= {"en", "de", "und"}
+    assert {r.lang_pred for r in rows} <= {"en", "de", "und"}
+    letters_of = Counter((r[0], bool(r[1]) and any(c.isalpha() for c in r[1])) for r in messy_rows())
+    assert Counter((r.doc_id, r.lang_pred != "und") for r in rows) == letters_of
+    assert all((r.score > 0) == (r.lang_pred != "und") for r in rows)
     assert I.identify(empty).count() == 0
     unlabelled = messy.withColumn("lang", messy.lang.substr(1, 0)).where("doc_id is null").selectExpr("doc_id", "text", "cast(null as string) lang")
     assert {r.lang_pred for r in I.identify(unlabelled).collect()} == {"und"}
@@ -58,15 +63,16 @@ def letters(n):
             " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(n // 7))]
 
 
-def test_texts_in_no_learned_language_are_und(spark, sf):
+def test_texts_in_no_learned_language_are_told(spark, sf):
     docs = documents(spark, sf)
     model = I.fit(I.train_rows(docs))
-    langs, scores = I.score_texts(model, UNLEARNED + letters(400) + letters(4000))
-    assert set(langs) == {"und"} and not scores.any()
+    # a letter is enough for a prediction; the further column tells that none fits
+    langs, scores, inside = I.score_texts(model, UNLEARNED + letters(400) + letters(4000))
+    assert set(langs) <= set(model.langs) and scores.all() and not inside.any()
     clean = [t for (t,) in docs.select("text").collect() if t and any(c.isalpha() for c in t)]
-    assert "und" not in I.score_texts(model, clean)[0]
+    assert I.score_texts(model, clean)[2].all()
     key = 'token = "40d78a45c418324758e099eb7cb89bc0f5fa9f62" 4734663219866878 126.57.31.34 '
-    assert "und" not in I.score_texts(model, [key + clean[0][:60], clean[0][:12]])[0]
+    assert I.score_texts(model, [key + clean[0][:60], clean[0][:12]])[2].all()
 
 
 def test_pipeline_stage_drops_texts_in_no_learned_language(spark, sf):

@@ -32,8 +32,8 @@ def check_stages(spark, docs, sf):
         key = lambda r: (r["doc_id"], r["text"], r["source"])
         if k == 0:
             model = language_id.fit(language_id.train_rows(df))
-            langs, scores = language_id.score_texts(model, [r["text"] for r in before])
-            want = Counter(key(r) for r, lang, s in zip(before, langs, scores) if lang != "und" and s >= P.MIN_LANGUAGE_SCORE)
+            _, scores, inside = language_id.score_texts(model, [r["text"] for r in before])
+            want = Counter(key(r) for r, ok, s in zip(before, inside, scores) if ok and s >= P.MIN_LANGUAGE_SCORE)
             assert Counter(map(key, after)) == want
         elif k == 1:
             best = {}
