@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, language_id, mixing, ngram_join, sentencepiece_bpe
-from tessera.llm.common import documents, free_name, sha256_hex
+from tessera.llm.common import documents, free_name
 from tessera.session import ensure_checkpoint_dir
 
 #: Least posterior probability of a language for a document to stay.
@@ -25,10 +25,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents in one of the learned languages; those without a letter, those
     under the likelihood floor of their best language and those of no clear
     language go."""
-    lang, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
+    lang, score, inside = (free_name(docs, n) for n in ("lang_pred", "lang_score", "in_language"))
     model = language_id.fit(language_id.train_rows(docs))
-    rows = language_id.predict(docs, model, pred_col=lang, score_col=score)
-    return rows.where((F.col(lang) != "und") & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    rows = language_id.predict(docs, model, pred_col=lang, score_col=score, inside_col=inside)
+    return rows.where(F.col(inside) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,11 +49,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids of every row, with digests of the ids and of the
     text that they decode to."""
-    path = sentencepiece_bpe.public_model()
-    rows = sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs.select("doc_id", "source", "text"), path).drop("text"), path)
-    return rows.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                       sha256_hex(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
-                       sha256_hex(F.col("decoded")).alias("decoded_sha256"))
+    return sentencepiece_bpe.encode_digest(docs.select("doc_id", "source", "text"), sentencepiece_bpe.public_model(), with_ids=True)
 
 
 STAGES = [
