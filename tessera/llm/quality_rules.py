@@ -3,20 +3,24 @@
 Per document the base counts come from one pass of array functions; only
 documents that repeat a 3-word window pay for sorting their windows. Across
 documents, every distinct normalised line of a document is hashed, and distinct
-texts are counted per (host, line): duplicates are folded in the scan tasks
-first, then by (host, line, text), so neither a hot host nor a hot line gathers
-in one task. Lines above the limit of their host are boilerplate; documents
-that would keep too few of their words without them are rejected.
+documents are counted per (host, line). The line rows are kept once in the shared
+folder. Lines above the limit of their host are boilerplate and are removed;
+documents that would keep too few of their words without them are rejected.
 
-A line is above the limit when it is found in at least ``min_texts`` distinct
-texts of the host and in at least ``max_share`` of them. Exact copies of a text
-count once, so copies alone never make a line boilerplate. A document is
-depleted when its boilerplate lines hold more than ``max_loss`` of its words.
+A line is above the limit when it is found in at least ``min_docs`` documents of
+the host, or, where ``max_share`` is given, in at least that share of them (and
+in two documents). Copies are documents of their own, so a text that stands
+``min_docs`` times in a host is boilerplate as a whole: exact dedup comes first
+where one copy should stay. A document is depleted when its boilerplate lines
+hold more than ``max_loss`` of its words.
+
+A line of a host in as many documents as a thousandth of all line rows is joined
+by broadcast (there are a thousand of them at most), the others by a shuffle.
 
 Defined cases: a null text has no words and fails the base rules; a null host is
-a host of its own; rows that repeat both doc_id and text get the same result
-each; lines without a word are never counted; an empty table gives an empty
-result.
+a host of its own; rows that repeat both doc_id and text are one document and get
+the same result each; lines without a word are never counted; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, ascii_lower
+from .common import SPACE, WORD, ascii_lower, checkpointed
 
 #: Fixed values of the base rules.
 MIN_WORDS = 50
@@ -87,23 +91,38 @@ def line_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.length("key") - F.length(F.replace("key", F.lit(" "), F.lit(""))) + 1).cast("long").alias("words"))
 
 
-def boilerplate(lines: DataFrame, min_texts: int = 10, max_share: float = 0.2) -> DataFrame:
-    """(host, h1, h2) of the lines above the limit of their host."""
-    texts = lines.groupBy("host", "version").agg(F.lit(1).alias("one")).groupBy("host").agg(
-        F.count("*").alias("host_texts")).withColumnRenamed("host", "t_host")
-    found = lines.groupBy("host", "h1", "h2", "version").agg(F.lit(1).alias("one")).groupBy("host", "h1", "h2").agg(
-        F.count("*").alias("texts")).where(F.col("texts") >= min_texts)
-    return found.join(texts, F.col("host").eqNullSafe(F.col("t_host"))).where(
-        F.col("texts") >= max_share * F.col("host_texts")).select("host", "h1", "h2")
-
-
-def quality_rules(docs: DataFrame, min_texts: int = 10, max_share: float = 0.2, max_loss: float = 0.5,
+def boilerplate(lines: DataFrame, min_docs: int = 10, max_share: float | None = None) -> DataFrame:
+    """(host, h1, h2, docs) of the lines above the limit of their host."""
+    found = lines.groupBy("host", "h1", "h2", "doc_id", "version").agg(F.lit(1).alias("one")).groupBy("host", "h1", "h2").agg(
+        F.count("*").alias("docs"))
+    if max_share is None:
+        return found.where(F.col("docs") >= min_docs)
+    totals = lines.groupBy("host", "doc_id", "version").agg(F.lit(1).alias("one")).groupBy(F.col("host").alias("t_host")).agg(
+        F.count("*").alias("host_docs"))
+    return found.join(totals, F.col("host").eqNullSafe(F.col("t_host"))).where(
+        (F.col("docs") >= min_docs) | (F.col("docs") >= F.greatest(max_share * F.col("host_docs"), F.lit(2)))).select(
+        "host", "h1", "h2", "docs")
+
+
+def _in_common(lines: DataFrame, common: DataFrame) -> DataFrame:
+    """The line rows that are boilerplate. A line of a host with a thousandth of
+    all rows or more would fill one task of the shuffle; common lines have at
+    least as many rows as documents, so the count is taken of them alone."""
+    least = max(1000, lines.count() // 1000)
+    own = common.select(F.col("host").alias("c_host"), F.col("h1").alias("c1"), F.col("h2").alias("c2"), "docs")
+    frequent = F.broadcast(own.where(F.col("docs") >= least))   # at most a thousand rows
+    same = F.col("host").eqNullSafe(F.col("c_host")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2"))
+    cold = lines.join(frequent, same, "left_anti").join(own.where(F.col("docs") < least), same, "left_semi")
+    return lines.join(frequent, same, "left_semi").unionByName(cold)
+
+
+def quality_rules(docs: DataFrame, min_docs: int = 10, max_share: float | None = None, max_loss: float = 0.5,
                   id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """doc_id, the base counts, base_failed, boilerplate_words and kept."""
-    lines = line_counts(docs, id_col, text_col, host_col)
-    common = boilerplate(lines, min_texts, max_share).withColumnsRenamed({"host": "c_host"})
+    lines = checkpointed(line_counts(docs, id_col, text_col, host_col))
+    common = checkpointed(boilerplate(lines, min_docs, max_share))
     # rows that repeat doc_id and text would add up: the share is taken of their common sum
-    lost = (lines.join(common, ["h1", "h2"]).where(F.col("host").eqNullSafe(F.col("c_host")))
+    lost = (_in_common(lines, common)
             .groupBy(F.col("doc_id").alias("l_id"), F.col("version").alias("l_version"), F.col("host").alias("l_host"))
             .agg(F.sum("words").alias("lost")))
     base = base_counts(docs, id_col, text_col, host_col)
@@ -140,9 +159,7 @@ lines AS (SELECT doc_id, host, text, line, len(regexp_extract_all(line, '[^\x20\
           FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d)
           WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY doc_id),
-hosts AS (SELECT host, count(DISTINCT text) AS host_texts FROM lines GROUP BY host),
-common AS (SELECT l.host, key FROM lines l JOIN hosts h ON l.host IS NOT DISTINCT FROM h.host
-           GROUP BY l.host, key, host_texts HAVING count(DISTINCT text) >= 10 AND count(DISTINCT text) >= 0.2 * host_texts),
+common AS (SELECT host, key FROM lines GROUP BY host, key HAVING count(DISTINCT doc_id) >= 10),
 lost AS (SELECT doc_id, sum(n) AS lost FROM lines l JOIN common c ON l.key = c.key AND l.host IS NOT DISTINCT FROM c.host
          GROUP BY doc_id),
 base AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,

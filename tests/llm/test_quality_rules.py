@@ -14,17 +14,16 @@ def base(text):
     return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit), failed
 
 
-def brute(rows, min_texts, max_share, max_loss):
-    texts, found = defaultdict(set), defaultdict(set)
+def brute(rows, min_docs, max_share, max_loss):
+    docs, found = defaultdict(set), defaultdict(set)
     norm = lambda line: lower(" ".join(WORD.findall(line)))
     for r in rows:
-        texts[r[3]].add(r[1] or "")
         for line in (r[1] or "").split("\n"):
-            if WORD.search(line):
-                found[r[3], norm(line)].add(r[1] or "")
-    # hosts count the texts that have a line with a word
-    size = {h: len({t for t in ts if WORD.search(t)}) for h, ts in texts.items()}
-    bad = {k for k, v in found.items() if len(v) >= min_texts and len(v) >= max_share * size[k[0]]}
+            if WORD.search(line):   # hosts count the documents that have a line with a word
+                docs[r[3]].add(r[:2])
+                found[r[3], norm(line)].add(r[:2])
+    bad = {k for k, v in found.items() if len(v) >= min_docs
+           or max_share is not None and len(v) >= max(2, max_share * len(docs[k[0]]))}
     out = Counter()
     for r in rows:
         b = base(r[1])
@@ -36,11 +35,32 @@ def brute(rows, min_texts, max_share, max_loss):
 def test_matches_brute_force(messy):
     rows = messy_rows() + [(5000 + i, "# * " + "up & down | " * i, None, "s1", 0) for i in range(30)]
     df = messy.unionByName(frame(messy.sparkSession, rows[len(messy_rows()):]))
-    for args in ((10, 0.2, 0.5), (2, 0.0, 0.1)):
+    for args in ((10, None, 0.5), (100, 0.2, 0.5), (2, None, 0.1)):
         got = Counter(tuple(r) for r in Q.quality_rules(df, *args).collect())
         assert got == brute(rows, *args)
 
 
+def test_boilerplate_of_a_large_host(spark):
+    """A banner in 2 % of a host's documents takes effect, and a line in as many
+    documents of many small hosts doesn't."""
+    body = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    banner = " ".join(f"menu{j}" for j in range(100))
+    rows = [(i, body(i) + ("\n" + banner if i % 50 == 0 else ""), None, "big", 0) for i in range(2000)]
+    rows += [(5000 + i, body(5000 + i) + "\n" + banner, None, f"small{i % 30}", 0) for i in range(60)]
+    got = {r.doc_id: r for r in Q.quality_digest(frame(spark, rows)).collect()}
+    assert all(got[i].kept == (i % 50 != 0) and got[i].boilerplate_words == (0 if i % 50 else 100) for i in range(2000))
+    assert all(got[5000 + i].kept for i in range(60))
+
+
+def test_a_line_that_holds_most_rows(spark):
+    """Its rows take the broadcast path."""
+    body = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    rows = [(i, body(i) + "\nShared  LINE here", None, "h" if i % 3 else None, 0) for i in range(1500)]
+    rows += [(9000 + i, body(9000 + i) + "\nrare line", None, "h", 0) for i in range(12)]
+    got = {r.doc_id: r.boilerplate_words for r in Q.quality_digest(frame(spark, rows)).collect()}
+    assert got == {r[0]: 3 if r[0] < 9000 else 2 for r in rows}
+
+
 def test_depleted_documents_go_and_clean_ones_stay(spark):
     body = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
     boiler = " ".join(f"menu{j}" for j in range(100))
@@ -50,5 +70,5 @@ def test_depleted_documents_go_and_clean_ones_stay(spark):
 
 
 def test_extra_columns_and_empty(messy, empty):
-    assert Q.quality_digest(clashing(messy)).count() == len(messy_rows())
+    assert Counter(tuple(r) for r in Q.quality_digest(clashing(messy)).collect()) == brute(messy_rows(), 10, None, 0.5)
     assert Q.quality_digest(empty).count() == 0
