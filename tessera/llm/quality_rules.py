@@ -12,7 +12,8 @@ the host, or, where ``max_share`` is given, in at least that share of them (and
 in two documents). Copies are documents of their own, so a text that stands
 ``min_docs`` times in a host is boilerplate as a whole: exact dedup comes first
 where one copy should stay. A document is depleted when its boilerplate lines
-hold more than ``max_loss`` of its words.
+hold more than ``max_loss`` of its words, or leave fewer words than the base rule
+asks for.
 
 A line of a host in as many documents as a thousandth of all line rows is joined
 by broadcast (there are a thousand of them at most), the others by a shuffle.
@@ -137,7 +138,8 @@ def quality_rules(docs: DataFrame, min_docs: int = 10, max_share: float | None =
     lost_words = F.coalesce("lost", F.lit(0).cast("long"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       failed.alias("base_failed"), lost_words.alias("boilerplate_words"),
-                      (~failed & (lost_words <= max_loss * F.col("n_words"))).alias("kept"))
+                      (~failed & (lost_words <= max_loss * F.col("n_words"))
+                       & (F.col("n_words") - lost_words >= MIN_WORDS)).alias("kept"))
 
 
 def quality_digest(docs: DataFrame) -> DataFrame:
@@ -169,5 +171,5 @@ base AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_
                 CAST(coalesce(lost, 0) AS BIGINT) AS boilerplate_words
          FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
-SELECT *, NOT base_failed AND boilerplate_words <= 0.5 * n_words AS kept FROM f
+SELECT *, NOT base_failed AND boilerplate_words <= 0.5 * n_words AND n_words - boilerplate_words >= 50 AS kept FROM f
 """

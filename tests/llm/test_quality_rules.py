@@ -28,7 +28,7 @@ def brute(rows, min_docs, max_share, max_loss):
     for r in rows:
         b = base(r[1])
         lost = sum(len(WORD.findall(x)) for x in (r[1] or "").split("\n") if WORD.search(x) and (r[3], norm(x)) in bad)
-        out[(r[0], *b, lost, not b[5] and lost <= max_loss * b[0])] += 1
+        out[(r[0], *b, lost, not b[5] and lost <= max_loss * b[0] and b[0] - lost >= 50)] += 1
     return out
 
 
@@ -52,6 +52,13 @@ def test_boilerplate_of_a_large_host(spark):
     assert all(got[5000 + i].kept for i in range(60))
 
 
+def test_what_boilerplate_leaves_must_pass_the_length_rule(spark):
+    banner = " ".join(f"menu{j}" for j in range(10))
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(45 + i % 10)) + "\n" + banner, None, "h", 0) for i in range(40)]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in Q.quality_digest(frame(spark, rows)).collect()}
+    assert got == {i: (False, i % 10 >= 5) for i in range(40)}
+
+
 def test_a_line_that_holds_most_rows(spark):
     """Its rows take the broadcast path."""
     body = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
