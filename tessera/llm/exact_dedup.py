@@ -30,9 +30,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, free_name
+from .repeats import plan_bytes
 
 SLOTS = 4          # entries of a bucket
 MAX_KICKS = 200    # displacements before the table is doubled
+FOLD_BYTES = 256 << 20   # input of a second fold's task; some 100,000 documents of a few KB
 NO_ID = -(1 << 63)  # stands for a null id inside the index
 
 
@@ -99,12 +101,16 @@ class CuckooIndex:
         if not self._place(key, at):
             self._resize()
 
-    def remove(self, key: bytes) -> bool:
-        """Take a live digest out; False if it isn't there."""
+    def remove(self, key: bytes, count: int | None = None) -> bool:
+        """Take ``count`` rows off a live digest (None: all), and the digest out
+        once none is left; False if it isn't there."""
         slot = self._slot(key)
         if slot < 0:
             return False
         at = self.record[slot]
+        if count is not None and self.count[at] > count:
+            self.count[at] -= count
+            return True
         self.fingerprint[slot] = 0
         self.keys[at] = None
         self.free.append(at)
@@ -164,8 +170,12 @@ _GROUP = "digest binary, best long, n long"
 
 def digest_groups(rows: DataFrame) -> DataFrame:
     """(digest, best, n) of a (digest, best, n) table, one row per digest: folded
-    in each task first, then once more where the digests meet."""
+    in each task first, then once more where the digests meet, in as many tasks as
+    keep an index within some 100,000 digests."""
     folded = rows.select("digest", "best", "n").mapInArrow(_fold, _GROUP)
+    parts = -(-plan_bytes(rows) // FOLD_BYTES)
+    if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return folded.repartition(parts, "digest").mapInArrow(_fold, _GROUP)
     return folded.repartition("digest").mapInArrow(_fold, _GROUP)
 
 
@@ -232,9 +242,11 @@ def build_index(docs: DataFrame, segments: int = 64, id_col: str = "doc_id", tex
 
 
 def update_index(index: DataFrame, inserts: DataFrame | None, deletes: DataFrame | None, segments: int = 64,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                 id_col: str = "doc_id", text_col: str = "text", whole: bool = True) -> DataFrame:
     """Index after deleting the digests of ``deletes`` and inserting those of
-    ``inserts`` (both are document tables; either may be None)."""
+    ``inserts`` (both are document tables; either may be None). With ``whole``
+    false, ``deletes`` are rows: a digest goes with its last one, and keeps until
+    then the largest id that it was given."""
     parts = []
     for sign, docs in ((-1, deletes), (1, inserts)):
         if docs is not None:
@@ -250,7 +262,7 @@ def update_index(index: DataFrame, inserts: DataFrame | None, deletes: DataFrame
     def change(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         table = _load(old)
         for r in new[new.sign < 0].itertuples():
-            table.remove(bytes(r.digest))
+            table.remove(bytes(r.digest), None if whole else int(r.n))
         for r in new[new.sign > 0].itertuples():
             table.add(bytes(r.digest), int(r.best), int(r.n))
         return _store(int(key[0]), table)

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_rules, sentencepiece_bpe, substring_dedup, suffix_dedup, token_output
+from . import (exact_dedup, language_id, license_scan, line_dedup, merkle_manifest, mixing, ngram_join, quality_rules, ranked_search,
+               sentencepiece_bpe, substring_dedup, suffix_dedup, token_output)
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +82,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
     rows = exact_dedup.exact_duplicates(documents(spark, sf_dir))
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@register("op11_ranked_search", ranked_search.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    return ranked_search.ranked_search(documents(spark, sf_dir), items)
+
+
+@register("op12_merkle_manifest", merkle_manifest.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest_digest(documents(spark, sf_dir))
+
+
+@register("op13_license_scan", license_scan.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licence_scan(documents(spark, sf_dir))

@@ -24,7 +24,7 @@ throughout. Matches never cross texts.
 Defined cases: a null text is empty; texts under ``length`` bytes lose nothing;
 rows that repeat a text all lose it; an empty table gives an empty result; ids may
 be null or repeated, other columns are left alone. Contexts are compared byte by
-byte; only the windows of step 3 go by a 64-bit hash.
+byte; only the windows of step 3 go by hash, two of 64 bits.
 """
 
 from __future__ import annotations
@@ -51,6 +51,10 @@ REPLY = "chunk int, p int, bits binary, extents binary, kind int"
 RESULT = "d1 long, d2 long, n_bytes long, n_removed long, n_spans long, spans array<int>, kept_sha256 string"
 META = np.dtype([("hash", "<u8"), ("left", "<u2"), ("right", "<u2"), ("times", "<u1")])
 LAST = np.uint64(2**64 - 1)
+#: A second polynomial for whole windows, so that a false match needs two clashes.
+_BASE_2 = 0xD6E8FEB86659FD93
+_INVERSE_2 = pow(_BASE_2, -1, 1 << 64)
+_BYTE_VALUE_2 = mix64(_BYTE_VALUE ^ np.uint64(0xA5A5A5A5A5A5A5A5))
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -84,6 +88,13 @@ class _Part:
         span *= powers(_INVERSE, len(self.buf) + 1)[begin]
         return mix64(span + (end - begin).astype(np.uint64))
 
+    def second_hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of each byte string begin..end by the second polynomial."""
+        n = len(self.buf)
+        total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(_BYTE_VALUE_2[self.buf] * powers(_BASE_2, n), out=total[1:])
+        return mix64((total[end] - total[begin]) * powers(_INVERSE_2, n + 1)[begin])
+
     def _anchors(self) -> tuple[np.ndarray, np.ndarray]:
         n, w = len(self.buf), self.length - self.gram + 1
         none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -157,9 +168,9 @@ class _Bytes:
         return {p: (meta[cut[p]:cut[p + 1]].tobytes(), data[stop[cut[p]]:stop[cut[p + 1]]].tobytes())
                 for p in np.flatnonzero(np.diff(cut)).tolist()}
 
-    def windows(self, hot: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """(hashes, places per part) of the windows that hold a hot anchor."""
-        hashes, starts, done = [], [], 0
+    def windows(self, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(hashes, second hashes, places per part) of the windows that hold a hot anchor."""
+        hashes, second, starts, done = [], [], [], 0
         for _, p in self.parts:
             use = hot[done:done + len(p.at)]
             done += len(p.at)
@@ -169,7 +180,8 @@ class _Bytes:
             start = np.unique(ragged(low, np.maximum(high - low + 1, 0)))
             starts.append(start)
             hashes.append(p.hashes(start, start + self.length))
-        return _cat(hashes, np.uint64), starts
+            second.append(p.second_hashes(start, start + self.length) if len(start) else np.zeros(0, np.uint64))
+        return _cat(hashes, np.uint64), _cat(second, np.uint64), starts
 
 
 def _cat(arrays: list[np.ndarray], kind=np.int64) -> np.ndarray:
@@ -325,6 +337,16 @@ def _reply(table: pa.Table, kind: int, column: str) -> tuple[list[int], list[byt
     return own.column("p").to_pylist(), own.column(column).to_pylist()
 
 
+def _again(replies: pa.Table, one: np.ndarray, two: np.ndarray, log2: int) -> np.ndarray:
+    """Windows found more than once by both of their hashes."""
+    rows = list(zip(*_reply(replies, 2, "bits")))
+    flags = []
+    for k, hashes in enumerate((one, two)):
+        own = [(p - (k << log2), b) for p, b in rows if p >> log2 == k]
+        flags.append(R.read_answers([p for p, _ in own], [b for _, b in own], hashes, log2, exact=True)[0])
+    return flags[0] & flags[1]
+
+
 class _Job:
     """The passes that both results share, for one table and its parameters."""
 
@@ -365,8 +387,12 @@ class _Job:
                 return R.table_of(CONTEXTS, [[]] * 6)
             own, again, many = flag(table, replies)
             packed = own.context_rows(own.contexts(again), log2)
-            ask = R.questions(own.chunk.chunk, own.windows(many)[0], None, log2, exact=True)
-            counted = dict(zip(ask[0], ask[2]))
+            # each window is asked by two hashes; the second one's ranges follow the first one's
+            one, two, _ = own.windows(many)
+            counted = {}
+            for k, hashes in enumerate((one, two)):
+                ask = R.questions(own.chunk.chunk, hashes, None, log2, exact=True)
+                counted |= {p + (k << log2): c for p, c in zip(ask[0], ask[2])}
             ranges = sorted(packed.keys() | counted.keys())
             return R.table_of(CONTEXTS, [ranges, [own.chunk.chunk] * len(ranges), [counted.get(p) for p in ranges],
                                          [None] * len(ranges), *([packed.get(p, (None, None))[k] for p in ranges] for k in (0, 1))])
@@ -405,8 +431,8 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         c = own.contexts(again)
         said = dict(zip(*_reply(replies, 2, "extents")))
         reach = np.frombuffer(b"".join(said[p] for p in sorted(said)), dtype=np.uint16).reshape(-1, 2).astype(np.int64)[c["entry"]]
-        hashes, starts = own.windows(many)
-        window = R.read_answers(*_reply(replies, 2, "bits"), hashes, log2, exact=True)[0]
+        hashes, second, starts = own.windows(many)
+        window = _again(replies, hashes, second, log2)
         done = 0
         for i, (first_doc, part) in enumerate(own.parts):
             n = len(part.buf)
@@ -488,8 +514,8 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
             for name, left, size, number in np.frombuffer(blob, item).tolist():
                 for i in holders[int(cut[p]) + number]:
                     add(name, size, int(c["part"][i]), int(c["at"][i]) - left)
-        hashes, starts = own.windows(many)
-        window = R.read_answers(*_reply(replies, 2, "bits"), hashes, log2, exact=True)[0]
+        hashes, second, starts = own.windows(many)
+        window = _again(replies, hashes, second, log2)
         place = np.concatenate(starts) if starts else np.zeros(0, np.int64)
         part = np.repeat(np.arange(len(starts)), [len(x) for x in starts])
         for i in np.flatnonzero(window).tolist():

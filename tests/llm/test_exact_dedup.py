@@ -70,3 +70,21 @@ def test_index_table_updates(messy):
     assert key("x") not in left and key("hello world") not in left and key("a b c d") in left
     index = X.update_index(index, gone, None, 4)
     assert X.probe_index(index, messy, 4).count() == len(live)
+
+
+def test_deleting_one_of_several_copies(spark):
+    rows = [(i, "Same text", None, None, 0) for i in (3, 9, 5)] + [(7, "other", None, None, 0)]
+    docs = frame(spark, rows)
+    index = X.build_index(docs, 4)
+    live = lambda i: {bytes(r.digest): (r.keep_id, r.group_size) for r in X.probe_index(i, docs, 4).collect()}
+    assert sorted(live(index).values()) == [(7, 1), (9, 3)]
+    less = X.update_index(index, None, docs.where("doc_id in (3, 7)"), 4, whole=False)
+    assert list(live(less).values()) == [(9, 2)]
+    assert live(X.update_index(less, None, docs.where("doc_id in (5, 9)"), 4, whole=False)) == {}
+    assert live(X.update_index(index, None, docs.where("doc_id = 3"), 4)) == live(X.update_index(index, None, docs.where("doc_id <> 7"), 4))
+
+
+def test_second_fold_in_sized_tasks(messy, monkeypatch):
+    want = Counter(tuple(r) for r in X.exact_duplicates(messy).collect())
+    monkeypatch.setattr(X, "FOLD_BYTES", 100)
+    assert Counter(tuple(r) for r in X.exact_duplicates(messy).collect()) == want

@@ -55,6 +55,32 @@ def test_hot_anchors_go_by_whole_windows(spark):
     assert Counter(tuple(r) for r in got) == want
 
 
+def test_a_passage_in_thousands_of_documents(spark):
+    """Over 8,192 places: the default path of hot anchors, with short passages
+    that must stay and clean documents beside it."""
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefg é\n") for _ in range(n))
+    hot, short = text(460), text(330)
+    rows = [(i, text(rng.randrange(20)) + hot + text(rng.randrange(20)), None, None, 0) for i in range(8500)]
+    rows += [(20_000 + i, text(100) + short + text(100), None, None, 0) for i in range(40)]
+    rows += [(30_000 + i, text(600), None, None, 0) for i in range(200)]
+    got = Counter(tuple(r) for r in S.suffix_digest(frame(spark, rows)).collect())
+    assert got == brute([(r[0], r[1]) for r in rows])
+    assert all(k[2] >= 430 for k in got if k[0] < 20_000) and all(k[2] == 0 for k in got if k[0] >= 20_000)
+
+
+def test_one_clashing_hash_removes_nothing(spark, monkeypatch):
+    """Windows whose first hashes are all equal are told apart by the second."""
+    monkeypatch.setattr(S._Part, "hashes", lambda self, begin, end: np.full(len(begin), 7 << 40, np.uint64))
+    rng = random.Random(9)
+    part = S._Part(np.frombuffer(bytes(rng.randrange(97, 123) for _ in range(2000)), np.uint8), np.array([0, 2000]), 400, 100)
+    start = np.arange(1000)
+    assert len(np.unique(part.hashes(start, start + 400))) == 1 and len(np.unique(part.second_hashes(start, start + 400))) == 1000
+    same = S._Part(np.tile(part.buf[:500], 2), np.array([0, 1000]), 400, 100)
+    two = same.second_hashes(np.array([0, 500, 1]), np.array([400, 900, 401]))
+    assert two[0] == two[1] != two[2]
+
+
 def test_messy_and_empty(messy, empty):
     rows = S.suffix_dedup(clashing(messy)).collect()
     want = brute([(r[0], r[1]) for r in messy_rows()])
