@@ -13,8 +13,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .profile import (EXACT_MAP_LIMIT, FLOATING, ColumnProfile, column_stats, distinct_and_parsed, freq_quantiles,
-                      pandas_dtype, q, quantiles, value_counts)
+from .profile import (EXACT_MAP_LIMIT, FLOATING, TEXT_LENGTH, ColumnProfile, column_stats, distinct_and_parsed, distinct_rows,
+                      freq_quantiles, pandas_dtype, q, quantiles, text_columns, value_counts)
 from ..functions.dates import DATE_FORMATS
 from .types import feature_types, group_types, problem_type, rates_from_profile
 
@@ -41,13 +41,13 @@ def facts(df: DataFrame, freq: DataFrame | None = None, cache_freq: bool = True,
     gives distinct counts and date parse counts in one small aggregation,
     and - when cached - exact quantiles later without another scan."""
     owns = freq is None
+    prof = column_stats(df)
     if owns:
-        freq = value_counts(df)
+        freq = value_counts(df, named=text_columns(df, prof, text_length=type_kw.get("text_length", TEXT_LENGTH)))
         if cache_freq:
             freq = freq.persist(StorageLevel.MEMORY_AND_DISK)
         else:
             owns = False
-    prof = column_stats(df)
     distinct_and_parsed(df, prof, freq, DATE_FORMATS)
     types = feature_types(df, prof, rates=rates_from_profile(prof), **type_kw)
     return TableFacts(df, prof, types, group_types(types), freq, owns)
@@ -55,10 +55,11 @@ def facts(df: DataFrame, freq: DataFrame | None = None, cache_freq: bool = True,
 
 def overview(df: DataFrame) -> DataFrame:
     """ANA-1 / DUP-1: rows, columns, duplicate rows (all but the first), in
-    one job: group identical rows (map-side combined), then sum the groups."""
+    one job: group the digests of the rows (map-side combined), then sum the
+    groups. No row travels; a third digest tells apart rows of equal names."""
     spark = df.sparkSession
-    g = df.groupBy(*[F.col(q(c)) for c in df.columns]).agg(F.count(F.lit(1)).alias("__c"))
-    r = g.agg(F.sum("__c").alias("n"), F.count(F.lit(1)).alias("d")).first()
+    g = distinct_rows(df)
+    r = g.agg(F.sum("cnt").alias("n"), F.sum("kinds").alias("d")).first()
     n, d = r["n"] or 0, r["d"] or 0
     return spark.createDataFrame([(n, len(df.columns), n - d)],
                                  "rows bigint, columns bigint, duplicate_rows bigint")
@@ -161,12 +162,21 @@ def categories_section(f: TableFacts) -> DataFrame:
     return f.df.sparkSession.createDataFrame(rows, "column string, categories_count bigint")
 
 
+WIDE = 40   # columns whose pairs still fit one compiled aggregate
+
+
 def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
     """ANA-8: pairwise-complete Pearson matrix, long form (all ordered pairs).
 
-    One aggregate holds d(d+1)/2 pair moments; the constant-column case is
-    NULL (``try_divide``) instead of the ANSI divide-by-zero error."""
+    Up to WIDE columns, one aggregate holds d(d+1)/2 pair moments; the
+    constant-column case is NULL (``try_divide``) instead of the ANSI
+    divide-by-zero error. Wider tables take masked Gram blocks."""
     spark = df.sparkSession
+    if len(cols) > WIDE:
+        from .gram import correlations
+        m = correlations(df, cols)
+        rows = [(a, b, None if m[i, j] != m[i, j] else float(m[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+        return spark.createDataFrame(rows, "column_a string, column_b string, corr double")
     proj, aggs = [], []
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     for k, (a, b) in enumerate(pairs):
@@ -192,9 +202,8 @@ def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
 def report(df: DataFrame, target: str, **type_kw) -> dict[str, DataFrame]:
     """ANA-9: sections in the reference's order; numeric and outlier sections
     are absent without numerical columns."""
-    freq = value_counts(df).persist(StorageLevel.MEMORY_AND_DISK)
+    f = facts(df, cache_freq=True, **type_kw)
     try:
-        f = facts(df, freq, **type_kw)
         out = {"dataset_overview": overview(df), "column_analysis": columns_section(f),
                "target_analysis": target_section(f, target)}
         num = measures(f)
@@ -207,4 +216,4 @@ def report(df: DataFrame, target: str, **type_kw) -> dict[str, DataFrame]:
         # one row per column (or pair of columns): made here, while the frequency table is kept
         return {k: df.sparkSession.createDataFrame(v.collect(), v.schema) for k, v in out.items()}
     finally:
-        freq.unpersist()
+        f.release()

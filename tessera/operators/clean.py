@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .profile import q, value_counts
+from .profile import distinct_rows, q, value_counts
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -61,8 +61,9 @@ def impute(df: DataFrame, params: dict[str, dict]) -> DataFrame:
 
 
 def duplicate_count(df: DataFrame) -> int:
-    """DUP-1: rows minus distinct rows (NULLs compare equal)."""
-    return df.count() - df.distinct().count()
+    """DUP-1: rows minus distinct rows (NULLs compare equal), by row digests."""
+    r = distinct_rows(df).agg(F.sum("cnt").alias("n"), F.sum("kinds").alias("d")).first()
+    return (r["n"] or 0) - (r["d"] or 0)
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:

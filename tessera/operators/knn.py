@@ -1,28 +1,40 @@
 """MR-8 / MC-5: exact k-nearest-neighbour join, regression and vote.
 
-Test and train rows are hashed into blocks; every (test block, train block)
-cell meets in one cogrouped ``applyInPandas`` call that computes the cell's
-distances with numpy and emits only the k best train rows per test row.
-The cell grid replicates each side to the other side's block count (never
-all pairs as rows), so the shuffle is ``n_test*R + n_train*T`` rows and a
-cell holds at most one block of each side. A window then keeps the global
-k best per test row (``row_number <= k`` is limited per task before its
-exchange).
+Pivots are drawn from the train rows (far apart, by a hash of the id) and every
+train row belongs to its nearest pivot: the cells of a Voronoi partition, each
+with its count, its radii and the k smallest distances to its pivot. These few
+numbers bound, for a test row, the distance of its k-th neighbour (triangle
+inequality over the small pivot distances), and from below the distance of any row
+of a cell (radii and the bisecting plane of two pivots). A test row visits only
+the cells whose lower bound is within its own upper bound, so on clustered data the
+work follows the neighbourhoods, not the product of both sides; on data without
+structure every cell is visited, which is the plain block join.
+
+Cells and the test rows that visit them are split to blocks of ``BLOCK_ROWS``, and a
+block pair is one cogrouped numpy call that keeps the k best per test row. A window
+then keeps the global k best (``row_number <= k`` is limited per task before its
+exchange). The driver holds the pivots and k + 3 numbers per cell.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .profile import q
 
-BLOCK_ROWS = 10_000        # rows of one side per cell; bounds a task's memory
+BLOCK_ROWS = 10_000        # rows of one side per call; bounds a task's memory
+CELL_ROWS = 2_000          # train rows per pivot that are aimed at
+MAX_PIVOTS = 1024
 CELL_ELEMENTS = 4_000_000  # doubles in one distance temporary (~32 MB)
+SLACK = 1e-6               # relative allowance for rounding in the bounds
 
 
 def _features(df: DataFrame, cols) -> F.Column:
@@ -31,45 +43,206 @@ def _features(df: DataFrame, cols) -> F.Column:
     return F.array(*[F.col(q(c)).cast("double") for c in cols])
 
 
+def distances(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
+    """All distances between the rows of two small matrices."""
+    out = np.empty((len(a), len(b)))
+    step = max(1, CELL_ELEMENTS // max(1, b.size))
+    for s in range(0, len(a), step):
+        diff = a[s:s + step, None, :] - b[None, :, :]
+        out[s:s + step] = np.abs(diff).sum(axis=2) if p == 1 else np.sqrt((diff * diff).sum(axis=2))
+    return out
+
+
+def choose_pivots(sample: np.ndarray, n: int, p: int) -> np.ndarray:
+    """``n`` rows of the sample, each as far as possible from those before."""
+    chosen = [0]
+    near = distances(sample, sample[:1], p)[:, 0]
+    while len(chosen) < n and near.max() > 0:
+        chosen.append(int(near.argmax()))
+        near = np.minimum(near, distances(sample, sample[chosen[-1:]], p)[:, 0])
+    return sample[chosen]
+
+
+@dataclass
+class Cells:
+    """Pivots and, per cell, count, least and greatest pivot distance and the k
+    smallest ones (ascending, inf beyond the count)."""
+
+    pivots: np.ndarray
+    p: int
+    count: np.ndarray
+    least: np.ndarray
+    radius: np.ndarray
+    small: np.ndarray
+
+    def __post_init__(self):
+        self.between = distances(self.pivots, self.pivots, self.p)
+        self.size = np.abs(self.pivots).max(initial=0.0) * (self.pivots.shape[1] if self.p == 1 else math.sqrt(self.pivots.shape[1]))
+
+    def slack(self, x: np.ndarray) -> np.ndarray:
+        return SLACK * (self.size + (np.abs(x).sum(axis=1) if self.p == 1 else np.sqrt((x * x).sum(axis=1))))
+
+    def bounds(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(upper bound of the k-th neighbour's distance, lower bound of the
+        distance of any row per cell) of test rows; the third is the pivot distance."""
+        to = distances(x, self.pivots, self.p)
+        slack = self.slack(x)
+        ways = (to[:, :, None] + self.small[None, :, :]).reshape(len(x), -1)
+        kth = min(k, ways.shape[1]) - 1
+        upper = np.partition(ways, kth, axis=1)[:, kth] + slack if ways.shape[1] >= k else np.full(len(x), np.inf)
+        lower = np.maximum(to - self.radius, self.least - to)
+        home = to.argmin(axis=1)
+        near = to[np.arange(len(x)), home]
+        if self.p == 1:     # rows of another cell are nearer to its pivot than to the home pivot
+            plane = (to - near[:, None]) / 2
+        else:
+            gap = self.between[home]
+            plane = np.where(gap > 0, (to ** 2 - near[:, None] ** 2) / np.where(gap > 0, 2 * gap, 1), 0)
+        lower = np.maximum(lower, plane) - slack[:, None]
+        lower[:, self.count == 0] = np.inf
+        return upper, lower, to
+
+    def visits(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(upper bound, matrix of cells to visit) of test rows."""
+        upper, lower, _ = self.bounds(x, k)
+        return upper, (lower <= upper[:, None]) & (self.count > 0)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    n = len(column)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+
+
+def _slices(n: int, width: int) -> Iterator[tuple[int, int]]:
+    step = max(1, CELL_ELEMENTS // max(1, width))
+    for a in range(0, n, step):
+        yield a, min(n, a + step)
+
+
+def build_cells(train: DataFrame, n_train: int, k: int, p: int) -> Cells | None:
+    """Cells of the train rows (rid, x); None for an empty table."""
+    n = max(1, min(MAX_PIVOTS, math.ceil(n_train / CELL_ROWS)))
+    drawn = train.select("x", "rid").orderBy(F.xxhash64("rid"), "rid").limit(4 * n if n > 1 else 1).collect()
+    if not drawn:
+        return None
+    pivots = choose_pivots(np.array([r["x"] for r in drawn], dtype=np.float64), n, p)
+    blank = np.zeros(len(pivots))
+    guide = Cells(pivots, p, blank, blank, blank, np.zeros((len(pivots), 1)))
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(len(pivots), dtype=np.int64)
+        least, radius = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
+        small: list[np.ndarray] = [np.zeros(0)] * len(pivots)
+        for b in batches:
+            x = _matrix(b.column("x")) if b.num_rows else np.zeros((0, pivots.shape[1]))
+            for a, z in _slices(len(x), pivots.size):
+                to = distances(x[a:z], pivots, p)
+                cell, slack = to.argmin(axis=1), guide.slack(x[a:z])
+                near = to[np.arange(z - a), cell]
+                np.add.at(count, cell, 1)
+                np.minimum.at(least, cell, near - slack)
+                np.maximum.at(radius, cell, near + slack)
+                for c in np.unique(cell).tolist():
+                    small[c] = np.sort(np.concatenate([small[c], (near + slack)[cell == c]]))[:k]
+        own = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(count[own]), pa.array(least[own]), pa.array(radius[own]),
+                                          pa.array([small[c] for c in own.tolist()], pa.list_(pa.float64()))],
+                                         names=["cell", "n", "least", "radius", "small"])
+
+    found = (train.select("x").mapInArrow(summarise, "cell int, n long, least double, radius double, small array<double>")
+             .groupBy("cell").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("radius").alias("radius"),
+                                  F.slice(F.array_sort(F.flatten(F.collect_list("small"))), 1, k).alias("small")).collect())
+    count, least, radius = np.zeros(len(pivots), dtype=np.int64), np.zeros(len(pivots)), np.zeros(len(pivots))
+    small = np.full((len(pivots), k), np.inf)
+    for r in found:
+        c = r["cell"]
+        count[c], least[c], radius[c] = r["n"], r["least"], r["radius"]
+        small[c, :len(r["small"])] = r["small"]
+    return Cells(pivots, p, count, least, radius, small)
+
+
+def visit_counts(test: DataFrame, cells: Cells, k: int) -> np.ndarray:
+    """Test rows that visit each cell."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(cells.pivots), dtype=np.int64)
+        for b in batches:
+            x = _matrix(b.column("x")) if b.num_rows else np.zeros((0, cells.pivots.shape[1]))
+            for a, z in _slices(len(x), cells.small.size + cells.pivots.size):
+                total += cells.visits(x[a:z], k)[1].sum(axis=0)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["cell", "n"])
+
+    out = np.zeros(len(cells.pivots), dtype=np.int64)
+    for r in test.select("x").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[r["cell"]] = r["n"]
+    return out
+
+
 def knn_candidates(test: DataFrame, train: DataFrame, k: int, features, id_col: str, label_col: str,
                    p: int = 2, block_rows: int | None = None) -> DataFrame:
     """``(test_id, train_id, dist, label)``: the k nearest train rows of every
     test row (ties by train id)."""
     block_rows = block_rows or BLOCK_ROWS
-    n_test, n_train = test.count(), train.count()
-    tb = max(1, math.ceil(n_test / block_rows))
-    rb = max(1, math.ceil(n_train / block_rows))
-    t = test.select(F.col(q(id_col)).cast("long").alias("qid"), _features(test, features).alias("x"),
-                    F.pmod(F.xxhash64(F.col(q(id_col))), F.lit(tb)).cast("int").alias("tb"),
-                    F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("rb"))
+    t = test.select(F.col(q(id_col)).cast("long").alias("qid"), _features(test, features).alias("x"))
     r = train.select(F.col(q(id_col)).cast("long").alias("rid"), _features(train, features).alias("x"),
-                     F.col(q(label_col)).cast("double").alias("y"),
-                     F.pmod(F.xxhash64(F.col(q(id_col))), F.lit(rb)).cast("int").alias("rb"),
-                     F.explode(F.sequence(F.lit(0), F.lit(tb - 1))).alias("tb"))
+                     F.col(q(label_col)).cast("double").alias("y"))
+    cells = build_cells(r, train.count(), k, p)
+    if cells is None:
+        return test.sparkSession.createDataFrame([], "test_id long, train_id long, dist double, label double, rank int")
+    coming = visit_counts(t, cells, k)
+    # a block pair holds block_rows of each side at most, on average
+    train_parts = np.maximum(1, -(-cells.count // block_rows)).tolist()
+    test_parts = np.maximum(1, -(-coming // block_rows)).tolist()
+    n_cells = len(cells.pivots)
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _matrix(b.column("x")) if b.num_rows else np.zeros((0, cells.pivots.shape[1]))
+            cell = np.concatenate([np.zeros(0, np.int64), *(distances(x[a:z], cells.pivots, p).argmin(axis=1)
+                                                            for a, z in _slices(len(x), cells.pivots.size))])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32())], names=[*b.schema.names, "cell"])
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _matrix(b.column("x")) if b.num_rows else np.zeros((0, cells.pivots.shape[1]))
+            for a, z in _slices(len(x), cells.small.size + cells.pivots.size):
+                upper, open_ = cells.visits(x[a:z], k)
+                row, cell = np.nonzero(open_)
+                own = b.slice(a, z - a).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(cell, pa.int32()), pa.array(upper[row])],
+                                                 names=[*b.schema.names, "cell", "upper"])
+
+    def parts(of: list[int]) -> F.Column:
+        return F.get(F.array(*[F.lit(int(v)) for v in of]), F.col("cell")) if n_cells > 1 else F.lit(int(of[0]))
 
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
+    def dealt(df: DataFrame, key: str, own: str, own_parts: list[int], other: str, other_parts: list[int]) -> DataFrame:
+        """Each row in its own block of the cell, once for each block of the other side."""
+        return df.select("*", F.pmod(F.xxhash64(key), parts(own_parts)).cast("int").alias(own),
+                         F.explode(F.sequence(F.lit(0), parts(other_parts) - 1)).alias(other))
+
+    left = dealt(t.mapInArrow(visit, "qid long, x array<double>, cell int, upper double"), "qid", "tb", test_parts, "rb", train_parts)
+    right = dealt(r.mapInArrow(home, "rid long, x array<double>, y double, cell int"), "rid", "rb", train_parts, "tb", test_parts)
+
+    def block(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        if own.empty or other.empty:
             return pd.DataFrame({"qid": [], "rid": [], "dist": [], "y": []})
-        right = right.sort_values("rid", kind="stable")
-        A = np.stack(left["x"].to_numpy()).astype(np.float64)
-        B = np.stack(right["x"].to_numpy()).astype(np.float64)
-        rid, ry, qid = right["rid"].to_numpy(), right["y"].to_numpy(), left["qid"].to_numpy()
+        other = other.sort_values("rid", kind="stable")
+        A = np.stack(own["x"].to_numpy()).astype(np.float64)
+        B = np.stack(other["x"].to_numpy()).astype(np.float64)
+        rid, ry, qid, upper = other["rid"].to_numpy(), other["y"].to_numpy(), own["qid"].to_numpy(), own["upper"].to_numpy()
         kk = min(k, B.shape[0])
-        # test rows per step so that one temporary holds ~CELL_ELEMENTS doubles
-        step = max(1, CELL_ELEMENTS // (B.shape[0] * max(1, B.shape[1])))
-        parts = []
-        for s0 in range(0, A.shape[0], step):
-            diff = A[s0:s0 + step, None, :] - B[None, :, :]
-            D = np.abs(diff).sum(axis=2) if p == 1 else np.sqrt((diff * diff).sum(axis=2))
-            idx = np.argsort(D, axis=1, kind="stable")[:, :kk]     # ties keep train-id order
-            rows = np.repeat(np.arange(D.shape[0]), kk)
-            cols = idx.ravel()
-            parts.append(pd.DataFrame({"qid": qid[s0:s0 + step][rows], "rid": rid[cols],
-                                       "dist": D[rows, cols], "y": ry[cols]}))
-        return pd.concat(parts, ignore_index=True)
-
-    cand = (t.groupBy("tb", "rb").cogroup(r.groupBy("tb", "rb"))
-            .applyInPandas(cell, "qid long, rid long, dist double, y double"))
+        found = []
+        for a, z in _slices(len(A), B.size):
+            D = distances(A[a:z], B, p)
+            cols = np.argsort(D, axis=1, kind="stable")[:, :kk].ravel()     # ties keep train-id order
+            rows = np.repeat(np.arange(z - a), kk)
+            dist = D[rows, cols]
+            good = dist <= upper[a:z][rows]
+            found.append(pd.DataFrame({"qid": qid[a:z][rows[good]], "rid": rid[cols[good]], "dist": dist[good], "y": ry[cols[good]]}))
+        return pd.concat(found, ignore_index=True)
+
+    cand = (left.groupBy("cell", "tb", "rb").cogroup(right.groupBy("cell", "tb", "rb"))
+            .applyInPandas(block, "qid long, rid long, dist double, y double"))
     w = Window.partitionBy("qid").orderBy("dist", "rid")
     return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select(F.col("qid").alias("test_id"), F.col("rid").alias("train_id"), "dist",

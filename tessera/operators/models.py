@@ -24,7 +24,10 @@ from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .boosting import SoftmaxBoosting
+from .gradient import TubeRegression
 from .knn import knn_class_shares, knn_regress
+from .moments import MomentEstimator
 
 MAX_DEPTH = 30          # MLlib's limit for tree depth; also used where the reference sets no limit
 RFF_COMPONENTS = 100    # default number of random Fourier features (parameter ``components``)
@@ -156,6 +159,8 @@ def gamma_of(p: dict, ctx: FitContext) -> float:
 # ---------------------------------------------------------------- regression builders
 
 def _lr(p, ctx):
+    if p.get("positive"):   # MLlib has no bound on coefficients
+        return MomentEstimator("LR", p)
     return LinearRegression(regParam=0.0, fitIntercept=p.get("fit_intercept", True), solver="normal",
                             standardization=False)
 
@@ -204,8 +209,7 @@ def _knr(p, ctx):
 
 
 def _svr(p, ctx):
-    # MLlib has no epsilon-insensitive loss; the robust Huber loss at its own default stands in (re-aim)
-    inner = LinearRegression(loss="huber", regParam=1.0 / (float(p.get("C", 1.0)) * ctx.n), standardization=False)
+    inner = TubeRegression(float(p.get("C", 1.0)), float(p.get("epsilon", 0.1)))   # MLlib has no epsilon-insensitive loss
     if p.get("kernel", "rbf") == "linear":
         return inner
     return RffEstimator(inner, ctx.n_features, gamma_of(p, ctx), ctx.seed, int(p.get("components", RFF_COMPONENTS)))
@@ -240,10 +244,12 @@ def _bag_cls(p, ctx):
 
 
 def _gb_cls(p, ctx):
-    gbt = GBTClassifier(maxIter=int(p.get("n_estimators", 100)), stepSize=float(p.get("learning_rate", 0.1)),
-                        maxDepth=depth(p.get("max_depth", 3)), minInstancesPerNode=leaf_rows(p),
-                        subsamplingRate=float(p.get("subsample", 1.0)), seed=ctx.seed)
-    return gbt if ctx.n_classes <= 2 else OneVsRest(classifier=gbt)
+    if ctx.n_classes > 2:   # MLlib boosts two classes only
+        return SoftmaxBoosting(ctx.n_classes, int(p.get("n_estimators", 100)), float(p.get("learning_rate", 0.1)), depth(p.get("max_depth", 3)),
+                               leaf_rows(p), float(p.get("subsample", 1.0)), seed=ctx.seed)
+    return GBTClassifier(maxIter=int(p.get("n_estimators", 100)), stepSize=float(p.get("learning_rate", 0.1)),
+                         maxDepth=depth(p.get("max_depth", 3)), minInstancesPerNode=leaf_rows(p),
+                         subsamplingRate=float(p.get("subsample", 1.0)), seed=ctx.seed)
 
 
 def _knc(p, ctx):
@@ -277,11 +283,13 @@ def _choice(r, xs):
 
 # Model short names, parameter names and search ranges of the reference.
 SPACES = {
-    ("Regression", "LR"): lambda r: {"fit_intercept": _choice(r, [True, False])},
-    ("Regression", "L1"): lambda r: {"alpha": loguniform(r, 1e-6, 10), "max_iter": r.randint(1000, 10000)},
+    ("Regression", "LR"): lambda r: {"fit_intercept": _choice(r, [True, False]), "positive": _choice(r, [True, False])},
+    ("Regression", "L1"): lambda r: {"alpha": loguniform(r, 1e-6, 10), "max_iter": r.randint(1000, 10000),
+                                     "selection": _choice(r, ["cyclic", "random"])},
     ("Regression", "L2"): lambda r: {"alpha": loguniform(r, 1e-6, 100)},
     ("Regression", "EN"): lambda r: {"alpha": loguniform(r, 1e-6, 10), "l1_ratio": r.uniform(0, 1),
-                                     "max_iter": r.randint(1000, 10000)},
+                                     "max_iter": r.randint(1000, 10000),
+                                     "selection": _choice(r, ["cyclic", "random"])},
     ("Regression", "RF"): lambda r: {"n_estimators": r.randint(50, 1000), "max_depth": r.randint(3, 50),
                                      "min_samples_split": r.randint(2, 20), "min_samples_leaf": r.randint(1, 20),
                                      "max_features": _choice(r, ["sqrt", "log2", None]),

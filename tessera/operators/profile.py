@@ -11,7 +11,6 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +32,9 @@ PANDAS_DTYPE = {
 # task; it is used only while the column's distinct count is below this bound.
 EXACT_MAP_LIMIT = 1_000_000
 
+LONG_VALUE = 64     # bytes beyond which a text value is grouped by its digest
+TEXT_LENGTH = 30    # mean characters from which a string column is text
+
 
 def is_numeric(dt: T.DataType) -> bool:
     return isinstance(dt, INTEGRAL + FLOATING)
@@ -188,35 +190,83 @@ def format_double(d: Column) -> Column:
     return F.when(whole, F.concat(F.floor(d).cast("bigint").cast("string"), F.lit(".0"))).otherwise(d.cast("string"))
 
 
-def value_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """``(column, value, cnt, num)`` over the non-null values of ``cols``
+def digest(*values: Column) -> tuple[Column, Column, Column]:
+    """Two 64-bit names of a row of values and a third digest that checks them.
+    Nulls have no part in Spark's row hash, so their places are hashed as well."""
+    blanks = [v.isNull() for v in values]
+    return tuple(F.xxhash64(F.lit(seed), *values, *blanks) for seed in (11, 12, 13))
+
+
+def value_counts(df: DataFrame, cols: list[str] | None = None, named: set[str] | None = None) -> DataFrame:
+    """``(column, value, cnt, num, kinds)`` over the non-null values of ``cols``
     (``num``: the numeric value, for numeric ordering).
 
     Expand (unpivot) -> partial HashAggregate -> one exchange -> final
     aggregate: a hot value costs one row per map task, not one per row.
     Rows are grouped on typed slots (long / double / string) and only the
     reduced table is rendered as strings.
+
+    In the string columns ``named``, values of more than LONG_VALUE bytes are
+    grouped by two 64-bit digests and have no ``value``: no long text is
+    shuffled. ``kinds`` counts the contents under a name: 1, or 2 should a third
+    digest tell two values apart.
     """
     cols = list(df.columns if cols is None else cols)
+    named = {c for c in named or () if c in cols and is_string(df.schema[c].dataType)}
     items = []
     for c in cols:
         dt = df.schema[c].dataType
         x = F.col(q(c))
         nl, nd, ns = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
+        name = [nl, nl, nl]
         if is_integral(dt):
             slots = (x.cast("long"), nd, ns)
         elif isinstance(dt, FLOATING):
             slots = (nl, x.cast("double"), ns)
+        elif c in named:
+            long = F.octet_length(x) > LONG_VALUE
+            slots = (nl, nd, F.when(~long, x))
+            name = [F.when(long, h) for h in digest(x)]
         else:
             slots = (nl, nd, value_string(df, c))
-        items.append(F.struct(F.lit(c).alias("column"), slots[0].alias("l"), slots[1].alias("d"),
-                              slots[2].alias("s")))
+        fields = [F.lit(c).alias("column"), slots[0].alias("l"), slots[1].alias("d"), slots[2].alias("s")]
+        if named:
+            fields += [h.alias(f"h{i}") for i, h in enumerate(name)]
+        items.append(F.struct(*fields))
     stacked = df.select(F.explode(F.array(*items)).alias("v")).select("v.*")
-    g = (stacked.where(F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull())
-         .groupBy("column", "l", "d", "s").agg(F.count(F.lit(1)).alias("cnt")))
+    some = F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull()
+    if named:
+        g = (stacked.where(some | F.col("h0").isNotNull()).groupBy("column", "l", "d", "s", "h0", "h1")
+             .agg(F.count(F.lit(1)).alias("cnt"), F.min("h2").alias("low"), F.max("h2").alias("high")))
+        kinds = F.when(F.col("low") != F.col("high"), 2).otherwise(1)
+    else:
+        g = stacked.where(some).groupBy("column", "l", "d", "s").agg(F.count(F.lit(1)).alias("cnt"))
+        kinds = F.lit(1)
     return g.select("column",
                     F.coalesce(F.col("s"), F.col("l").cast("string"), format_double(F.col("d"))).alias("value"),
-                    "cnt", F.coalesce(F.col("l").cast("double"), F.col("d")).alias("num"))
+                    "cnt", F.coalesce(F.col("l").cast("double"), F.col("d")).alias("num"), kinds.alias("kinds"))
+
+
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """``(h0, h1, cnt, kinds)``: one row per distinct row of ``df``, by digest.
+    Arrays and structs are hashed as they are, maps as sorted entries."""
+    values = []
+    for f in df.schema.fields:
+        c = F.col(q(f.name))
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            c = c + F.lit(0.0).cast(f.dataType)      # -0.0 equals 0.0
+        elif isinstance(f.dataType, T.MapType):
+            c = F.array_sort(F.map_entries(c))
+        values.append(c)
+    names = [h.alias(f"h{i}") for i, h in enumerate(digest(*values))]
+    g = df.select(*names).groupBy("h0", "h1").agg(F.count(F.lit(1)).alias("cnt"), F.min("h2").alias("low"), F.max("h2").alias("high"))
+    return g.select("h0", "h1", "cnt", F.when(F.col("low") != F.col("high"), 2).otherwise(1).alias("kinds"))
+
+
+def text_columns(df: DataFrame, prof: dict[str, ColumnProfile], keep: list[str] | tuple = (), text_length: int = TEXT_LENGTH) -> set[str]:
+    """String columns whose values are long on average: no mode, level or label
+    is ever taken of them, only their number of distinct values."""
+    return {c for c, p in prof.items() if c not in keep and is_string(df.schema[c].dataType) and (p.avg_len or 0) > text_length}
 
 
 def distinct_counts(df: DataFrame, cols: list[str] | None = None,
@@ -226,7 +276,7 @@ def distinct_counts(df: DataFrame, cols: list[str] | None = None,
         return {}
     vc = freq if freq is not None else value_counts(df, cols)
     got = {r["column"]: r["n"] for r in
-           vc.where(F.col("column").isin(cols)).groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+           vc.where(F.col("column").isin(cols)).groupBy("column").agg(F.sum("kinds").alias("n")).collect()}
     return {c: int(got.get(c, 0)) for c in cols}
 
 
@@ -238,7 +288,7 @@ def distinct_and_parsed(df: DataFrame, prof: dict[str, ColumnProfile], freq: Dat
     from ..functions.dates import parse_with
     cols = list(prof)
     strings = [c for c in cols if is_string(df.schema[c].dataType)]
-    aggs = [F.count(F.lit(1)).alias("d")]
+    aggs = [F.sum("kinds").alias("d")]
     fmts = date_formats or []
     if strings and fmts:
         is_str = F.col("column").isin(strings)
@@ -295,6 +345,7 @@ def profile(df: DataFrame, cols: list[str] | None = None, distinct: bool = True,
     value-frequency table."""
     prof = column_stats(df, cols)
     if distinct:
+        freq = freq if freq is not None else value_counts(df, list(prof), text_columns(df, prof))
         for c, d in distinct_counts(df, list(prof), freq).items():
             prof[c].distinct = d
     return prof
@@ -334,8 +385,8 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
     """Exact linear-interpolated quantiles (pandas / ``quantile_cont``).
 
     Columns whose distinct count is within ``exact_map_limit`` share one
-    aggregate with Spark's exact ``percentile``; larger ones use the
-    distributed rank method (range partitioning, no single-task merge).
+    aggregate with Spark's exact ``percentile``; larger ones share the passes
+    of a bracketed selection (no shuffle of the column, no single-task merge).
     """
     if not cols:
         return {}
@@ -352,54 +403,15 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
         r = df.agg(*[F.percentile(F.col(q(c)).cast("double"), arr).alias(c) for c in small]).first()
         for c in small:
             out[c] = list(r[c]) if r[c] is not None else [None] * len(probs)
-    for c in big:
-        out[c] = rank_quantiles(df, c, probs)
+    if big:
+        from .selection import selection_quantiles
+        out.update(selection_quantiles(df, big, probs))
     return out
 
 
 def rank_quantiles(df: DataFrame, c: str, probs: list[float], partitions: int | None = None) -> list:
-    """Exact quantiles of a high-cardinality column without a single-task merge.
-
-    1. ``(v, cnt)`` frequency table (map-side combined),
-    2. range-partition it on ``v`` and total each partition (P small numbers),
-    3. prefix offsets on the driver (P numbers), then a window *within* each
-       range partition finds the values at the needed 0-based ranks.
-    """
-    spark = df.sparkSession
-    P = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    freq = (df.select(F.col(q(c)).cast("double").alias("v")).where(F.col("v").isNotNull())
-            .groupBy("v").agg(F.count(F.lit(1)).alias("cnt")))
-    ranged = freq.repartitionByRange(P, "v").withColumn("pid", F.spark_partition_id())
-    ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        tot = sorted((r["pid"], r["c"]) for r in
-                     ranged.groupBy("pid").agg(F.sum("cnt").alias("c")).collect())
-        n = sum(t for _, t in tot)
-        if n == 0:
-            return [None] * len(probs)
-        offsets, acc = {}, 0
-        for pid, t in tot:
-            offsets[pid] = acc
-            acc += t
-        need = set()
-        for p in probs:
-            h = p * (n - 1)
-            need.add(int(math.floor(h)))
-            need.add(int(math.ceil(h)))
-        off = spark.createDataFrame([(pid, o) for pid, o in offsets.items()], "pid int, off bigint")
-        w = Window.partitionBy("pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        cum = (ranged.join(F.broadcast(off), "pid")
-               .withColumn("hi", F.col("off") + F.sum("cnt").over(w))
-               .withColumn("lo", F.col("hi") - F.col("cnt")))
-        ranks = spark.createDataFrame([(r,) for r in sorted(need)], "r bigint")
-        hits = (cum.join(F.broadcast(ranks), (F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))
-                .select("r", "v").collect())
-        at = {r["r"]: r["v"] for r in hits}
-    finally:
-        ranged.unpersist()
-    res = []
-    for p in probs:
-        h = p * (n - 1)
-        lo, hi = int(math.floor(h)), int(math.ceil(h))
-        res.append(at[lo] + (h - lo) * (at[hi] - at[lo]))
-    return res
+    """Exact quantiles of a high-cardinality column by bracketed selection.
+    ``partitions`` spreads the scan and has no part in the result."""
+    from .selection import selection_quantiles
+    rows = df.select(F.col(q(c)))
+    return selection_quantiles(rows.repartition(partitions) if partitions else rows, [c], probs)[c]

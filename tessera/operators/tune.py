@@ -1,5 +1,9 @@
 """SEL-1/2 (leaderboard and best-model choice) and HPO-1/2 (seeded random
-search with k-fold cross-validation)."""
+search with k-fold cross-validation).
+
+Linear regression models are scored from shared statistics (``moments``): one pass
+over the rows serves all of them, all trials and all folds. The other models are
+fitted fold by fold."""
 
 from __future__ import annotations
 
@@ -12,6 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import moments as MM
 from .metrics import classification_metrics, prefix_counts, regression_metrics
 from .models import FitContext, build, registry, sample_params
 
@@ -42,6 +47,11 @@ def score(model, test: DataFrame, task: str, metric: str | None = None) -> float
     return m["Accuracy"] if metric == "accuracy" else m["F1"]
 
 
+def shared_statistics(task: str, name: str, ctx: FitContext) -> bool:
+    """Whether a model is solved from the moments of one pass."""
+    return task == "Regression" and name in MM.LINEAR and ctx.n_features <= MM.MAX_FEATURES
+
+
 def leaderboard(train: DataFrame, test: DataFrame, task: str, models: list[str] | None = None,
                 parallelism: int = 4, seed: int = 42) -> DataFrame:
     """SEL-1/2: default-parameter fit of every model of the task, scored on
@@ -52,9 +62,18 @@ def leaderboard(train: DataFrame, test: DataFrame, task: str, models: list[str]
     names = models or list(registry(task))
 
     errors: dict[str, str] = {}
+    linear = [n for n in names if shared_statistics(task, n, ctx)]
+    shared: dict[int, MM.Moments] = {}
+    if linear:   # fold 1 is the test part
+        both = [d.select("features", "label", F.lit(i).alias("fold")) for i, d in enumerate((train, test))]
+        shared = MM.fold_moments(both[0].unionByName(both[1]))
 
     def run(name):
         try:
+            if name in linear:
+                if 1 not in shared:   # an empty test part
+                    return name, None
+                return name, MM.r2(*MM.solve(name, {}, shared[0], seed), shared[1])
             return name, score(build(task, name, {}, ctx).fit(train), test, task)
         except Exception as e:  # noqa: BLE001  (shown in the leaderboard's error column)
             log.warning("model %s failed: %s", name, str(e)[:200])
@@ -100,16 +119,34 @@ def cross_val(train: DataFrame, task: str, name: str, params: dict, folds: int =
     return sum(vals) / len(vals)
 
 
+def tune_linear(spark, data: DataFrame, name: str, trials: list[dict], seed: int = 42):
+    """``tune`` for the linear models, from the moments of every fold."""
+    moments = MM.fold_moments(data)
+    scores = [sum(r2 for _, _, r2 in MM.fold_scores(name, p, moments).values()) / max(1, len(moments)) for p in trials]
+    good = [i for i, s in enumerate(scores) if not math.isnan(s)]
+    if not good or not moments:
+        raise RuntimeError(f"every trial of {name} failed: no fold with a varying label")
+    best = max(good, key=lambda i: (scores[i], -i))
+    model = MM.linear_model(spark, *MM.solve(name, trials[best], MM.merged(moments.values()), seed))
+    tdf = spark.createDataFrame([(i, str(p), scores[i], None) for i, p in enumerate(trials)],
+                                "trial int, params string, cv_score double, error string")
+    return scores[best], trials[best], model, tdf
+
+
 def tune(train: DataFrame, task: str, name: str, n_trials: int = 10, folds: int = 5, seed: int = 42,
          parallelism: int = 4):
     """HPO-1/2: ``n_trials`` seeded draws, each scored by k-fold CV (trials
     run as concurrent jobs over one persisted training set); the best
     parameters are refitted on the whole training part.
+    Linear regression models take one pass over the rows in all (no persisted set,
+    no fit per trial), and the final model comes from the same statistics.
     Returns ``(best_score, best_params, model, trials_df)``."""
     spark = train.sparkSession
+    ctx = fit_context(train, task, seed)
+    if shared_statistics(task, name, ctx):
+        return tune_linear(spark, with_folds(train, folds, seed, task), name, sample_params(task, name, n_trials, seed), seed)
     data = with_folds(train, folds, seed, task).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        ctx = fit_context(data, task, seed)
         trials = sample_params(task, name, n_trials, seed)
 
         errors: dict[int, str] = {}
@@ -132,7 +169,7 @@ def tune(train: DataFrame, task: str, name: str, n_trials: int = 10, folds: int
         if best_i is None:
             raise RuntimeError(f"every trial of {name} failed: {errors}")
         best_params = trials[best_i]
-        model = build(task, name, best_params, fit_context(train, task, seed)).fit(train)
+        model = build(task, name, best_params, ctx).fit(train)
     finally:
         data.unpersist()
     rows = [(i, str(trials[i]), scores[i], errors.get(i)) for i in range(len(trials))]

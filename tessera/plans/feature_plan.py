@@ -12,6 +12,7 @@ Scalars persist as JSON; dictionaries too large for JSON persist as parquet.
 from __future__ import annotations
 
 import json
+import math
 import os
 from dataclasses import dataclass, field, fields
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import DATE_FORMATS, parse_with
 from ..operators import clean, datefeat, encode, shape
 from ..operators import split as S
-from ..operators.profile import column_stats, distinct_and_parsed, q, value_counts
+from ..operators.profile import column_stats, distinct_and_parsed, q, text_columns, value_counts
 from ..operators.prune import prune_columns
 from ..operators.tfidf import fit_tfidf, tfidf_columns, tokenize
 from ..operators.types import coerce_dates, feature_types, group_types, problem_type, rates_from_profile
@@ -156,8 +157,9 @@ class FeaturePlan:
 # ---------------------------------------------------------------------- fit
 
 def fit_plan(df: DataFrame, target: str, seed: int = 42, test_size: float = 0.2, scale: bool = True,
-             distinct_cap: int | None = None):
-    """Fit every preprocessing step. Returns ``(plan, train, test)`` where
+             distinct_cap: int | None = None, exact_test: bool = False):
+    """Fit every preprocessing step. The test part is a share of about ``test_size``
+    by row hash, or with ``exact_test`` the ceil(test_size n) rows of the smallest hash. Returns ``(plan, train, test)`` where
     train/test carry ``row_id``, ``features`` and ``label`` and are
     checkpointed (lineage cut in the shared checkpoint folder)."""
     validate(df, target)
@@ -170,9 +172,9 @@ def fit_plan(df: DataFrame, target: str, seed: int = 42, test_size: float = 0.2,
 
     # TYP-1: early date coercion (> 0.6 of all rows), then typing on one cached frequency table
     df, plan.coerced = coerce_dates(df, 0.6, exclude=[target])
-    freq = value_counts(df).persist(StorageLevel.MEMORY_AND_DISK)
+    prof = column_stats(df)
+    freq = value_counts(df, named=text_columns(df, prof, [target])).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        prof = column_stats(df)
         distinct_and_parsed(df, prof, freq, DATE_FORMATS)
         rates = rates_from_profile(prof)
         plan.types = feature_types(df, prof, distinct_cap=distinct_cap, rates=rates)
@@ -262,7 +264,9 @@ def fit_plan(df: DataFrame, target: str, seed: int = 42, test_size: float = 0.2,
     df = df.select(*[F.col(q(c)).cast("double").alias(c) for c in plan.features],
                    F.col(q(target)).cast("double").alias("label"),
                    (hex_number(F.col(KEY), 1, 8) / F.lit(4294967296.0) < F.lit(test_size)).alias("is_test"),
-                   hex_number(F.col(KEY), 9, 15).alias("row_id")).checkpoint()
+                   hex_number(F.col(KEY), 9, 15).alias("row_id"), *([F.col(KEY)] if exact_test else [])).checkpoint()
+    if exact_test:      # keys are hashes of distinct rows
+        df = df.withColumn("is_test", S.smallest(df, F.col(KEY), math.ceil(test_size * df.count()))[0]).drop(KEY)
     for c in cached:          # the checkpoint now holds everything later steps read
         c.unpersist()
     train_raw, test_raw = df.where(~F.col("is_test")), df.where(F.col("is_test"))

@@ -74,7 +74,9 @@ class FittedWorkflow:
 
 def save_model(model, path: str) -> None:
     """IO-11: MLlib models through their writers; KNN keeps its training
-    table as parquet; random-Fourier models keep W, b next to the linear model."""
+    table as parquet; random-Fourier models keep W, b next to the linear model;
+    the trees of softmax boosting are JSON."""
+    from ..operators.boosting import SoftmaxModel
     from ..operators.models import RffModel
     spark = SparkSession.getActiveSession()
     if isinstance(model, KnnModel):
@@ -88,6 +90,8 @@ def save_model(model, path: str) -> None:
                                             "cls": type(model.model).__name__}),)], "m string") \
             .coalesce(1).write.mode("overwrite").text(f"{path}/rff")
         model.model.write().overwrite().save(f"{path}/inner")
+    elif isinstance(model, SoftmaxModel):
+        model.save(f"{path}/boosting")
     else:
         model.write().overwrite().save(f"{path}/mllib")
         spark.createDataFrame([(type(model).__module__ + "." + type(model).__name__,)], "m string") \
@@ -104,6 +108,7 @@ def _load_mllib(spark, path):
 def load_model(spark: SparkSession, path: str, task: str, name: str):
     import numpy as np
 
+    from ..operators.boosting import SoftmaxModel
     from ..operators.models import KnnEstimator, RandomFourier, RffModel
     fs = spark._jvm.org.apache.hadoop.fs.Path(path)
     hfs = fs.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -121,6 +126,8 @@ def load_model(spark: SparkSession, path: str, task: str, name: str):
         import pyspark.ml.regression as R
         cls = getattr(C, m["cls"], None) or getattr(R, m["cls"])
         return RffModel(rff, cls.load(f"{path}/inner"))
+    if hfs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/boosting")):
+        return SoftmaxModel.load(spark, f"{path}/boosting")
     return _load_mllib(spark, path)
 
 

@@ -411,6 +411,14 @@ def split_8020(spark, sf):
     return S.split(T(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], 0.2, 42)
 
 
+@register("split_exact", sql="""
+SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY md5('42|' || l_orderkey || '|' || l_linenumber)) <= ceil(0.2 * count(*) OVER ()) AS is_test
+FROM lineitem""")
+def split_exact(spark, sf):
+    """SPL-1 with the exact number of test rows."""
+    return S.exact_split(T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"], 0.2, 42)
+
+
 @register("standard_scale", sql=f"""
 WITH o AS (SELECT o_orderkey, o_totalprice, {SPLIT_SQL} AS is_test FROM orders),
 st AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s FROM o WHERE NOT is_test)

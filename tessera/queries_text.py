@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import (CONTRACTIONS, NO_STRIP_ENDINGS, NOUN_SUFFIXES, STOP_WORDS, WS_RE2,
                              normalized_tokens, token_rows)
+from .operators import lexicon as X
 from .operators import tfidf as TF
 from .queries import T, register, rounded, sround
 
@@ -102,6 +103,55 @@ def word_freq(spark, sf):
     return TF.word_frequencies(T(spark, sf, "documents"), "text", 200)
 
 
+# ---------------------------------------------------------------- corpus statistics: lemmas, collocations
+
+_WORDS_SQL = f"list_filter(string_split_regex({_clean_sql('text')}, ' +'), lambda w: w <> '')"
+_COUNTED_SQL = (f"SELECT word, count(*) AS cnt FROM (SELECT unnest({_WORDS_SQL}) AS word FROM documents) "
+                f"WHERE NOT list_contains({_STOP_SQL}, word) GROUP BY word")
+
+
+def _lemmas_sql() -> str:
+    tried = " UNION ALL ".join(
+        f"SELECT word, cnt AS word_cnt, {i} AS rule, left(word, length(word) - {len(e)}) || '{put}' AS rest FROM v WHERE suffix(word, '{e}')"
+        + (" AND NOT suffix(word, 'ss')" if e == "s" else "") for i, (e, put) in enumerate(X.ENDINGS))
+    return f"""
+WITH v AS ({_COUNTED_SQL}), t AS ({tried})
+SELECT t.word, arg_min(v.word, rule) AS lemma FROM t JOIN v ON rest = v.word
+WHERE length(rest) >= {X.MIN_LETTERS} AND v.cnt >= {X.MIN_COUNT} AND v.cnt >= {X.MIN_SHARE} * word_cnt GROUP BY t.word"""
+
+
+@register("corpus_lemmas", sql=_lemmas_sql())
+def corpus_lemmas(spark, sf):
+    return X.corpus_lemmas(T(spark, sf, "documents"), "text")
+
+
+def _ll_sql() -> str:
+    part = lambda k, n, p: f"(ln(greatest({p}, 1e-10)) * {k} + ln(greatest(1 - {p}, 1e-10)) * ({n} - {k}))"
+    p, w, o = "(n2 / total)", "(nn / n1)", "((n2 - nn) / (total - n1))"
+    return (f"2 * ({part('nn', 'n1', w)} + {part('(n2 - nn)', '(total - n1)', o)} - {part('nn', 'n1', p)} "
+            f"- {part('(n2 - nn)', '(total - n1)', p)})")
+
+
+@register("word_cloud", sql=f"""
+WITH w AS (SELECT {_WORDS_SQL} AS ws FROM documents), v AS ({_COUNTED_SQL}),
+f AS (SELECT word AS plural, left(word, length(word) - 1) AS singular FROM v
+      WHERE suffix(word, 's') AND NOT suffix(word, 'ss') AND left(word, length(word) - 1) IN (SELECT word FROM v)),
+s AS (SELECT coalesce(singular, word) AS word, CAST(sum(cnt) AS DOUBLE) AS cnt FROM v LEFT JOIN f ON word = plural GROUP BY 1),
+p AS (SELECT unnest(ws[:-2]) AS a, unnest(ws[2:]) AS b FROM w WHERE len(ws) > 1),
+g AS (SELECT coalesce(fa.singular, a) AS a, coalesce(fb.singular, b) AS b, CAST(count(*) AS DOUBLE) AS nn FROM p
+      LEFT JOIN f fa ON a = fa.plural LEFT JOIN f fb ON b = fb.plural
+      WHERE NOT list_contains({_STOP_SQL}, a) AND NOT list_contains({_STOP_SQL}, b) GROUP BY 1, 2),
+c AS (SELECT a, b, nn, x.cnt AS n1, y.cnt AS n2, (SELECT sum(cnt) FROM s) AS total
+      FROM g JOIN s x ON a = x.word JOIN s y ON b = y.word),
+k AS (SELECT a, b, nn FROM c WHERE total > n1 AND total > n2 AND {_ll_sql()} >= {X.LEAST_SCORE}),
+l AS (SELECT word, sum(cnt) AS cnt FROM (SELECT * FROM s UNION ALL SELECT a, -nn FROM k UNION ALL SELECT b, -nn FROM k) GROUP BY word)
+SELECT word, CAST(cnt AS BIGINT) AS cnt FROM (SELECT * FROM l WHERE cnt > 0 UNION ALL SELECT a || ' ' || b, nn FROM k)
+ORDER BY cnt DESC, word LIMIT 200""")
+def word_cloud(spark, sf):
+    """VIZ-8 with collocations and folded plurals."""
+    return X.word_cloud(T(spark, sf, "documents"), "text", 200)
+
+
 # conversations and benchmark texts go through the same vectoriser
 
 @register("conversation_terms", sql=f"""

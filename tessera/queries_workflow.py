@@ -161,6 +161,37 @@ def linear_fit(spark, sf):
                      F.round(F.lit(float(model.intercept)), 3).alias("intercept"), "r2")
 
 
+_FOLD_SQL = " UNION ALL ".join(f"""
+SELECT {f} AS fold, CAST(count_if(f <> {f}) AS BIGINT) AS n_train, slope, intercept,
+       1 - sum((y - intercept - slope * x) ** 2) FILTER (WHERE f = {f}) / (var_pop(y) FILTER (WHERE f = {f}) * count_if(f = {f})) AS r2
+FROM d, (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM d WHERE f <> {f}) GROUP BY slope, intercept""" for f in range(5))
+
+
+@register("cv_fold_scores", sql=f"""
+WITH d AS (SELECT l_orderkey % 5 AS f, l_quantity AS x, l_extendedprice AS y FROM lineitem)
+SELECT CAST(fold AS INTEGER) AS fold, n_train, round(slope, 4) + 0.0 AS slope, round(intercept, 3) + 0.0 AS intercept,
+       round(r2, 6) + 0.0 AS r2 FROM ({_FOLD_SQL})""")
+def cv_fold_scores(spark, sf):
+    """HPO-1 from shared statistics: fits and scores of five folds in one pass."""
+    from pyspark.ml.feature import VectorAssembler
+
+    from .operators.moments import fold_moments, fold_scores
+    li = T(spark, sf, "lineitem").select("l_quantity", F.col("l_extendedprice").alias("label"), (F.col("l_orderkey") % 5).alias("fold"))
+    found = fold_moments(VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(li))
+    total = sum(int(m.n) for m in found.values())
+    rows = [(f, total - int(found[f].n), float(b[0]), c, s) for f, (b, c, s) in fold_scores("LR", {}, found).items()]
+    return spark.createDataFrame(rows, "fold int, n_train long, slope double, intercept double, r2 double").select(
+        "fold", "n_train", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("r2", 6).alias("r2"))
+
+
+@register("tuned_regression")
+def tuned_regression(spark, sf):
+    """HPO-1/2 of the elastic net: ten trials on five folds, one pass."""
+    plan, train, test = fit_plan(T(spark, sf, "lineitem"), "l_extendedprice")
+    _, _, model, trials = tune(train, plan.task, "EN", n_trials=10, folds=5)
+    return trials.crossJoin(evaluate(model, test, plan.task).select(F.col("R2").alias("test_r2")))
+
+
 # ---------------------------------------------------------------- SCO-2
 
 @register("score_stream")
