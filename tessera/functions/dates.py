@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,28 @@ MAX_DATE_LEN = 64          # longest trimmed string any format above can match
 _SHAPES = dict(DATE_FORMAT_SHAPES)
 
 
+# digits and letters as the shape regexes see them; T and Z stand for themselves in ISO forms
+_LETTERS = "".join(chr(c) for c in [*range(65, 91), *range(97, 123)] if chr(c) not in "TZ")
+
+
+def value_shape(c: Column) -> Column:
+    """The character classes of a value that could be a date (9 for a digit, a for
+    a letter), NULL for one that couldn't: every shape regex matches a value if and
+    only if it matches its shape."""
+    s = F.trim(c.cast("string"))
+    could = (F.length(s) <= MAX_DATE_LEN) & s.rlike("[0-9]")
+    return F.when(could, F.translate(s, "0123456789" + _LETTERS, "9" * 10 + "a" * len(_LETTERS)))
+
+
+def matching_formats(shapes: DataFrame, formats: list[str]) -> dict[str, list[int]]:
+    """column -> numbers of the formats that some shape of a (column, shape) table
+    has the form of; a format without a known form may match any."""
+    forms = [_SHAPES.get(f) for f in formats]
+    hits = [F.max(F.col("shape").rlike(r) if r else F.lit(True)).alias(f"f{i}") for i, r in enumerate(forms)]
+    rows = shapes.where(F.col("shape").isNotNull()).distinct().groupBy("column").agg(*hits).collect()
+    return {r["column"]: [i for i in range(len(formats)) if r[f"f{i}"]] for r in rows}
+
+
 def parse_with(c: Column, fmt: str) -> Column:
     """NULL unless the whole string is a timestamp in ``fmt`` (never raises).
     A cheap shape regex runs first: a failed parse is far costlier than a

@@ -284,22 +284,27 @@ def distinct_and_parsed(df: DataFrame, prof: dict[str, ColumnProfile], freq: Dat
                         date_formats: list[str] | None = None) -> None:
     """Fill ``distinct`` of every profiled column and, for string columns, the
     per-format parse counts - one aggregation over the frequency table, so
-    each distinct string is parsed once and weighted by its count."""
-    from ..functions.dates import parse_with
+    each distinct string is parsed once and weighted by its count, and only with
+    the formats whose form a value of the column has."""
+    from ..functions.dates import matching_formats, parse_with, value_shape
     cols = list(prof)
     strings = [c for c in cols if is_string(df.schema[c].dataType)]
-    aggs = [F.sum("kinds").alias("d")]
     fmts = date_formats or []
+    forms: dict[str, list[int]] = {}
     if strings and fmts:
-        is_str = F.col("column").isin(strings)
-        aggs += [F.sum(F.when(is_str & parse_with(F.col("value"), f).isNotNull(), F.col("cnt"))).alias(f"p{k}")
-                 for k, f in enumerate(fmts)]
-    got = {r["column"]: r for r in freq.where(F.col("column").isin(cols)).groupBy("column").agg(*aggs).collect()}
+        shapes = freq.where(F.col("column").isin(strings)).select("column", value_shape(F.col("value")).alias("shape"))
+        forms = matching_formats(shapes, fmts)
+    aggs = [F.sum("kinds").alias("d")]
+    for k, f in enumerate(fmts):
+        own = [c for c in strings if k in forms.get(c, [])]
+        if own:
+            aggs.append(F.sum(F.when(F.col("column").isin(own) & parse_with(F.col("value"), f).isNotNull(), F.col("cnt"))).alias(f"p{k}"))
+    got = {r["column"]: r.asDict() for r in freq.where(F.col("column").isin(cols)).groupBy("column").agg(*aggs).collect()}
     for c in cols:
-        r = got.get(c)
-        prof[c].distinct = int(r["d"]) if r else 0
+        r = got.get(c, {})
+        prof[c].distinct = int(r.get("d") or 0)
         if c in strings and fmts:
-            prof[c].extra["parsed"] = [int((r[f"p{k}"] or 0) if r else 0) for k in range(len(fmts))]
+            prof[c].extra["parsed"] = [int(r.get(f"p{k}") or 0) for k in range(len(fmts))]
 
 
 def freq_quantiles(freq: DataFrame, cols: list[str], probs: list[float], non_null: dict[str, int]) -> dict:

@@ -2,7 +2,8 @@
 search with k-fold cross-validation).
 
 Linear regression models are scored from shared statistics (``moments``): one pass
-over the rows serves all of them, all trials and all folds. The other models are
+over the rows serves all of them, all trials and all folds. Logistic regression takes
+its Newton steps for all trials and folds in the same passes. The other models are
 fitted fold by fold."""
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import logistic
 from . import moments as MM
 from .metrics import classification_metrics, prefix_counts, regression_metrics
 from .models import FitContext, build, registry, sample_params
@@ -151,7 +153,14 @@ def tune(train: DataFrame, task: str, name: str, n_trials: int = 10, folds: int
 
         errors: dict[int, str] = {}
 
+        if task == "Classification" and name == "LR" and logistic.fits(ctx.n_features, ctx.n_classes, len(trials) * folds):
+            together, _ = logistic.cross_validate(data, [float(p.get("C", 1.0)) for p in trials], folds, ctx.n_classes)
+        else:
+            together = None
+
         def run(i):
+            if together is not None:
+                return i, together[i]
             try:
                 return i, cross_val(data, task, name, trials[i], folds, seed, ctx)
             except Exception as e:  # noqa: BLE001  (shown in the trial table)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dates import DATE_FORMATS, parse_with
+from ..functions.dates import DATE_FORMATS, matching_formats, parse_with, value_shape
 from .profile import (ColumnProfile, is_numeric, is_string, is_timestamp,
                       profile, q)
 
@@ -22,20 +22,22 @@ class TaskError(ValueError):
 def date_parse_rates(df: DataFrame, cols: list[str] | None = None,
                      formats: list[str] | None = None) -> dict[str, dict]:
     """For each string column: rows parsed by the best format, over all rows and
-    over non-null rows. One aggregate for every (column, format) pair."""
+    over non-null rows. One aggregate for every (column, format) pair whose form occurs."""
     fmts = formats or DATE_FORMATS
     cols = [c for c in (cols or df.columns) if is_string(df.schema[c].dataType)]
     if not cols:
         return {}
+    # the shapes of the values, a few per column, tell which formats are worth parsing with
+    items = F.array(*[F.struct(F.lit(c).alias("column"), value_shape(F.col(q(c))).alias("shape")) for c in cols])
+    forms = matching_formats(df.select(F.inline(items)), fmts)
     aggs = [F.count(F.lit(1)).alias("__n")]
     for c in cols:
         aggs.append(F.count(F.col(q(c))).alias(f"nn|{c}"))
-        for i, f in enumerate(fmts):
-            aggs.append(F.count(parse_with(F.col(q(c)), f)).alias(f"p{i}|{c}"))
+        aggs += [F.count(parse_with(F.col(q(c)), fmts[i])).alias(f"p{i}|{c}") for i in forms.get(c, [])]
     r = df.agg(*aggs).first().asDict()
     out = {}
     for c in cols:
-        counts = [r[f"p{i}|{c}"] for i in range(len(fmts))]
+        counts = [r.get(f"p{i}|{c}", 0) for i in range(len(fmts))]
         best = max(range(len(fmts)), key=lambda i: (counts[i], -i))
         n, nn = r["__n"], r[f"nn|{c}"]
         out[c] = {"format": fmts[best], "parsed": counts[best], "rows": n, "non_null": nn,

@@ -120,3 +120,45 @@ def chart_data(spark, sf):
             one = f.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit(name).alias("chart"))
             out = one if out is None else out.unionByName(one)
     return out
+
+
+@register("chart_clean_rows", sql="""
+SELECT DISTINCT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents""")
+def chart_clean_rows(spark, sf):
+    """VIZ-1: the rows that stay, with an unnamed column beside them."""
+    d = T(spark, sf, "documents")
+    both = d.unionByName(d).withColumn("Unnamed: 0", F.monotonically_increasing_id())
+    return C.clean_for_charts(both).select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
+
+
+_BOX_SQL = union_sql([f"""
+SELECT 'box' AS chart, '{c}' AS "column", k AS item, round(v, 4) + 0.0 AS value FROM (
+  SELECT unnest(['q1', 'median', 'q3']) AS k, unnest([quantile_cont({c}, 0.25), quantile_cont({c}, 0.5), quantile_cont({c}, 0.75)]) AS v
+  FROM orders)""" for c in ("o_totalprice", "o_custkey")])
+_CAT_SQL = union_sql([f"""
+SELECT '{k}' AS chart, '{c}' AS "column", {c} AS item, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY {c}"""
+                      for k, c in (("cat", "o_orderstatus"), ("cat", "o_orderpriority"), ("target", "o_orderpriority"))])
+
+
+@register("chart_values", sql=f"""{_BOX_SQL}
+UNION ALL {_CAT_SQL}
+UNION ALL SELECT 'num_dist', "column", 'rows', CAST(n AS DOUBLE) FROM (SELECT unnest(['o_totalprice', 'o_custkey']) AS "column", count(*) AS n FROM orders)
+UNION ALL SELECT 'num_vs_num', 'o_totalprice vs o_custkey', 'rows', CAST(least(3000, count(*)) AS DOUBLE) FROM orders""")
+def chart_values(spark, sf):
+    """VIZ-10: the values of the charts of ``orders``, in long form."""
+    types = {"numerical": ["o_totalprice", "o_custkey"], "categorical": ["o_orderstatus", "o_orderpriority"], "text": []}
+    charts = C.chart_data(T(spark, sf, "orders"), types, "o_orderpriority", ["o_orderkey"])
+
+    def rows(df, chart, column, item, value):
+        return df.select(F.lit(chart).alias("chart"), column.alias("column"), item.alias("item"), value.cast("double").alias("value"))
+
+    box, cat, dist, pairs = charts["box"], charts["cat"], charts["num_dist"], charts["num_vs_num"]
+    sides = [rows(box, "box", F.col("column"), F.lit(k), F.round(k, 4)) for k in ("q1", "median", "q3")]
+    sides.append(rows(cat, "cat", F.col("column"), F.col("value"), F.col("cnt")))
+    sides.append(rows(charts["target"]["counts"], "target", F.lit("o_orderpriority"), F.col("o_orderpriority"), F.col("cnt")))
+    sides.append(rows(dist.groupBy("column").agg(F.sum("cnt").alias("n")), "num_dist", F.col("column"), F.lit("rows"), F.col("n")))
+    sides.append(rows(pairs.groupBy("pair").agg(F.count("*").alias("n")), "num_vs_num", F.col("pair"), F.lit("rows"), F.col("n")))
+    out = sides[0]
+    for s in sides[1:]:
+        out = out.unionByName(s)
+    return out

@@ -218,3 +218,36 @@ def report_sink(spark, sf):
     doc = json.loads(spark.read.text(path + "/analysis.json", wholetext=True).first()[0])
     return spark.createDataFrame([(k, len(v) if isinstance(v, (list, dict)) else 1) for k, v in doc.items()],
                                  "section string, entries bigint")
+
+
+# ---------------------------------------------------------------- what of the workflow SQL can state
+
+@register("report_saved", sql="""
+SELECT CAST((SELECT count(*) FROM lineitem) AS BIGINT) AS "rows", 11::BIGINT AS columns,
+       CAST((SELECT count(*) FROM lineitem) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS BIGINT) AS duplicate_rows,
+       'Classification' AS task_type, CAST(count(DISTINCT l_returnflag) AS BIGINT) AS unique_values,
+       CAST(count(*) - count(l_returnflag) AS BIGINT) AS missing_values FROM lineitem""")
+def report_saved(spark, sf):
+    """IO-6, ANA-1, ANA-3: two sections of a report, read back from its files."""
+    from .operators.analyze import report
+    path = shared_dir(spark, "report")
+    sections = report(T(spark, sf, "lineitem"), "l_returnflag")
+    write_report({k: sections[k] for k in ("dataset_overview", "target_analysis")}, path)
+    return spark.read.parquet(f"{path}/dataset_overview").crossJoin(spark.read.parquet(f"{path}/target_analysis"))   # one row each
+
+
+_PRIORITIES = "(SELECT DISTINCT o_orderpriority FROM orders)"
+
+
+@register("workflow_roundtrip", sql=f"""
+SELECT o_orderkey, true AS same, o_orderpriority IN {_PRIORITIES} AS known FROM orders""")
+def workflow_roundtrip(spark, sf):
+    """SCO-1, IO-9 to IO-11: a workflow scores every row, with a class of the
+    table, and the same after it was saved and loaded."""
+    wf, orders = orders_workflow(spark, sf), T(spark, sf, "orders")
+    path = shared_dir(spark, "workflow")
+    wf.save(path)
+    first = wf.predict(orders, keep=["o_orderkey"]).select("o_orderkey", F.col("prediction").alias("before"))
+    again = FittedWorkflow.load(spark, path).predict(orders, keep=["o_orderkey"]).select("o_orderkey", F.col("prediction").alias("after"))
+    return first.join(again, "o_orderkey").select("o_orderkey", (F.col("before") == F.col("after")).alias("same"),
+                                                  F.col("before").isin(wf.plan.classes).alias("known"))
