@@ -34,7 +34,7 @@ from .common import give_back, ragged, small_batches, small_slices
 
 MARK = "▁"            # stands for a space
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
-CACHE_BYTES = 16 << 20     # what the segments that a task keeps may take, estimated
+CACHE_BYTES = 16 << 20     # what the segments that a task keeps may take, estimated (Encoder.limit)
 NONE = np.int32(1 << 30)
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # piece types of the public model format
 
@@ -224,6 +224,7 @@ class Encoder:
 
     def __init__(self, model: Pieces, tail: list[int]):
         self.model, self.tail = model, np.array(tail, dtype=np.int64)
+        self.limit = CACHE_BYTES
         self.clear()
 
     def clear(self) -> None:
@@ -261,7 +262,7 @@ class Encoder:
         out[ragged(offsets[:-1], text_size)] = ids
         for k in range(tail):
             out[offsets[1:] - tail + k] = self.tail[k]
-        if self.number.size() > CACHE_BYTES:
+        if self.number.size() > self.limit:
             self.clear()
         return out, offsets
 
@@ -374,6 +375,7 @@ def _worker(handle) -> tuple[Encoder, Decoder]:
         _state.clear()
         model = Pieces(handle.value["pieces"], handle.value["scores"], handle.value["types"])
         _state[handle.value["key"]] = (Encoder(model, handle.value["tail"]), Decoder(model))
+    _state[handle.value["key"]][0].limit = CACHE_BYTES
     return _state[handle.value["key"]]
 
 

@@ -35,6 +35,7 @@ from .common import give_back, mix64, small_batches, small_slices, tidy
 SEQ_LEN = 2048
 SHARD_SIZE = 4096     # sequences of a shard
 ROUNDS = 6
+CACHE_BYTES = 64 << 20  # of segments that a task keeps: its only large table
 SHARD = "shard long, first_slot long, n_sequences int, stride int, width int, n_tokens long, lengths binary, data binary"
 
 
@@ -85,6 +86,7 @@ def token_rows(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = S._worker(handle)[0]
+        encoder.limit = CACHE_BYTES
         for b in small_slices(batches):
             row = 0
             for part in S._bounded(b.column(2).to_pylist()):
