@@ -36,6 +36,7 @@ SEQ_LEN = 2048
 SHARD_SIZE = 4096     # sequences of a shard
 ROUNDS = 6
 CACHE_BYTES = 64 << 20  # of segments that a task keeps: its only large table
+CUT = "part long, shard long, slot long, n int, data binary"
 SHARD = "shard long, first_slot long, n_sequences int, stride int, width int, n_tokens long, lengths binary, data binary"
 
 
@@ -122,31 +123,49 @@ def training_shards(docs: DataFrame, model_path: str | None = None, key: int = 2
                     shard_size: int = SHARD_SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """SHARD rows, one per range of ``shard_size`` slots."""
     rows = token_rows(docs, model_path or S.public_model(), id_col, text_col)
+    parts = max(1, (1 << R.fan_out(docs, 4 << 20)) // 4)
     width = 2 if len(S.Pieces.load(model_path or S.public_model()).pieces) <= 1 << 16 else 4
     stride = seq_len * width
 
     def cut(table: pa.Table, place: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return R.table_of("shard long, slot long, n int, data binary", [[], [], [], []])
+            return R.table_of(CUT, [[], [], [], [], []])
         table = table.combine_chunks().sort_by([("doc_id", "ascending"), ("version", "ascending")])
         data = b"".join(table.column("ids").to_pylist())
         n = -(-len(data) // stride)
         number = int(place.column("first")[0].as_py()) + np.arange(n)
-        slot = Feistel(int(place.column("total")[0].as_py()), key).slot(number)
+        total = int(place.column("total")[0].as_py())
+        slot = Feistel(total, key).slot(number)
+        # a range of slots per partition, cut at shard edges
+        part = (slot // shard_size) * parts // -(-total // shard_size)
         used = [min(seq_len, (len(data) - i * stride) // width) for i in range(n)]
-        parts = [data[i * stride:(i + 1) * stride].ljust(stride, b"\0") for i in range(n)]
-        return R.table_of("shard long, slot long, n int, data binary", [slot // shard_size, slot, used, parts])
-
-    def gather(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("slot").to_numpy())
-        data, used = table.column("data").to_pylist(), table.column("n").to_numpy()[order].astype(np.int32)
-        shard = int(table.column("shard")[0].as_py())
-        return R.table_of(SHARD, [[shard], [shard * shard_size], [len(order)], [stride], [width], [int(used.sum())], [used.tobytes()],
-                                  [b"".join(data[i] for i in order.tolist())]])
-
-    sequences = rows.groupBy("bucket").cogroup(bucket_offsets(rows, stride).groupBy("bucket")).applyInArrow(tidy(cut), "shard long, slot long, n int, data binary")
-    # ranges of slots, so that the files of a write follow the training order
-    return sequences.repartitionByRange("shard").groupBy("shard").applyInArrow(tidy(gather), SHARD)
+        records = [data[i * stride:(i + 1) * stride].ljust(stride, b"\0") for i in range(n)]
+        return R.table_of(CUT, [part, slot // shard_size, slot, used, records])
+
+    def pack(shard: int, used: list[int], records: list[bytes]) -> pa.RecordBatch:
+        lengths = np.array(used, dtype=np.int32)
+        return R.table_of(SHARD, [[shard], [shard * shard_size], [len(records)], [stride], [width], [int(lengths.sum())], [lengths.tobytes()],
+                                  [b"".join(records)]]).to_batches()[0]
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in slot order; holds the records of one shard."""
+        shard, used, records = None, [], []
+        for b in batches:
+            for s, n, data in zip(*(b.column(c).to_pylist() for c in ("shard", "n", "data"))):
+                if s != shard and records:
+                    yield pack(shard, used, records)
+                    used, records = [], []
+                shard = s
+                used.append(n)
+                records.append(data)
+        if records:
+            yield pack(shard, used, records)
+        give_back()
+
+    sequences = rows.groupBy("bucket").cogroup(bucket_offsets(rows, stride).groupBy("bucket")).applyInArrow(tidy(cut), CUT)
+    # the ranges are known, so no sample of the sequences has to choose them
+    ranged = sequences.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("slot")
+    return ranged.select("shard", "n", "data").mapInArrow(gather, SHARD)
 
 
 def write_shards(shards: DataFrame, path: str) -> None:
