@@ -200,7 +200,8 @@ class Pieces:
 
 
 class _Numbers(dict):
-    """Numbers of the segments met so far; new ones are numbered and listed."""
+    """Numbers of the segments met so far; new ones are numbered and listed. A
+    word stands for itself after a single mark."""
 
     def __init__(self):
         super().__init__()
@@ -209,7 +210,7 @@ class _Numbers(dict):
 
     def __missing__(self, segment: str) -> int:
         self[segment] = number = len(self)
-        self.new.append(segment)
+        self.new.append(segment if segment[0] == MARK else MARK + segment)
         self.chars += len(segment)
         return number
 
@@ -219,6 +220,13 @@ class _Numbers(dict):
         return 240 * len(self) + 6 * self.chars
 
 
+def _segments(text: str) -> list[str]:
+    """The words of a text whose spaces are single and inside, else its segments."""
+    if "  " in text or text[0] == " " or text[-1] == " " or MARK in text:
+        return SEGMENT.findall(MARK + text.replace(" ", MARK))
+    return text.split(" ")
+
+
 class Encoder:
     """Encodes batches of texts; keeps the segments it has met."""
 
@@ -229,10 +237,27 @@ class Encoder:
 
     def clear(self) -> None:
         self.number = _Numbers()
+        self.hits: np.ndarray = np.zeros(0, dtype=np.int64)
         self.ids: np.ndarray = np.zeros(0, dtype=np.int32)
         self.begin: np.ndarray = np.zeros(0, dtype=np.int64)
         self.length: np.ndarray = np.zeros(0, dtype=np.int64)
 
+    def _evict(self) -> None:
+        """Keep the segments met more than once, the most frequent first, in half
+        of the room; most of the others never come again."""
+        words = list(self.number)                # in the order of their numbers
+        order = np.argsort(-self.hits, kind="stable")
+        order = order[self.hits[order] > 1]
+        size = 240 + 6 * np.array([len(w) for w in words], dtype=np.int64)[order]
+        order = order[np.cumsum(size) <= self.limit // 2]
+        ids, length = self.ids[ragged(self.begin[order], self.length[order])], self.length[order]
+        self.clear()
+        for k, i in enumerate(order.tolist()):
+            dict.__setitem__(self.number, words[i], k)
+            self.number.chars += len(words[i])
+        self.ids, self.length, self.begin = ids, length, np.cumsum(length) - length
+        self.hits = np.zeros(len(order), dtype=np.int64)
+
     def _learn(self, segments: list[str]) -> None:
         ids, offsets = self.model.encode_segments(segments)
         base = len(self.ids)
@@ -244,12 +269,15 @@ class Encoder:
         """(ids, offsets) over the texts, each with the closing ids."""
         number, numbers = self.number.__getitem__, []
         for text in texts:
-            parts = SEGMENT.findall(MARK + text.replace(" ", MARK)) if text else []
+            parts = _segments(text) if text else []
             numbers.append(np.fromiter(map(number, parts), dtype=np.int64, count=len(parts)))
         if self.number.new:
             self._learn(self.number.new)
             self.number.new = []
         at = np.concatenate(numbers) if numbers else np.zeros(0, dtype=np.int64)
+        hits = np.bincount(at, minlength=len(self.number))
+        hits[:len(self.hits)] += self.hits
+        self.hits = hits
         size = self.length[at]
         per = np.array([len(x) for x in numbers], dtype=np.int64)
         edge = np.concatenate([[0], np.cumsum(per)])
@@ -263,7 +291,7 @@ class Encoder:
         for k in range(tail):
             out[offsets[1:] - tail + k] = self.tail[k]
         if self.number.size() > self.limit:
-            self.clear()
+            self._evict()
         return out, offsets
 
 

@@ -57,3 +57,22 @@ def test_query(messy, empty, library):
               hashlib.sha256(library.decode(ids).encode()).hexdigest())] += 1
     assert Counter(tuple(r) for r in S.roundtrip_digest(clashing(messy)).collect()) == want
     assert S.roundtrip_digest(empty).count() == 0
+
+
+def test_eviction_and_both_ways_of_cutting(library, model):
+    """A cache of a few KB, texts whose spaces are single beside others."""
+    rng = random.Random(11)
+    words = ["the", "data", "漢字", "x\ny", "qu", "é"] + [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(words[:6] if rng.random() < .5 else words) for _ in range(40)) for _ in range(60)]
+    texts += [f" {t}" for t in texts[:5]] + [f"{t}  end " for t in texts[:5]] + ["the", "▁the", " the", "a▁b c", "z" * 5000, ""]
+    encoder = S.Encoder(model, [2])
+    encoder.limit = 8 << 10
+    evicted = 0
+    for a in range(0, len(texts), 7):
+        before = len(encoder.number)
+        ids, offsets = encoder.encode(texts[a:a + 7])
+        evicted += len(encoder.number) < before
+        for t, b, e in zip(texts[a:a + 7], offsets[:-1], offsets[1:]):
+            assert ids[b:e].tolist() == library.encode(t) + [2], t[:60]
+        assert encoder.number.size() <= encoder.limit and len(encoder.hits) == len(encoder.number) == len(encoder.length)
+    assert evicted > 2
