@@ -2,15 +2,19 @@
 vocabulary (TXT-6) and word counts with collocations (VIZ-8).
 
 Both work on the counted vocabulary and on counted neighbour pairs; texts are read
-once per statistic and never shuffled.
+once per statistic and never shuffled. Word counts of the cloud are sums of its pairs.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import STOP_WORDS, clean_text, split_contractions
+from ..functions.text import CONTRACTIONS, STOP_WORDS, clean_text, split_contractions
+from ..session import ensure_checkpoint_dir
 from .profile import q
 
 #: Noun endings that may be detached, in the order tried.
@@ -24,8 +28,10 @@ LEAST_SCORE = 30.0      # log-likelihood from which a pair is a collocation
 
 def _words(df: DataFrame, col: str) -> DataFrame:
     """One array of words per row, stop words included."""
-    text = split_contractions(clean_text(F.col(q(col))))
-    return df.select(F.filter(F.split(text, " "), lambda t: t != F.lit("")).alias("words"))
+    text = df.select(clean_text(F.col(q(col))).alias("t"))
+    some = reduce(or_, [F.col("t").contains(a + b) for a, b in CONTRACTIONS])      # few texts need the regex
+    split = F.when(some, split_contractions(F.col("t"))).otherwise(F.col("t"))
+    return text.select(F.array_remove(F.split(split, " "), "").alias("words"))
 
 
 def _counted(words: DataFrame, stop: list[str]) -> DataFrame:
@@ -33,6 +39,14 @@ def _counted(words: DataFrame, stop: list[str]) -> DataFrame:
     return words.select(F.explode("words").alias("word")).where(~F.col("word").isin(stop)).groupBy("word").agg(F.count("*").alias("cnt"))
 
 
+def neighbours(words: DataFrame, stop: list[str]) -> DataFrame:
+    """(a, b, cnt): how often a word is followed by another; ``b`` is null at the end
+    of a text and before a stop word. Every place of a word is in one row of it."""
+    after = F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0)))
+    places = words.select(F.inline(F.arrays_zip(F.col("words").alias("a"), after.alias("b")))).where(~F.col("a").isin(stop))
+    return places.select("a", F.when(~F.col("b").isin(stop), F.col("b")).alias("b")).groupBy("a", "b").agg(F.count("*").alias("cnt"))
+
+
 def corpus_lemmas(df: DataFrame, col: str, min_count: int = MIN_COUNT, min_share: float = MIN_SHARE,
                   stop_words: list[str] | None = None) -> DataFrame:
     """(word, lemma): words of the column with a detachable ending whose rest is
@@ -82,8 +96,9 @@ def word_cloud(df: DataFrame, col: str, top: int = 200, least_score: float = LEA
     log-likelihood of their pair reaches ``least_score``; its places are taken off
     the counts of its words."""
     stop = list(STOP_WORDS if stop_words is None else stop_words)
-    words = _words(df, col)
-    counted = _counted(words, stop)
+    ensure_checkpoint_dir(df.sparkSession)
+    follows = neighbours(_words(df, col), stop).checkpoint()       # read below for the words and for the pairs
+    counted = follows.groupBy(F.col("a").alias("word")).agg(F.sum("cnt").alias("cnt")).checkpoint()
     word = F.col("word")
     singular = F.when(word.endswith("s") & ~word.endswith("ss"), F.substring(word, F.lit(1), F.length(word) - 1))
     plurals = counted.select(word.alias("plural"), singular.alias("singular")).join(
@@ -93,17 +108,14 @@ def word_cloud(df: DataFrame, col: str, top: int = 200, least_score: float = LEA
         return rows.join(plurals, F.col(name) == F.col("plural"), "left").withColumn(name, F.coalesce("singular", name)).drop("plural", "singular")
 
     single = folded(counted, "word").groupBy("word").agg(F.sum("cnt").alias("cnt"))
-    n = F.size("words")
-    pairs = words.select(F.inline(F.arrays_zip(F.slice("words", 1, F.greatest(n - 1, F.lit(0))).alias("a"),
-                                               F.slice("words", 2, F.greatest(n - 1, F.lit(0))).alias("b"))))
-    pairs = pairs.where(~F.col("a").isin(stop) & ~F.col("b").isin(stop)).groupBy("a", "b").agg(F.count("*").alias("cnt"))
+    pairs = follows.where(F.col("b").isNotNull())
     pairs = folded(folded(pairs, "a"), "b").groupBy("a", "b").agg(F.sum("cnt").alias("both"))
     total = single.agg(F.sum("cnt").alias("total"))
     first = single.select(word.alias("a"), F.col("cnt").alias("first"))
     second = single.select(word.alias("b"), F.col("cnt").alias("second"))
     scored = pairs.join(first, "a").join(second, "b").join(F.broadcast(total))     # one row
     found = scored.where(_log_likelihood(F.col("both").cast("double"), F.col("first"), F.col("second"), F.col("total")) >= least_score)
-    found = found.select("a", "b", "both")
+    found = found.select("a", "b", "both").checkpoint()
     # words keep the places that no collocation takes; a pair of one word twice takes two
     taken = found.select(F.explode(F.array("a", "b")).alias("word"), (-F.col("both")).alias("cnt"))
     left = single.unionByName(taken).groupBy("word").agg(F.sum("cnt").alias("cnt")).where("cnt > 0")

@@ -70,3 +70,10 @@ def test_collocations_and_plurals(spark):
         got = {r["word"]: r["cnt"] for r in X.word_cloud(texts(spark, rows), "t", 1000, least).collect()}
         assert got == brute(rows, least, {"the"})
     assert "new york" in got and "cats" not in got and X.word_cloud(texts(spark, []), "t").count() == 0
+
+
+def test_texts_are_counted_once(spark):
+    from tessera.functions.text import STOP_WORDS
+    df = texts(spark, ["red car", "red car the cannot red", None, "", "car"])
+    got = {(r["a"], r["b"]): r["cnt"] for r in X.neighbours(X._words(df, "t"), list(STOP_WORDS)).collect()}
+    assert got == {("red", "car"): 2, ("car", None): 3, ("red", None): 1}      # "can not" are stop words
