@@ -165,8 +165,9 @@ def categories_section(f: TableFacts) -> DataFrame:
 WIDE = 40   # columns whose pairs still fit one compiled aggregate
 
 
-def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
+def correlation_pairs(df: DataFrame, cols: list[str], complete: set[str] | tuple = ()) -> DataFrame:
     """ANA-8: pairwise-complete Pearson matrix, long form (all ordered pairs).
+    Columns known to be ``complete`` (no nulls) have one deviation for all their pairs.
 
     Up to WIDE columns, one aggregate holds d(d+1)/2 pair moments; the
     constant-column case is NULL (``try_divide``) instead of the ANSI
@@ -179,7 +180,13 @@ def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
         return spark.createDataFrame(rows, "column_a string, column_b string, corr double")
     proj, aggs = [], []
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    proj += [F.col(q(c)).cast("double").alias(f"c{i}") for i, c in enumerate(cols) if c in complete]
     for k, (a, b) in enumerate(pairs):
+        if a in complete and b in complete:
+            xa, yb = F.col(f"c{cols.index(a)}"), F.col(f"c{cols.index(b)}")
+            top = F.stddev_samp(xa) * F.stddev_samp(yb) if a == b else F.covar_samp(xa, yb)
+            aggs.append(F.try_divide(top, F.stddev_samp(xa) * F.stddev_samp(yb)).alias(f"p{k}"))
+            continue
         x, y = F.col(q(a)).cast("double"), F.col(q(b)).cast("double")
         both = x.isNotNull() & y.isNotNull()
         # pairwise-complete inputs are projected once, then read by three aggregates
@@ -212,7 +219,7 @@ def report(df: DataFrame, target: str, **type_kw) -> dict[str, DataFrame]:
             out["numeric_analysis"] = describe_section(f, num, qs)
             out["outlier_analysis"] = outliers_section(f, num, qs)
         out["categorical_analysis"] = categories_section(f)
-        out["correlations"] = correlation_pairs(df, num)
+        out["correlations"] = correlation_pairs(df, num, {c for c in num if not f.prof[c].missing})
         # one row per column (or pair of columns): made here, while the frequency table is kept
         return {k: df.sparkSession.createDataFrame(v.collect(), v.schema) for k, v in out.items()}
     finally:

@@ -115,8 +115,7 @@ def _stat_plan(df: DataFrame, cols: list[str]) -> tuple[list[Column], list[Colum
             proj.append(F.col(q(c)).cast("double").alias(f"v{i}"))
             v = F.col(f"v{i}")
             aggs += [F.count(v).alias(f"nn|{c}"), F.min(v).alias(f"min|{c}"), F.max(v).alias(f"max|{c}"),
-                     F.avg(v).alias(f"mean|{c}"), F.stddev_samp(v).alias(f"std|{c}"),
-                     F.stddev_pop(v).alias(f"stdp|{c}"), F.skewness(v).alias(f"g1|{c}"),
+                     F.avg(v).alias(f"mean|{c}"), F.stddev_pop(v).alias(f"stdp|{c}"), F.skewness(v).alias(f"g1|{c}"),
                      F.count_if(~v.isin(0.0, 1.0)).alias(f"n01|{c}")]
         elif is_string(dt):
             proj.append(F.length(F.col(q(c))).alias(f"v{i}"))
@@ -156,7 +155,8 @@ def column_stats(df: DataFrame, cols: list[str] | None = None, date_formats: lis
         p = ColumnProfile(c, dt.simpleString(), n, r[f"nn|{c}"])
         if is_numeric(dt):
             p.min, p.max, p.mean = r[f"min|{c}"], r[f"max|{c}"], r[f"mean|{c}"]
-            p.std, p.std_pop, p.skew_pop = r[f"std|{c}"], r[f"stdp|{c}"], r[f"g1|{c}"]
+            p.std_pop, p.skew_pop = r[f"stdp|{c}"], r[f"g1|{c}"]
+            p.std = p.std_pop * math.sqrt(p.non_null / (p.non_null - 1)) if p.non_null > 1 else None
             p.not01 = r[f"n01|{c}"]
         elif is_string(dt):
             p.avg_len = r[f"len|{c}"]

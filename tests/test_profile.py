@@ -97,3 +97,12 @@ def test_report_keeps_measures_with_distinct_values(spark):
 def test_numeric_sections_of_lineitem_hold_the_price(spark, sf):
     from tessera.plans.flagship import numeric_profile
     assert "l_extendedprice" in {r["column"] for r in numeric_profile(spark, sf).collect()}
+
+
+def test_complete_columns_share_their_deviation(spark):
+    from tessera.operators.analyze import correlation_pairs
+    df = spark.createDataFrame([(i, float(i * i % 7), 2.0, None if i == 3 else i % 4) for i in range(20)], "a int, b double, c double, d int")
+    rows = lambda d: {(r[0], r[1]): None if r[2] is None else round(r[2], 12) for r in d.collect()}
+    assert rows(correlation_pairs(df, df.columns, {"a", "b", "c"})) == rows(correlation_pairs(df, df.columns))
+    one = column_stats(df.limit(1))["a"]
+    assert one.std is None and round(column_stats(df)["a"].std, 9) == 5.916079783
