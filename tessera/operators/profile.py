@@ -33,6 +33,7 @@ PANDAS_DTYPE = {
 EXACT_MAP_LIMIT = 1_000_000
 
 LONG_VALUE = 64     # bytes beyond which a text value is grouped by its digest
+PART_BYTES = 16 << 20   # of rows in a partition of a table that is read many times
 TEXT_LENGTH = 30    # mean characters from which a string column is text
 
 
@@ -247,6 +248,19 @@ def value_counts(df: DataFrame, cols: list[str] | None = None, named: set[str] |
                     "cnt", F.coalesce(F.col("l").cast("double"), F.col("d")).alias("num"), kinds.alias("kinds"))
 
 
+def row_width(prof: dict[str, ColumnProfile]) -> float:
+    """Bytes of a row of the profiled columns, roughly."""
+    return sum(16 + (p.avg_len or 0) for p in prof.values())
+
+
+def sized(df: DataFrame, rows: int, width: float) -> DataFrame:
+    """``df`` in no more partitions than its size asks for (PART_BYTES each, two a
+    core at least): passes over a shuffled table that is read many times would be
+    mostly task starts. Partitions are joined as they lie, none is ever added."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(2 * cores, math.ceil(rows * width / PART_BYTES)))
+
+
 def distinct_rows(df: DataFrame) -> DataFrame:
     """``(h0, h1, cnt, kinds)``: one row per distinct row of ``df``, by digest.
     Arrays and structs are hashed as they are, maps as sorted entries."""

@@ -27,17 +27,17 @@ log = logging.getLogger(__name__)
 
 def fit_context(train: DataFrame, task: str, seed: int = 42) -> FitContext:
     """The few training-set scalars the estimators' parameter conversions need."""
+    k = train.agg(F.count_distinct("label").alias("k")).first()["k"]     # a distinct count would group the other sums by label
     x = vector_to_array("features")
-    r = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("sp"),
-                  F.stddev_samp("label").alias("ss"), F.count_distinct("label").alias("k"),
-                  F.max(F.size(x)).alias("d")).first()
     # variance of all feature values, summed per row
-    w = train.select(F.aggregate(x, F.lit(0.0), lambda a, v: a + v).alias("s"),
-                     F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v).alias("s2"), F.size(x).alias("d"))
-    m = w.agg(F.sum("s").alias("s"), F.sum("s2").alias("s2"), F.sum("d").alias("d")).first()
-    xv = m["s2"] / m["d"] - (m["s"] / m["d"]) ** 2 if m["d"] else None
-    return FitContext(n=r["n"], n_features=r["d"] or 1, y_std_pop=r["sp"] or 1.0, y_std_samp=r["ss"] or 1.0,
-                      x_var=xv or 1.0, n_classes=r["k"] or 2, seed=seed)
+    w = train.select("label", x.alias("x")).select(
+        "label", F.aggregate("x", F.lit(0.0), lambda a, v: a + v).alias("s"),
+        F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v).alias("s2"), F.size("x").alias("d"))
+    r = w.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("sp"), F.stddev_samp("label").alias("ss"), F.max("d").alias("most"),
+              F.sum("s").alias("s"), F.sum("s2").alias("s2"), F.sum("d").alias("d")).first()
+    xv = r["s2"] / r["d"] - (r["s"] / r["d"]) ** 2 if r["d"] else None
+    return FitContext(n=r["n"], n_features=r["most"] or 1, y_std_pop=r["sp"] or 1.0, y_std_samp=r["ss"] or 1.0,
+                      x_var=xv or 1.0, n_classes=k or 2, seed=seed)
 
 
 def score(model, test: DataFrame, task: str, metric: str | None = None) -> float | None:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import DATE_FORMATS, parse_with
 from ..operators import clean, datefeat, encode, shape
 from ..operators import split as S
-from ..operators.profile import column_stats, distinct_and_parsed, q, text_columns, value_counts
+from ..operators.profile import column_stats, distinct_and_parsed, q, row_width, sized, text_columns, value_counts
 from ..operators.prune import prune_columns
 from ..operators.tfidf import fit_tfidf, tfidf_columns, tokenize
 from ..operators.types import coerce_dates, feature_types, group_types, problem_type, rates_from_profile
@@ -173,7 +173,8 @@ def fit_plan(df: DataFrame, target: str, seed: int = 42, test_size: float = 0.2,
     # TYP-1: early date coercion (> 0.6 of all rows), then typing on one cached frequency table
     df, plan.coerced = coerce_dates(df, 0.6, exclude=[target])
     prof = column_stats(df)
-    freq = value_counts(df, named=text_columns(df, prof, [target])).persist(StorageLevel.MEMORY_AND_DISK)
+    rows, width = prof[target].n_rows, row_width(prof)
+    freq = sized(value_counts(df, named=text_columns(df, prof, [target])), rows, width).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         distinct_and_parsed(df, prof, freq, DATE_FORMATS)
         rates = rates_from_profile(prof)
@@ -219,7 +220,7 @@ def fit_plan(df: DataFrame, target: str, seed: int = 42, test_size: float = 0.2,
     # DUP-2 (after imputation); materialise: every later fit reads it
     before = prof[target].n_rows - plan.null_target_rows
     df = df.groupBy(*[F.col(q(c)) for c in df.columns if c != KEY]).agg(F.min(KEY).alias(KEY))
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = sized(df, before, width + 8 * len(derived) + 48).persist(StorageLevel.MEMORY_AND_DISK)
     plan.duplicates_dropped = before - df.count()
 
     # TXT: tokenize once into the persisted frame, fit, then vectorise

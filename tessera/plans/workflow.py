@@ -18,6 +18,7 @@ from ..operators import analyze
 from ..operators.encode import decode_label
 from ..operators.metrics import classification_metrics, regression_metrics
 from ..operators.models import KnnModel
+from ..operators.profile import q
 from ..operators.tune import leaderboard, tune
 from ..session import ensure_checkpoint_dir
 from ..sources.reports import write_evaluation, write_inputs, write_report
@@ -37,15 +38,17 @@ class FittedWorkflow:
     def predict(self, df: DataFrame, keep: list[str] | tuple = ()) -> DataFrame:
         """Raw rows -> ``prediction`` (decoded for classification), with the
         ``keep`` columns (keys) and ``label`` when the target is present."""
-        feats = self.plan.transform(df, keep=keep)
+        # a kept column that is also an input rides along as a copy
+        own = {c: f"__kept{i}" for i, c in enumerate(keep) if c in df.columns and c in (*self.plan.inputs, self.plan.target)}
+        feats = self.plan.transform(df.withColumns({n: F.col(q(c)) for c, n in own.items()}) if own else df, keep=[own.get(c, c) for c in keep])
         if "row_id" not in feats.columns:
             feats = feats.withColumn("row_id", F.monotonically_increasing_id())
             if isinstance(self.model, KnnModel):   # joins on the id: it must not be computed twice
                 ensure_checkpoint_dir(df.sparkSession)
                 feats = feats.checkpoint()
         out = self.model.transform(feats)
-        cols = [c for c in keep if c in out.columns] + (["label"] if "label" in out.columns else [])
-        pred = out.select(*cols, F.col("prediction").cast("double").alias("prediction"))
+        kept = [F.col(q(own.get(c, c))).alias(c) for c in keep if own.get(c, c) in out.columns]
+        pred = out.select(*kept, *(["label"] if "label" in out.columns else []), F.col("prediction").cast("double").alias("prediction"))
         if self.plan.classes is not None:
             pred = decode_label(pred, "prediction", self.plan.classes)
             if "label" in pred.columns:

@@ -95,3 +95,40 @@ def test_score_stream_foreach_batch(spark, sf):
     assert got.count() == o.count()
     assert got.select("o_orderkey", "prediction").exceptAll(wf.predict(o, keep=["o_orderkey"]).select(
         "o_orderkey", "prediction")).count() == 0
+
+
+def test_few_rows_are_read_in_few_partitions(spark, orders_plan, monkeypatch):
+    """A table read many times has the partitions that its size asks for, not those of the shuffle."""
+    from tessera.operators import profile
+    o, plan, train, _ = orders_plan
+    cores = spark.sparkContext.defaultParallelism
+    many = o.repartition(40)
+    assert profile.sized(many, 1000, 100).rdd.getNumPartitions() == 2 * cores
+    assert profile.sized(many, 1000, 1 << 20).rdd.getNumPartitions() == 40     # none is added
+    monkeypatch.setattr(profile, "PART_BYTES", 1000)
+    assert profile.sized(many, 1500, 10).rdd.getNumPartitions() == max(2 * cores, 15)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.undo()
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        again = fit_plan(o, "o_orderpriority")[1]
+        assert again.rdd.getNumPartitions() <= 2 * cores
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    real = [i for i, c in enumerate(plan.features) if plan.scaler[c][1] > 1e-12]   # the shares of an id are equal but for rounding
+    for x, y in zip(again.orderBy("row_id").collect(), train.orderBy("row_id").collect(), strict=True):
+        assert x["row_id"] == y["row_id"] and x["label"] == y["label"] and x["features"].toArray()[real] == pytest.approx(y["features"].toArray()[real])
+
+
+def test_keys_with_gaps_are_kept(spark, sf):
+    """Keys that aren't 0..n-1 become a feature and must come back all the same."""
+    from tessera.operators.models import build
+    from tessera.operators.tune import fit_context
+    from tessera.plans.workflow import FittedWorkflow
+    o = read_table(spark, sf, "orders").withColumn("o_orderkey", F.col("o_orderkey") * 7 + 3)
+    plan, train, _ = fit_plan(o, "o_orderpriority")
+    assert "o_orderkey" in plan.inputs
+    wf = FittedWorkflow(plan, build(plan.task, "LR", {}, fit_context(train, plan.task)).fit(train), "LR", {}, None)
+    got = wf.predict(o, keep=["o_orderkey", "o_custkey"])
+    assert got.columns == ["o_orderkey", "o_custkey", "label", "prediction"]
+    assert got.select("o_orderkey", "o_custkey").exceptAll(o.select("o_orderkey", "o_custkey")).count() == 0 and got.count() == o.count()
