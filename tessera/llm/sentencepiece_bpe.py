@@ -23,9 +23,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,6 +80,9 @@ class Pieces:
                                   dtype=bool)
         points = np.array(sorted((ord(c), i) for c, i in symbols.items() if len(c) == 1), dtype=np.int64).reshape(-1, 2)
         self.char_point, self.char_symbol = points[:, 0], points[:, 1]
+        self.low_symbol = np.full(1 << 16, -1, dtype=np.int32)      # of the code points below that
+        low = points[:, 0] < 1 << 16
+        self.low_symbol[points[low, 0]] = points[low, 1]
 
     def _hash_pairs(self, keys: np.ndarray) -> None:
         """Open addressing over a table of at least four places a pair; a place
@@ -101,8 +106,10 @@ class Pieces:
     def _rows(self, keys: np.ndarray) -> np.ndarray:
         """Row of each pair in the table, -1 if it doesn't merge."""
         at = self._slot(keys)
-        out = np.full(len(keys), -1, dtype=np.int64)
-        open_ = np.arange(len(keys))
+        found = self.slot_key[at]
+        out = np.where(found == keys, self.slot_row[at], -1)
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        at = at[open_] + 1
         while len(open_):
             found = self.slot_key[at]
             hit = found == keys[open_]
@@ -135,7 +142,7 @@ class Pieces:
         a = at[ok]
         ok = ok[(seg[a] == seg[a + 1]) & (sym[a] >= 0) & (sym[a + 1] >= 0)]
         a = at[ok]
-        found = self._rows(sym[a] << 32 | sym[a + 1])
+        found = self._rows(sym[a].astype(np.int64) << 32 | sym[a + 1])
         ok, found = ok[found >= 0], found[found >= 0]
         rank[ok], row[ok] = self.pair_rank[found], found
         return rank, row
@@ -144,11 +151,14 @@ class Pieces:
         """(ids, offsets) of distinct segments."""
         point = np.frombuffer("".join(segments).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
         length = np.array([len(s) for s in segments], dtype=np.int64)
-        at = np.searchsorted(self.char_point, point)
-        at[at == len(self.char_point)] = 0
-        sym = np.where(self.char_point[at] == point, self.char_symbol[at], -1)
-        seg = np.repeat(np.arange(len(segments)), length)
-        place = np.arange(len(point))
+        sym = self.low_symbol[np.minimum(point, (1 << 16) - 1)]
+        high = np.flatnonzero(point >= 1 << 16)
+        if len(high):
+            at = np.searchsorted(self.char_point, point[high])
+            at[at == len(self.char_point)] = 0
+            sym[high] = np.where(self.char_point[at] == point[high], self.char_symbol[at], -1)
+        seg = np.repeat(np.arange(len(segments), dtype=np.int32), length)
+        place = np.arange(len(point), dtype=np.int32 if len(point) < 1 << 31 else np.int64)
         done_sym, done_seg, done_place = [], [], []
         rank, row = self._pairs(sym, seg, place)
         while len(sym):
@@ -214,6 +224,17 @@ class _Numbers(dict):
         self.chars += len(segment)
         return number
 
+    def of(self, words: list[str]) -> np.ndarray:
+        """Numbers of distinct words without a mark."""
+        out = np.fromiter(map(self.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        unmet = np.flatnonzero(out < 0)
+        out[unmet] = np.arange(len(self), len(self) + len(unmet))
+        new = [words[i] for i in unmet.tolist()]
+        self.update(zip(new, out[unmet].tolist()))
+        self.new += [MARK + w for w in new]
+        self.chars += sum(map(len, new))
+        return out
+
     def size(self) -> int:
         """Estimated bytes: the entry and the head of its string, up to two bytes
         a character and up to four for its ids."""
@@ -221,10 +242,7 @@ class _Numbers(dict):
 
 
 def _segments(text: str) -> list[str]:
-    """The words of a text whose spaces are single and inside, else its segments."""
-    if "  " in text or text[0] == " " or text[-1] == " " or MARK in text:
-        return SEGMENT.findall(MARK + text.replace(" ", MARK))
-    return text.split(" ")
+    return SEGMENT.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
 class Encoder:
@@ -265,21 +283,36 @@ class Encoder:
         self.begin = np.concatenate([self.begin, base + offsets[:-1]])
         self.length = np.concatenate([self.length, np.diff(offsets)])
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def _look_up(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, how many per text) of the segments: the words of a text whose
+        spaces are single and inside, looked up once each, else its segments."""
+        parts = pc.split_pattern(texts.fill_null("") if texts.null_count else texts, " ")
+        edge = parts.offsets.to_numpy().astype(np.int64)
+        coded = parts.flatten().dictionary_encode()
+        row = coded.indices.to_numpy()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()     # far faster than to_pylist
+        odd = pc.or_(pc.match_substring(coded.dictionary, MARK), pc.equal(coded.dictionary, "")).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self.number.of(words)[row], np.diff(edge)
+        at = np.full(len(words), -1, dtype=np.int64)
+        at[~odd] = self.number.of([words[i] for i in np.flatnonzero(~odd).tolist()])
+        at = at[row]
+        edge -= edge[0]
+        out = [at[a:z] for a, z in zip(edge[:-1].tolist(), edge[1:].tolist())]
+        for i in np.unique(np.searchsorted(edge, np.flatnonzero(at < 0), side="right") - 1).tolist():
+            out[i] = np.array([self.number[x] for x in _segments(texts[i].as_py())], dtype=np.int64)
+        return np.concatenate(out), np.array([len(x) for x in out], dtype=np.int64)
+
+    def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) over the texts, each with the closing ids."""
-        number, numbers = self.number.__getitem__, []
-        for text in texts:
-            parts = _segments(text) if text else []
-            numbers.append(np.fromiter(map(number, parts), dtype=np.int64, count=len(parts)))
+        at, per = self._look_up(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
         if self.number.new:
             self._learn(self.number.new)
             self.number.new = []
-        at = np.concatenate(numbers) if numbers else np.zeros(0, dtype=np.int64)
         hits = np.bincount(at, minlength=len(self.number))
         hits[:len(self.hits)] += self.hits
         self.hits = hits
         size = self.length[at]
-        per = np.array([len(x) for x in numbers], dtype=np.int64)
         edge = np.concatenate([[0], np.cumsum(per)])
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[ragged(self.begin[at], size)]

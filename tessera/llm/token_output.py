@@ -30,12 +30,13 @@ from pyspark.sql import functions as F
 
 from . import repeats as R
 from . import sentencepiece_bpe as S
-from .common import give_back, mix64, small_batches, small_slices, tidy
+from .common import doc_chunks, give_back, mix64, small_batches, text_buffers, tidy
 
 SEQ_LEN = 2048
 SHARD_SIZE = 4096     # sequences of a shard
 ROUNDS = 6
 CACHE_BYTES = 64 << 20  # of segments that a task keeps: its only large table
+PART_BYTES = 4 << 20    # of text encoded at once: a word is looked up once a part
 CUT = "part long, shard long, slot long, n int, data binary"
 SHARD = "shard long, first_slot long, n_sequences int, stride int, width int, n_tokens long, lengths binary, data binary"
 
@@ -88,14 +89,12 @@ def token_rows(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = S._worker(handle)[0]
         encoder.limit = CACHE_BYTES
-        for b in small_slices(batches):
-            row = 0
-            for part in S._bounded(b.column(2).to_pylist()):
-                ids, offsets = encoder.encode(part)
-                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(
+        for b in batches:
+            for a, z in doc_chunks(text_buffers(b.column(2))[1], PART_BYTES):
+                own = b.slice(a, z - a)
+                ids, offsets = encoder.encode(own.column(2))
+                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), z - a, [None, pa.py_buffer(
                     (offsets * kind().itemsize).astype(np.int64)), pa.py_buffer(ids.astype(kind))]).cast(pa.binary())
-                own = b.slice(row, len(part))
-                row += len(part)
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), data], names=["doc_id", "version", "ids"])
         encoder.clear()
         give_back()

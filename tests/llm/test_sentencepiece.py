@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from llm_cases import clashing, messy_rows
@@ -75,3 +76,19 @@ def test_eviction_and_both_ways_of_cutting(library, model):
             assert ids[b:e].tolist() == library.encode(t) + [2], t[:60]
         assert encoder.number.size() <= encoder.limit and len(encoder.hits) == len(encoder.number) == len(encoder.length)
     assert len(evicted) > 2
+
+
+def test_a_word_is_looked_up_once_a_part(library, model):
+    """Arrow columns, sliced and with nulls, beside lists; words between texts that are cut otherwise."""
+    texts = ["the data the data the", None, "", "a▁b the", " the  end", "𝔘 x\uffff é", "the data", "data \x00 the"] * 3
+    encoder, calls = S.Encoder(model, [2]), []
+    known = encoder.number.of
+    encoder.number.of = lambda words: (calls.append(list(words)), known(words))[1]
+    column = pa.array(["left out", *texts, "this too"]).slice(1, len(texts))
+    ids, offsets = encoder.encode(column)
+    want = [library.encode(t or "") + [2] for t in texts]
+    assert [ids[a:z].tolist() for a, z in zip(offsets[:-1], offsets[1:])] == want
+    assert len(calls) == 1 and len(set(calls[0])) == len(calls[0]) and calls[0].count("the") == 1
+    again, places = encoder.encode(texts)
+    assert again.tolist() == ids.tolist() and places.tolist() == offsets.tolist()
+    assert encoder.encode([])[0].tolist() == [] and encoder.encode([None])[0].tolist() == [2]
