@@ -143,3 +143,19 @@ def test_registry_uses_it(spark):
         assert np.corrcoef([got[i] for i in range(len(y))], y)[0, 1] > 0.9
     board = leaderboard(df, df, "Regression", ["L2", "LR"]).collect()
     assert all(r["error"] is None for r in board)
+
+
+@pytest.mark.parametrize("subsample", [1.0, 0.6])
+def test_one_task_boosts_as_passes_do(spark, subsample):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 3)).round(2)
+    y = (x[:, 0] + 0.5 * rng.normal(size=400) > 0).astype(int) + (x[:, 1] > 0.5)
+    df = frame(spark, x, y)
+    jobs, models = [], []
+    for local in (0, 400):
+        spark.sparkContext.setJobGroup(f"boost{local}-{subsample}", "")
+        models.append(B.SoftmaxBoosting(3, 12, 0.3, 3, 2, subsample, local=local).fit(df))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"boost{local}-{subsample}")))
+    spark.sparkContext.setJobGroup("other", "")
+    assert models[0].probabilities(x) == pytest.approx(models[1].probabilities(x), abs=1e-9)
+    assert len(models[1].rounds) == 12 and jobs[0] > 36 and jobs[1] < 12
